@@ -1,0 +1,163 @@
+"""Running a caller's translator over prompts, with retries."""
+
+from __future__ import annotations
+
+import random
+import time
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from glossaflow.functions.responses import classify_model_output, strip_response_prefix
+from glossaflow.functions.tables import strip_row_markers
+from glossaflow.operators.context import corrective_prompt
+from glossaflow.operators.quality import validate_translations
+
+# Attempts, and waits in seconds.
+MAX_ATTEMPTS = 3
+VALIDATION_RETRIES = 2
+BASE_DELAY = 2.0
+RATE_LIMIT_ATTEMPTS = 8
+RATE_LIMIT_DELAY = 15.0
+RATE_LIMIT_LONGEST = 120.0
+ERROR_CHARS = 900
+
+
+class TranslatorError(Exception):
+    """A call that failed; the same call may succeed later."""
+
+    attempts = MAX_ATTEMPTS
+
+    def delay(self, attempt: int) -> float:
+        return BASE_DELAY * 2 ** (attempt - 1) + random.uniform(0, 1)
+
+
+class RateLimited(TranslatorError):
+    attempts = RATE_LIMIT_ATTEMPTS
+
+    def delay(self, attempt: int) -> float:
+        return min(RATE_LIMIT_DELAY * attempt, RATE_LIMIT_LONGEST) + random.uniform(0, 2)
+
+
+class InvalidRequest(TranslatorError):
+    """A call that can never succeed; its chunk fails."""
+
+    attempts = 1
+
+
+class FatalError(Exception):
+    """Nothing can succeed, for instance without access; the job fails."""
+
+
+def _call(translator: Callable, prompt: str, sleep: Callable[[float], None]) -> tuple:
+    """(text, prompt_tokens, completion_tokens, finish_reason, error, fatal) of one prompt."""
+    attempt = 0
+    while True:
+        attempt += 1
+        try:
+            answer = translator(prompt)
+            answer = answer if isinstance(answer, tuple) else (answer, 0, 0, "stop")
+            return *answer, None, False
+        except TranslatorError as error:
+            if attempt >= error.attempts:
+                return None, 0, 0, None, str(error)[:ERROR_CHARS], False
+            sleep(error.delay(attempt))
+        except FatalError as error:
+            return None, 0, 0, None, str(error)[:ERROR_CHARS], True
+        except Exception as error:  # any other failure is the chunk's alone
+            return None, 0, 0, None, f"{type(error).__name__}: {error}"[:ERROR_CHARS], False
+
+
+_ANSWER = (
+    "text string, prompt_tokens long, completion_tokens long, finish_reason string, "
+    "error string, fatal boolean"
+)
+
+
+def translate_chunks(
+    prompts: DataFrame,
+    keys: list[str],
+    translator: Callable[[str], str | tuple[str, int, int, str]],
+    folder: str,
+    validation_retries: int = VALIDATION_RETRIES,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """Results of ``translator(prompt)`` for rows of (keys, source_text, prompt).
+
+    Calls are costly and cannot be repeated at will, so each round of calls is written to a folder
+    of its own below ``folder`` before it is read.  The checks run on what was written; refused
+    rows, and only those, go into the next round with the reason.  The number of partitions is the
+    number of calls at a time.  ``jobs.unfinished`` leaves out finished chunks after a restart.
+    """
+    spark = prompts.sparkSession
+    row_schema = ", ".join(
+        f"{f.name} {f.dataType.simpleString()}"
+        for f in prompts.select(*keys, "source_text", "prompt").schema
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _ANSWER.split(", ")]
+        for batch in batches:
+            answers = [_call(translator, ask, sleep) for ask in batch["ask"]]
+            found = pd.DataFrame(answers, columns=names, index=batch.index)
+            yield pd.concat([batch.drop(columns="ask"), found], axis=1)
+
+    asked = prompts.select(*keys, "source_text", "prompt", F.col("prompt").alias("ask"))
+    rounds = []
+    for attempt in range(1, validation_retries + 2):
+        path = f"{folder}/round-{attempt}"
+        asked.mapInPandas(run, f"{row_schema}, {_ANSWER}").write.parquet(path)
+        judged = _judge(spark.read.parquet(path)).withColumn("attempt", F.lit(attempt))
+        rounds.append(judged)
+        refused = judged.where("error is null and refusal is not null")
+        if attempt > validation_retries or refused.isEmpty():
+            break
+        asked = refused.select(
+            *keys,
+            "source_text",
+            "prompt",
+            corrective_prompt(F.col("prompt"), F.col("text"), F.col("refusal")).alias("ask"),
+        )
+    message = F.coalesce("error", F.concat(F.lit("refused: "), "refusal"))
+    result = F.struct(
+        F.when(message.isNull(), "completed").otherwise("failed").alias("status"),
+        F.when(message.isNull(), strip_row_markers(F.col("clean"))).alias("translation"),
+        message.alias("error_message"),
+        "fatal",
+    )
+    return (
+        reduce(DataFrame.unionByName, rounds)
+        .groupBy(*keys)
+        .agg(
+            F.max_by(result, "attempt").alias("_last"),
+            F.max("attempt").alias("attempts"),
+            F.sum("prompt_tokens").alias("prompt_tokens_used"),
+            F.sum("completion_tokens").alias("completion_tokens_used"),
+        )
+        .select(
+            *keys, "_last.*", "attempts", "prompt_tokens_used", "completion_tokens_used"
+        )
+    )
+
+
+def _judge(answers: DataFrame) -> DataFrame:
+    cleaned = answers.withColumn("clean", strip_response_prefix(F.coalesce("text", F.lit(""))))
+    checked = validate_translations(cleaned, "source_text", "clean")
+    refusal = F.coalesce(
+        classify_model_output(F.col("text"), F.col("finish_reason")), F.col("reason")
+    )
+    return checked.select(*cleaned.columns, refusal.alias("refusal"))
+
+
+def job_outcome(results: DataFrame, job: str = "job_id") -> DataFrame:
+    """Status of each job after a run: a fatal error fails it, as do failed chunks."""
+    return results.groupBy(job).agg(
+        F.when(F.bool_or("fatal"), "failed")
+        .when(F.count_if(F.col("status") != "completed") > 0, "failed")
+        .otherwise("assembling")
+        .alias("status"),
+        F.max(F.when(F.col("fatal"), F.col("error_message"))).alias("error_message"),
+    )
