@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from glossaflow.plans import structure_queries, term_queries, text_queries
+from glossaflow.plans import (
+    job_queries,
+    stream_queries,
+    structure_queries,
+    term_queries,
+    text_queries,
+)
 
-_MODULES = (text_queries, structure_queries, term_queries)
+_MODULES = (text_queries, structure_queries, term_queries, job_queries, stream_queries)
 
 
 def all_queries() -> dict:

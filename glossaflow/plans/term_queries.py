@@ -518,7 +518,7 @@ QUERIES = {
             m AS (SELECT job_id, chunk_index, '- ' || src || chr(10) || '  -> ' || tgt AS memory_text
                   FROM turns JOIN mem ON h = sha256(lower(regexp_replace(trim(source_text, '{_WS}'), '[{_WS}]+', ' ', 'g'))))
             SELECT job_id, chunk_index, '1' AS prompt_version,
-              374 AS system_chars,
+              360 AS system_chars,
               concat_ws(chr(10) || chr(10),
                 '== DOCUMENT ==' || chr(10) || concat_ws(chr(10), 'Title: Talk ' || job_id, 'Chapter: One', 'Field: General', 'Style: Plain'),
                 '== TERMS ==' || chr(10) || terms_text,
