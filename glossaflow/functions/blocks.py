@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions.fold import let
 from glossaflow.functions.tables import render_rows
-from glossaflow.functions.text import SPACE_CLASS, split_lines, split_paragraphs, strip
+from glossaflow.functions.text import MAYBE_SPACES, SPACES, split_lines, split_paragraphs, strip
 from glossaflow.schema import BLOCKS, HEADING, LIST_ITEM, PARAGRAPH, ROWS, TABLE
 
 # The patterns that tell headings and list items from prose.
-MARKDOWN_HEADING = rf"^(#{{1,4}}){SPACE_CLASS}+([^\n]+)$"
-CHAPTER_HEADING = rf"(?i)^(?:chapter|part){SPACE_CLASS}+[\p{{Nd}}IVXLC]+"
-BULLET_START = rf"^{SPACE_CLASS}*[-*•‣▪]{SPACE_CLASS}+"
-NUMBERED_START = rf"^{SPACE_CLASS}*(\p{{Nd}}{{1,2}})[.)]{SPACE_CLASS}+"
+MARKDOWN_HEADING = rf"^(#{{1,4}}){SPACES}([^\n]+)$"
+CHAPTER_HEADING = rf"(?i)^(?:chapter|part){SPACES}[\p{{Nd}}IVXLC]+"
+BULLET_START = rf"^{MAYBE_SPACES}[-*•‣▪]{SPACES}"
+NUMBERED_START = rf"^{MAYBE_SPACES}(\p{{Nd}}{{1,2}})[.)]{SPACES}"
 HEADING_LIMIT = 100
 BULLET = "•"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossaflow.functions.text import CUT, SPACE_CLASS
+from glossaflow.functions.text import CUT, MAYBE_SPACES
 
 _EMPHASIS = r"(\*\*\*[^\n]+?\*\*\*|\*\*[^\n]+?\*\*|\*[^\n]+?\*)"
 
@@ -44,8 +44,8 @@ def mark_runs(runs: Column) -> Column:
         bold = F.coalesce(run["bold"], F.lit(False))
         italic = F.coalesce(run["italic"], F.lit(False))
         marker = F.when(bold & italic, "***").when(bold, "**").when(italic, "*").otherwise("")
-        lead = F.regexp_extract(text, rf"^{SPACE_CLASS}*", 0)
-        trail = F.regexp_extract(text, rf"{SPACE_CLASS}*$", 0)
+        lead = F.regexp_extract(text, rf"^{MAYBE_SPACES}", 0)
+        trail = F.regexp_extract(text, rf"{MAYBE_SPACES}$", 0)
         core = F.substring(
             text, F.length(lead) + 1, F.length(text) - F.length(lead) - F.length(trail)
         )
@@ -58,7 +58,7 @@ def mark_runs(runs: Column) -> Column:
 
 def heading_style_level(style: Column) -> Column:
     """Heading level 1-4 of a paragraph style name, null for other styles."""
-    digit = F.regexp_extract(style, rf"(?i)^heading{SPACE_CLASS}*(\d)", 1)
+    digit = F.regexp_extract(style, rf"(?i)^heading{MAYBE_SPACES}(\d)", 1)
     return F.when(digit != "", F.least(F.lit(4), F.greatest(F.lit(1), digit.cast("int")))).when(
         F.lower(style) == "title", 1
     )

@@ -9,10 +9,10 @@ from glossaflow.functions.text import (
     ABBREVIATION,
     ARABIC_CLASS,
     CUT,
-    INLINE_SPACE_CLASS,
+    MAYBE_INLINE_SPACES,
     SENTENCE_END,
     SENTENCE_START,
-    SPACE_CLASS,
+    SPACES,
     WHITESPACE,
 )
 
@@ -24,16 +24,16 @@ def _raw(value: str) -> str:
 
 def _bodies() -> dict[str, tuple[str, str]]:
     strip = f"btrim(x, {_raw(WHITESPACE)})"
-    normal = f"lower(regexp_replace({strip}, {_raw(SPACE_CLASS + '+')}, ' '))"
+    normal = f"lower(regexp_replace({strip}, {_raw(SPACES)}, ' '))"
     arabic = f"(length(x) - length(regexp_replace(x, {_raw(ARABIC_CLASS)}, '')))"
     latin = "(length(x) - length(regexp_replace(x, '[A-Za-z]', '')))"
-    cut = _raw(f"({SENTENCE_END}){SPACE_CLASS}+(?={SENTENCE_START})")
+    cut = _raw(f"({SENTENCE_END}){SPACES}(?={SENTENCE_START})")
     marked = f"regexp_replace({strip}, {cut}, '$1{CUT}')"
     short = _raw(f"(?i)(^|{CUT})({ABBREVIATION}){CUT}")
     joined = f"regexp_replace({marked}, {short}, '$1$2 ')"
     marker = r"\[([0-9٠-٩]{1,4})\]"
     digits = f"translate(d, '{ARABIC_DIGITS}', '0123456789')"
-    found = f"regexp_extract_all(x, {_raw(f'(?:^|' + chr(10) + f'){INLINE_SPACE_CLASS}*{marker}')}, 1)"
+    found = f"regexp_extract_all(x, {_raw(f'(?:^|' + chr(10) + f'){MAYBE_INLINE_SPACES}{marker}')}, 1)"
     rows = r'split(concat("\n", x), r"(?<=\n)(?=[^\n]* \| )")'
     numbered = f"array_join(transform({rows}, (p, i) -> if(i = 0, p, concat('[', i, '] ', p))), '')"
     return {
@@ -52,7 +52,7 @@ def _bodies() -> dict[str, tuple[str, str]]:
         "extract_row_markers": ("ARRAY<INT>", f"transform({found}, d -> int({digits}))"),
         "strip_row_markers": (
             "STRING",
-            f"regexp_replace(x, {_raw(r'(?<![^' + chr(10) + '])' + marker + INLINE_SPACE_CLASS + '*')}, '')",
+            f"regexp_replace(x, {_raw(r'(?<![^' + chr(10) + '])' + marker + MAYBE_INLINE_SPACES)}, '')",
         ),
         "normalize_arabic_digits": ("STRING", digits.replace("translate(d,", "translate(x,")),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossaflow.functions.text import LINE_ENDS, WHITESPACE, strip
+from glossaflow.functions.text import LINE_ENDS, MAYBE_INLINE_SPACES, strip
 
 # Labels a model may put before its answer, and openings that mark a comment.
 RESPONSE_LABELS = (
@@ -25,7 +25,7 @@ def strip_code_fences(c: Column) -> Column:
     text = strip(c)
     lines = F.regexp_replace(text, LINE_ENDS, "\n")
     body = F.regexp_replace(lines, r"^```[^\n]*\n", "")
-    inner = F.regexp_replace(body, rf"(?:^|\n)[{WHITESPACE.replace(chr(10), '')}]*```[^\n]*$", "")
+    inner = F.regexp_replace(body, rf"(?:^|\n){MAYBE_INLINE_SPACES}```[^\n]*$", "")
     return F.when(text.startswith("```") & F.contains(lines, F.lit("\n")), strip(inner)).otherwise(
         text
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossaflow.functions.text import INLINE_SPACE_CLASS, SPACE_CLASS, split_lines, strip
+from glossaflow.functions.text import MAYBE_INLINE_SPACES, MAYBE_SPACES, split_lines, strip
 
 # The cell separator, and Arabic-Indic digits in order.
 CELL_SEPARATOR = " | "
@@ -37,7 +37,7 @@ def number_table_rows(c: Column) -> Column:
 
 
 def strip_row_markers(c: Column) -> Column:
-    return F.regexp_replace(c, _LINE_START + _MARKER + INLINE_SPACE_CLASS + "*", "")
+    return F.regexp_replace(c, _LINE_START + _MARKER + MAYBE_INLINE_SPACES, "")
 
 
 def _as_number(digits: Column) -> Column:
@@ -46,7 +46,7 @@ def _as_number(digits: Column) -> Column:
 
 def extract_row_markers(c: Column) -> Column:
     """Numbers of the row markers, in order of the lines."""
-    found = F.regexp_extract_all(c, F.lit(rf"(?:^|\n){INLINE_SPACE_CLASS}*{_MARKER}"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(rf"(?:^|\n){MAYBE_INLINE_SPACES}{_MARKER}"), F.lit(1))
     return F.transform(found, _as_number)
 
 
@@ -110,7 +110,7 @@ def reshape_table_rows(text: Column, source_rows: Column) -> Column:
     """Cells of translated pipe rows in the shape of the source rows; the source rows if none."""
     lines = F.filter(
         F.transform(
-            split_lines(F.regexp_replace(text, _LINE_START + _MARKER + SPACE_CLASS + "*", "")), strip
+            split_lines(F.regexp_replace(text, _LINE_START + _MARKER + MAYBE_SPACES, "")), strip
         ),
         lambda line: F.length(line) > 0,
     )

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossaflow.functions.text import SPACE_CLASS, strip
+from glossaflow.functions.text import MAYBE_SPACES, SPACES, strip
 from glossaflow.schema import HEADING, LIST_ITEM, PARAGRAPH
 
 # Heading and list patterns of laid-out pages, and the size ratios of heading levels.
-CHAPTER_LINE = rf"(?iu)^{SPACE_CLASS}*(?:chapter|part|section|قسم|الفصل){SPACE_CLASS}+[\p{{Nd}}IVXLC]+"
+CHAPTER_LINE = rf"(?iu)^{MAYBE_SPACES}(?:chapter|part|section|قسم|الفصل){SPACES}[\p{{Nd}}IVXLC]+"
 BULLET_TEXT = (
-    rf"^{SPACE_CLASS}*([•▪◦‣·–—*]|\(?\p{{Nd}}{{1,2}}[.)]|[a-z][.)]){SPACE_CLASS}+"
+    rf"^{MAYBE_SPACES}([•▪◦‣·–—*]|\(?\p{{Nd}}{{1,2}}[.)]|[a-z][.)]){SPACES}"
 )
 HEADING_RATIO = 1.12
 LEVEL_RATIOS = ((1.7, 1), (1.4, 2), (1.15, 3))
@@ -37,12 +37,12 @@ def body_sizes(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Long documents are judged by twenty evenly spaced pages, by page number.
     """
-    pages = F.max("page").over(Window.partitionBy(key))
+    pages = spans.groupBy(key).agg(F.max("page").alias("_pages"))
     step = F.greatest(F.lit(1), F.floor(F.col("_pages") / SAMPLE_PAGES))
     at = F.col("page") - 1
     sampled = (
         spans.select(key, "page", "block", "line", "span", "size", "text")
-        .withColumn("_pages", pages)
+        .join(pages, key)
         .where((at % step == 0) & (at / step < SAMPLE_PAGES))
         .withColumn("_chars", F.length(strip(F.col("text"))))
         .where("_chars > 0")
@@ -91,15 +91,24 @@ def classify_layout_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     bullet = text.rlike(BULLET_TEXT) & (F.length(text) < 600)
     kind = F.when(heading, HEADING).when(bullet, LIST_ITEM).otherwise(PARAGRAPH)
-    order = Window.partitionBy(key).orderBy("page", "block")
+    # A block's number is its place on the page plus the blocks of earlier pages, so that what is
+    # ordered over a whole document is one small row a page.
+    kept = found.withColumn("text", strip(F.col("_text"))).where("text <> ''")
+    earlier = Window.partitionBy(key).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        kept.groupBy(key, "page")
+        .agg(F.count("*").alias("n"))
+        .select(key, "page", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
+    )
+    place = F.row_number().over(Window.partitionBy(key, "page").orderBy("block"))
     return (
-        found.withColumn("text", strip(F.col("_text")))
-        .where("text <> ''")
+        kept.withColumn("_place", place)
+        .join(offsets, [key, "page"])
         .join(body_sizes(spans, key), key, "left")
         .select(
             key,
             "page",
-            (F.row_number().over(order) - 1).alias("seq"),
+            (F.col("_offset") + F.col("_place") - 1).cast("int").alias("seq"),
             kind.alias("type"),
             F.when(kind == LIST_ITEM, strip(F.regexp_replace(text, BULLET_TEXT, "")))
             .otherwise(text)

@@ -12,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaflow.functions.text import SPACE_CLASS, WHITESPACE
+from glossaflow.functions.text import SPACES, WORD
 
 GRAM = 4
-_WORD = f"[^{WHITESPACE}]+"
 
 
 def find_patterns(
@@ -28,7 +27,7 @@ def find_patterns(
     """
     indexed = (
         patterns.select(pattern_id, "pattern", "whole_word")
-        .withColumn("_words", F.split("pattern", SPACE_CLASS + "+"))
+        .withColumn("_words", F.split("pattern", SPACES))
         .withColumn("_gram", F.substring(F.get("_words", F.lit(0)), 1, GRAM))
     )
     # One small aggregate over the dictionary: which gram lengths occur, and how many words.
@@ -39,12 +38,12 @@ def find_patterns(
     sizes, words = shape["sizes"] or [GRAM], shape["words"] or 1
 
     if words == 1:
-        context = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+        context = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
         word = F.col("_context")
     else:
-        following = f"(?:{SPACE_CLASS}+{_WORD}){{0,{words - 1}}}"
-        context = F.regexp_extract_all(text, F.lit(f"(?=({_WORD}{following})){_WORD}"), F.lit(1))
-        word = F.regexp_extract("_context", _WORD, 0)
+        following = f"(?:{SPACES}{WORD}){{0,{words - 1}}}"
+        context = F.regexp_extract_all(text, F.lit(f"(?=({WORD}{following})){WORD}"), F.lit(1))
+        word = F.regexp_extract("_context", WORD, 0)
     grams = F.array_distinct(
         F.concat(*[F.regexp_extract_all("_word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossaflow.functions.tables import extract_row_markers, number_table_rows, row_cell_counts
 from glossaflow.functions.text import (
     ARABIC_CLASS,
-    SPACE_CLASS,
+    SPACES,
     collapse_space,
     english_word_count,
     split_paragraphs,
@@ -154,25 +154,27 @@ def check_terms(
 def term_variants(usage: DataFrame, terms: DataFrame, index: str, *groups: str) -> DataFrame:
     """Chunks per term and wording: count, and the first ones.
 
-    ``groups`` are further columns to report by, such as the job.  The numbers of chunks are partial
-    sums; listed chunks are cut to their first twenty by rank before they are gathered.
+    ``groups`` are further columns to report by, such as the job.  A term in every chunk is counted
+    by buckets of indexes first, each of a fixed width and cut to its first entries, so no group of
+    any size meets in one task.
     """
     label = (
         F.when(F.col("variant") == "preferred", F.col("preferred"))
         .when(F.col("variant") == "alternative", F.concat(F.lit("alt: "), "found"))
         .otherwise("other")
     )
-    labelled = usage.join(terms.select("id", "english", "preferred"), "id").withColumn("label", label)
+    first = lambda indexes: F.slice(F.array_sort(F.array_distinct(indexes)), 1, LISTED_CHUNKS)
     keys = [*groups, "id", "english", "preferred", "label"]
-    order = Window.partitionBy(*keys).orderBy(index)
-    first = (
-        labelled.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= LISTED_CHUNKS)
+    return (
+        usage.join(terms.select("id", "english", "preferred"), "id")
+        .withColumn("label", label)
+        .groupBy(*keys, F.floor(F.col(index) / INDEX_BUCKET))
+        .agg(F.count("*").alias("chunks"), first(F.collect_set(index)).alias("first_chunks"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(index)).alias("first_chunks"))
-    )
-    return labelled.groupBy(*keys).agg(F.count("*").alias("chunks")).join(
-        first, keys
+        .agg(
+            F.sum("chunks").alias("chunks"),
+            first(F.flatten(F.collect_list("first_chunks"))).alias("first_chunks"),
+        )
     )
 
 
@@ -326,7 +328,7 @@ def quality_report(complete: DataFrame, totals: DataFrame, job: str = "job_id")
 
 def usage_report(chunks: DataFrame, job: str = "job_id", script: str = ARABIC_CLASS) -> DataFrame:
     """Tokens, attempts and words of each job."""
-    words = F.split(F.coalesce("translation", F.lit("")), SPACE_CLASS + "+")
+    words = F.split(F.coalesce("translation", F.lit("")), SPACES)
     return chunks.groupBy(job).agg(
         F.sum("prompt_tokens_used").alias("prompt_tokens"),
         F.sum("completion_tokens_used").alias("completion_tokens"),

@@ -55,7 +55,7 @@ def _list_chunks(spark, folder):
         F.lit(None).cast("string").alias("translation"),
         F.array().cast("array<string>").alias("source_blocks"),
     )
-    return jobs.list_chunks(chunks, 2, status="user", limit=100, offset=1)
+    return jobs.list_chunks(chunks, 3, status="user", limit=100, offset=1)
 
 
 def _claim(spark, folder):
@@ -294,7 +294,7 @@ QUERIES = {
     "list_chunks": (
         _list_chunks,
         """SELECT conv_id AS job_id, turn AS chunk_index, role AS status, left(text, 200) AS source_preview, '' AS translation_preview
-           FROM conversations WHERE conv_id = 2 AND role = 'user' ORDER BY turn LIMIT 100 OFFSET 1""",
+           FROM conversations WHERE conv_id = 3 AND role = 'user' ORDER BY turn LIMIT 100 OFFSET 1""",
     ),
     "claim_batch": (
         _claim,

@@ -170,7 +170,7 @@ def _neighbours(spark, folder):
 
 def _all_turns(spark, folder):
     """Every turn of a conversation as a chunk, so that neighbours exist."""
-    return V.table(spark, folder, "conversations").select(
+    return V.text_table(spark, folder, "conversations").select(
         F.col("conv_id").alias("job_id"),
         F.col("turn").alias("chunk_index"),
         F.col("text").alias("source_text"),
@@ -222,7 +222,7 @@ def _varied_pairs(spark, folder):
             .when(k == 4, F.replace("source_text", F.lit(". "), F.lit(".\n\n")))
             .otherwise(F.col("source_text")),
             "translation": F.when(k == 0, " ")
-            .when(k == 1, F.substring("translation", 1, 20))
+            .when(k == 1, "short answer")
             .otherwise(F.col("translation")),
         }
     )
@@ -345,7 +345,7 @@ _VALIDATE_SQL = f"""
     v AS (SELECT job_id, chunk_index,
              CASE (job_id + chunk_index) % 6 WHEN 3 THEN replace(source_text, ' ', ' | ')
                WHEN 4 THEN replace(source_text, '. ', '.' || chr(10) || chr(10)) ELSE source_text END AS s,
-             CASE (job_id + chunk_index) % 6 WHEN 0 THEN ' ' WHEN 1 THEN left(translation, 20) ELSE translation END AS o
+             CASE (job_id + chunk_index) % 6 WHEN 0 THEN ' ' WHEN 1 THEN 'short answer' ELSE translation END AS o
           FROM v_pairs),
     f AS (SELECT job_id, chunk_index, trim(o, '{_WS}') = '' AS is_empty,
              length(trim(o, '{_WS}')) < greatest(10::DOUBLE, length(trim(s, '{_WS}')) * 0.25::DOUBLE) AS is_short,

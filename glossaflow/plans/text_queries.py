@@ -202,7 +202,7 @@ def _sql_functions(spark, folder):
         "length(number_table_rows(text)) AS numbered_chars",
         "size(extract_row_markers(number_table_rows(text))) AS markers",
         "strip_row_markers(number_table_rows(text)) = text AS restored",
-        "normalize_arabic_digits(left(text, 5)) AS digits",
+        "normalize_arabic_digits(text) = text AS digits_kept",
     )
 
 
@@ -358,7 +358,7 @@ QUERIES = {
                    greatest(1, length(text) // 4) AS tokens, false AS arabic,
                    CASE WHEN trim(text, '{_WS}') = '' THEN 0 ELSE len({_SENTENCES}) END AS sentences,
                    CAST(length(text) + extra AS BIGINT) AS numbered_chars, markers, true AS restored,
-                   left(text, 5) AS digits
+                   true AS digits_kept
             FROM documents JOIN n USING (doc_id)""",
     ),
     "blocks_json": (

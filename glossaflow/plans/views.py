@@ -76,7 +76,7 @@ def table_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Source and translation: a turn of the user and the answer that follows it."""
-    turns = table(spark, folder, "conversations")
+    turns = text_table(spark, folder, "conversations")
     source = turns.where("role = 'user'").select(
         F.col("conv_id").alias("job_id"),
         F.col("turn").alias("chunk_index"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -12,9 +14,23 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    _ship_package(spark)
     return spark
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of the application, once."""
+    context = spark.sparkContext
+    if getattr(context, "_glossaflow_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name
+    )
+    context.addPyFile(archive)
+    context._glossaflow_shipped = True
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 

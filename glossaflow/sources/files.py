@@ -18,9 +18,11 @@ FALLBACK_CODE_PAGES = ("cp1256", "cp1252", "latin-1")
 
 @F.pandas_udf(T.StringType())
 def decode_code_page(content: pd.Series) -> pd.Series:
-    """Text of bytes that are not UTF-8."""
+    """Text of bytes that are not UTF-8; null stays null."""
 
-    def decode(raw: bytes) -> str:
+    def decode(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
         for name in FALLBACK_CODE_PAGES:
             try:
                 return raw.decode(name)
@@ -46,13 +48,16 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """Replace ``content`` by ``text``.  Only rows that are not UTF-8 go to Python."""
+    """Replace ``content`` by ``text``, in one reading.
+
+    UTF-8 is decoded natively; Python is handed the bytes of the other files only, null otherwise.
+    """
     valid = F.is_valid_utf8("content")
-    native = files.where(valid).withColumn(
-        "text", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    )
-    other = files.where(~valid).withColumn("text", decode_code_page("content"))
-    return native.unionByName(other).drop("content")
+    plain = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    other = decode_code_page(F.when(~valid, F.col("content")))
+    return files.withColumn("_other", other).withColumn(
+        "text", F.coalesce("_other", F.when(valid, plain))
+    ).drop("content", "_other")
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
