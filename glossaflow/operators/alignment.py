@@ -139,11 +139,19 @@ def align_paragraphs(blocks: Column, paragraphs: Column) -> Column:
             texts = F.when(F.size(given["prose"]) <= F.size(slots), given["prose"]).otherwise(
                 _share_out(given["prose"], slots)
             )
+            # With tables only there is no slot; what is left then stays with the last of them.
+            left_over = F.when(F.size(slots) == 0, given["prose"]).otherwise(
+                F.array().cast("array<string>")
+            )
+            of_table = lambda p, i: F.when(
+                i == F.size(blocks) - 1,
+                F.array_join(F.concat(F.array(F.get(pipes, p["at"])), left_over), "\n\n"),
+            ).otherwise(F.get(pipes, p["at"]))
             return let(
                 texts,
                 lambda found: F.transform(
                     given["places"],
-                    lambda p: F.when(p["table"], F.get(pipes, p["at"])).otherwise(
+                    lambda p, i: F.when(p["table"], of_table(p, i)).otherwise(
                         F.get(found, p["at"])
                     ),
                 ),

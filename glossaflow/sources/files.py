@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,14 +70,32 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
+def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """Empty files, which Spark's file sources pass over.  Names starting with _ or . are hidden."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listing, found = system.listFiles(root, True), []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            changed = datetime.datetime.fromtimestamp(
+                status.getModificationTime() / 1000, datetime.timezone.utc
+            )
+            found.append((status.getPath().toString(), changed, 0))
+    return spark.createDataFrame(found, "path string, modificationTime timestamp, length long")
+
+
+def file_inventory(spark: SparkSession, path: str, include_empty: bool = True) -> DataFrame:
     """Each file with its size, claimed and found type, and whether it is accepted.
 
-    Only files that pass the checks on name and size are opened.
+    Only files that pass the checks on name and size are opened.  ``include_empty`` asks the file
+    system for empty files too, one listing on the driver; of a folder known to have none it can be
+    left out.
     """
-    names = _files(spark, path).select("path", "modificationTime", "length").withColumn(
-        "name", file_name(F.col("path"))
-    )
+    names = _files(spark, path).select("path", "modificationTime", "length")
+    if include_empty:
+        names = names.unionByName(_empty_files(spark, path))
+    names = names.withColumn("name", file_name(F.col("path")))
     listed = names.withColumns(
         {
             "extension": F.lower(file_suffix(F.col("name"))),
