@@ -139,13 +139,17 @@ def open_work(chunks: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def transition(
-    jobs: DataFrame, chunks: DataFrame, action: str, job_ids: DataFrame | None = None
+    jobs: DataFrame,
+    chunks: DataFrame,
+    action: str,
+    job_ids: DataFrame | None = None,
+    now: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Jobs and chunks after an action on all jobs, or on those of ``job_ids`` (column ``id``).
 
     recover and pause park active jobs; resume queues parked or failed ones and puts back their
     chunks under way; retry_failed does so with failed chunks too; cancel ends jobs that have not
-    ended; retranslate puts all chunks back.
+    ended, as of ``now``; retranslate puts all chunks back.
     """
     if job_ids is None:
         picked = jobs.withColumn("_picked", F.lit(True))
@@ -175,6 +179,13 @@ def transition(
             "error_message": F.when(F.col("_hit"), message).otherwise(F.col("error_message")),
         }
     )
+    if action == "cancel" and "completed_at" in jobs.columns:
+        end = (now if now is not None else F.current_timestamp()).cast(
+            jobs.schema["completed_at"].dataType
+        )
+        new_jobs = new_jobs.withColumn(
+            "completed_at", F.when(F.col("_hit"), end).otherwise(F.col("completed_at"))
+        )
     put_back = {
         "resume": ("translating",),
         "retry_failed": ("translating", "failed"),

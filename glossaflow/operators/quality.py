@@ -336,3 +336,13 @@ def usage_report(chunks: DataFrame, job: str = "job_id", script: str = ARABIC_CL
         F.sum(F.size(F.filter(words, lambda w: w.rlike(script)))).alias("target_words"),
         (F.sum(F.length("source_text")) / F.lit(6.0)).alias("source_words"),
     )
+
+
+def preferred_presence(
+    pairs: DataFrame, terms: DataFrame, job: str = "job_id", translation: str = "translation"
+) -> DataFrame:
+    """(job, id) of terms whose preferred translation occurs anywhere in the job's output."""
+    patterns = terms.select(
+        "id", strip(F.col("preferred")).alias("pattern"), F.lit(False).alias("whole_word")
+    ).where("pattern <> ''")
+    return find_patterns(pairs, [job], F.coalesce(translation, F.lit("")), patterns, "id")

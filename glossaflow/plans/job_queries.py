@@ -339,6 +339,13 @@ QUERIES = {
             "CASE WHEN js IS NOT NULL AND status = 'failed' THEN NULL ELSE error_message END",
         ),
     ),
+    "transition_retranslate": (
+        _transition("retranslate"),
+        _transition_sql(
+            "'queued'", "NULL", "CASE WHEN js IS NULL THEN status ELSE 'pending' END",
+            "CASE WHEN js IS NULL THEN error_message END",
+        ),
+    ),
     "transition_cancel": (
         _transition("cancel"),
         _transition_sql(

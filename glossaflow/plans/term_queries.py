@@ -590,6 +590,14 @@ QUERIES = {
             "v_terms",
         ),
     ),
+    "preferred_presence": (
+        lambda s, f: quality.preferred_presence(V.pairs(s, f), V.terms(s, f)),
+        with_views(
+            "SELECT DISTINCT job_id, id FROM v_pairs JOIN v_terms ON contains(translation, english)",
+            "v_pairs",
+            "v_terms",
+        ),
+    ),
     "usage_report": (
         _job_usage,
         with_views(

@@ -66,6 +66,8 @@ def test_transitions(spark):
     assert [states(back)[("bad", i)] for i in range(4)] == ["pending", "pending", "completed", "pending"]
     assert states(back)[("stop", 1)] == "failed"
     cancelled, _ = apply("cancel")
+    ended = {r.id: r.completed_at for r in jobs.transition(all_jobs, chunks, "cancel", now=F.lit(at(99)))[0].collect()}
+    assert ended["run"] == at(99) and ended["done"] == at(3)
     assert status(cancelled) == {"run": "cancelled", "stop": "cancelled", "bad": "cancelled", "done": "completed", "off": "cancelled"}
 
 
