@@ -17,6 +17,9 @@ CHUNK_LIMIT = 500
 CLAIM_LIMIT = 4
 ETA_MINIMUM = 3
 OPEN_STATUSES = ("pending", "failed", "translating")
+# What a parked job says.
+INTERRUPTED = "Interrupted. You can resume this translation."
+PAUSED = "Paused. You can resume this translation."
 
 
 def progress_percentage(done: Column, total: Column) -> Column:
@@ -160,12 +163,8 @@ def transition(
         )
     status = F.col("status")
     affected, to, note = {
-        "recover": (
-            status.isin(*ACTIVE_STATUSES), "paused", "Interrupted. You can resume this translation.",
-        ),
-        "pause": (
-            status.isin(*ACTIVE_STATUSES), "paused", "Paused. You can resume this translation.",
-        ),
+        "recover": (status.isin(*ACTIVE_STATUSES), "paused", INTERRUPTED),
+        "pause": (status.isin(*ACTIVE_STATUSES), "paused", PAUSED),
         "resume": (status.isin(*RESUMABLE_STATUSES), "queued", None),
         "retry_failed": (status.isin(*RESUMABLE_STATUSES), "queued", None),
         "cancel": (~status.isin("completed", "cancelled"), "cancelled", None),

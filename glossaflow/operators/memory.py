@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,8 @@ from glossaflow.operators.terms import like_pattern, page_of
 FUZZY_THRESHOLD = 0.72
 FUZZY_RECENT = 400
 FUZZY_MATCHES = 3
+# Most characters of entries that go to a task at a time; more are scored in several passes.
+SLICE_CHARS = 16 * 1024 * 1024
 
 
 def build_tm(pairs: DataFrame, order: list[Column], language: Column | str = "ar") -> DataFrame:
@@ -184,6 +187,18 @@ def _fuzzy_scorer(entries: list[tuple], threshold: float, matches: int, autojunk
     return score
 
 
+def _slices(entries: list[tuple], limit: int) -> list[list[tuple]]:
+    """Entries in runs of at most ``limit`` characters, or of a single longer entry."""
+    runs, used = [[]], 0
+    for entry in entries:
+        if runs[-1] and used + len(entry[1]) > limit:
+            runs.append([])
+            used = 0
+        runs[-1].append(entry)
+        used += len(entry[1])
+    return runs
+
+
 def tm_fuzzy(
     texts: DataFrame,
     keys: list[str],
@@ -199,7 +214,8 @@ def tm_fuzzy(
 
     Every text is compared with the ``recent`` newest approved entries.  That window is part of the
     lookup's meaning and is what bounds it: the entries form one fixed small list that travels with
-    the task, and work grows with the texts only.  Copies of a text are scored once.
+    the task, in several passes if they are long, and work grows with the texts only.  Copies of a
+    text are scored once.
     """
     approved = approved_entries(tm, language)
     newest = approved.orderBy(F.col("id").desc()).limit(recent)
@@ -219,10 +235,19 @@ def tm_fuzzy(
         # Scoring is work for processors, not for memory: spread it however small the texts are.
         .repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     )
-    scored = distinct_texts.mapInPandas(
-        _fuzzy_scorer(entries, threshold, matches, autojunk),
-        "source_hash string, rank int, id long, ratio double",
-    )
+    parts = [
+        distinct_texts.mapInPandas(
+            _fuzzy_scorer(run, threshold, matches, autojunk),
+            "source_hash string, rank int, id long, ratio double",
+        )
+        for run in _slices(entries, SLICE_CHARS)
+    ]
+    scored = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        best = Window.partitionBy("source_hash").orderBy(F.col("ratio").desc(), F.col("id").desc())
+        scored = scored.withColumn("rank", F.row_number().over(best)).where(
+            F.col("rank") <= matches
+        )
     sources = newest.select(
         "id", F.col("source_text").alias("source"), F.col("target_text").alias("target")
     )

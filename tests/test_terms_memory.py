@@ -127,8 +127,9 @@ def test_exact_and_fuzzy(spark, rows):
     ]
 
 
-@pytest.mark.parametrize("autojunk", [True, False])
-def test_fuzzy_is_brute_force(spark, rows, autojunk):
+@pytest.mark.parametrize("autojunk, slice_chars", [(True, 10**6), (False, 10**6), (True, 700)])
+def test_fuzzy_is_brute_force(spark, rows, monkeypatch, autojunk, slice_chars):
+    monkeypatch.setattr(memory, "SLICE_CHARS", slice_chars)
     pick = random.Random(3)
     base = ["".join(pick.choice("abcdef ghij") for _ in range(pick.randint(5, 260))) for _ in range(15)]
     vary = lambda t: "".join(c if pick.random() > 0.12 else pick.choice("abc xyz") for c in t)
