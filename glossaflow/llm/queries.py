@@ -5,10 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaflow.llm import quality, simhash
+from glossaflow.llm import (
+    decontamination,
+    mixing,
+    pii,
+    preferences,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    url_filter,
+    warc_zip,
+)
 from glossaflow.llm.common import cut, prepare, table
 
 
+RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op1_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation is chosen over itself with the last answer of its neighbour (number ^ 1)."""
+    turns = table(prepare(spark), folder, "conversations").select(
+        F.col("conv_id").alias("pair_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text"
+    )
+    answers = (
+        turns.where("role = 'assistant'")
+        .groupBy("pair_id")
+        .agg(F.max(F.struct("turn", "text")).alias("last"))
+    )
+    other = answers.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("_other"))
+    given = answers.join(other, "pair_id").select("pair_id", F.col("last.turn").alias("_at"), "_other")
+    rejected = turns.join(given, "pair_id", "left").select(
+        "pair_id",
+        "turn",
+        "role",
+        F.when((F.col("role") == "assistant") & (F.col("turn") == F.col("_at")), F.col("_other"))
+        .otherwise(F.col("text"))
+        .alias("text"),
+    )
+    return preferences.format_pairs(turns, rejected)
+
+
+def op2_zip_archives(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(prepare(spark), folder, "pages")
+    records = warc_zip.read(warc_zip.write(pages))
+    whole = F.col("payload").isNotNull()
+    return records.select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("bigint")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("declared_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
 def op3_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(prepare(spark), folder, "documents")
     return simhash.near_duplicates(docs).select(
@@ -16,6 +71,41 @@ def op3_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_assignment_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(prepare(spark), folder, "documents")
+    return docs.select("doc_id", secrets.scan(F.col("text")).alias("s")).select(
+        "doc_id", "s.n_assign", "s.n_access", "s.n_hex", F.sha2("s.base", 256).alias("base_sha256"), "s.spans"
+    )
+
+
+def op5_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(prepare(spark), folder, "documents")
+    text = F.col("text")
+    rows = docs.select("doc_id", sharding.size_of(text).alias("size"), sharding.crc_of(text).alias("text_crc32"))
+    return sharding.shuffle_into(rows, 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op6_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(prepare(spark), folder, "documents")
+    found = pii.spans(docs)
+    base = F.filter("spans", lambda s: s["kind"] < len(pii.BASE))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.BASE)],
+        F.sha2(pii.said(base), 256).alias("base_sha256"),
+        pii.said(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_sorted_digests(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(prepare(spark), folder, "pages")
+    return url_filter.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_robust_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(prepare(spark), folder, "documents")
     counted = cut(
@@ -28,5 +118,72 @@ def op8_robust_quality(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *[F.col(f"counts.{c}") for c in shown], "base_failed", "kept")
 
 
-QUERIES = {q.__name__: q for q in (op3_simhash_pivots, op8_robust_quality)}
-ORACLES: dict[str, str] = {}
+def op9_broadcast_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = (table(prepare(spark), folder, name) for name in ("documents", "benchmark"))
+    return decontamination.judged(docs, items).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(prepare(spark), folder, "documents")
+    sized = cut(
+        docs.select(
+            "doc_id", "source", mixing.key_of("doc_id", "text").alias("key"), mixing.n_words(F.col("text")).alias("size")
+        ),
+        "sizes",
+    )
+    found = mixing.rates(sized, "source", "size").withColumnRenamed("source", "_source")
+    taken = mixing.copies(F.col("key"), F.col("rate")) * F.col("size")
+    return sized.join(found, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken")
+    )
+
+
+_BLANK = r"\x20\x09-\x0D"
+_WORD_COUNT = rf"len(regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+'))"
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+     b AS (SELECT item_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM benchmark),
+     g AS (SELECT item_id, least(len(w), 10) AS n, w[i:i + least(len(w), 10) - 1] AS win
+           FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+     lengths AS (SELECT DISTINCT n FROM g),
+     dw AS (SELECT r, i, n, w[i:i + n - 1] AS win
+            FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN lengths WHERE len(w) >= n)),
+     hit AS (SELECT dw.r, dw.i, dw.n, g.item_id FROM dw JOIN g ON dw.n = g.n AND dw.win = g.win),
+     marked AS (SELECT r, count(DISTINCT p) AS n_hit
+                FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+     named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+               FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (r) LEFT JOIN named USING (r)"""
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_preference_pairs,
+        op2_zip_archives,
+        op3_simhash_pivots,
+        op4_assignment_secrets,
+        op5_hypergeometric_shards,
+        op6_boosted_pii,
+        op7_sorted_digests,
+        op8_robust_quality,
+        op9_broadcast_ngrams,
+        op10_source_mixing,
+    )
+}
+ORACLES: dict[str, str] = {"op9_broadcast_ngrams": OP9_SQL}
