@@ -1,4 +1,4 @@
-"""Every query over the smallest tables: against its SQL, or against a plain version in Python."""
+"""Every query over small tables: against its SQL, or against a plain version in Python."""
 
 import collections
 import hashlib
@@ -12,7 +12,7 @@ import xxhash
 from compare import connect, difference, rows_of_sql
 from glossaflow.llm import pii, queries
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"  # the smallest with personal data and secrets
 BLANK = r"[^\x20\x09-\x0D]+"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
