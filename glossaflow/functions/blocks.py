@@ -175,18 +175,17 @@ def title_of(blocks: Column, fallback: Column) -> Column:
         blocks, lambda b: (b["type"] == HEADING) & (b["level"] <= 2) & filled(b)
     )
     short = first_text(blocks, lambda b: filled(b) & (F.length(strip(b["text"])) <= 120))
-    return F.coalesce(F.substring(F.coalesce(heading, short), 1, 300), fallback)
+    return F.coalesce(heading, short, fallback)
 
 
-def chapters_of(blocks: Column, limit: int = 50) -> Column:
-    """The first level-one headings."""
+def chapters_of(blocks: Column, limit: int | None = None) -> Column:
+    """The level-one headings, all of them or the first ones."""
     found = F.filter(
         blocks,
         lambda b: (b["type"] == HEADING) & (b["level"] == 1) & (F.length(strip(b["text"])) > 0),
     )
-    return F.transform(
-        F.slice(found, 1, limit), lambda b: F.substring(strip(b["text"]), 1, 200)
-    )
+    kept = found if limit is None else F.slice(found, 1, limit)
+    return F.transform(kept, lambda b: strip(b["text"]))
 
 
 def count_of(blocks: Column, kind: str) -> Column:

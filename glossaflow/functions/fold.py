@@ -23,12 +23,21 @@ def slices_at(items: Column, starts: Column) -> Column:
     )
 
 
-def greedy_starts(items: Column, size: Callable[[Column], Column], room: int) -> Column:
-    """Start positions of groups that are filled in order while their sizes add up to ``room``."""
+def greedy_starts(
+    items: Column,
+    size: Callable[[Column], Column],
+    room: int,
+    decide: Callable[[Column], Column] | None = None,
+) -> Column:
+    """Start positions of groups that are filled in order while their sizes add up to ``room``.
+
+    ``decide`` is the size that decides whether an item still fits, where that is not its own.
+    """
+    decide = decide or size
     int_ = lambda v: F.lit(v).cast("int")
 
     def step(state: Column, item: Column) -> Column:
-        fresh = (state["at"] == 0) | (state["used"] + size(item) > room)
+        fresh = (state["at"] == 0) | (state["used"] + decide(item) > room)
         return F.struct(
             (state["at"] + 1).alias("at"),
             (F.when(fresh, int_(0)).otherwise(state["used"]) + size(item)).alias("used"),

@@ -18,7 +18,6 @@ from glossaflow.schema import BLOCKS, HEADING, TABLE
 # The sizes used unless a job names its own.
 TARGET_CHARS = 4000
 MAX_CHARS = 6000
-NAME_CHARS = 500
 
 _FIELDS = BLOCKS.elementType.fieldNames()
 
@@ -26,21 +25,33 @@ _FIELDS = BLOCKS.elementType.fieldNames()
 def split_long_text(text: Column, target: int = TARGET_CHARS) -> Column:
     """Pieces of about ``target`` characters, cut between sentences.
 
-    A sentence longer than the target is taken apart into its words, which then fill pieces like
-    short sentences do.
+    A sentence longer than the target starts a piece of its own and is taken apart into its words,
+    which then fill pieces like short sentences do.
     """
+    unit = lambda text, decide: F.struct(text.alias("text"), decide.cast("int").alias("decide"))
     units = F.flatten(
         F.transform(
             split_sentences(text),
-            lambda s: F.when(F.length(s) > target, F.split(s, " ")).otherwise(F.array(s)),
+            lambda s: F.when(
+                F.length(s) > target,
+                F.transform(
+                    F.split(s, " "),
+                    lambda w, i: unit(w, F.when(i == 0, F.length(s)).otherwise(F.length(w))),
+                ),
+            ).otherwise(F.array(unit(s, F.length(s)))),
         )
     )
 
     def pack(found: Column) -> Column:
-        starts = greedy_starts(found, lambda u: F.length(u) + 1, target)
+        starts = greedy_starts(
+            found, lambda u: F.length(u["text"]) + 1, target, lambda u: u["decide"] + 1
+        )
         return let(
             starts,
-            lambda s: F.transform(slices_at(found, s), lambda part: F.array_join(part, " ")),
+            lambda s: F.transform(
+                slices_at(found, s),
+                lambda part: F.array_join(F.transform(part, lambda u: u["text"]), " "),
+            ),
         )
 
     return let(units, pack)
@@ -180,8 +191,7 @@ def chunk_marks(items: Column, target: int = TARGET_CHARS) -> Column:
 
 
 def _heading_name(items: Column, at: Column) -> Column:
-    name = F.substring(strip(F.get(items, at)["text"]), 1, NAME_CHARS)
-    return F.when(at >= 0, name).otherwise("")
+    return F.when(at >= 0, strip(F.get(items, at)["text"])).otherwise("")
 
 
 def _cut(items: Column, marks: Column) -> Column:

@@ -12,14 +12,12 @@ from glossaflow.schema import ACTIVE_STATUSES, RESUMABLE_STATUSES
 # Page sizes and the number of finished chunks an estimate needs.
 RECENT = 8
 RECENT_ERRORS = 10
-LIST_LIMIT = 200
-CHUNK_LIMIT = 500
 CLAIM_LIMIT = 4
 ETA_MINIMUM = 3
 OPEN_STATUSES = ("pending", "failed", "translating")
-# What a parked job says.
-INTERRUPTED = "Interrupted. You can resume this translation."
-PAUSED = "Paused. You can resume this translation."
+# What a parked job says.
+INTERRUPTED = "The run was cut off; resume the job to go on."
+PAUSED = "The job is on hold; resume it to go on."
 
 
 def progress_percentage(done: Column, total: Column) -> Column:
@@ -110,7 +108,7 @@ def list_chunks(
     return (
         found.orderBy("chunk_index")
         .offset(offset)
-        .limit(min(limit, CHUNK_LIMIT))
+        .limit(limit)
         .withColumn("source_preview", preview(F.col("source_text")))
         .withColumn("translation_preview", preview(F.col("translation")))
         .drop("source_text", "translation", "source_blocks")
@@ -239,15 +237,15 @@ def unfinished(chunks: DataFrame, results: DataFrame) -> DataFrame:
 
 def list_documents(documents: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     order = [F.col("created_at").desc(), F.col("id").desc()]
-    return page_of(documents, order, min(limit, LIST_LIMIT), offset)
+    return page_of(documents, order, limit, offset)
 
 
-def document_structure(documents: DataFrame, *keys: str, limit: int = 500) -> DataFrame:
-    """The first blocks of each document with its number of blocks, from the ``blocks`` array."""
+def document_structure(documents: DataFrame, *keys: str, limit: int | None = None) -> DataFrame:
+    """The blocks of each document, all or the first ones, with their number."""
     return documents.select(
         *keys,
         F.size("blocks").alias("total_blocks"),
-        F.inline(F.slice("blocks", 1, limit)),
+        F.inline(F.col("blocks") if limit is None else F.slice("blocks", 1, limit)),
     )
 
 
@@ -265,7 +263,7 @@ def list_jobs(
     """A page of jobs, newest change first.  Names are joined to the page, not to all jobs."""
     found = jobs if document_id is None else jobs.where(F.col("document_id") == document_id)
     order = [F.col("updated_at").desc(), F.col("id").desc()]
-    return jobs_with_documents(page_of(found, order, min(limit, LIST_LIMIT), offset), documents)
+    return jobs_with_documents(page_of(found, order, limit, offset), documents)
 
 
 def admit_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Substring search of many patterns in many texts, as an equi-join.
+"""Substring search of many patterns in many texts, over the texts' vocabulary.
 
-A contains-join would compare every text with every pattern.  Here the first word of a pattern must
-lie inside one word of the text, so the two are joined on a short character sequence (gram) that
-both hold, and only then compared.  Texts are taken apart inside their row; what is shuffled is the
-pairs that matched.  The side of the patterns is broadcast only if Spark's own size check allows;
-beyond that the join on grams is a shuffled one with adaptive skew handling.
+A contains-join would compare every text with every pattern.  Here the texts are first reduced to
+their distinct words, the dictionary is compared with that vocabulary once, and only words that hold
+a pattern lead back to texts.  A pattern of several words is looked up among the distinct runs of as
+many words, so that its length costs only where such runs exist.
+
+Vocabulary and patterns meet by equality: a pattern's first four characters and the four-character
+sequences of a word; for patterns of whole words their first word and the words' parts; for runs the
+end of the first word.  Shorter patterns use sequences of their own length, and only if the
+dictionary has any.  Then the two are compared.  Texts stay in their rows: what is shuffled is the
+vocabulary, and for each text the 96-bit hashes of its words.
 """
 
 from __future__ import annotations
@@ -15,6 +20,56 @@ from pyspark.sql import functions as F
 from glossaflow.functions.text import SPACES, WORD
 
 GRAM = 4
+_INNER = r"(?U)\w+"
+
+
+def _runs(text: Column, sizes: Column) -> Column:
+    """Distinct runs of as many words as ``sizes`` says, with their inner white space."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    longer = lambda k: F.concat(
+        F.lit(f"(?=({WORD}(?:{SPACES}{WORD}){{"), (k - 1).cast("string"), F.lit(f"}})){WORD}")
+    )
+    return F.flatten(
+        F.transform(
+            F.coalesce(sizes, F.array().cast("array<int>")),
+            lambda k: F.transform(
+                F.array_distinct(
+                    F.when(k == 1, words).otherwise(F.regexp_extract_all(text, longer(k), F.lit(1)))
+                ),
+                lambda run: F.struct(k.alias("size"), run.alias("run")),
+            ),
+        )
+    )
+
+
+def _hash(run: Column) -> list[Column]:
+    return [F.xxhash64(run).alias("_h1"), F.hash(run).alias("_h2")]
+
+
+def _sequences(run: Column, length: Column) -> Column:
+    """The character sequences of a length, as keys."""
+    starts = F.when(
+        F.length(run) >= length, F.sequence(F.lit(1), F.length(run) - length + 1)
+    ).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat(F.lit("g"), F.substr(run, i, length)))
+
+
+def _run_keys(size: Column, run: Column, short: Column, whole: Column) -> Column:
+    """What a run can be found under."""
+    none = F.array().cast("array<string>")
+    grams = F.concat(
+        _sequences(run, F.lit(GRAM)),
+        F.flatten(F.transform(F.coalesce(short, F.array().cast("array<int>")), lambda n: _sequences(run, n))),
+    )
+    # A pattern without a letter or digit is found under the mark alone.
+    parts = F.concat(F.regexp_extract_all(run, F.lit(_INNER), F.lit(0)), F.array(F.lit("")))
+    inner = F.when(whole, F.transform(parts, lambda p: F.concat(F.lit("w"), p))).otherwise(none)
+    first = F.regexp_extract(run, WORD, 0)
+    ends = F.transform(
+        F.sequence(F.lit(1), F.least(F.length(first), F.lit(GRAM))),
+        lambda n: F.concat(F.lit("e"), F.right(first, n)),
+    )
+    return F.array_distinct(F.when(size == 1, F.concat(grams, inner)).otherwise(ends))
 
 
 def find_patterns(
@@ -25,41 +80,49 @@ def find_patterns(
     ``patterns`` has ``pattern_id``, ``pattern`` (no outer white space, not empty) and
     ``whole_word``, which asks for word boundaries on both sides.
     """
-    indexed = (
-        patterns.select(pattern_id, "pattern", "whole_word")
-        .withColumn("_words", F.split("pattern", SPACES))
-        .withColumn("_gram", F.substring(F.get("_words", F.lit(0)), 1, GRAM))
+    first = F.regexp_extract("pattern", WORD, 0)
+    indexed = patterns.select(
+        pattern_id, "pattern", "whole_word", F.size(F.split("pattern", SPACES)).alias("_size")
+    ).withColumn(
+        "_key",
+        F.when(F.col("_size") > 1, F.concat(F.lit("e"), F.right(first, F.lit(GRAM))))
+        .when(F.col("whole_word"), F.concat(F.lit("w"), F.regexp_extract("pattern", _INNER, 0)))
+        .otherwise(F.concat(F.lit("g"), F.substring("pattern", 1, GRAM))),
+    )
+    # What the dictionary asks for, as subqueries of the one plan.
+    alone = (F.col("_size") == 1) & ~F.col("whole_word")
+    sizes = indexed.agg(F.collect_set("_size")).scalar()
+    short = indexed.agg(
+        F.collect_set(F.when(alone & (F.length("pattern") < GRAM), F.length("pattern")))
+    ).scalar()
+    whole = indexed.agg(F.coalesce(F.bool_or("whole_word"), F.lit(False))).scalar()
+
+    runs = (
+        texts.select(*keys, text.alias("_text"), sizes.alias("_sizes"))
+        .select(*keys, F.explode(_runs(F.col("_text"), F.col("_sizes"))).alias("_r"))
+        .select(*keys, "_r.size", "_r.run")
     )
-    # One small aggregate over the dictionary: which gram lengths occur, and how many words.
-    shape = indexed.agg(
-        F.sort_array(F.collect_set(F.length("_gram"))).alias("sizes"),
-        F.max(F.size("_words")).alias("words"),
-    ).first()
-    sizes, words = shape["sizes"] or [GRAM], shape["words"] or 1
-
-    if words == 1:
-        context = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-        word = F.col("_context")
-    else:
-        following = f"(?:{SPACES}{WORD}){{0,{words - 1}}}"
-        context = F.regexp_extract_all(text, F.lit(f"(?=({WORD}{following})){WORD}"), F.lit(1))
-        word = F.regexp_extract("_context", WORD, 0)
-    grams = F.array_distinct(
-        F.concat(*[F.regexp_extract_all("_word", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes])
+    vocabulary = runs.select("size", "run").distinct()
+    run_keys = _run_keys(F.col("size"), F.col("run"), F.col("_short"), F.col("_whole"))
+    listed = vocabulary.select("size", "run", short.alias("_short"), whole.alias("_whole")).select(
+        "size", "run", F.explode(run_keys).alias("_key")
     )
     bounded = F.concat(
         F.lit(r"(?U)\b\Q"), F.replace("pattern", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b")
     )
-    return (
-        texts.select(*keys, F.explode(F.array_distinct(context)).alias("_context"))
-        .withColumn("_word", word)
-        .withColumn("_gram", F.explode(grams))
-        .drop("_word")
-        .join(indexed.drop("_words"), "_gram")
+    holds = (
+        listed.join(indexed, "_key")
         .where(
-            F.contains("_context", "pattern")
-            & (~F.col("whole_word") | F.rlike("_context", bounded))
+            (F.col("size") == F.col("_size"))
+            & F.contains("run", "pattern")
+            & (~F.col("whole_word") | F.rlike("run", bounded))
         )
+        .select(*_hash(F.col("run")), pattern_id)
+        .distinct()
+    )
+    return (
+        runs.select(*keys, *_hash(F.col("run")))
+        .join(holds, ["_h1", "_h2"])
         .select(*keys, pattern_id)
         .distinct()
     )

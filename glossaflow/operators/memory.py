@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glossaflow.functions.text import normalize_text, source_hash, strip
 from glossaflow.operators.terms import like_pattern, page_of
 
-# What counts as similar, how many of the newest entries are compared, how many kept.
+# Fixed value: the share in common from which on an entry is similar.
 FUZZY_THRESHOLD = 0.72
-FUZZY_RECENT = 400
-FUZZY_MATCHES = 3
-# Most characters of entries that go to a task at a time; more are scored in several passes.
-SLICE_CHARS = 16 * 1024 * 1024
 
 
 def build_tm(pairs: DataFrame, order: list[Column], language: Column | str = "ar") -> DataFrame:
@@ -108,95 +96,32 @@ def tm_exact(
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of characters in matching blocks, with the usual treatment of frequent characters."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio_exact(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The same without setting frequent characters aside; slow on long texts."""
-    return pd.Series(
-        [SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)]
+def word_pairs(form: Column) -> Column:
+    """Hashes of the distinct neighbouring words of a normal form; a single word stands alone."""
+    words = F.split(form, " ")
+    pairs = F.transform(
+        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))),
+        lambda w, i: F.xxhash64(w, F.get(words, i + 1)),
     )
+    return F.array_distinct(pairs)
 
 
-def _character_bits(form: str) -> dict[str, int]:
-    """For each character, an integer with a bit set at its places."""
-    bits: dict[str, int] = {}
-    for place, character in enumerate(form):
-        bits[character] = bits.get(character, 0) | 1 << place
-    return bits
-
-
-def _common_subsequence(form: str, bits: dict[str, int], length: int) -> int:
-    """Length of the longest common subsequence, bit-parallel over whole integers."""
-    full = (1 << length) - 1
-    rest = full
-    for character in form:
-        hit = rest & bits.get(character, 0)
-        rest = ((rest + hit) | (rest - hit)) & full
-    return length - rest.bit_count()
-
+def _rarest(sets: DataFrame, key: str, numbers: DataFrame, threshold: float) -> DataFrame:
+    """(key, token, size): of each set the rarest tokens, as many as a similar set must touch.
 
-def _fuzzy_scorer(entries: list[tuple], threshold: float, matches: int, autojunk: bool):
-    """Task-side scorer of text batches against a fixed small list of (id, normal form).
-
-    Matching blocks are a common subsequence, and that has no more than the common characters.  So
-    both bound the ratio from above, and a pair under the threshold by either is left out without
-    loss; few pairs get to the costly comparison.
+    Two sets whose share in common is at least the threshold have so many tokens in common that, in
+    any one order of all tokens, the first ones of each overlap.  Rare tokens come first, so that
+    what everybody has is hardly ever joined on.
     """
-    forms = [form for _, form in entries]
-    alphabet = {c: i for i, c in enumerate(sorted(set("".join(forms))))}
-    histograms = np.zeros((len(forms), len(alphabet)), dtype=np.int32)
-    for row, form in enumerate(forms):
-        for character, count in Counter(form).items():
-            histograms[row, alphabet[character]] = count
-    lengths = np.array([len(form) for form in forms], dtype=np.int64)
-    places = [_character_bits(form) for form in forms]
-
-    def candidates(form: str) -> np.ndarray:
-        own = np.zeros(len(alphabet), dtype=np.int32)
-        for character, count in Counter(form).items():
-            if character in alphabet:
-                own[alphabet[character]] = count
-        common = np.minimum(histograms, own).sum(axis=1)
-        total = lengths + len(form)
-        return np.flatnonzero(np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0) >= threshold)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for key, form in zip(batch["source_hash"], batch["form"]):
-                scored = []
-                for row in candidates(form):
-                    common = _common_subsequence(form, places[row], len(forms[row]))
-                    if 2.0 * common < threshold * (len(form) + len(forms[row])):
-                        continue
-                    ratio = SequenceMatcher(None, form, forms[row], autojunk=autojunk).ratio()
-                    if ratio >= threshold:
-                        scored.append((-ratio, row))
-                scored.sort()
-                found += [
-                    (key, rank, entries[row][0], -negative)
-                    for rank, (negative, row) in enumerate(scored[:matches], start=1)
-                ]
-            yield pd.DataFrame(found, columns=["source_hash", "rank", "id", "ratio"])
-
-    return score
-
-
-def _slices(entries: list[tuple], limit: int) -> list[list[tuple]]:
-    """Entries in runs of at most ``limit`` characters, or of a single longer entry."""
-    runs, used = [[]], 0
-    for entry in entries:
-        if runs[-1] and used + len(entry[1]) > limit:
-            runs.append([])
-            used = 0
-        runs[-1].append(entry)
-        used += len(entry[1])
-    return runs
+    order = Window.partitionBy(key).orderBy("_count", "token")
+    shared = F.ceil(F.col("size") * (threshold / (2 - threshold)) - F.lit(1e-9))
+    return (
+        sets.select(key, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+        .join(numbers, "token")
+        .withColumn("_place", F.row_number().over(order))
+        .where(F.col("_place") <= F.col("size") - shared + 1)
+        .select(key, "token", "size")
+    )
 
 
 def tm_fuzzy(
@@ -206,57 +131,63 @@ def tm_fuzzy(
     tm: DataFrame,
     language: str = "ar",
     threshold: float = FUZZY_THRESHOLD,
-    matches: int = FUZZY_MATCHES,
-    recent: int = FUZZY_RECENT,
-    autojunk: bool = True,
+    matches: int | None = None,
 ) -> DataFrame:
-    """The most similar memory entries of each text that has no exact entry.
+    """The similar memory entries of each text that has no exact entry, most similar first.
 
-    Every text is compared with the ``recent`` newest approved entries.  That window is part of the
-    lookup's meaning and is what bounds it: the entries form one fixed small list that travels with
-    the task, in several passes if they are long, and work grows with the texts only.  Copies of a
-    text are scored once.
+    Similarity is the share of neighbouring word pairs that two texts have in common, twice the
+    common ones over all, compared over the whole memory.  An equi-join on each text's rarest pairs
+    proposes entries without losing one that reaches the threshold, and those are then compared.
+    Copies of a text are scored once.  Ties go to the entry with the larger number.
     """
     approved = approved_entries(tm, language)
-    newest = approved.orderBy(F.col("id").desc()).limit(recent)
-    # At most ``recent`` rows reach the driver.
-    entries = [
-        (row["id"], row["form"])
-        for row in newest.select("id", normalize_text(F.col("source_text")).alias("form"))
-        .orderBy(F.col("id").desc())
-        .collect()
-    ]
     hashed = texts.select(*keys, source_hash(F.col(text)).alias("source_hash"))
-    distinct_texts = (
+    asked = (
         texts.select(normalize_text(F.col(text)).alias("form"))
-        .withColumn("source_hash", F.sha2("form", 256))
+        .select(F.sha2("form", 256).alias("source_hash"), word_pairs(F.col("form")).alias("tokens"))
         .dropDuplicates(["source_hash"])
         .join(approved.select("source_hash"), "source_hash", "left_anti")
-        # Scoring is work for processors, not for memory: spread it however small the texts are.
-        .repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     )
-    parts = [
-        distinct_texts.mapInPandas(
-            _fuzzy_scorer(run, threshold, matches, autojunk),
-            "source_hash string, rank int, id long, ratio double",
-        )
-        for run in _slices(entries, SLICE_CHARS)
-    ]
-    scored = reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:
-        best = Window.partitionBy("source_hash").orderBy(F.col("ratio").desc(), F.col("id").desc())
-        scored = scored.withColumn("rank", F.row_number().over(best)).where(
-            F.col("rank") <= matches
-        )
-    sources = newest.select(
+    known = approved.select("id", word_pairs(normalize_text(F.col("source_text"))).alias("tokens"))
+    # Only order depends on the numbers, so tokens that no entry has need none.
+    numbers = (
+        known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("_count"))
+    )
+    # A token that no entry has comes before all others, and finds nothing.
+    every = (
+        asked.select(F.explode("tokens").alias("token"))
+        .distinct()
+        .join(numbers, "token", "left")
+        .select("token", F.coalesce("_count", F.lit(0)).alias("_count"))
+    )
+    mine = _rarest(asked, "source_hash", every, threshold)
+    theirs = _rarest(known, "id", numbers, threshold).withColumnRenamed("size", "_size")
+    least = threshold / (2 - threshold) - 1e-9
+    proposed = (
+        mine.join(theirs, "token")
+        .where((F.col("size") >= least * F.col("_size")) & (F.col("_size") >= least * F.col("size")))
+        .select("source_hash", "id")
+        .distinct()
+    )
+    common = F.size(F.array_intersect("tokens", "_tokens"))
+    share = 2.0 * common / (F.size("tokens") + F.size("_tokens"))
+    scored = (
+        proposed.join(asked, "source_hash")
+        .join(known.withColumnRenamed("tokens", "_tokens"), "id")
+        .select("source_hash", "id", share.alias("similarity"))
+        .where(F.col("similarity") >= threshold)
+    )
+    best = Window.partitionBy("source_hash").orderBy(F.col("similarity").desc(), F.col("id").desc())
+    scored = scored.withColumn("rank", F.row_number().over(best))
+    if matches is not None:
+        scored = scored.where(F.col("rank") <= matches)
+    sources = approved.select(
         "id", F.col("source_text").alias("source"), F.col("target_text").alias("target")
     )
     return (
         hashed.join(scored, "source_hash")
         .join(sources, "id")
-        .select(
-            *keys, "rank", "id", "source", "target", F.bround("ratio", 2).alias("similarity")
-        )
+        .select(*keys, "rank", "id", "source", "target", "similarity")
     )
 
 

@@ -15,15 +15,12 @@ from glossaflow.functions.text import (
     strip,
 )
 from glossaflow.operators.matching import find_patterns
-from glossaflow.operators.terms import match_terms
+from glossaflow.operators.terms import WHOLE_WORD_BELOW, term_key
 
 # The limits of the checks.
 MIN_CHARS = 10
 MIN_LENGTH_SHARE = 0.25
 MIN_ENGLISH_WORDS = 8
-ISSUES_PER_CHUNK = 20
-LISTED = 10
-LISTED_CHUNKS = 20
 INDEX_BUCKET = 1024
 
 
@@ -78,14 +75,23 @@ def _same_cells(numbered: Column, out: Column) -> Column:
     )
 
 
-def term_usage(pairs: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame:
-    """How each term that occurs in a source is rendered in its translation.
+def dictionary(terms: DataFrame) -> DataFrame:
+    """The entries that checks look at: active ones, one row a term of a domain."""
+    return terms.where("active")
+
+
+def term_usage(
+    pairs: DataFrame, keys: list[str], terms: DataFrame, domains: str | None = None
+) -> DataFrame:
+    """How each active term that occurs in a source is rendered in its translation.
 
     (keys, id, variant, found): variant is ``preferred``, ``alternative`` or ``other``, found the
-    wording.  Source and translation are searched on their own, and only the small sets of matches
-    are joined; the texts themselves are not shuffled.
+    wording.  ``domains`` names an array column of the pairs with the dictionaries of their job; only
+    terms of those count.  Sources and translations are searched at once, over one vocabulary, and
+    only the small sets of matches are joined.
     """
-    wording = terms.select(
+    active = dictionary(terms)
+    wording = active.select(
         "id",
         F.posexplode(
             F.concat(
@@ -94,34 +100,63 @@ def term_usage(pairs: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame
             )
         ).alias("place", "found"),
     ).where(F.length(strip(F.col("found"))) > 0)
+    pattern = lambda id_, place: F.struct(id_.alias("id"), place.cast("int").alias("place"))
+    # Place -1 stands for the term itself, which is looked for in the source.
+    patterns = active.where(term_key() != "").select(
+        pattern(F.col("id"), F.lit(-1)).alias("wording_id"),
+        term_key().alias("pattern"),
+        (F.length(term_key()) < WHOLE_WORD_BELOW).alias("whole_word"),
+    )
     # An alternative is compared with its outer white space; the pattern search is on its core.
-    patterns = wording.select(
-        F.struct("id", "place").alias("wording_id"),
-        strip(collapse_space(F.col("found"))).alias("pattern"),
-        F.lit(False).alias("whole_word"),
+    patterns = patterns.unionByName(
+        wording.select(
+            pattern(F.col("id"), F.col("place")).alias("wording_id"),
+            strip(collapse_space(F.col("found"))).alias("pattern"),
+            F.lit(False).alias("whole_word"),
+        )
     )
-    in_source = match_terms(pairs, keys, "source_text", terms)
-    in_target = (
-        find_patterns(
-            pairs, keys, collapse_space(F.coalesce("translation", F.lit(""))), patterns, "wording_id"
+    side = lambda source, text: F.struct(F.lit(source).alias("source"), text.alias("text"))
+    sides = pairs.select(
+        *keys,
+        F.explode(
+            F.array(
+                side(True, F.lower("source_text")),
+                side(False, collapse_space(F.coalesce("translation", F.lit("")))),
+            )
+        ).alias("_side"),
+    ).select(*keys, F.col("_side.source").alias("_source"), F.col("_side.text").alias("_text"))
+    place = F.col("wording_id.place")
+    found = find_patterns(sides, [*keys, "_source"], F.col("_text"), patterns, "wording_id").where(
+        F.col("_source") == (place < 0)
+    )
+    if domains is not None:
+        wanted = pairs.select(*keys, F.col(domains).alias("_domains"))
+        found = (
+            found.join(active.select(F.col("id").alias("_id"), "domain"), F.col("wording_id.id") == F.col("_id"))
+            .join(wanted, keys)
+            .where(F.array_contains("_domains", F.col("domain")))
         )
-        .groupBy(*keys, F.col("wording_id.id").alias("id"))
-        .agg(F.min("wording_id.place").alias("place"))
+    used = (
+        found.groupBy(*keys, F.col("wording_id.id").alias("id"))
+        .agg(F.bool_or("_source").alias("_used"), F.min(F.when(place >= 0, place)).alias("place"))
+        .where("_used")
     )
     variant = (
         F.when(F.col("place") == 0, "preferred")
         .when(F.col("place") > 0, "alternative")
         .otherwise("other")
     )
-    return (
-        in_source.join(in_target, [*keys, "id"], "left")
-        .join(wording, ["id", "place"], "left")
-        .select(*keys, "id", variant.alias("variant"), "found")
+    return used.join(wording, ["id", "place"], "left").select(
+        *keys, "id", variant.alias("variant"), "found"
     )
 
 
 def check_terms(
-    pairs: DataFrame, keys: list[str], terms: DataFrame, cap: int | None = None
+    pairs: DataFrame,
+    keys: list[str],
+    terms: DataFrame,
+    cap: int | None = None,
+    domains: str | None = None,
 ) -> DataFrame:
     """Issues per chunk: a term in the source without its preferred translation.
 
@@ -129,7 +164,7 @@ def check_terms(
     """
     named = terms.select("id", "english", F.col("preferred").alias("expected"))
     issues = (
-        term_usage(pairs, keys, terms)
+        term_usage(pairs, keys, terms, domains)
         .where("variant <> 'preferred'")
         .join(named, "id")
         .select(
@@ -151,19 +186,24 @@ def check_terms(
     )
 
 
-def term_variants(usage: DataFrame, terms: DataFrame, index: str, *groups: str) -> DataFrame:
-    """Chunks per term and wording: count, and the first ones.
+def term_variants(
+    usage: DataFrame, terms: DataFrame, index: str, *groups: str, listed: int | None = None
+) -> DataFrame:
+    """Chunks per term and wording: count, and their indexes, all or the first ``listed``.
 
     ``groups`` are further columns to report by, such as the job.  A term in every chunk is counted
-    by buckets of indexes first, each of a fixed width and cut to its first entries, so no group of
-    any size meets in one task.
+    by buckets of indexes first, each of a fixed width, so no rows of a group of any size meet in one
+    task.
     """
     label = (
         F.when(F.col("variant") == "preferred", F.col("preferred"))
         .when(F.col("variant") == "alternative", F.concat(F.lit("alt: "), "found"))
         .otherwise("other")
     )
-    first = lambda indexes: F.slice(F.array_sort(F.array_distinct(indexes)), 1, LISTED_CHUNKS)
+    def first(indexes: Column) -> Column:
+        every = F.array_sort(F.array_distinct(indexes))
+        return every if listed is None else F.slice(every, 1, listed)
+
     keys = [*groups, "id", "english", "preferred", "label"]
     return (
         usage.join(terms.select("id", "english", "preferred"), "id")
@@ -178,12 +218,14 @@ def term_variants(usage: DataFrame, terms: DataFrame, index: str, *groups: str)
     )
 
 
-def consistency_report(usage: DataFrame, terms: DataFrame, index: str, *groups: str) -> DataFrame:
+def consistency_report(
+    usage: DataFrame, terms: DataFrame, index: str, *groups: str, listed: int | None = None
+) -> DataFrame:
     """One row a term that occurs: its wordings and whether they agree.
 
     More than one wording is inconsistent; a single one other than ``other`` is consistent.
     """
-    variants = term_variants(usage, terms, index, *groups)
+    variants = term_variants(usage, terms, index, *groups, listed=listed)
     wordings = F.array_sort(F.collect_list(F.struct("label", "chunks", "first_chunks")))
     return (
         variants.groupBy(*groups, "id", "english", "preferred")
@@ -211,101 +253,67 @@ def consistency_totals(report: DataFrame, *groups: str) -> DataFrame:
     )
 
 
-def index_gaps(chunks: DataFrame, job: str = "job_id", listed: int = LISTED) -> DataFrame:
-    """Missing and repeated chunk indexes of each job, the first ones of each.
-
-    Indexes are checked in buckets of a fixed width, so a job of any length spreads over tasks and
-    no set is larger than a bucket.  Expected are the numbers from zero to the count of rows.
-    """
-    index = F.col("chunk_index")
-    rows = chunks.groupBy(job, "chunk_index").agg(F.count("*").alias("n"))
-    totals = rows.groupBy(job).agg(F.sum("n").alias("total"))
-    seen = rows.groupBy(job, F.floor(index / INDEX_BUCKET).alias("bucket")).agg(
-        F.collect_set(index.cast("long")).alias("seen"),
-        F.sort_array(F.collect_list(F.when(F.col("n") > 1, index.cast("long")))).alias("repeated"),
-    )
-    expected = totals.select(
-        job,
-        "total",
-        F.explode(
-            F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / INDEX_BUCKET))
-        ).alias("bucket"),
-    )
-    wanted = F.sequence(
-        F.col("bucket") * INDEX_BUCKET,
-        F.least((F.col("bucket") + 1) * INDEX_BUCKET, F.col("total")) - 1,
-    )
-    missing = (
-        expected.join(seen.drop("repeated"), [job, "bucket"], "left")
-        .select(
-            job,
-            F.slice(
-                F.array_except(wanted, F.coalesce("seen", F.array().cast("array<bigint>"))),
-                1,
-                listed,
-            ).alias("indexes"),
-        )
-    )
-    repeated = seen.select(job, F.slice("repeated", 1, listed).alias("indexes"))
-
-    def first_of(found: DataFrame, name: str) -> DataFrame:
-        order = Window.partitionBy(job).orderBy("i")
-        return (
-            found.select(job, F.explode("indexes").alias("i"))
-            .withColumn("_rank", F.row_number().over(order))
-            .where(F.col("_rank") <= listed)
-            .groupBy(job)
-            .agg(F.array_sort(F.collect_list("i")).alias(name))
-        )
-
-    return first_of(missing, "missing_indexes").join(
-        first_of(repeated, "duplicate_indexes"), job, "full"
-    )
-
-
-def completeness(chunks: DataFrame, job: str = "job_id") -> DataFrame:
+def completeness(
+    chunks: DataFrame, job: str = "job_id", jobs: DataFrame | None = None, listed: int | None = None
+) -> DataFrame:
     """Whether each job can be assembled: counts, gaps, and the first reason why not.
 
-    ``chunks`` has job, chunk_index, status and translation.  Jobs without a chunk have no row here.
+    ``chunks`` has job, chunk_index, status and translation.  With ``jobs`` (column ``id``) every job
+    has a row, and the reason of one without chunks is ``none``.
+
+    Chunks are added up in buckets of a fixed width of indexes, so a job of any length spreads over
+    tasks and no set is larger than a bucket.  A job's buckets, a small row each, are then put
+    together; what is missing are the numbers from zero to the count of rows that no bucket has.
+    ``listed`` keeps the first missing and repeated indexes; all are listed otherwise.
     """
-    status = F.col("status")
+    status, index = F.col("status"), F.col("chunk_index").cast("long")
     blank = F.length(strip(F.coalesce("translation", F.lit("")))) == 0
-    per_index = chunks.groupBy(job, "chunk_index").agg(
+    buckets = chunks.groupBy(job, F.floor(index / INDEX_BUCKET).alias("_bucket")).agg(
         F.count("*").alias("n"),
         F.count_if(status == "failed").alias("failed"),
         F.count_if(status == "completed").alias("completed"),
         F.count_if(blank).alias("blank"),
+        F.array_sort(F.collect_list(index)).alias("every"),
+    )
+    each = buckets.withColumn("seen", F.array_distinct("every"))
+    repeated = F.array_distinct(
+        F.filter("every", lambda i, k: i == F.get("every", k - 1))
     )
-    counts = per_index.groupBy(job).agg(
+    counts = each.withColumn("again", repeated).groupBy(job).agg(
         F.sum("n").alias("total_chunks"),
-        F.count("*").alias("distinct_indexes"),
-        F.min("chunk_index").alias("_lowest"),
-        F.max("chunk_index").alias("_highest"),
         F.sum("completed").alias("completed_chunks"),
         F.sum("failed").alias("failed_chunks"),
         F.sum("blank").alias("empty_translations"),
+        F.sum(F.size("seen")).alias("_distinct"),
+        F.min(F.array_min("seen")).alias("_lowest"),
+        F.max(F.array_max("seen")).alias("_highest"),
+        F.flatten(F.array_agg("seen")).alias("_seen"),
+        F.array_sort(F.flatten(F.array_agg("again"))).alias("duplicate_indexes"),
     )
+    if jobs is not None:
+        counts = jobs.select(F.col("id").alias(job)).distinct().join(counts, job, "left")
+        zero = ["total_chunks", "completed_chunks", "failed_chunks", "empty_translations", "_distinct"]
+        counts = counts.fillna(0, zero)
     total = F.col("total_chunks")
-    gapless = (
-        (F.col("distinct_indexes") == total) & (F.col("_lowest") == 0) & (F.col("_highest") == total - 1)
-    )
+    gapless = (F.col("_distinct") == total) & (F.col("_lowest") == 0) & (F.col("_highest") == total - 1)
     reason = (
-        F.when(~gapless, "sequence")
+        F.when(total == 0, "none")
+        .when(~gapless, "sequence")
         .when(F.col("failed_chunks") > 0, "failed")
         .when(F.col("completed_chunks") < total, "pending")
         .when(F.col("empty_translations") > 0, "empty")
     )
     none = F.array().cast("array<bigint>")
-    return (
-        counts.withColumn("reason", reason)
-        .join(index_gaps(chunks, job), job, "left")
-        .withColumns(
-            {
-                "missing_indexes": F.coalesce("missing_indexes", none),
-                "duplicate_indexes": F.coalesce("duplicate_indexes", none),
-            }
-        )
-        .drop("distinct_indexes", "_lowest", "_highest")
+    wanted = F.when(total > 0, F.sequence(F.lit(0).cast("long"), total - 1)).otherwise(none)
+    missing = F.when(F.coalesce(gapless, F.lit(False)), none).otherwise(
+        F.array_except(wanted, F.coalesce("_seen", none))
+    )
+    first = lambda c: c if listed is None else F.slice(c, 1, listed)
+    return counts.select(
+        job, "total_chunks", "completed_chunks", "failed_chunks", "empty_translations",
+        reason.alias("reason"),
+        first(missing).alias("missing_indexes"),
+        first(F.coalesce("duplicate_indexes", none)).alias("duplicate_indexes"),
     )
 
 

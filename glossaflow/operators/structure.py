@@ -79,7 +79,7 @@ def detect_title(blocks: DataFrame, fallback: Column, key: str = "doc_id") -> Da
     heading = (F.col("type") == HEADING) & (F.col("level") <= 2) & (F.length(text) > 0)
     short = (F.length(text) > 0) & (F.length(text) <= 120)
     first = lambda keep: F.min_by(
-        F.when(keep, F.substring(text, 1, 300)), F.when(keep, F.col("seq"))
+        F.when(keep, text), F.when(keep, F.col("seq"))
     )
     return (
         blocks.groupBy(key)
@@ -88,8 +88,8 @@ def detect_title(blocks: DataFrame, fallback: Column, key: str = "doc_id") -> Da
     )
 
 
-def chapters(documents: DataFrame, *keys: str, limit: int = 50) -> DataFrame:
-    """The first chapters of documents with a ``blocks`` array, one row a chapter."""
+def chapters(documents: DataFrame, *keys: str, limit: int | None = None) -> DataFrame:
+    """The chapters of documents with a ``blocks`` array, one row a chapter."""
     return documents.select(
         *keys, F.posexplode(B.chapters_of(F.col("blocks"), limit)).alias("chapter_index", "chapter")
     )

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from glossaflow.functions.text import strip
 from glossaflow.operators.matching import find_patterns
 
-# Shorter terms match whole words only; at most so many terms go with one text.
+# Fixed value: shorter terms match whole words only.
 WHOLE_WORD_BELOW = 4
-TERMS_PER_TEXT = 60
 GENERAL = "General"
 CUSTOM = "Custom"
 
@@ -68,10 +67,11 @@ def relevant_terms(
     text: str,
     terms: DataFrame,
     domains: list[str] | str | None = None,
-    cap: int = TERMS_PER_TEXT,
+    cap: int | None = None,
 ) -> DataFrame:
     """The dictionary entries that go with each text, longest first, ranked from one.
 
+    ``cap`` keeps the first ones of each text.
     ``domains`` is a list for all texts, or the name of an array column of the texts.
     """
     active = terms.where("active")
@@ -93,7 +93,8 @@ def relevant_terms(
             active = active.where(F.col("domain").isin(*domains))
         active = first_per_term(active)
         found = match_terms(texts, keys, text, active).join(active, "id")
-    return found.withColumn("rank", F.row_number().over(by_length)).where(F.col("rank") <= cap)
+    ranked = found.withColumn("rank", F.row_number().over(by_length))
+    return ranked if cap is None else ranked.where(F.col("rank") <= cap)
 
 
 def list_terms(

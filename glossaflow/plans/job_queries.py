@@ -318,7 +318,7 @@ QUERIES = {
         _transition("recover"),
         _transition_sql(
             f"CASE WHEN status IN ({_PARKED}) THEN 'paused' ELSE status END",
-            f"CASE WHEN status IN ({_PARKED}) THEN 'Interrupted. You can resume this translation.' END",
+            f"CASE WHEN status IN ({_PARKED}) THEN 'The run was cut off; resume the job to go on.' END",
             "status", "error_message",
         ),
     ),
@@ -388,7 +388,7 @@ QUERIES = {
         _list_jobs,
         with_views(
             """SELECT v_jobs.id, original_filename AS document_name, (SELECT count(*) FROM v_jobs) AS total, updated_at
-               FROM v_jobs LEFT JOIN v_docs ON v_docs.id = document_id ORDER BY updated_at DESC, v_jobs.id DESC LIMIT 200 OFFSET 7""",
+               FROM v_jobs LEFT JOIN v_docs ON v_docs.id = document_id ORDER BY updated_at DESC, v_jobs.id DESC LIMIT 500 OFFSET 7""",
             "v_jobs", "v_docs",
         ),
     ),

@@ -225,13 +225,14 @@ def packed_pieces(source: str, key: str, target: int) -> str:
     return f"""
     sentences AS (SELECT {key}, sp, s FROM {source}, unnest({_SENTENCES}) WITH ORDINALITY AS u(s, sp)),
     units AS (
-      SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY sp, wp) - 1 AS i, w
+      SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY sp, wp) - 1 AS i, w,
+             CASE WHEN wp = 1 THEN length(s) ELSE length(w) END AS decide
       FROM sentences, unnest(CASE WHEN length(s) > {target} THEN string_split(s, ' ') ELSE [s] END) WITH ORDINALITY AS u(w, wp)),
     packed AS (
       SELECT {key}, i, length(w) + 1 AS used, 0 AS p FROM units WHERE i = 0
       UNION ALL
-      SELECT u.{key}, u.i, CASE WHEN k.used + length(u.w) + 1 > {target} THEN 0 ELSE k.used END + length(u.w) + 1,
-             CASE WHEN k.used + length(u.w) + 1 > {target} THEN k.p + 1 ELSE k.p END
+      SELECT u.{key}, u.i, CASE WHEN k.used + u.decide + 1 > {target} THEN 0 ELSE k.used END + length(u.w) + 1,
+             CASE WHEN k.used + u.decide + 1 > {target} THEN k.p + 1 ELSE k.p END
       FROM packed k JOIN units u ON u.{key} = k.{key} AND u.i = k.i + 1),
     pieces AS (
       SELECT {key}, p, string_agg(w, ' ' ORDER BY i) AS piece

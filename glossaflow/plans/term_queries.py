@@ -64,7 +64,7 @@ def _domains(spark, folder):
 def _relevant_by_job(spark, folder):
     texts = _job_settings(V.pairs(spark, folder), "job_id")
     return terms.relevant_terms(
-        texts, ["job_id", "chunk_index"], "source_text", V.terms(spark, folder), "domains", cap=10
+        texts, ["job_id", "chunk_index"], "source_text", V.terms(spark, folder), "domains"
     ).select("job_id", "chunk_index", "rank", "id", "english", "domain")
 
 
@@ -145,23 +145,39 @@ def _exact(spark, folder):
     )
 
 
-def _fuzzy(spark, folder):
-    """Users' turns with changed ends against the memory of all turns."""
-    known = memory.build_tm(V.pairs(spark, folder), [F.col("job_id"), F.col("chunk_index")]).select(
+def _known_turns(spark, folder):
+    return memory.build_tm(V.pairs(spark, folder), [F.col("job_id"), F.col("chunk_index")]).select(
         "*",
         (F.col("first_seen.job_id") * 1000 + F.col("first_seen.chunk_index")).alias("id"),
         F.lit(True).alias("approved"),
     )
+
+
+def _fuzzy(spark, folder):
+    """Users' turns with changed ends against the memory of all turns."""
     texts = V.pairs(spark, folder).select(
         "job_id",
         "chunk_index",
         F.concat(F.lit("again: "), "source_text", F.lit(" so it ends.")).alias("text"),
     )
-    return memory.tm_fuzzy(texts, ["job_id", "chunk_index"], "text", known).select(
+    return memory.tm_fuzzy(texts, ["job_id", "chunk_index"], "text", _known_turns(spark, folder)).select(
         "job_id", "chunk_index", "rank", "id", "similarity"
     )
 
 
+def _lookup(spark, folder):
+    """The same, with every third turn only spaced anew, so that it has an exact entry."""
+    k = F.col("job_id") + F.col("chunk_index")
+    changed = F.concat(F.lit("again: "), "source_text", F.lit(" so it ends."))
+    texts = V.pairs(spark, folder).select(
+        "job_id", "chunk_index", F.when(k % 3 == 0, F.replace("source_text", F.lit(" "), F.lit("  "))).otherwise(changed).alias("text")
+    )
+    found = memory.lookup(texts, ["job_id", "chunk_index"], "text", _known_turns(spark, folder), matches=3)
+    return found.select(
+        "job_id", "chunk_index", "rank", "exact", "similarity", F.length("target").alias("target_chars")
+    )
+
+
 def _neighbours(spark, folder):
     return context.neighbour_context(V.pairs(spark, folder), budget=200).select(
         "job_id", "chunk_index", "previous_text", "previous_translation", "next_text"
@@ -228,14 +244,20 @@ def _varied_pairs(spark, folder):
     )
 
 
+def _job_pairs(spark, folder):
+    return _job_settings(V.pairs(spark, folder), "job_id")
+
+
 def _check_terms(spark, folder):
     return quality.check_terms(
-        V.pairs(spark, folder), ["job_id", "chunk_index"], V.terms(spark, folder), cap=20
+        _job_pairs(spark, folder), ["job_id", "chunk_index"], V.terms(spark, folder), domains="domains"
     ).drop("expected")
 
 
 def _usage(spark, folder):
-    return quality.term_usage(V.pairs(spark, folder), ["job_id", "chunk_index"], V.terms(spark, folder))
+    return quality.term_usage(
+        _job_pairs(spark, folder), ["job_id", "chunk_index"], V.terms(spark, folder), "domains"
+    )
 
 
 def _report(spark, folder):
@@ -255,8 +277,8 @@ def _report(spark, folder):
     )
 
 
-def _complete(rows):
-    return quality.completeness(rows).withColumns(
+def _complete(rows, jobs=None):
+    return quality.completeness(rows, jobs=jobs).withColumns(
         {
             "missing_indexes": F.array_join("missing_indexes", ","),
             "duplicate_indexes": F.array_join("duplicate_indexes", ","),
@@ -269,14 +291,20 @@ def _completeness(spark, folder):
 
 
 def _event_completeness(spark, folder):
-    return _complete(V.event_chunks(spark, folder).withColumn("translation", F.col("chapter")))
+    """Customers and users are jobs; some have no event."""
+    users = V.table(spark, folder, "events").select(F.col("user_id").alias("id"))
+    jobs = users.unionByName(V.job_documents(spark, folder).select("id"))
+    chunks = V.event_chunks(spark, folder).withColumn("translation", F.col("chapter"))
+    return _complete(chunks, jobs)
 
 
 def _quality(spark, folder):
+    """Conversations are jobs; those without a pair of turns have no chunk."""
     pairs = V.pairs(spark, folder).withColumn("status", F.lit("completed"))
+    jobs = V.table(spark, folder, "conversations").select(F.col("conv_id").alias("id"))
     report = quality.consistency_report(_usage(spark, folder), V.terms(spark, folder), "chunk_index", "job_id")
     return quality.quality_report(
-        quality.completeness(pairs), quality.consistency_totals(report, "job_id")
+        quality.completeness(pairs, jobs=jobs), quality.consistency_totals(report, "job_id")
     ).select(
         "job_id", "total_chunks", "completed_chunks", "failed_chunks", "empty_translations", "terminology.*",
         F.array_join("missing_indexes", ",").alias("missing"),
@@ -295,13 +323,14 @@ _USAGE_SQL = """usage AS (
            CASE WHEN contains(t, english) THEN 'preferred' WHEN contains(t, alternative) THEN 'alternative' ELSE 'other' END AS variant,
            CASE WHEN contains(t, english) THEN english WHEN contains(t, alternative) THEN alternative END AS found
     FROM (SELECT *, regexp_replace(translation, '[{ws}]+', ' ', 'g') AS t FROM v_pairs) p
-    JOIN v_terms ON contains(lower(source_text), english))""".replace("{ws}", _WS)
+    JOIN v_terms ON contains(lower(source_text), english) AND active AND
+      ((domain = 'General' AND job_id % 2 = 0) OR
+       (domain = 'Custom' AND (job_id % 7 = 0 OR (job_id % 3 = 1 AND job_id % 5 <> 0)))))""".replace("{ws}", _WS)
 
 _REPORT_SQL = f"""{_USAGE_SQL},
-    labelled AS (SELECT *, CASE variant WHEN 'preferred' THEN english WHEN 'alternative' THEN 'alt: ' || found ELSE 'other' END AS label,
-                        row_number() OVER (PARTITION BY job_id, id, variant ORDER BY chunk_index) AS k FROM usage),
+    labelled AS (SELECT *, CASE variant WHEN 'preferred' THEN english WHEN 'alternative' THEN 'alt: ' || found ELSE 'other' END AS label FROM usage),
     variants AS (SELECT job_id, id, english, label, count(*) AS n,
-                        string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY chunk_index) FILTER (WHERE k <= 20) AS firsts
+                        string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY chunk_index) AS firsts
                  FROM labelled GROUP BY ALL),
     report AS (SELECT job_id, id, english, count(*) AS variant_count, CAST(sum(n) AS BIGINT) AS chunk_count,
                       count(*) = 1 AND max(label) <> 'other' AS consistent, count(*) > 1 AS inconsistent,
@@ -310,26 +339,50 @@ _REPORT_SQL = f"""{_USAGE_SQL},
                FROM variants GROUP BY job_id, id, english)"""
 
 
-def _completeness_sql(chunks: str) -> str:
+def _completeness_sql(chunks: str, jobs: str = "") -> str:
+    """``jobs`` selects job_id of all jobs; without it, jobs are those of the chunks."""
+    every = f"""
+      UNION ALL SELECT job_id, 0, 0, 0, 0, 'none', '', ''
+      FROM (SELECT DISTINCT job_id FROM ({jobs})) WHERE job_id NOT IN (SELECT job_id FROM c)""" if jobs else ""
     return f"""
     c AS (SELECT job_id, count(*) AS total_chunks, count(DISTINCT chunk_index) AS d, min(chunk_index) AS lo, max(chunk_index) AS hi,
                  count(*) FILTER (WHERE status = 'completed') AS completed_chunks,
                  count(*) FILTER (WHERE status = 'failed') AS failed_chunks,
                  count(*) FILTER (WHERE trim(coalesce(translation, ''), '{_WS}') = '') AS empty_translations
           FROM {chunks} GROUP BY job_id),
-    m AS (SELECT c.job_id, i, row_number() OVER (PARTITION BY c.job_id ORDER BY i) AS k
+    m AS (SELECT c.job_id, i
           FROM c, unnest(range(total_chunks)) AS u(i)
           WHERE NOT EXISTS (SELECT 1 FROM {chunks} x WHERE x.job_id = c.job_id AND x.chunk_index = i)),
-    r AS (SELECT job_id, chunk_index AS i, row_number() OVER (PARTITION BY job_id ORDER BY chunk_index) AS k
+    r AS (SELECT job_id, chunk_index AS i
           FROM {chunks} GROUP BY job_id, chunk_index HAVING count(*) > 1),
     complete AS (
       SELECT job_id, total_chunks, completed_chunks, failed_chunks, empty_translations,
              CASE WHEN d <> total_chunks OR lo <> 0 OR hi <> total_chunks - 1 THEN 'sequence'
                   WHEN failed_chunks > 0 THEN 'failed' WHEN completed_chunks < total_chunks THEN 'pending'
                   WHEN empty_translations > 0 THEN 'empty' END AS reason,
-             coalesce((SELECT string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FROM m WHERE m.job_id = c.job_id AND k <= 10), '') AS missing_indexes,
-             coalesce((SELECT string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FROM r WHERE r.job_id = c.job_id AND k <= 10), '') AS duplicate_indexes
-      FROM c)"""
+             coalesce((SELECT string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FROM m WHERE m.job_id = c.job_id), '') AS missing_indexes,
+             coalesce((SELECT string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FROM r WHERE r.job_id = c.job_id), '') AS duplicate_indexes
+      FROM c{every})"""
+
+
+def _fuzzy_sql(text: str) -> str:
+    """All texts against all entries of the memory of turns, by the word pairs they share."""
+    form = f"lower(regexp_replace(trim({{}}, '{_WS}'), '[{_WS}]+', ' ', 'g'))"
+    pairs = """list_distinct(list_transform(range(1, greatest(len({0}), 2)), lambda i: [{0}[i], {0}[i + 1]]))"""
+    return f"""
+    e AS (SELECT sha256({form.format('source_text')}) AS h, {form.format('source_text')} AS f, job_id * 1000 + chunk_index AS o,
+                 trim(translation, '{_WS}') AS t FROM v_pairs
+          WHERE trim(source_text, '{_WS}') <> '' AND trim(translation, '{_WS}') <> ''),
+    entries AS (SELECT h, min(o) AS id, arg_min(t, o) AS tgt, string_split(any_value(f), ' ') AS w FROM e GROUP BY h),
+    ew AS (SELECT *, {pairs.format('w')} AS p FROM entries),
+    asked AS (SELECT job_id, chunk_index, {form.format('x')} AS f, sha256({form.format('x')}) AS h
+              FROM (SELECT job_id, chunk_index, {text} AS x FROM v_pairs)),
+    aw AS (SELECT job_id, chunk_index, {pairs.format('w')} AS p
+           FROM (SELECT *, string_split(f, ' ') AS w FROM asked WHERE h NOT IN (SELECT h FROM entries))),
+    scored AS (SELECT job_id, chunk_index, id,
+                      2.0::DOUBLE * len(list_intersect(aw.p, ew.p)) / (len(aw.p) + len(ew.p)) AS similarity FROM aw CROSS JOIN ew),
+    fuzzy AS (SELECT *, row_number() OVER (PARTITION BY job_id, chunk_index ORDER BY similarity DESC, id DESC) AS rank
+              FROM scored WHERE similarity >= 0.72)"""
 
 
 _TURNS_SQL = """turns AS (
@@ -382,7 +435,7 @@ QUERIES = {
         with_views(
             """SELECT doc_id, rank, id, english FROM (
                  SELECT doc_id, id, english, row_number() OVER (PARTITION BY doc_id ORDER BY length(english) DESC, id) AS rank
-                 FROM documents JOIN v_terms ON contains(lower(text), english) WHERE active) WHERE rank <= 60""",
+                 FROM documents JOIN v_terms ON contains(lower(text), english) WHERE active)""",
             "v_terms",
         ),
     ),
@@ -402,7 +455,7 @@ QUERIES = {
                  SELECT *, row_number() OVER (PARTITION BY job_id, chunk_index ORDER BY length(english) DESC, id) AS rank
                  FROM v_pairs JOIN v_terms ON contains(lower(source_text), english)
                  WHERE active AND ((job_id % 2 = 0 AND domain = 'General') OR
-                   (domain = 'Custom' AND (job_id % 7 = 0 OR (job_id % 3 = 1 AND job_id % 5 <> 0))))) WHERE rank <= 10""",
+                   (domain = 'Custom' AND (job_id % 7 = 0 OR (job_id % 3 = 1 AND job_id % 5 <> 0)))))""",
             "v_pairs",
             "v_terms",
         ),
@@ -487,7 +540,25 @@ QUERIES = {
             "v_tm",
         ),
     ),
-    "tm_fuzzy": (_fuzzy, None),
+    "tm_fuzzy": (
+        _fuzzy,
+        with_views(
+            f"""{_fuzzy_sql("'again: ' || source_text || ' so it ends.'")}
+            SELECT job_id, chunk_index, rank, id, similarity FROM fuzzy""",
+            "v_pairs",
+        ),
+    ),
+    "tm_lookup": (
+        _lookup,
+        with_views(
+            f"""{_fuzzy_sql("CASE WHEN (job_id + chunk_index) % 3 = 0 THEN replace(source_text, ' ', '  ') ELSE 'again: ' || source_text || ' so it ends.' END")}
+            SELECT job_id, chunk_index, 1 AS rank, true AS exact, 1.0 AS similarity, length(tgt) AS target_chars
+            FROM asked JOIN entries USING (h)
+            UNION ALL
+            SELECT job_id, chunk_index, rank, false, similarity, length(tgt) FROM fuzzy JOIN entries USING (id) WHERE rank <= 3""",
+            "v_pairs",
+        ),
+    ),
     "neighbour_context": (
         _context,
         f"WITH {_CONTEXT_SQL} SELECT job_id, chunk_index, previous_text, previous_translation, next_text FROM ctx",
@@ -553,8 +624,7 @@ QUERIES = {
             f"""{_USAGE_SQL}
             SELECT job_id, chunk_index, id, CASE variant WHEN 'alternative' THEN 'alternative_used' ELSE 'preferred_missing' END AS issue,
                    english, found
-            FROM (SELECT *, row_number() OVER (PARTITION BY job_id, chunk_index ORDER BY length(english) DESC, id) AS k
-                  FROM usage WHERE variant <> 'preferred') WHERE k <= 20""",
+            FROM usage WHERE variant <> 'preferred'""",
             "v_pairs",
             "v_terms",
         ),
@@ -571,7 +641,8 @@ QUERIES = {
         _event_completeness,
         with_views(
             f"""e AS (SELECT job_id, chunk_index, status, chapter AS translation FROM v_event_chunks),
-            {_completeness_sql('e')} SELECT * FROM complete""",
+            {_completeness_sql('e', 'SELECT user_id AS job_id FROM events UNION ALL SELECT c_custkey FROM customer')}
+            SELECT * FROM complete""",
             "v_event_chunks",
         ),
     ),
@@ -579,7 +650,7 @@ QUERIES = {
         _quality,
         with_views(
             f"""{_REPORT_SQL}, p AS (SELECT *, 'completed' AS status FROM v_pairs),
-            {_completeness_sql('p')},
+            {_completeness_sql('p', 'SELECT conv_id AS job_id FROM conversations')},
             t AS (SELECT job_id, count(*) AS terms_used, count(*) FILTER (WHERE consistent) AS consistent_terms,
                          count(*) FILTER (WHERE inconsistent) AS inconsistent_terms FROM report GROUP BY job_id)
             SELECT job_id, total_chunks, completed_chunks, failed_chunks, empty_translations,

@@ -29,16 +29,3 @@ BLOCK = T.StructType(
     ]
 )
 BLOCKS = T.ArrayType(BLOCK)
-
-TERM_COLUMNS = ("id", "english", "preferred", "alternatives", "domain", "priority", "active")
-
-# Translation memory rows, in the order the memory operators emit them.
-MEMORY_COLUMNS = (
-    "source_hash",
-    "target_language",
-    "source_text",
-    "target_text",
-    "use_count",
-    "approved",
-    "id",
-)
