@@ -209,7 +209,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the smallest number of their component, one row each.
 
-    Rows without a number cannot be named as a copy of another and stay.
+    Rows without a number cannot be named as a copy of another and stay.  The list of those that go
+    grows with the documents, so the two are joined by a shuffle at every size; hashing the list
+    spares a sort of the texts.
     """
     found = near_duplicates(docs, doc_id, text).where(F.col(doc_id).isNotNull())
     verdicts = cut(
@@ -218,7 +220,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         ),
         "verdicts",
     )
-    kept = docs.join(verdicts.where("NOT _first").select("_id"), F.col(doc_id) == F.col("_id"), "leftanti")
+    gone = verdicts.where("NOT _first").select("_id").hint("shuffle_hash")
+    kept = docs.join(gone, F.col(doc_id) == F.col("_id"), "leftanti")
     again = verdicts.where("_first AND _n > 1").select("_id")
     if again.isEmpty():
         return kept
