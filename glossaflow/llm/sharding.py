@@ -31,7 +31,7 @@ from glossaflow.llm.common import cut
 
 SEED = 5
 #: Rows of a block of slots.
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 14
 _NUMPY_LIMIT = 10**9
 
 
