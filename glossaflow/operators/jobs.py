@@ -15,6 +15,8 @@ RECENT_ERRORS = 10
 CLAIM_LIMIT = 4
 ETA_MINIMUM = 3
 OPEN_STATUSES = ("pending", "failed", "translating")
+#: What a chunk has before it is first translated.
+FRESH = {"translation": None, "attempts": 0, "prompt_tokens_used": 0, "completion_tokens_used": 0}
 # What a parked job says.
 INTERRUPTED = "The run was cut off; resume the job to go on."
 PAUSED = "The job is on hold; resume it to go on."
@@ -150,7 +152,8 @@ def transition(
 
     recover and pause park active jobs; resume queues parked or failed ones and puts back their
     chunks under way; retry_failed does so with failed chunks too; cancel ends jobs that have not
-    ended, as of ``now``; retranslate puts all chunks back.
+    ended, as of ``now``; retranslate puts all chunks back as if they were new: what they had of
+    translations, attempts, tokens and messages is cleared.
     """
     if job_ids is None:
         picked = jobs.withColumn("_picked", F.lit(True))
@@ -186,7 +189,7 @@ def transition(
     put_back = {
         "resume": ("translating",),
         "retry_failed": ("translating", "failed"),
-        "retranslate": ("translating", "failed", "completed", "skipped"),
+        "retranslate": ("pending", "translating", "failed", "completed", "skipped"),
     }.get(action)
     if put_back:
         # Failed chunks of every picked job are put back, those under way only where a job resumes.
@@ -200,10 +203,18 @@ def transition(
         new_chunks = (
             chunks.join(ids, "job_id", "left")
             .withColumn("_reset", reset)
+            .withColumns(
+                {
+                    c: F.when(F.col("_reset"), F.lit(fresh).cast(chunks.schema[c].dataType)).otherwise(F.col(c))
+                    for c, fresh in FRESH.items()
+                    if action == "retranslate" and c in chunks.columns
+                }
+            )
             .withColumns(
                 {
                     "error_message": F.when(
-                        F.col("_reset") & (status != "translating"), F.lit(None).cast("string")
+                        F.col("_reset") & ((status != "translating") | F.lit(action == "retranslate")),
+                        F.lit(None).cast("string"),
                     ).otherwise(F.col("error_message")),
                     "status": F.when(F.col("_reset"), "pending").otherwise(status),
                 }
@@ -294,3 +305,14 @@ def cascade_delete(
         .withColumn("document_id", F.when(F.col("_gone").isNull(), F.col("document_id")))
         .drop("_gone"),
     }
+
+
+def job_outcome(results: DataFrame, job: str = "job_id") -> DataFrame:
+    """Status of each job after a run: a fatal error fails it, as do failed chunks."""
+    return results.groupBy(job).agg(
+        F.when(F.bool_or("fatal"), "failed")
+        .when(F.count_if(F.col("status") != "completed") > 0, "failed")
+        .otherwise("assembling")
+        .alias("status"),
+        F.max(F.when(F.col("fatal"), F.col("error_message"))).alias("error_message"),
+    )

@@ -16,8 +16,6 @@ BULLET_TEXT = (
 HEADING_RATIO = 1.12
 LEVEL_RATIOS = ((1.7, 1), (1.4, 2), (1.15, 3))
 DEFAULT_BODY_SIZE = 11.0
-SAMPLE_PAGES = 20
-SCAN_SAMPLE_PAGES = 10
 SCAN_CHARS_PER_PAGE = 40.0
 
 
@@ -33,23 +31,15 @@ def weighted_mode(rows: DataFrame, key: str, value: Column, weight: Column, orde
 
 
 def body_sizes(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Font size that most characters of a document have.
-
-    Long documents are judged by twenty evenly spaced pages, by page number.
-    """
-    pages = spans.groupBy(key).agg(F.max("page").alias("_pages"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_pages") / SAMPLE_PAGES))
-    at = F.col("page") - 1
-    sampled = (
+    """Font size that most characters of a document have, over all its pages."""
+    counted = (
         spans.select(key, "page", "block", "line", "span", "size", "text")
-        .join(pages, key)
-        .where((at % step == 0) & (at / step < SAMPLE_PAGES))
         .withColumn("_chars", F.length(strip(F.col("text"))))
         .where("_chars > 0")
     )
     place = F.struct("page", "block", "line", "span")
     return weighted_mode(
-        sampled, key, F.bround("size", 1), F.col("_chars"), place, "body_size"
+        counted, key, F.bround("size", 1), F.col("_chars"), place, "body_size"
     )
 
 
@@ -122,31 +112,20 @@ def classify_layout_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def detect_scanned(page_text: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents (key, page, text, has_image) whose pages hold next to no text.
-
-    The first pages decide; documents that pass are judged again over all pages.
-    """
-    sampled = F.col("page") <= SCAN_SAMPLE_PAGES
+    """Documents (key, page, text, has_image) whose pages hold next to no text, over all pages."""
     chars = F.length(strip(F.coalesce("text", F.lit(""))))
     return (
         page_text.groupBy(key)
         .agg(
-            F.count_if(sampled).alias("pages_sampled"),
-            F.sum(F.when(sampled, chars).otherwise(0)).alias("_sampled_chars"),
-            F.count_if(sampled & F.col("has_image")).alias("pages_with_images"),
             F.count("*").alias("page_count"),
-            F.sum(chars).alias("_chars"),
+            F.count_if("has_image").alias("pages_with_images"),
+            (F.sum(chars) / F.count("*")).alias("_average"),
         )
-        .withColumn("_average", F.col("_sampled_chars") / F.col("pages_sampled"))
         .select(
             key,
-            "pages_sampled",
+            "page_count",
             F.bround("_average", 1).alias("avg_chars_per_page"),
             "pages_with_images",
-            "page_count",
-            (
-                (F.col("_average") < SCAN_CHARS_PER_PAGE)
-                | (F.col("_chars") / F.col("page_count") < SCAN_CHARS_PER_PAGE)
-            ).alias("is_scanned"),
+            (F.col("_average") < SCAN_CHARS_PER_PAGE).alias("is_scanned"),
         )
     )

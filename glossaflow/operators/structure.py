@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaflow.functions import blocks as B
-from glossaflow.functions.text import split_paragraphs, strip
+from glossaflow.functions.text import CUT, collapse_space, strip
 from glossaflow.operators.chunking import chunk_count
 from glossaflow.schema import BLOCKS, HEADING, LIST_ITEM, PARAGRAPH, TABLE
 
@@ -101,8 +101,13 @@ def analyze_documents(
     fallback_title: Column,
     target: int = 4000,
     maximum: int = 6000,
+    scanned: DataFrame | None = None,
 ) -> DataFrame:
-    """Summary of each document with a ``blocks`` array.  No shuffle: all parts are in the row."""
+    """Summary of each document with a ``blocks`` array.  No shuffle: all parts are in the row.
+
+    ``scanned``, from ``detect_scanned``, adds the number of pages and whether they are scans; a
+    document that it does not have has no pages and is none.
+    """
     blocks = F.col("blocks")
     counted = documents.select(
         *keys,
@@ -119,7 +124,7 @@ def analyze_documents(
         B.chapters_of(blocks).alias("chapters"),
         B.title_of(blocks, fallback_title).alias("title"),
     )
-    return counted.withColumn(
+    summary = counted.withColumn(
         "has_extractable_text", F.col("character_count") > 0
     ).withColumn(
         "estimated_translation_units",
@@ -128,3 +133,46 @@ def analyze_documents(
         + F.col("list_item_count")
         + F.col("table_count"),
     )
+    if scanned is None:
+        return summary
+    pages = scanned.select(*keys, "page_count", "is_scanned")
+    return summary.join(pages, list(keys), "left").withColumn(
+        "is_scanned", F.coalesce("is_scanned", F.lit(False))
+    )
+
+
+# Elements whose content is no text, and those that end a block.
+SKIPPED_ELEMENTS = "script|style|noscript|template|head"
+BLOCK_ELEMENTS = (
+    "h[1-6]|p|li|ul|ol|div|article|section|header|footer|main|aside|table|tr|td|th|br|hr|title|body|html"
+)
+_ENTITIES = (("&nbsp;", chr(0xA0)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def html_to_blocks(html: Column) -> Column:
+    """Typed blocks of a page: all text that an element shows, whatever is nested in it.
+
+    Scripts, styles, the head and comments show none.  A block element ends the block before it;
+    other elements only mark up text and leave no trace.  Headings and list items are told by their
+    element, all else is a paragraph.  Runs of white space become one space.
+    """
+    shown = F.regexp_replace(html, "(?s)<!--.*?-->", "")
+    shown = F.regexp_replace(shown, f"(?is)<({SKIPPED_ELEMENTS})\\b[^>]*>.*?</\\1\\s*>", "")
+    # Each start or end of a block element begins a piece.
+    pieces = F.split(F.regexp_replace(shown, f"(?i)</?({BLOCK_ELEMENTS})\\b[^>]*>", f"{CUT}$0"), CUT)
+
+    def block(piece: Column) -> Column:
+        text = F.regexp_replace(piece, "<[^>]*>", "")
+        for name, character in _ENTITIES:
+            text = F.replace(text, F.lit(name), F.lit(character))
+        name = F.lower(F.regexp_extract(piece, "^<([A-Za-z0-9]+)", 1))
+        level = F.when(F.rlike(name, F.lit("^h[1-6]$")), F.substring(name, 2, 1).cast("int"))
+        kind = F.when(level.isNotNull(), HEADING).when(name == "li", LIST_ITEM).otherwise(PARAGRAPH)
+        return B.make_block(
+            kind,
+            strip(collapse_space(text)),
+            level=F.coalesce(level, F.lit(0)),
+            marker=F.when(name == "li", B.BULLET).otherwise(""),
+        )
+
+    return B.with_seq(F.filter(F.transform(pieces, block), lambda b: F.length(b["text"]) > 0))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import blocks as B
 from glossaflow.functions.tables import CELL_SEPARATOR, number_table_rows
-from glossaflow.functions.text import split_sentences
-from glossaflow.operators import alignment, chunking, jobs, translate
+from glossaflow.functions.text import collapse_space, split_sentences
+from glossaflow.operators import alignment, chunking, jobs, quality
 from glossaflow.plans import views as V
-from glossaflow.plans.text_queries import _NUMBERED_SQL, _SENTENCES, ARABIC, LATIN
+from glossaflow.plans.structure_queries import chunk_state
+from glossaflow.plans.text_queries import _NUMBERED_SQL, _SENTENCES
 from glossaflow.plans.views import _WS, with_views
 from glossaflow.session import shared_folder
 from glossaflow.sources import store
@@ -123,13 +124,13 @@ def _cascade(spark, folder):
 
 
 def _sentence_chunks(spark, folder) -> DataFrame:
-    """Documents as one chunk each, translated to one paragraph a sentence."""
-    return V.documents(spark, folder).select(
-        F.col("doc_id").alias("job_id"),
-        F.lit(0).alias("chunk_index"),
-        F.col("text").alias("source_text"),
-        B.text_blocks(F.col("text"), "\n").alias("source_blocks"),
-        F.array_join(split_sentences(F.col("text")), "\n\n").alias("translation"),
+    """Chunks of documents, each translated to one paragraph a sentence."""
+    chunks = chunking.chunk_documents(V.document_blocks(spark, folder), "doc_id", maximum=1000000)
+    return chunks.select(
+        (F.col("doc_id") * 10000 + F.col("chunk_index")).alias("job_id"),
+        "source_text",
+        "source_blocks",
+        F.array_join(F.transform(split_sentences(F.col("source_text")), collapse_space), "\n\n").alias("translation"),
     )
 
 
@@ -170,46 +171,45 @@ def _assembled(spark, folder):
 
 
 def _assembled_order(spark, folder):
-    """The written form of the same: its rows in order, whole."""
+    """The written form of the same, in order; every ninth document lacks a chunk and is held back."""
     chunks = chunking.chunk_documents(
         V.document_blocks(spark, folder), "doc_id", target=600, maximum=1000000
     ).withColumn("translation", F.col("source_text"))
+    status = F.when((F.col("doc_id") % 9 == 0) & (F.col("chunk_index") == 0), "pending").otherwise("completed")
+    complete = quality.completeness(chunks.withColumn("status", status), "doc_id")
     rendered = alignment.render_output_blocks(alignment.align_chunks(chunks, "doc_id", "chunk_index"))
     path = shared_folder(spark, "assembled")
-    store.write_assembled(rendered, path, "doc_id")
+    store.write_assembled(rendered, path, "doc_id", complete)
     return spark.read.parquet(path).select("doc_id", "type", "output_level", "output_text")
 
 
-def _mapped(ask: str) -> tuple[str, int, int, str]:
-    """A translator for tests: letters are exchanged; some texts are left empty the first time."""
-    text = ask.split("\n", 1)[1] if "== REFUSED ==" not in ask else ask.split("\n", 1)[1].split("\n\n== ")[0]
-    if len(text) % 5 == 0 and "== REFUSED ==" not in ask:
-        return " ", 1, 1, "stop"
-    return text.translate(str.maketrans(LATIN, ARABIC)), len(ask), len(text), "stop"
-
-
-def _translate(spark, folder):
-    prompts = V.pairs(spark, folder).withColumn("prompt", F.concat(F.lit("Translate.\n"), "source_text"))
-    done = translate.translate_chunks(
-        prompts, ["job_id", "chunk_index"], _mapped, shared_folder(spark, "calls")
+def _retranslated(spark, folder):
+    """Chunks after a new start: nothing is left of what they had."""
+    _, chunks = jobs.transition(V.jobs(spark, folder), V.order_chunks(spark, folder), "retranslate")
+    return chunks.select(
+        "job_id", "chunk_index", "status", "translation", "attempts", "prompt_tokens_used", "error_message"
     )
-    return done.select("job_id", "chunk_index", "status", "translation", "attempts", "fatal")
 
 
 def _outcome(spark, folder):
     results = V.order_chunks(spark, folder).withColumn(
         "fatal", (F.col("status") == "failed") & (F.col("attempts") == 3)
     )
-    return translate.job_outcome(results)
+    return jobs.job_outcome(results)
 
 
 _ALIGN_SQL = f"""
+    {chunk_state("v_blocks", "doc_id", 4000)},
+    cb AS (SELECT b.doc_id * 10000 + c AS doc_id, b.seq AS old, text,
+                  row_number() OVER (PARTITION BY b.doc_id, c ORDER BY b.seq) - 1 AS seq
+           FROM v_blocks b JOIN st USING (doc_id, seq)),
+    ct AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY old) AS text FROM cb GROUP BY doc_id),
     p AS (SELECT doc_id, s, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n,
                  greatest(length(s), 1) AS len, contains(s, '|') AS pipe, k
-          FROM (SELECT doc_id, trim(s, '{_WS}') AS s, k FROM documents, unnest({_SENTENCES}) WITH ORDINALITY AS u(s, k)
+          FROM (SELECT doc_id, trim(regexp_replace(s, '[{_WS}]+', ' ', 'g'), '{_WS}') AS s, k FROM ct, unnest({_SENTENCES}) WITH ORDINALITY AS u(s, k)
                 WHERE trim(text, '{_WS}') <> '')
           WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
-    b AS (SELECT doc_id, seq, greatest(length(text), 1) AS len, count(*) OVER (PARTITION BY doc_id) AS m FROM v_blocks),
+    b AS (SELECT doc_id, seq, greatest(length(text), 1) AS len, count(*) OVER (PARTITION BY doc_id) AS m FROM cb),
     o AS (SELECT p.doc_id, s, n, len, m, CASE WHEN n = m THEN i ELSE row_number() OVER (PARTITION BY p.doc_id ORDER BY pipe, i) - 1 END AS i
           FROM p JOIN (SELECT DISTINCT doc_id, m FROM b) USING (doc_id)),
     mid AS (SELECT *, (sum(len) OVER (PARTITION BY doc_id ORDER BY i) - len + len / 2.0::DOUBLE) / (sum(len) OVER (PARTITION BY doc_id)) AS mid FROM o),
@@ -418,6 +418,7 @@ QUERIES = {
             SELECT r.doc_id AS job_id, CAST(seq AS INTEGER) AS block_pos, string_agg(s, chr(10) || chr(10) ORDER BY i) AS translated
             FROM ranges r LEFT JOIN o ON o.doc_id = r.doc_id AND i >= begin AND i < stop GROUP BY r.doc_id, seq""",
             "v_blocks",
+            recursive=True,
         ),
     ),
     "render_output_blocks": (
@@ -444,16 +445,21 @@ QUERIES = {
     "write_assembled": (
         _assembled_order,
         with_views(
-            "SELECT doc_id, type, CASE WHEN type = 'heading' THEN level ELSE 0 END AS output_level, text AS output_text FROM v_blocks",
+            """SELECT doc_id, type, CASE WHEN type = 'heading' THEN level ELSE 0 END AS output_level, text AS output_text
+               FROM v_blocks WHERE doc_id % 9 <> 0""",
             "v_blocks",
         ),
     ),
-    "translate_chunks": (
-        _translate,
+    "retranslated_chunks": (
+        _retranslated,
         with_views(
-            f"""SELECT job_id, chunk_index, 'completed' AS status, translate(trim(source_text, '{_WS}'), '{LATIN}', '{ARABIC}') AS translation,
-                      CASE WHEN length(source_text) % 5 = 0 THEN 2 ELSE 1 END AS attempts, false AS fatal FROM v_pairs""",
-            "v_pairs",
+            """SELECT job_id, chunk_index, CASE WHEN j.id IS NULL THEN c.status ELSE 'pending' END AS status,
+                      CASE WHEN j.id IS NULL THEN translation END AS translation,
+                      CASE WHEN j.id IS NULL THEN attempts ELSE 0 END AS attempts,
+                      CASE WHEN j.id IS NULL THEN prompt_tokens_used ELSE 0 END AS prompt_tokens_used,
+                      CASE WHEN j.id IS NULL THEN error_message END AS error_message
+               FROM v_order_chunks c LEFT JOIN v_jobs j ON j.id = job_id""",
+            "v_order_chunks", "v_jobs",
         ),
     ),
     "job_outcome": (

@@ -12,13 +12,39 @@ from glossaflow.sources import files, store, terms_csv
 from glossaflow.streaming import status as S
 
 
-def _stream(spark, folder, name) -> DataFrame:
-    schema = V.table(spark, folder, name).schema
-    return S.read_stream(spark, folder, schema, f"{name}.parquet")
+#: Parts in which a table arrives, each at least one micro-batch.
+PARTS = 4
+
+
+def _fed(spark, rows: DataFrame, run) -> DataFrame:
+    """What a stream has written after rows arrived by their ``_part``, one part after the other.
+
+    ``run`` takes the stream and starts it anew from where it was.
+    """
+    path = shared_folder(spark, "arrivals")
+    found = None
+    for k in range(PARTS):
+        rows.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(path)
+        found = run(S.read_stream(spark, path, rows.drop("_part").schema))
+    return found
+
+
+def _arrivals(rows: DataFrame, key: str, late: bool = False, again: bool = False) -> DataFrame:
+    """Rows with the part they arrive in: by key; every tenth a part late, every seventh once more."""
+    most = rows.agg(F.max(key)).scalar()
+    part = F.floor(F.col("_k") * PARTS / (F.col("_most") + 1)).cast("int")
+    delayed = F.least(part + F.when(F.lit(late) & (F.col("_k") % 10 == 0), 1).otherwise(0), F.lit(PARTS - 1))
+    repeated = F.when(F.lit(again) & (F.col("_k") % 7 == 0), F.lit(PARTS - 1))
+    return (
+        rows.withColumn("_k", F.col(key))
+        .withColumn("_most", most)
+        .withColumn("_part", F.explode(F.array_compact(F.array(delayed, repeated))))
+        .drop("_k", "_most")
+    )
 
 
-def _events(spark, folder) -> DataFrame:
-    return V.as_status(_stream(spark, folder, "events"))
+def _events(spark, folder, again: bool = False) -> DataFrame:
+    return _arrivals(V.table(spark, folder, "events"), "event_id", late=True, again=again)
 
 
 def _local(rows: DataFrame, *columns: str) -> DataFrame:
@@ -26,41 +52,54 @@ def _local(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def _latest(spark, folder):
-    latest = S.stream_latest_status(
-        _events(spark, folder), "job_id", "chunk_index", shared_folder(spark, "status")
+    out = shared_folder(spark, "status")
+    latest = _fed(
+        spark,
+        _events(spark, folder, again=True),
+        lambda rows: S.stream_latest_status(V.as_status(rows), "job_id", "chunk_index", out),
     )
     return _local(latest, "updated_at")
 
 
 def _progress(spark, folder):
-    return _local(
-        S.stream_progress(_events(spark, folder), "job_id", shared_folder(spark, "progress")), "window_start"
-    )
+    """A part spans about a week, so rows that come a part late are within the delay."""
+    out = shared_folder(spark, "progress")
+    run = lambda rows: S.stream_progress(V.as_status(rows), "job_id", out, delay="12 days")
+    return _local(_fed(spark, _events(spark, folder), run), "window_start")
 
 
 def _errors(spark, folder):
-    errors = _events(spark, folder).where("status = 'failed'").select(
-        "ts",
-        F.when(F.col("value") > 20, "api_error").otherwise("worker_error").alias("error_type"),
-        F.when(F.col("value") > 10, "error").otherwise("warning").alias("severity"),
-    )
-    return _local(S.stream_errors(errors, shared_folder(spark, "errors")), "window_start")
+    out = shared_folder(spark, "errors")
+
+    def run(rows):
+        errors = V.as_status(rows).where("status = 'failed'").select(
+            "ts",
+            F.when(F.col("value") > 20, "api_error").otherwise("worker_error").alias("error_type"),
+            F.when(F.col("value") > 10, "error").otherwise("warning").alias("severity"),
+        )
+        return S.stream_errors(errors, out, delay="12 days")
+
+    return _local(_fed(spark, _events(spark, folder), run), "window_start")
 
 
 def _dedup(spark, folder):
-    results = _events(spark, folder).where("status = 'completed'")
-    return S.stream_dedup_results(
-        results, ["job_id", "chunk_index"], shared_folder(spark, "results"), "3650 days"
-    ).select("job_id", "chunk_index", "status")
+    out = shared_folder(spark, "results")
+    keys = ["job_id", "chunk_index"]
+    run = lambda rows: S.stream_dedup_results(V.as_status(rows).where("status = 'completed'"), keys, out)
+    return _fed(spark, _events(spark, folder, again=True), run).select(*keys, "status")
 
 
 def _upsert(spark, folder):
-    pairs = _stream(spark, folder, "documents").select(
-        "doc_id", F.col("text").alias("source_text"), F.concat("lang", F.lit(": "), "text").alias("translation")
-    )
-    return S.stream_tm_upsert(pairs, ["doc_id"], shared_folder(spark, "memory")).select(
-        "source_hash", "target_text", "use_count"
-    )
+    out = shared_folder(spark, "memory")
+
+    def run(rows):
+        pairs = rows.select(
+            "doc_id", F.col("text").alias("source_text"), F.concat("lang", F.lit(": "), "text").alias("translation")
+        )
+        return S.stream_tm_upsert(pairs, ["doc_id"], out)
+
+    documents = _arrivals(V.table(spark, folder, "documents"), "doc_id")
+    return _fed(spark, documents, run).select("source_hash", "target_text", "use_count")
 
 
 def _text_files(spark, folder) -> str:
@@ -82,11 +121,6 @@ def _inventory(spark, folder):
     ).agg(F.sum("length").alias("bytes"))
 
 
-def _given_files(spark, folder):
-    """The files of the given tables; none is of a type that can be translated."""
-    return files.file_inventory(spark, folder).select("name", "length", "extension", "verdict")
-
-
 def _stale(spark, folder):
     tomorrow = F.current_timestamp() + F.make_dt_interval(F.lit(2))
     return files.stale_files(spark, _text_files(spark, folder), 24, tomorrow).agg(
@@ -171,7 +205,6 @@ QUERIES = {
         _inventory,
         "SELECT '.txt' AS extension, '.txt' AS found, 'ok' AS verdict, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents",
     ),
-    "file_inventory_of_tables": (_given_files, None),
     "stale_files": (_stale, "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents"),
     "read_terms_csv": (
         _read_csv,

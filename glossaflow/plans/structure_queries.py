@@ -23,7 +23,7 @@ def _text_blocks(spark, folder):
 def _markdown_blocks(spark, folder):
     """Pages written out as marked-up text and read back."""
     line = lambda b: F.concat(
-        F.when(b["type"] == "heading", "# ").when(b["type"] == "list_item", "- ").otherwise(""),
+        F.when(b["type"] == "heading", F.concat(F.repeat(F.lit("#"), b["level"]), F.lit(" "))).when(b["type"] == "list_item", "- ").otherwise(""),
         F.regexp_replace(b["text"], "\\s+", " "),
     )
     text = F.array_join(F.transform("blocks", line), "\n\n")
@@ -76,8 +76,8 @@ def _layout_blocks(spark, folder):
     )
 
 
-def _scanned(spark, folder):
-    pages = (
+def _paged(spark, folder):
+    return (
         _spans(spark, folder)
         .groupBy("doc_id", "page")
         .agg(
@@ -90,7 +90,10 @@ def _scanned(spark, folder):
         )
         .withColumn("has_image", F.col("page") % 2 == 0)
     )
-    return layout.detect_scanned(pages)
+
+
+def _scanned(spark, folder):
+    return layout.detect_scanned(_paged(spark, folder))
 
 
 def _block_counts(spark, folder):
@@ -117,6 +120,7 @@ def _analyze(spark, folder):
         fallback_title=F.concat(F.lit("document "), F.col("doc_id").cast("string")),
         target=SMALL["target"],
         maximum=1000000,
+        scanned=_scanned(spark, folder),
     ).withColumn("chapters", F.array_join("chapters", "|"))
 
 
@@ -198,7 +202,7 @@ def _chunks_split(spark, folder):
 def structure_page(spark, folder):
     from glossaflow.operators.jobs import document_structure
 
-    return document_structure(V.page_blocks(spark, folder), "page_id", limit=10).select(
+    return document_structure(V.page_blocks(spark, folder), "page_id").select(
         "page_id", "total_blocks", "seq", "type", "text"
     )
 
@@ -291,13 +295,14 @@ QUERIES = {
     "markdown_to_blocks": (
         _markdown_blocks,
         with_views(
-            """SELECT page_id, seq, CASE WHEN caps THEN 'heading' ELSE type END AS type, text,
-                      CASE WHEN caps THEN 2 ELSE level END AS level,
-                      CASE type WHEN 'list_item' THEN '•' ELSE '' END AS marker
-               FROM (SELECT page_id, seq, type, level, regexp_replace(text, '\\s+', ' ', 'g') AS text,
-                            type = 'paragraph' AND length(text) <= 100 AND upper(text) = text
-                              AND lower(text) <> text AND NOT regexp_matches(text, '[.:؟]$') AS caps
-                     FROM v_page_blocks)""",
+            """SELECT page_id, seq, CASE WHEN caps THEN 'heading' ELSE type END AS type,
+                      CASE WHEN caps THEN line ELSE text END AS text, CASE WHEN caps THEN 2 ELSE level END AS level,
+                      CASE WHEN type = 'list_item' AND NOT caps THEN '•' ELSE '' END AS marker
+               FROM (SELECT *, type <> 'heading' AND length(line) <= 100 AND upper(line) = line
+                              AND lower(line) <> line AND NOT regexp_matches(line, '[.:؟]$') AS caps
+                     FROM (SELECT page_id, seq, type, level, regexp_replace(text, '\\s+', ' ', 'g') AS text,
+                                  CASE type WHEN 'list_item' THEN '- ' ELSE '' END || regexp_replace(text, '\\s+', ' ', 'g') AS line
+                           FROM v_page_blocks))""",
             "v_page_blocks",
         ),
     ),
@@ -314,11 +319,9 @@ QUERIES = {
     "classify_layout_spans": (
         _layout_blocks,
         f"""WITH {_SPANS_SQL},
-            pages AS (SELECT doc_id, greatest(1, max(page) // 20) AS step FROM spans GROUP BY doc_id),
             sizes AS (
               SELECT doc_id, size, sum(length(trim(text, '{_WS}'))) AS w, min(block) AS f
-              FROM spans JOIN pages USING (doc_id)
-              WHERE (page - 1) % step = 0 AND (page - 1) / step < 20 AND trim(text, '{_WS}') <> '' GROUP BY doc_id, size),
+              FROM spans WHERE trim(text, '{_WS}') <> '' GROUP BY doc_id, size),
             body AS (SELECT doc_id, arg_min(size, (-w, f)) AS body FROM sizes GROUP BY doc_id)
             SELECT doc_id, CAST(page AS INTEGER) AS page,
                    row_number() OVER (PARTITION BY doc_id ORDER BY page, block) - 1 AS seq,
@@ -334,13 +337,16 @@ QUERIES = {
         f"""WITH {_SPANS_SQL},
             pages AS (SELECT doc_id, page, length(trim(string_agg(text, chr(10) ORDER BY block), '{_WS}')) AS n
                       FROM spans GROUP BY doc_id, page)
-            SELECT doc_id, count(*) FILTER (WHERE page <= 10) AS pages_sampled,
-                   round_even(sum(n) FILTER (WHERE page <= 10) / (count(*) FILTER (WHERE page <= 10))::DOUBLE, 1) AS avg_chars_per_page,
-                   count(*) FILTER (WHERE page <= 10 AND page % 2 = 0) AS pages_with_images,
-                   count(*) AS page_count,
-                   sum(n) FILTER (WHERE page <= 10) / (count(*) FILTER (WHERE page <= 10)) < 40 OR sum(n) / count(*) < 40 AS is_scanned
+            SELECT doc_id, count(*) AS page_count, round_even(sum(n) / count(*)::DOUBLE, 1) AS avg_chars_per_page,
+                   count(*) FILTER (WHERE page % 2 = 0) AS pages_with_images, sum(n) / count(*) < 40 AS is_scanned
             FROM pages GROUP BY doc_id""",
     ),
+    "html_to_blocks": (
+        lambda s, f: structure.explode_blocks(V.page_blocks(s, f), "page_id").select(
+            "page_id", "seq", "type", "text", "level"
+        ),
+        with_views("SELECT page_id, seq, type, text, level FROM v_page_blocks", "v_page_blocks"),
+    ),
     "block_counts": (
         _block_counts,
         with_views(
@@ -355,7 +361,7 @@ QUERIES = {
     "detect_title": (
         _titles,
         with_views(
-            """SELECT doc_id, coalesce(left(arg_min(text, seq) FILTER (WHERE type = 'heading'), 300),
+            """SELECT doc_id, coalesce(arg_min(text, seq) FILTER (WHERE type = 'heading'),
                       arg_min(text, seq) FILTER (WHERE length(text) <= 120), 'document ' || doc_id) AS title
                FROM v_blocks GROUP BY doc_id""",
             "v_blocks",
@@ -364,9 +370,9 @@ QUERIES = {
     "chapters": (
         _chapters,
         with_views(
-            """SELECT page_id, CAST(k - 1 AS INTEGER) AS chapter_index, left(text, 200) AS chapter
+            """SELECT page_id, CAST(k - 1 AS INTEGER) AS chapter_index, text AS chapter
                FROM (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS k
-                     FROM v_page_blocks WHERE type = 'heading' AND level = 1) WHERE k <= 50""",
+                     FROM v_page_blocks WHERE type = 'heading' AND level = 1)""",
             "v_page_blocks",
         ),
     ),
@@ -374,20 +380,25 @@ QUERIES = {
         _analyze,
         with_views(
             f"""{chunk_state("v_blocks", "doc_id", 600)},
+            {_SPANS_SQL},
+            pages AS (SELECT doc_id, page, length(trim(string_agg(text, chr(10) ORDER BY block), '{_WS}')) AS n
+                      FROM spans GROUP BY doc_id, page),
+            scans AS (SELECT doc_id, count(*) AS page_count, sum(n) / count(*) < 40 AS is_scanned FROM pages GROUP BY doc_id),
             a AS (SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS character_count,
                      count(*) FILTER (WHERE type = 'heading') AS heading_count,
                      count(*) FILTER (WHERE type = 'paragraph') AS paragraph_count,
-                     coalesce(left(arg_min(text, seq) FILTER (WHERE type = 'heading'), 300),
+                     coalesce(arg_min(text, seq) FILTER (WHERE type = 'heading'),
                        arg_min(text, seq) FILTER (WHERE length(text) <= 120), 'document ' || doc_id) AS title,
-                     coalesce(string_agg(left(text, 200), '|' ORDER BY seq) FILTER (WHERE level = 1), '') AS chapters
+                     coalesce(string_agg(text, '|' ORDER BY seq) FILTER (WHERE level = 1), '') AS chapters
                   FROM v_blocks GROUP BY doc_id)
             SELECT d.doc_id, coalesce(character_count, 0) AS character_count, coalesce(heading_count, 0) AS heading_count,
                    coalesce(paragraph_count, 0) AS paragraph_count, 0 AS table_count, 0 AS list_item_count,
                    coalesce(max(c) + 1, 0) AS estimated_chunks, coalesce(chapters, '') AS chapters,
                    coalesce(title, 'document ' || d.doc_id) AS title,
                    coalesce(character_count, 0) > 0 AS has_extractable_text,
-                   coalesce(heading_count, 0) + coalesce(paragraph_count, 0) AS estimated_translation_units
-            FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN st USING (doc_id)
+                   coalesce(heading_count, 0) + coalesce(paragraph_count, 0) AS estimated_translation_units,
+                   page_count, coalesce(is_scanned, false) AS is_scanned
+            FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN st USING (doc_id) LEFT JOIN scans USING (doc_id)
             GROUP BY ALL""",
             "v_blocks",
             recursive=True,
@@ -437,8 +448,8 @@ QUERIES = {
                     last_value(CASE WHEN level = 1 THEN text END IGNORE NULLS) OVER w AS chap,
                     last_value(CASE WHEN level = 1 THEN '' WHEN type = 'heading' THEN text END IGNORE NULLS) OVER w AS sec
                   FROM b JOIN st USING (page_id, seq) WINDOW w AS (PARTITION BY page_id ORDER BY b.seq))
-            SELECT page_id, c AS chunk_index, left(coalesce(arg_min(chap, seq), ''), 500) AS chapter,
-                   left(coalesce(arg_max(sec, seq), ''), 500) AS section, -1 AS page_start, -1 AS page_end,
+            SELECT page_id, c AS chunk_index, coalesce(arg_min(chap, seq), '') AS chapter,
+                   coalesce(arg_max(sec, seq), '') AS section, -1 AS page_start, -1 AS page_end,
                    CAST(sum(length(text) + 2) - 2 AS BIGINT) AS char_count
             FROM h GROUP BY page_id, c""",
             "v_page_blocks",
@@ -449,7 +460,7 @@ QUERIES = {
         structure_page,
         with_views(
             """SELECT page_id, total_blocks, seq, type, text
-               FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS total_blocks FROM v_page_blocks) WHERE seq < 10""",
+               FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS total_blocks FROM v_page_blocks)""",
             "v_page_blocks",
         ),
     ),

@@ -9,6 +9,8 @@ from glossaflow.operators import context, memory, quality, terms
 from glossaflow.plans import views as V
 from glossaflow.plans.views import _WS, with_views
 
+#: Terms that go with a prompt.
+PROMPT_TERMS = 60
 # Our own default entries.
 DEFAULTS = (
     ("glossary", "Education"),
@@ -186,7 +188,7 @@ def _neighbours(spark, folder):
 
 def _all_turns(spark, folder):
     """Every turn of a conversation as a chunk, so that neighbours exist."""
-    return V.text_table(spark, folder, "conversations").select(
+    return V.table(spark, folder, "conversations").select(
         F.col("conv_id").alias("job_id"),
         F.col("turn").alias("chunk_index"),
         F.col("text").alias("source_text"),
@@ -213,7 +215,7 @@ def _prompts(spark, folder):
         }
     )
     found = terms.relevant_terms(
-        chunks.select(*keys, "source_text"), keys, "source_text", V.terms(spark, folder), ["General"], cap=3
+        chunks.select(*keys, "source_text"), keys, "source_text", V.terms(spark, folder), ["General"], cap=PROMPT_TERMS
     )
     remembered = memory.tm_exact(
         chunks.select(*keys, "source_text"), keys, "source_text",
@@ -581,7 +583,7 @@ QUERIES = {
                     FROM (SELECT job_id, chunk_index, english, alternative,
                                  row_number() OVER (PARTITION BY job_id, chunk_index ORDER BY length(english) DESC, id) AS k
                           FROM turns JOIN v_terms ON contains(lower(source_text), english) WHERE active AND domain = 'General')
-                    WHERE k <= 3 GROUP BY job_id, chunk_index),
+                    WHERE k <= 60 GROUP BY job_id, chunk_index),
             hp AS (SELECT *, sha256(lower(regexp_replace(trim(source_text, '{_WS}'), '[{_WS}]+', ' ', 'g'))) AS h FROM v_pairs
                    WHERE trim(source_text, '{_WS}') <> '' AND trim(translation, '{_WS}') <> ''),
             mem AS (SELECT h, trim(arg_min(source_text, (job_id, chunk_index)), '{_WS}') AS src,

@@ -10,26 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaflow.functions import blocks as B
-from glossaflow.functions.text import WHITESPACE, strip
+from glossaflow.functions.text import WHITESPACE
+from glossaflow.operators.structure import BLOCK_ELEMENTS, SKIPPED_ELEMENTS, html_to_blocks
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table whose rows are costly.
-
-    One small file gives fewer splits than cores; only then are the rows spread.  A large input has
-    more splits than cores and is left as it is.
-    """
-    rows = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return text_table(spark, folder, "documents").select("doc_id", "text")
+    return table(spark, folder, "documents").select("doc_id", "text")
 
 
 def document_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,24 +30,9 @@ def document_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages with blocks: headings, paragraphs and list items by their tags."""
-    pattern = F.lit("<(h1|p|li)>([^<]*)")
-    tags = F.regexp_extract_all("html", pattern, F.lit(1))
-    texts = F.regexp_extract_all("html", pattern, F.lit(2))
-    pairs = F.filter(
-        F.zip_with(tags, texts, lambda t, x: F.struct(t.alias("tag"), strip(x).alias("text"))),
-        lambda p: F.length(p["text"]) > 0,
-    )
-    block = lambda p: B.make_block(
-        F.when(p["tag"] == "h1", "heading").when(p["tag"] == "li", "list_item").otherwise(
-            "paragraph"
-        ),
-        p["text"],
-        level=F.when(p["tag"] == "h1", 1).otherwise(0),
-        marker=F.when(p["tag"] == "li", B.BULLET).otherwise(""),
-    )
-    return text_table(spark, folder, "pages").select(
-        "page_id", "url", B.with_seq(F.transform(pairs, block)).alias("blocks")
+    """Pages with the blocks of their HTML."""
+    return table(spark, folder, "pages").select(
+        "page_id", "url", html_to_blocks(F.col("html")).alias("blocks")
     )
 
 
@@ -76,7 +51,7 @@ def table_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Source and translation: a turn of the user and the answer that follows it."""
-    turns = text_table(spark, folder, "conversations")
+    turns = table(spark, folder, "conversations")
     source = turns.where("role = 'user'").select(
         F.col("conv_id").alias("job_id"),
         F.col("turn").alias("chunk_index"),
@@ -114,7 +89,7 @@ def terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def memory_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as sources, in order of their number."""
-    return text_table(spark, folder, "documents").select(
+    return table(spark, folder, "documents").select(
         "doc_id",
         F.col("text").alias("source_text"),
         F.concat("lang", F.lit(": "), "text").alias("translation"),
@@ -230,6 +205,22 @@ def job_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 # The same views as SQL, as the body of a common table expression.
 _WS = WHITESPACE.replace("'", "''")
+
+
+def _shown(html: str) -> str:
+    """Without comments and elements that show no text."""
+    shown = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
+    for name in SKIPPED_ELEMENTS.split("|"):
+        shown = f"regexp_replace({shown}, '(?is)<{name}\\b[^>]*>.*?</{name}\\s*>', '', 'g')"
+    return shown
+
+
+def _unescaped(text: str) -> str:
+    for name, code in (("&nbsp;", 160), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&amp;", 38)):
+        text = f"replace({text}, '{name.replace(chr(39), chr(39) * 2)}', chr({code}))"
+    return text
+
+
 SQL = {
     "v_blocks": f"""
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS seq,
@@ -244,14 +235,13 @@ SQL = {
               WHERE line <> '')""",
     "v_page_blocks": f"""
         SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS seq,
-               CASE tag WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'list_item' ELSE 'paragraph' END AS type,
-               text, CASE tag WHEN 'h1' THEN 1 ELSE 0 END AS level
-        FROM (SELECT page_id, trim(x, '{_WS}') AS text, tag, pos
-              FROM (SELECT page_id,
-                           unnest(regexp_extract_all(html, '<(h1|p|li)>([^<]*)', 2)) AS x,
-                           unnest(regexp_extract_all(html, '<(h1|p|li)>([^<]*)', 1)) AS tag,
-                           unnest(range(len(regexp_extract_all(html, '<(h1|p|li)>([^<]*)', 1)))) AS pos
-                    FROM pages))
+               CASE WHEN regexp_matches(name, '^h[1-6]$') THEN 'heading' WHEN name = 'li' THEN 'list_item' ELSE 'paragraph' END AS type,
+               text, CASE WHEN regexp_matches(name, '^h[1-6]$') THEN CAST(name[2:2] AS INTEGER) ELSE 0 END AS level
+        FROM (SELECT page_id, pos, lower(regexp_extract(piece, '^<([A-Za-z0-9]+)', 1)) AS name,
+                     trim(regexp_replace({_unescaped("regexp_replace(piece, '<[^>]*>', '', 'g')")}, '[{_WS}]+', ' ', 'g'), '{_WS}') AS text
+              FROM (SELECT page_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS pos
+                    FROM (SELECT page_id, string_split(regexp_replace({_shown("html")}, '(?i)</?({BLOCK_ELEMENTS})\\b[^>]*>', chr(1) || '\\0', 'g'), chr(1)) AS pieces
+                          FROM pages)))
         WHERE text <> ''""",
     "v_pairs": """
         SELECT s.conv_id AS job_id, s.turn AS chunk_index, s.text AS source_text, a.text AS translation

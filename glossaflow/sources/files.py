@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import datetime
+import os
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaflow.functions.names import extension_verdict, file_suffix
 
-# Size limit, how much of a file is looked at, and first bytes of known types.
+# Size limit, and first bytes of known types.
 MAX_FILE_BYTES = 100 * 1024 * 1024
-HEAD_BYTES = 64 * 1024
 MAGIC = (("%PDF", ".pdf"), ("PK\x03\x04", ".docx"))
 FALLBACK_CODE_PAGES = ("cp1256", "cp1252", "latin-1")
 
@@ -35,12 +35,6 @@ def decode_code_page(content: pd.Series) -> pd.Series:
     return content.map(decode)
 
 
-@F.pandas_udf(T.StringType())
-def compatibility_form(name: pd.Series) -> pd.Series:
-    """Unicode compatibility form of file names."""
-    return name.str.normalize("NFKC")
-
-
 def file_name(path: Column) -> Column:
     return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
 
@@ -62,35 +56,74 @@ def decode_files(files: DataFrame) -> DataFrame:
     ).drop("content", "_other")
 
 
+def within_limit(files: DataFrame) -> DataFrame:
+    """The files with their content, null for those over the size limit, which are not opened.
+
+    The content of the others comes from a reading of its own, so that the limit reaches the source.
+    """
+    small = files.where(F.col("length") <= MAX_FILE_BYTES).select("path", "length", "content")
+    large = files.where(F.col("length") > MAX_FILE_BYTES).select(
+        "path", "length", F.lit(None).cast("binary").alias("content")
+    )
+    return small.unionByName(large)
+
+
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, text) of the files of a folder.  Files over the size limit are not opened."""
-    files = _files(spark, path).where(F.col("length") <= MAX_FILE_BYTES)
-    return decode_files(files.select("path", "content")).select(
-        "path", file_name(F.col("path")).alias("name"), "text"
+    """(path, name, length, text, verdict) of the files of a folder.
+
+    A file over the size limit is not opened: its text is null and its verdict ``too_large``.
+    """
+    verdict = F.when(F.col("length") > MAX_FILE_BYTES, "too_large").otherwise("ok")
+    return decode_files(within_limit(_files(spark, path))).select(
+        "path", file_name(F.col("path")).alias("name"), "length", "text", verdict.alias("verdict")
     )
 
 
+_LISTED = "path string, modificationTime timestamp, length long, folder boolean"
+
+
+def _children(spark: SparkSession, folders: DataFrame) -> DataFrame:
+    """What lies directly in folders (column ``path``), listed by the executors."""
+
+    def listed(batches):
+        for batch in batches:
+            for root in batch["path"]:
+                system, place = pafs.FileSystem.from_uri(root.replace("file:/", "file:///", 1) if root.startswith("file:/") and "://" not in root else root)
+                head = root.removesuffix(place)
+                entries = [
+                    (head + e.path, e.mtime, e.size or 0, e.type == pafs.FileType.Directory)
+                    for e in system.get_file_info(pafs.FileSelector(place))
+                    if not e.base_name.startswith(("_", "."))
+                ]
+                yield pd.DataFrame(entries, columns=["path", "modificationTime", "length", "folder"])
+
+    found = folders.select("path").mapInPandas(listed, _LISTED)
+    # Written as Spark's file sources write paths.
+    return found.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+
+
 def _empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """Empty files, which Spark's file sources pass over.  Names starting with _ or . are hidden."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    listing, found = system.listFiles(root, True), []
-    while listing.hasNext():
-        status = listing.next()
-        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
-            changed = datetime.datetime.fromtimestamp(
-                status.getModificationTime() / 1000, datetime.timezone.utc
-            )
-            found.append((status.getPath().toString(), changed, 0))
-    return spark.createDataFrame(found, "path string, modificationTime timestamp, length long")
+    """Empty files, which Spark's file sources pass over.  Names starting with _ or . are hidden.
+
+    The tree is listed level by level, the folders of a level by as many tasks as there are; only
+    whether a level has folders reaches the driver.
+    """
+    root = path if "://" in path else f"file://{os.path.abspath(path)}"
+    level, empty = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        found = _children(spark, level).cache()
+        here = found.where("NOT folder AND length = 0").drop("folder")
+        empty = here if empty is None else empty.unionByName(here)
+        level = found.where("folder").select("path").repartition("path")
+        if level.isEmpty():
+            return empty
 
 
 def file_inventory(spark: SparkSession, path: str, include_empty: bool = True) -> DataFrame:
     """Each file with its size, claimed and found type, and whether it is accepted.
 
-    Only files that pass the checks on name and size are opened.  ``include_empty`` asks the file
-    system for empty files too, one listing on the driver; of a folder known to have none it can be
-    left out.
+    Only files that pass the checks on name and size are opened.  ``include_empty`` lists the folder
+    for empty files too; of a folder known to have none it can be left out.
     """
     names = _files(spark, path).select("path", "modificationTime", "length")
     if include_empty:
@@ -105,7 +138,6 @@ def file_inventory(spark: SparkSession, path: str, include_empty: bool = True) -
     opened = _files(spark, path).where(
         (F.col("length") > 0) & (F.col("length") <= MAX_FILE_BYTES)
     ).where(extension_verdict(file_name(F.col("path"))) == "ok")
-    head = F.substring("content", 1, HEAD_BYTES)
     start = F.substring("content", 1, 4)
     kind = None
     for magic, extension in MAGIC:
@@ -114,7 +146,7 @@ def file_inventory(spark: SparkSession, path: str, include_empty: bool = True) -
     # Single-byte code pages decode any bytes, so what has no known start is text if claimed so.
     claimed = F.lower(file_suffix(file_name(F.col("path"))))
     sniffed = opened.select(
-        "path", kind.when(claimed == ".txt", ".txt").alias("found"), F.is_valid_utf8(head).alias("utf8")
+        "path", kind.when(claimed == ".txt", ".txt").alias("found"), F.is_valid_utf8("content").alias("utf8")
     )
     verdict = (
         F.when(F.col("name_verdict") != "ok", F.col("name_verdict"))

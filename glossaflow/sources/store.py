@@ -72,5 +72,15 @@ def assembled_texts(rendered: DataFrame, key: str) -> DataFrame:
     )
 
 
-def write_assembled(rendered: DataFrame, path: str, key: str = "job_id") -> None:
-    assembled_blocks(rendered, key).write.parquet(path)
+def held_back(rendered: DataFrame, complete: DataFrame, key: str = "job_id") -> DataFrame:
+    """The blocks of the jobs that can be assembled; ``complete`` is a completeness report."""
+    ready = complete.where("reason IS NULL").select(key)
+    return rendered.join(ready, key, "left_semi")
+
+
+def write_assembled(
+    rendered: DataFrame, path: str, key: str = "job_id", complete: DataFrame | None = None
+) -> None:
+    """Write output blocks in order; with ``complete``, of jobs without a reason against it only."""
+    ready = rendered if complete is None else held_back(rendered, complete, key)
+    assembled_blocks(ready, key).write.parquet(path)

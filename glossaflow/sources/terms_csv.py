@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaflow.functions.text import strip
-from glossaflow.sources.files import MAX_FILE_BYTES, _files, decode_files
+from glossaflow.sources.files import MAX_FILE_BYTES, _files, decode_files, within_limit
 
-# Column names of dictionary files, and how many errors a report lists.
+# Column names of dictionary files.
 HEADER = ("English", "Arabic", "Domain", "Definition", "Alternatives")
 TARGET_NAMES = ("arabic", "arabic_term")
-ERRORS_LISTED = 50
 
 _RECORD = r'(?:[^"\r\n]++|"[^"]*+")++'
 _CELL = r',((?:[^",]++|"[^"]*+")*+)'
@@ -30,11 +29,11 @@ def read_terms_csv(spark: SparkSession, path: str, existing: DataFrame | None =
     """Accepted, rejected and skipped rows of dictionary files.
 
     Columns are found by name if the first row names them, by place otherwise.  Skipped are rows
-    whose term and domain, regardless of case, are in ``existing`` or came earlier.
+    whose term and domain, regardless of case, are in ``existing`` or came earlier.  A file over the
+    size limit is not opened and rejected as line 0.
     """
-    texts = decode_files(
-        _files(spark, path).where(F.col("length") <= MAX_FILE_BYTES).select("path", "content")
-    )
+    files = _files(spark, path)
+    texts = decode_files(within_limit(files)).where("text IS NOT NULL")
     records = F.filter(
         F.transform(F.regexp_extract_all("text", F.lit(_RECORD), F.lit(0)), _cells),
         lambda cells: F.exists(cells, lambda c: F.length(strip(c)) > 0),
@@ -79,6 +78,10 @@ def read_terms_csv(spark: SparkSession, path: str, existing: DataFrame | None =
     )
     judged = parsed.withColumn("reason", reason).drop("short")
     rejected = judged.where("reason is not null").select("path", "line", "reason")
+    too_large = files.where(F.col("length") > MAX_FILE_BYTES).select(
+        "path", F.lit(0).alias("line"), F.lit("file too large").alias("reason")
+    )
+    rejected = rejected.unionByName(too_large)
     key = ["_term", "_domain"]
     good = judged.where("reason is null").drop("reason").withColumns(
         {"_term": F.lower("english"), "_domain": F.lower("domain")}
@@ -99,16 +102,21 @@ def read_terms_csv(spark: SparkSession, path: str, existing: DataFrame | None =
     return accepted, rejected, skipped
 
 
-def import_report(accepted: DataFrame, rejected: DataFrame, skipped: DataFrame) -> DataFrame:
-    """Numbers of an import, with the first errors."""
-    errors = (
-        rejected.orderBy("path", "line")
-        .limit(ERRORS_LISTED)
-        .agg(F.array_sort(F.collect_list(F.struct("line", "reason"))).alias("errors"))
+def import_report(
+    accepted: DataFrame, rejected: DataFrame, skipped: DataFrame, listed: int | None = None
+) -> DataFrame:
+    """Numbers of an import, with all errors or the first ones."""
+    first = rejected if listed is None else rejected.orderBy("path", "line").limit(listed)
+    errors = first.agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("path", "line", "reason"))),
+            lambda e: F.struct(e["line"].alias("line"), e["reason"].alias("reason")),
+        ).alias("errors")
     )
     return errors.select(
         accepted.agg(F.count("*")).scalar().alias("imported"),
         skipped.agg(F.count("*")).scalar().alias("skipped_duplicates"),
+        rejected.agg(F.count("*")).scalar().alias("rejected"),
         "errors",
     )
 

@@ -1,8 +1,11 @@
 """Streaming versions of the status and memory tables.
 
 Late rows: those older than the newest event time by more than ``delay`` are left out of windowed
-counts.  Each stream writes per micro-batch below a folder, under the batch number, so a batch that
-runs again replaces itself.
+counts.  Each windowed stream writes per micro-batch below a folder, under the batch number, so a
+batch that runs again replaces itself.
+
+Tables of the newest state of a key hold no state in the stream: each micro-batch is reduced and
+merged into a store on disk.
 """
 
 from __future__ import annotations
@@ -11,8 +14,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glossaflow.operators.memory import build_tm
+from glossaflow.operators.memory import build_tm, upsert_tm
 
 
 def read_stream(spark: SparkSession, folder: str, schema, file_filter: str | None = None) -> DataFrame:
@@ -69,8 +73,100 @@ def latest_status(events: DataFrame, job: str, chunk: str) -> DataFrame:
     )
 
 
+BUCKETS = 16
+
+
+def _versions(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """All stored rows with their ``bucket`` and the ``batch`` that wrote them."""
+    stored = T.StructType([*schema.fields]).add("batch", T.LongType()).add("bucket", T.IntegerType())
+    return spark.read.schema(stored).parquet(folder)
+
+
+def _newest_versions(rows: DataFrame) -> DataFrame:
+    """The rows of each bucket's last batch.  Which that is shows from the names of folders."""
+    last = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["bucket", "batch"], "left_semi")
+
+
+def _drop_old(spark: SparkSession, folder: str, number: int) -> None:
+    """Remove versions of buckets that no later reading needs: all but the last before ``number``."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {}
+    for status in system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/bucket=*")):
+        place = status.getPath()
+        batch = int(place.getParent().getName().removeprefix("batch="))
+        if batch < number:
+            found.setdefault(place.getName(), []).append((batch, place))
+    for versions in found.values():
+        for _, place in sorted(versions, key=lambda v: v[0])[:-1]:
+            system.delete(place, True)
+
+
+def merge_stream(
+    rows: DataFrame,
+    folder: str,
+    keys: list[str],
+    prepare: Callable[[DataFrame], DataFrame],
+    combine: Callable[[DataFrame, DataFrame], DataFrame],
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """Run a stream over what is there now into a store of one row a key, and return its rows.
+
+    A micro-batch is reduced by ``prepare`` and merged by ``combine`` (old, new) with the buckets of
+    keys that it touches, no others.  It reads the versions of earlier batches and writes its own, so
+    a batch that runs again replaces itself and counts nothing twice.  Versions that are superseded
+    are removed once the batch after has begun.
+    """
+    spark = rows.sparkSession
+    data = f"{folder}/data"
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        new = prepare(batch)
+        old = session.createDataFrame([], new.schema)
+        if number > 0:
+            _drop_old(session, data, number)
+            stored = _versions(session, data, new.schema).where(F.col("batch") < number)
+            touched = new.select(bucket.alias("bucket")).distinct()
+            old = _newest_versions(stored).join(touched, "bucket", "left_semi").select(*new.columns)
+        merged = combine(old, new).select(*new.columns).withColumn("bucket", bucket)
+        merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{data}/batch={number}"
+        )
+
+    query = (
+        rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+    query.awaitTermination()
+    found = spark.read.parquet(data)
+    return _newest_versions(found).drop("batch", "bucket")
+
+
 def stream_latest_status(events: DataFrame, job: str, chunk: str, folder: str) -> DataFrame:
-    return newest(drain(latest_status(events, job, chunk), folder), [job, chunk])
+    """Status of each chunk, as ``latest_status`` has it, from a stream with repeated and late rows.
+
+    The reduced rows keep what decides, so merging them is the same reduction again.
+    """
+    keys = [job, chunk]
+    rank = F.struct("final", "ts", "event_id")
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        ranked = batch.select(*keys, "status", "ts", "event_id", F.col("ts").alias("updated_at"))
+        return reduce_(ranked.withColumn("final", F.col("status") == "completed"))
+
+    def reduce_(rows: DataFrame) -> DataFrame:
+        kept = F.max_by(F.struct("status", "final", "ts", "event_id"), rank)
+        return rows.groupBy(*keys).agg(kept.alias("k"), F.max("updated_at").alias("updated_at")).select(
+            *keys, "k.*", "updated_at"
+        )
+
+    found = merge_stream(events, folder, keys, prepare, lambda old, new: reduce_(old.unionByName(new)))
+    return found.select(*keys, "status", "updated_at")
 
 
 def windowed_progress(events: DataFrame, job: str, width: str, delay: str) -> DataFrame:
@@ -121,48 +217,31 @@ def stream_errors(
     return newest(written, ["window_start", "error_type", "severity"])
 
 
-def stream_dedup_results(
-    results: DataFrame, keys: list[str], folder: str, delay: str = "1 day"
-) -> DataFrame:
-    """Each result once; repeats within the delay are left out."""
-    unique = results.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
-    query = (
-        unique.writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .option("path", f"{folder}/data")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return results.sparkSession.read.parquet(f"{folder}/data")
+def stream_dedup_results(results: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Each result once, the one that arrived first; of one micro-batch, the earliest.
 
+    What came before is in the store, not in the stream's state, so repeats may come at any time.
+    """
+    columns = results.columns
 
-def merge_tm_batches(written: DataFrame) -> DataFrame:
-    """One memory from the batches: the first pair seen, all repeats counted."""
-    return (
-        written.groupBy("source_hash", "target_language")
-        .agg(
-            F.min_by(F.struct("source_text", "target_text"), F.struct("batch", "first_seen")).alias(
-                "_first"
-            ),
-            (F.sum(F.col("use_count") + 1) - 1).alias("use_count"),
-        )
-        .select(
-            "source_hash", "target_language", "_first.source_text", "_first.target_text", "use_count"
-        )
+    def once(rows: DataFrame) -> DataFrame:
+        first = F.min_by(F.struct(*columns), F.struct("_new", "ts"))
+        return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(first.alias("k")).select("k.*")
+
+    return merge_stream(
+        results,
+        folder,
+        keys,
+        lambda batch: once(batch.withColumn("_new", F.lit(1))),
+        lambda old, new: once(
+            old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+        ),
     )
 
 
 def stream_tm_upsert(pairs: DataFrame, order: list[str], folder: str, language: str = "ar") -> DataFrame:
-    """Memory kept from a stream of pairs.
-
-    A micro-batch adds its own pairs as one small file set instead of rewriting the memory; reading
-    merges them.
-    """
-    written = drain(
-        pairs,
-        folder,
-        mode="append",
-        prepare=lambda batch: build_tm(batch, [F.col(c) for c in order], language),
-    )
-    return merge_tm_batches(written)
+    """Memory kept from a stream of pairs: a micro-batch is merged into the store by its hashes."""
+    keys = ["source_hash", "target_language"]
+    return merge_stream(
+        pairs, folder, keys, lambda batch: build_tm(batch, [F.col(c) for c in order], language), upsert_tm
+    ).drop("first_seen")
