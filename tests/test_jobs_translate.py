@@ -1,12 +1,11 @@
-"""Jobs, state changes, and runs of a translator."""
+"""Jobs and state changes."""
 
 import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from glossaflow.operators import jobs, translate
-from glossaflow.session import shared_folder
+from glossaflow.operators import jobs
 
 CHUNKS = "job_id string, chunk_index int, status string, chapter string, section string, error_message string, ts timestamp"
 
@@ -86,71 +85,12 @@ def test_admission(spark, rows):
     assert rows(jobs.latest_completed(all_jobs)) == [("closed", "j2")]
 
 
-def prompts_of(spark, count=6):
-    rows = [("j", i, f"source text number {i}", f"translate {i}") for i in range(count)]
-    return spark.createDataFrame(rows, "job_id string, chunk_index int, source_text string, prompt string").repartition(3)
-
-
-def run(spark, translator, count=6):
-    done = translate.translate_chunks(
-        prompts_of(spark, count), ["job_id", "chunk_index"], translator, shared_folder(spark, "calls"), sleep=lambda s: None
-    )
-    return {r.chunk_index: r for r in done.collect()}
-
-
-def test_translator_retries_refused_output(spark):
-    def translator(prompt):
-        if prompt.startswith("translate 1") and "REFUSED" not in prompt:
-            return "", 5, 0, "stop"
-        if prompt.startswith("translate 2"):
-            return "Note: no", 5, 2, "stop"
-        if prompt.startswith("translate 3"):
-            return "cut off text", 5, 2, "length"
-        return "Translation: [1] نص مترجم طويل", 5, 2, "stop"
-
-    found = run(spark, translator)
-    assert (found[0].status, found[0].attempts, found[0].translation) == ("completed", 1, "نص مترجم طويل")
-    assert (found[1].status, found[1].attempts, found[1].prompt_tokens_used) == ("completed", 2, 10)
-    assert (found[2].status, found[2].attempts, found[2].error_message) == ("failed", 3, "refused: comment")
-    assert found[3].error_message == "refused: truncated"
-
-
-def test_translator_errors(spark):
-    def translator(prompt):
-        if prompt.startswith("translate 1"):
-            raise translate.TranslatorError("down")
-        if prompt.startswith("translate 2"):
-            raise translate.InvalidRequest("bad")
-        if prompt.startswith("translate 3"):
-            raise translate.FatalError("no access")
-        if prompt.startswith("translate 4"):
-            raise ValueError("odd")
-        return "نص مترجم طويل"
-
-    found = run(spark, translator)
-    assert [found[i].error_message for i in range(6)] == [None, "down", "bad", "no access", "ValueError: odd", None]
-    assert [found[i].fatal for i in range(6)] == [False, False, False, True, False, False]
-    assert found[0].status == "completed" and found[4].status == "failed"
-
-
-def test_waits():
-    calls, waits = [], []
-
-    def translator(prompt):
-        calls.append(prompt)
-        raise translate.RateLimited("slow down")
-
-    assert translate._call(translator, "p", waits.append)[4] == "slow down"
-    assert len(calls) == translate.RATE_LIMIT_ATTEMPTS
-    assert all(15 * n <= w <= 15 * n + 2 or 120 <= w <= 122 for n, w in enumerate(waits, start=1))
-
-
 def test_outcome_and_restart(spark, rows):
     results = spark.createDataFrame(
         [("a", 0, "completed", False, None), ("b", 0, "failed", False, "x"), ("c", 0, "failed", True, "no access")],
         "job_id string, chunk_index int, status string, fatal boolean, error_message string",
     )
-    assert rows(translate.job_outcome(results)) == [("a", "assembling", None), ("b", "failed", None), ("c", "failed", "no access")]
+    assert rows(jobs.job_outcome(results)) == [("a", "assembling", None), ("b", "failed", None), ("c", "failed", "no access")]
     chunks = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "job_id string, chunk_index int")
     assert rows(jobs.unfinished(chunks, results)) == [("a", 1), ("b", 0)]
 
@@ -162,3 +102,17 @@ def test_paging(spark, limit, offset, expected):
     found = jobs.list_jobs(all_jobs, documents, limit=limit, offset=offset).orderBy(F.col("updated_at").desc()).collect()
     assert [r.id for r in found] == expected
     assert {r.total for r in found} == {4} and {r.document_name for r in found} == {"name.pdf"}
+
+
+def test_retranslation_starts_anew(spark, rows):
+    all_jobs = jobs_of(spark, ("j", "d", "completed"), ("k", "d", "paused"))
+    chunks = spark.createDataFrame(
+        [("j", 0, "completed", "old", 2, 9, 9, None), ("j", 1, "pending", "half", 1, 3, 0, "x"), ("k", 0, "completed", "kept", 1, 1, 1, None)],
+        "job_id string, chunk_index int, status string, translation string, attempts int, prompt_tokens_used long,"
+        " completion_tokens_used long, error_message string",
+    )
+    only = spark.createDataFrame([("j",)], "id string")
+    _, after = jobs.transition(all_jobs, chunks, "retranslate", only)
+    assert rows(after.select("job_id", "chunk_index", "status", "translation", "attempts", "prompt_tokens_used", "error_message")) == [
+        ("j", 0, "pending", None, 0, 0, None), ("j", 1, "pending", None, 0, 0, None), ("k", 0, "completed", "kept", 1, 1, None),
+    ]

@@ -2,10 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from glossaflow.functions.text import source_hash
-from glossaflow.operators import alignment, chunking, jobs, memory, structure, terms
+from glossaflow.operators import alignment, chunking, jobs, memory, quality, structure, terms
+from glossaflow.plans import term_queries
 from glossaflow.plans import views as V
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,13 +37,42 @@ def test_alignment_does_not_shuffle(spark):
     assert "Exchange" not in plan(rendered)
 
 
-def test_term_matching_shuffles_matches_only(spark):
-    found = plan(terms.match_terms(documents(spark), ["doc_id"], "text", V.terms(spark, FOLDER)))
-    assert "NestedLoop" not in found and "Cartesian" not in found
-    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", found)
-    assert all("text" not in e and "_context" not in e for e in exchanges)
-    # Partial and final distinct around the one exchange of (doc_id, id) pairs.
-    assert sum("doc_id" in e for e in exchanges) == 1
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_term_matching_moves_the_vocabulary_and_hashes(spark, request, broadcast):
+    if not broadcast:
+        request.getfixturevalue("no_broadcast")
+    frame = terms.match_terms(documents(spark), ["doc_id"], "text", V.terms(spark, FOLDER))
+    found = plan(frame)
+    assert "NestedLoop" not in found and "Cartesian" not in found and "RoundRobin" not in found
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", found)
+    # The distinct words, patterns by their keys, hashes, and matches; never a text.
+    assert keys and all(re.match(r"(size|run|_size|_key|_h1|doc_id|english)#", k) for k in keys), keys
+    assert not any("text" in k for k in keys)
+
+
+def test_fuzzy_lookup_is_native_and_joined_by_equality(spark, no_broadcast):
+    tm = documents(spark).select(
+        F.col("doc_id").alias("id"), source_hash(F.col("text")).alias("source_hash"), F.col("text").alias("source_text"),
+        F.col("text").alias("target_text"), F.lit("ar").alias("target_language"), F.lit(True).alias("approved"),
+    )
+    found = plan(memory.tm_fuzzy(documents(spark), ["doc_id"], "text", tm))
+    assert not re.search("Python|Pandas|Arrow|NestedLoop|Cartesian|RoundRobin", found)
+
+
+def test_completeness_reads_once(spark):
+    found = plan(quality.completeness(V.order_chunks(spark, FOLDER)))
+    assert found.count("FileScan") == 1 and len(re.findall("Exchange", found)) <= 3
+
+
+def test_prompts_are_not_dealt_out(spark):
+    assert "RoundRobin" not in plan(term_queries.QUERIES["build_prompts"][0](spark, FOLDER))
 
 
 def test_top_k_is_cut_before_the_shuffle(spark):

@@ -55,8 +55,36 @@ def test_repeated_results(spark, rows):
     source, out = shared_folder(spark, "in"), shared_folder(spark, "out")
     for number in range(3):
         put(spark, source, [("j", 0, "completed", at(number), number), ("j", number, "completed", at(1), 9)], EVENTS)
-    found = S.stream_dedup_results(stream(spark, source, EVENTS), ["job_id", "chunk_index"], out, "2 days")
-    assert rows(found.select("chunk_index")) == [(0,), (1,), (2,)]
+    found = S.stream_dedup_results(stream(spark, source, EVENTS), ["job_id", "chunk_index"], out)
+    assert rows(found.select("chunk_index", "event_id")) == [(0, 0), (1, 9), (2, 9)]
+
+
+def test_a_batch_that_runs_again_counts_once(spark, rows):
+    """Each merge starts from the versions before its own."""
+    schema = "n long, source_text string, translation string"
+    source, out = shared_folder(spark, "in"), shared_folder(spark, "out")
+    run = lambda: S.stream_tm_upsert(stream(spark, source, schema), ["n"], out)
+    put(spark, source, [(1, "a", "x"), (2, "b", "y")], schema)
+    run()
+    put(spark, source, [(3, "a", "z")], schema)
+    first = rows(run().select("source_text", "target_text", "use_count"))
+    assert first == [("a", "x", 1), ("b", "y", 0)]
+    # The last batch's commit is lost, as when the driver dies before it: it runs once more.
+    for name in ("1", ".1.crc"):
+        os.remove(f"{out.removeprefix('file:')}/checkpoint/commits/{name}")
+    assert rows(run().select("source_text", "target_text", "use_count")) == first
+
+
+def test_the_store_keeps_one_old_version(spark):
+    schema = "job_id string, chunk_index int, status string, ts timestamp, event_id long"
+    source, out = shared_folder(spark, "in"), shared_folder(spark, "out")
+    for number in range(5):
+        put(spark, source, [("j", 0, "translating", at(number), number)], schema)
+    found = S.stream_latest_status(stream(spark, source, schema), "job_id", "chunk_index", out)
+    assert found.count() == 1
+    kept = sorted(p for p in os.listdir(f"{out.removeprefix('file:')}/data") if os.path.isdir(f"{out.removeprefix('file:')}/data/{p}/bucket=0")
+                  or any(x.startswith("bucket=") for x in os.listdir(f"{out.removeprefix('file:')}/data/{p}")))
+    assert kept == ["batch=3", "batch=4"]
 
 
 def test_memory_stream_is_the_batch_result(spark, rows):
@@ -99,6 +127,36 @@ def test_text_files(spark, folder):
     assert found == {"utf8.txt": "نص", "bom.txt": "abc", "cp1256.txt": "مرحبا"}
 
 
+def test_large_files_are_rejected_not_dropped(spark, folder, monkeypatch):
+    monkeypatch.setattr(files, "MAX_FILE_BYTES", 5)
+    found = {r["name"]: (r.text, r.verdict) for r in files.read_text_documents(spark, folder).collect()}
+    assert found["utf8.txt"] == ("نص", "ok") and found["bom.txt"] == (None, "too_large")
+    assert found["cp1256.txt"] == ("مرحبا", "ok")
+
+
+def test_large_dictionaries_are_rejected(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(terms_csv, "MAX_FILE_BYTES", 20)
+    monkeypatch.setattr(files, "MAX_FILE_BYTES", 20)
+    (tmp_path / "small.csv").write_text("one,واحد\n", encoding="utf-8")
+    (tmp_path / "large.csv").write_text("two,اثنان\n" * 5, encoding="utf-8")
+    accepted, rejected, _ = terms_csv.read_terms_csv(spark, str(tmp_path))
+    assert rows(accepted.select("english")) == [("one",)]
+    assert rows(rejected.select("line", "reason")) == [(0, "file too large")]
+
+
+def test_empty_files_of_deeper_folders(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "deep.txt").write_bytes(b"")
+    (tmp_path / "a" / "full.txt").write_bytes(b"x")
+    found = {r["name"]: r.verdict for r in files.file_inventory(spark, str(tmp_path)).collect()}
+    assert found == {"deep.txt": "empty", "full.txt": "ok"}
+
+
+def test_a_character_on_any_byte_is_valid(spark, tmp_path):
+    (tmp_path / "long.txt").write_bytes(b"x" * (64 * 1024 - 1) + "é".encode())
+    assert files.file_inventory(spark, str(tmp_path)).first()["utf8"]
+
+
 def test_inventory(spark, folder):
     found = {r["name"]: r.verdict for r in files.file_inventory(spark, folder).collect()}
     assert found == {
@@ -113,11 +171,6 @@ def test_stale_files(spark, folder):
     assert [r["name"] for r in files.stale_files(spark, folder, 24).collect()] == ["a.pdf"]
 
 
-def test_name_form(spark):
-    frame = spark.createDataFrame([("ﬁle①.txt",)], "n string")
-    assert frame.select(files.compatibility_form("n")).first()[0] == "file1.txt"
-
-
 CSV = (
     'Domain,English,Arabic,Alternatives\n"Law","contract, sale",عقد,"أ; ب;"\n\n,word,كلمة,\n'
     ',WORD,مكرر,\nLaw,short\nLaw,,empty\n"Law","multi\nline","say ""hi""",\n'

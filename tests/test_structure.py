@@ -86,9 +86,43 @@ def test_layout(spark, rows):
 def test_scanned(spark, rows):
     pages = [("text", p, "x" * 100, False) for p in range(1, 4)] + [("scan", p, " ", True) for p in range(1, 4)]
     pages += [("late", p, "x" * 100 if p <= 10 else "", True) for p in range(1, 40)]
+    pages += [("cover", p, "" if p <= 10 else "x" * 100, True) for p in range(1, 40)]
     frame = spark.createDataFrame(pages, "doc_id string, page int, text string, has_image boolean")
-    found = layout.detect_scanned(frame).select("doc_id", "pages_sampled", "avg_chars_per_page", "is_scanned")
-    assert rows(found) == [("late", 10, 100.0, True), ("scan", 3, 0.0, True), ("text", 3, 100.0, False)]
+    found = layout.detect_scanned(frame).select("doc_id", "page_count", "avg_chars_per_page", "is_scanned")
+    assert rows(found) == [("cover", 39, 74.4, False), ("late", 39, 25.6, True), ("scan", 3, 0.0, True), ("text", 3, 100.0, False)]
+
+
+def test_body_size_is_that_of_all_pages(spark):
+    spans = [("d", p, 0, 0, 0, 11.0 if p % 2 else 14.0, "x" * (10 if p % 2 else 30)) for p in range(1, 61)]
+    frame = spark.createDataFrame(spans, "doc_id string, page int, block int, line int, span int, size double, text string")
+    assert layout.body_sizes(frame).first()["body_size"] == 14.0
+
+
+def test_html_blocks(value):
+    html = (
+        "<html><head><title>T</title></head><body><!-- <p>no</p> --><script>var t='</p>';</script>"
+        "<h2 class=a>Head &amp; more</h2><p>One <b>bold <i>deep</i></b> end<br>next<p><a href=x>all linked</a></p>"
+        "<ul><li><a href='/a'>item</a></li><li> two\n words </li></ul><div>loose<footer>foot</footer></div></body></html>"
+    )
+    found = value(structure.html_to_blocks(F.lit(html)))
+    assert [(b.seq, b.type, b.text, b.level, b.marker) for b in found] == [
+        (0, "heading", "Head & more", 2, ""), (1, "paragraph", "One bold deep end", 0, ""), (2, "paragraph", "next", 0, ""),
+        (3, "paragraph", "all linked", 0, ""), (4, "list_item", "item", 0, "•"), (5, "list_item", "two words", 0, "•"),
+        (6, "paragraph", "loose", 0, ""), (7, "paragraph", "foot", 0, ""),
+    ]
+
+
+def test_summary_with_pages(spark):
+    documents = documents_of(spark, [block(0, "paragraph", "text")])
+    pages = spark.createDataFrame([("d", p, "", True) for p in (1, 2)], "doc_id string, page int, text string, has_image boolean")
+    found = structure.analyze_documents(documents, "doc_id", fallback_title=F.lit(""), scanned=layout.detect_scanned(pages)).first()
+    assert (found["page_count"], found["is_scanned"]) == (2, True)
+
+
+def test_chapters_are_all_listed_whole(spark):
+    documents = documents_of(spark, [block(i, "heading", f"{i} " + "x" * 300, 1) for i in range(70)])
+    found = structure.chapters(documents, "doc_id").collect()
+    assert len(found) == 70 and all(len(r["chapter"]) > 300 for r in found)
 
 
 def block(seq, kind, text="", level=0, page=-1, rows=()):
@@ -191,3 +225,10 @@ def test_long_words(value):
     pieces = value(chunking.split_long_text(F.lit(text.strip()), 60))
     assert " ".join(pieces) == text.strip()
     assert all(len(p) <= 60 for p in pieces)
+
+
+def test_a_long_sentence_starts_its_own_piece(value):
+    text = "Short one here. Word " + "abcd " * 60 + "end."
+    pieces = value(chunking.split_long_text(F.lit(text), 100))
+    assert pieces[0] == "Short one here." and pieces[1].startswith("Word abcd")
+    assert " ".join(pieces) == text

@@ -1,8 +1,6 @@
 """Dictionaries, translation memory and quality checks."""
 
 import random
-from collections import Counter
-from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,46 +125,34 @@ def test_exact_and_fuzzy(spark, rows):
     ]
 
 
-@pytest.mark.parametrize("autojunk, slice_chars", [(True, 10**6), (False, 10**6), (True, 700)])
-def test_fuzzy_is_brute_force(spark, rows, monkeypatch, autojunk, slice_chars):
-    monkeypatch.setattr(memory, "SLICE_CHARS", slice_chars)
+def word_pairs(form):
+    words = form.split(" ")
+    return {tuple(words[i : i + 2]) for i in range(max(1, len(words) - 1))}
+
+
+@pytest.mark.parametrize("matches", [None, 2])
+def test_fuzzy_is_brute_force_over_the_whole_memory(spark, rows, matches):
     pick = random.Random(3)
-    base = ["".join(pick.choice("abcdef ghij") for _ in range(pick.randint(5, 260))) for _ in range(15)]
-    vary = lambda t: "".join(c if pick.random() > 0.12 else pick.choice("abc xyz") for c in t)
+    sentence = lambda n: " ".join(pick.choice("abcdefghij") + pick.choice("xyz") for _ in range(n))
+    base = [sentence(pick.randint(1, 40)) for _ in range(25)]
+    vary = lambda t: " ".join(w if pick.random() > 0.06 else "changed" for w in t.split())
     known, asked = base + [vary(t) for t in base], [vary(t) for t in base] + ["", "short"]
     tm, texts = stored(spark, *known), texts_of(spark, *asked)
-    found = memory.tm_fuzzy(texts, ["k"], "t", tm, recent=20, autojunk=autojunk).select("k", "rank", "id", "similarity")
+    found = memory.tm_fuzzy(texts, ["k"], "t", tm, matches=matches).select("k", "rank", "id", "similarity")
 
-    entries = sorted(((r.id, r.form) for r in tm.select("id", normalize_text(F.col("source_text")).alias("form")).collect()), reverse=True)
+    entries = [(r.id, r.form) for r in tm.select("id", normalize_text(F.col("source_text")).alias("form")).collect()]
     expected = []
     for k, text in enumerate(asked):
         form = " ".join(text.split()).lower()
         if form in {e[1] for e in entries}:
             continue
-        ratios = [(SequenceMatcher(None, form, e, autojunk=autojunk).ratio(), i) for i, e in entries[:20]]
-        best = sorted([r for r in ratios if r[0] >= 0.72], key=lambda r: -r[0])[:3]
-        expected += [(k, n, i, round(r, 2)) for n, (r, i) in enumerate(best, start=1)]
+        share = lambda e: 2 * len(word_pairs(form) & word_pairs(e)) / (len(word_pairs(form)) + len(word_pairs(e)))
+        best = sorted(((share(e), i) for i, e in entries if share(e) >= 0.72), key=lambda r: (-r[0], -r[1]))
+        expected += [(k, n, i, r) for n, (r, i) in enumerate(best[:matches], start=1)]
     assert rows(found) == sorted(expected, key=str)
     assert len(expected) > 5
 
 
-def test_bound_is_never_below_the_ratio():
-    pick = random.Random(5)
-    for _ in range(300):
-        a, b = ("".join(pick.choice("abcd") for _ in range(pick.randint(0, 30))) for _ in range(2))
-        common = memory._common_subsequence(a, memory._character_bits(b), len(b))
-        total = len(a) + len(b)
-        for junk in (True, False):
-            ratio = SequenceMatcher(None, a, b, autojunk=junk).ratio()
-            assert 2 * common >= ratio * total - 1e-9
-        assert common <= sum((Counter(a) & Counter(b)).values())
-
-
-def test_ratio_udf(spark, rows):
-    frame = spark.createDataFrame([("abcd", "bcde")], "a string, b string")
-    assert frame.select(memory.sequence_ratio("a", "b"), memory.sequence_ratio_exact("a", "b")).first()[:] == (0.75, 0.75)
-
-
 def test_issues_and_report(spark, rows):
     words = dictionary(spark, ("vision", "رؤية", ["بصر"], "General", True), ("unused", "غ", [], "General", True))
     pairs = pairs_of(
@@ -236,4 +222,22 @@ def test_completeness(spark, chunks, reason, missing, repeated):
 def test_gaps_over_buckets(spark):
     wide = [(i, "completed", "x") for i in range(3000) if i % 250 != 7]
     [row] = quality.completeness(chunk_rows(spark, *wide)).collect()
-    assert row.missing_indexes == [7 + 250 * k for k in range(10)]
+    assert row.missing_indexes == [7 + 250 * k for k in range(12)]
+    [row] = quality.completeness(chunk_rows(spark, *wide), listed=2).collect()
+    assert row.missing_indexes == [7, 257]
+
+
+def test_jobs_without_chunks(spark, rows):
+    jobs = spark.createDataFrame([("j",), ("k",)], "id string")
+    found = quality.completeness(chunk_rows(spark, (0, "completed", "a")), jobs=jobs)
+    assert rows(found.select("job_id", "total_chunks", "reason", "missing_indexes")) == [("j", 1, None, []), ("k", 0, "none", [])]
+
+
+def test_checks_look_at_active_terms_of_the_job(spark, rows):
+    words = dictionary(
+        spark, ("vision", "رؤية", [], "General", True), ("sight", "بصر", [], "Law", True), ("eye", "عين", [], "General", False)
+    )
+    pairs = pairs_of(spark, (1, ("vision sight eye", "x"))).withColumn("domains", F.array(F.lit("General")))
+    issues = quality.check_terms(pairs, ["chunk_index"], words, domains="domains")
+    assert rows(issues.select("english", "issue")) == [("vision", "preferred_missing")]
+    assert quality.check_terms(pairs, ["chunk_index"], words).count() == 2
