@@ -145,8 +145,46 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_BLANK = r"\x20\x09-\x0D"
-_WORD_COUNT = rf"len(regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+'))"
+OP1_SQL = r"""
+WITH t AS (SELECT conv_id AS pair_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+     a AS (SELECT pair_id, max(turn) AS at_turn, arg_max(text, turn) AS last FROM t WHERE role = 'assistant' GROUP BY pair_id),
+     g AS (SELECT a.pair_id, a.at_turn, o.last AS other FROM a JOIN a o ON o.pair_id = xor(a.pair_id, 1)),
+     j AS (SELECT t.pair_id, turn, role, text AS c, CASE WHEN role = 'assistant' AND turn = at_turn THEN other ELSE text END AS r
+           FROM t LEFT JOIN g USING (pair_id)),
+     f AS (SELECT pair_id, coalesce(min(turn) FILTER (WHERE c <> r), 1000000) AS broken FROM j GROUP BY pair_id),
+     s AS (SELECT j.*, broken, length(role) + 5 AS head, '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS cr,
+                  '<|' || role || '|>' || chr(10) || r || '<|end|>' || chr(10) AS rr FROM j JOIN f USING (pair_id)),
+     k AS (SELECT *, sum(length(cr)) OVER w AS ce, sum(length(rr)) OVER w AS re FROM s WHERE turn >= broken
+           WINDOW w AS (PARTITION BY pair_id ORDER BY turn)),
+     m AS (SELECT pair_id, string_agg((ce - length(cr) + head) || ':' || ce, ',' ORDER BY turn) AS chosen_mask,
+                  string_agg((re - length(rr) + head) || ':' || re, ',' ORDER BY turn) AS rejected_mask
+           FROM k WHERE role = 'assistant' GROUP BY pair_id)
+SELECT pair_id, CAST(0 AS BIGINT) AS part, CAST(count(*) FILTER (WHERE turn < broken) AS INTEGER) AS n_prompt_turns,
+       coalesce(string_agg(cr, '' ORDER BY turn) FILTER (WHERE turn < broken), '') AS prompt,
+       coalesce(string_agg(cr, '' ORDER BY turn) FILTER (WHERE turn >= broken), '') AS chosen,
+       coalesce(any_value(chosen_mask), '') AS chosen_mask,
+       coalesce(string_agg(rr, '' ORDER BY turn) FILTER (WHERE turn >= broken), '') AS rejected,
+       coalesce(any_value(rejected_mask), '') AS rejected_mask
+FROM s LEFT JOIN m USING (pair_id) GROUP BY pair_id"""
+
+OP2_SQL = """
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN strlen(h) >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(h) >= 100 AND first <> page_id THEN first END AS refers_to
+FROM (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first
+      FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))"""
+
+OP7_SQL = r"""
+WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                                           ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+     p AS (SELECT row_number() OVER () AS n, page_id,
+                  translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+     m AS (SELECT n, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+           FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (n)"""
 
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
@@ -186,4 +224,9 @@ QUERIES = {
         op10_source_mixing,
     )
 }
-ORACLES: dict[str, str] = {"op9_broadcast_ngrams": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_preference_pairs": OP1_SQL,
+    "op2_zip_archives": OP2_SQL,
+    "op7_sorted_digests": OP7_SQL,
+    "op9_broadcast_ngrams": OP9_SQL,
+}

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 
 from compare import connect, difference, rows_of_sql
-from glossaflow.llm import pii, queries
+from glossaflow.llm import pii, quality, queries
 
 FOLDER = "/root/testdata/sf0.01"  # the smallest with personal data and secrets
 BLANK = r"[^\x20\x09-\x0D]+"
@@ -174,6 +175,65 @@ def test_quality(result, given):
     assert all(kept for good, kept in judged if good)
 
 
+def plain_estimates(rows):
+    """Concentration steps in numpy; rows: {group: array of measures}.  Returns {group: (centre, precision)}."""
+    floor = np.diag([(s * quality.SCALE) ** 2 for s in quality.LEAST_SPREAD])
+    inner = quality.chi_square_quantile(quality.KEPT_SHARE)
+    factor = quality.KEPT_SHARE / (1 - np.exp(-inner / 2) * (1 + inner / 2 + inner**2 / 8))
+
+    def median(x):
+        return np.array([np.sort(x[:, i])[-(-len(x) // 2) - 1] for i in range(4)])
+
+    found = {g: (median(x), np.linalg.inv(floor)) for g, x in rows.items()}
+    for _ in range(quality.STEPS):
+        kept = {}
+        for g, x in rows.items():
+            level = np.floor(16 * np.log2(distances(x, *found[g]) + 2.0**-10))
+            kept[g] = x[level <= np.sort(level)[-(-3 * len(x) // 4) - 1]]
+        every = np.concatenate(list(kept.values()))
+        for g, x in kept.items():
+            share = quality.POOLED_ROWS / (len(x) + quality.POOLED_ROWS)
+            centre = (1 - share) * x.mean(axis=0) + share * every.mean(axis=0)
+            spread = (1 - share) * np.cov(x.T, bias=True) + share * np.cov(every.T, bias=True)
+            found[g] = (centre, np.linalg.inv(factor * spread + floor))
+    return found
+
+
+def distances(x, centre, precision):
+    return np.maximum(np.einsum("ni,ij,nj->n", x - centre, precision, x - centre), 0)
+
+
+def test_outliers_are_those_of_a_plain_version(result, given):
+    found = {r["doc_id"]: r for r in result("op8_robust_quality")}
+    groups = collections.defaultdict(list)
+    for d in given("documents"):
+        words, chars, symbols, again, repeats = plain_counts(d["text"])
+        if found[d["doc_id"]]["base_failed"]:
+            continue
+        lines, n = (d["text"] or "").count("\n") + 1, words + quality.PRIOR_WORDS
+        exact = [np.log2((chars + 250) / n), np.log2(1 + 20 * symbols / n), np.log2(1 + 8 * again / (lines + 8)), np.log2(1 + 8 * repeats / n)]
+        groups[d["lang"], d["source"]].append((d["doc_id"], [np.floor(v * 256 + 0.5) for v in exact]))
+    measures = {g: np.array([x for _, x in rows]) for g, rows in groups.items()}
+    estimates, limit, near = plain_estimates(measures), quality.chi_square_quantile(quality.QUANTILE), 0
+    for g, rows in groups.items():
+        for (doc, _), d in zip(rows, distances(measures[g], *estimates[g])):
+            if abs(d - limit) < 1e-6:
+                near += 1
+                continue
+            assert found[doc]["kept"] == (d <= limit), (g, doc, d)
+    assert near < 3 and sum(not r["kept"] and not r["base_failed"] for r in found.values()) > 20
+
+
+def test_copies_are_those_of_a_plain_version(result, given):
+    rows = {r["doc_id"]: r for r in result("op10_source_mixing")}
+    start = xxhash.xxh64_intdigest(struct.pack("<i", 10), 42)
+    for d in given("documents"):
+        row = rows[d["doc_id"]]
+        rate = row["target"] / row["source_size"]
+        unit = (xxhash.xxh64_intdigest(str(d["doc_id"]).encode(), start) >> 11) / 2**53
+        assert row["taken"] == row["size"] * (int(rate) + (unit < rate - int(rate)))
+
+
 def test_mixing_targets(result, given):
     sizes, rows = collections.Counter(), {r["doc_id"]: r for r in result("op10_source_mixing")}
     for d in given("documents"):
