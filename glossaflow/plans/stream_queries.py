@@ -122,15 +122,23 @@ def _inventory(spark, folder):
 
 
 def _stale(spark, folder):
-    tomorrow = F.current_timestamp() + F.make_dt_interval(F.lit(2))
-    return files.stale_files(spark, _text_files(spark, folder), 24, tomorrow).agg(
-        F.sum("length").alias("bytes")
-    )
+    """Files of even documents, and later those of odd ones; the cutoff lies between."""
+    path = shared_folder(spark, "ages")
+    texts = V.documents(spark, folder)
+    for name, rest in (("earlier", 0), ("later", 1)):
+        texts.where(F.col("doc_id") % 2 == rest).select("text").write.text(f"{path}/{name}")
+    later = files._files(spark, f"{path}/later").agg(F.min("modificationTime")).scalar()
+    return files.stale_files(spark, path, 0, later).agg(F.sum("length").alias("bytes"))
 
 
-def _csv(spark, folder) -> str:
+def _csv(spark, folder, broken: bool = False) -> str:
+    """A dictionary file; ``broken`` leaves out the translation of every seventh term."""
     path = shared_folder(spark, "terms")
-    terms_csv.write_terms_csv(V.terms(spark, folder), path)
+    rows = V.terms(spark, folder)
+    if broken:
+        lost = F.length("english") % 7 == 0
+        rows = rows.withColumn("preferred", F.when(lost, "").otherwise(F.col("preferred")))
+    terms_csv.write_terms_csv(rows, path)
     return path
 
 
@@ -143,8 +151,8 @@ def _import(spark, folder):
     """The file is read against a dictionary that has the terms of one domain."""
     known = V.terms(spark, folder).where("domain = 'General'")
     return terms_csv.import_report(
-        *terms_csv.read_terms_csv(spark, _csv(spark, folder), known)
-    ).select("imported", "skipped_duplicates", F.size("errors").alias("errors"))
+        *terms_csv.read_terms_csv(spark, _csv(spark, folder, broken=True), known)
+    ).select("imported", "skipped_duplicates", "rejected", F.size("errors").alias("errors"))
 
 
 def _write_csv(spark, folder):
@@ -205,7 +213,10 @@ QUERIES = {
         _inventory,
         "SELECT '.txt' AS extension, '.txt' AS found, 'ok' AS verdict, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents",
     ),
-    "stale_files": (_stale, "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents"),
+    "stale_files": (
+        _stale,
+        "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents WHERE doc_id % 2 = 0",
+    ),
     "read_terms_csv": (
         _read_csv,
         with_views("SELECT english, preferred, domain, alternative AS alternatives FROM v_terms", "v_terms"),
@@ -213,8 +224,10 @@ QUERIES = {
     "import_terms_csv": (
         _import,
         with_views(
-            """SELECT count(*) FILTER (WHERE domain <> 'General') AS imported,
-                      count(*) FILTER (WHERE domain = 'General') AS skipped_duplicates, 0 AS errors FROM v_terms""",
+            """SELECT count(*) FILTER (WHERE domain <> 'General' AND length(english) % 7 <> 0) AS imported,
+                      count(*) FILTER (WHERE domain = 'General' AND length(english) % 7 <> 0) AS skipped_duplicates,
+                      count(*) FILTER (WHERE length(english) % 7 = 0) AS rejected,
+                      count(*) FILTER (WHERE length(english) % 7 = 0) AS errors FROM v_terms""",
             "v_terms",
         ),
     ),

@@ -138,9 +138,11 @@ def _upsert(spark, folder):
 
 
 def _exact(spark, folder):
-    """Documents in upper case with doubled spaces are still found."""
+    """Documents with doubled spaces are still found; every fourth is changed and is not."""
+    spaced = F.replace("text", F.lit(" "), F.lit("  "))
+    changed = F.concat("text", F.lit(" is changed"))
     texts = V.documents(spark, folder).select(
-        "doc_id", F.replace("text", F.lit(" "), F.lit("  ")).alias("text")
+        "doc_id", F.when(F.col("doc_id") % 4 == 0, changed).otherwise(spaced).alias("text")
     )
     return memory.tm_exact(texts, ["doc_id"], "text", V.memory(spark, folder)).select(
         "doc_id", F.length("target").alias("target_chars"), "similarity"
@@ -238,9 +240,11 @@ def _varied_pairs(spark, folder):
         {
             "source_text": F.when(k == 3, F.replace("source_text", F.lit(" "), F.lit(" | ")))
             .when(k == 4, F.replace("source_text", F.lit(". "), F.lit(".\n\n")))
+            .when(k == 5, F.lit("a | b\nc | d\ne | f"))
             .otherwise(F.col("source_text")),
             "translation": F.when(k == 0, " ")
             .when(k == 1, "short answer")
+            .when(k == 5, F.concat(F.lit("[1] one | two\n[2] three | four\n[3] five "), "job_id"))
             .otherwise(F.col("translation")),
         }
     )
@@ -399,12 +403,15 @@ _CONTEXT_SQL = f"""{_TURNS_SQL}, ctx AS (
 _VALIDATE_SQL = f"""
     v AS (SELECT job_id, chunk_index,
              CASE (job_id + chunk_index) % 6 WHEN 3 THEN replace(source_text, ' ', ' | ')
-               WHEN 4 THEN replace(source_text, '. ', '.' || chr(10) || chr(10)) ELSE source_text END AS s,
-             CASE (job_id + chunk_index) % 6 WHEN 0 THEN ' ' WHEN 1 THEN 'short answer' ELSE translation END AS o
+               WHEN 4 THEN replace(source_text, '. ', '.' || chr(10) || chr(10))
+               WHEN 5 THEN 'a | b' || chr(10) || 'c | d' || chr(10) || 'e | f' ELSE source_text END AS s,
+             CASE (job_id + chunk_index) % 6 WHEN 0 THEN ' ' WHEN 1 THEN 'short answer'
+               WHEN 5 THEN '[1] one | two' || chr(10) || '[2] three | four' || chr(10) || '[3] five ' || job_id ELSE translation END AS o
           FROM v_pairs),
     f AS (SELECT job_id, chunk_index, trim(o, '{_WS}') = '' AS is_empty,
              length(trim(o, '{_WS}')) < greatest(10::DOUBLE, length(trim(s, '{_WS}')) * 0.25::DOUBLE) AS is_short,
-             contains(s, ' | ') AS markers_differ, false AS cells_differ,
+             contains(s, ' | ') AND (job_id + chunk_index) % 6 <> 5 AS markers_differ,
+             (job_id + chunk_index) % 6 = 5 AS cells_differ,
              len(list_filter(regexp_split_to_array(o, '\\n[{_WS}]*\\n'), lambda p: trim(p, '{_WS}') <> '')) AS po,
              len(list_filter(regexp_split_to_array(s, '\\n[{_WS}]*\\n'), lambda p: trim(p, '{_WS}') <> '')) AS ps,
              len(regexp_extract_all(s, '[A-Za-z]{{3,}}')) >= 8 AND NOT regexp_matches(o, '[éèêçñóíäöüß]') AS wrong_script
@@ -537,7 +544,7 @@ QUERIES = {
         _exact,
         with_views(
             """SELECT doc_id, length(target_text) AS target_chars, 1.0 AS similarity
-               FROM v_hash JOIN v_tm USING (source_hash)""",
+               FROM v_hash JOIN v_tm USING (source_hash) WHERE doc_id % 4 <> 0""",
             "v_hash",
             "v_tm",
         ),
@@ -611,7 +618,7 @@ QUERIES = {
             f"""{_VALIDATE_SQL}
             SELECT job_id, chunk_index, is_empty, is_short, markers_differ, cells_differ, paragraphs_lost, wrong_script,
                    CASE WHEN is_empty THEN 'empty' WHEN is_short THEN 'short' WHEN markers_differ THEN 'markers'
-                        WHEN paragraphs_lost THEN 'paragraphs' WHEN wrong_script THEN 'language' END AS reason
+                        WHEN cells_differ THEN 'cells' WHEN paragraphs_lost THEN 'paragraphs' WHEN wrong_script THEN 'language' END AS reason
             FROM g""",
             "v_pairs",
         ),

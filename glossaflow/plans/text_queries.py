@@ -175,9 +175,8 @@ def _filenames(spark, folder):
 
 
 def _output_names(spark, folder):
-    return V.documents(spark, folder).select(
-        "doc_id", names.output_name(F.get(F.split("text", "\n"), F.lit(0))).alias("name")
-    )
+    title = B.title_of(F.col("blocks"), F.concat(F.lit("document "), F.col("doc_id").cast("string")))
+    return V.document_blocks(spark, folder).select("doc_id", names.output_name(title).alias("name"))
 
 
 def _usage(spark, folder):
@@ -337,8 +336,14 @@ QUERIES = {
     ),
     "output_name": (
         _output_names,
-        f"""SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(string_split(text, chr(10))[1], '[^\\p{{L}}\\p{{N}} _-]', '_', 'g'),
-            '{_WS}'), 80), ''), 'document') || '_arabic.docx' AS name FROM documents""",
+        with_views(
+            f"""t AS (SELECT d.doc_id, coalesce(arg_min(b.text, seq) FILTER (WHERE type = 'heading'),
+                          arg_min(b.text, seq) FILTER (WHERE length(b.text) <= 120), 'document ' || d.doc_id) AS title
+                     FROM documents d LEFT JOIN v_blocks b USING (doc_id) GROUP BY d.doc_id)
+            SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(title, '[^\\p{{L}}\\p{{N}} _-]', '_', 'g'),
+                   '{_WS}'), 80), ''), 'document') || '_arabic.docx' AS name FROM t""",
+            "v_blocks",
+        ),
     ),
     "usage_estimate": (
         _usage,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The names of block types, and below the fields of a block.
 HEADING = "heading"
 PARAGRAPH = "paragraph"
 LIST_ITEM = "list_item"
