@@ -101,9 +101,13 @@ def _counts(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COUNTS)
 
 
+# Declared so, it is not copied into each condition that its result goes into, and texts are read once.
+_counted_once = _counts.asNondeterministic()
+
+
 def text_counts(text: Column) -> Column:
     """Struct of ``COUNTS`` of a whole text."""
-    return _counts(text.cast("binary"))
+    return _counted_once(text.cast("binary"))
 
 
 def base_failed(counts: Column) -> Column:
