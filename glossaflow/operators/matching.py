@@ -46,28 +46,33 @@ def _hash(run: Column) -> list[Column]:
     return [F.xxhash64(run).alias("_h1"), F.hash(run).alias("_h2")]
 
 
+def _key(mark: str, text: Column) -> Column:
+    """What stands for a piece of text in the join; what collides is told apart by the comparison."""
+    return F.xxhash64(F.lit(mark), text)
+
+
 def _sequences(run: Column, length: Column) -> Column:
-    """The character sequences of a length, as keys."""
+    """The keys of the character sequences of a length."""
     starts = F.when(
         F.length(run) >= length, F.sequence(F.lit(1), F.length(run) - length + 1)
     ).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(F.lit("g"), F.substr(run, i, length)))
+    return F.transform(starts, lambda i: _key("g", F.substr(run, i, length)))
 
 
 def _run_keys(size: Column, run: Column, short: Column, whole: Column) -> Column:
     """What a run can be found under."""
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<bigint>")
     grams = F.concat(
         _sequences(run, F.lit(GRAM)),
         F.flatten(F.transform(F.coalesce(short, F.array().cast("array<int>")), lambda n: _sequences(run, n))),
     )
     # A pattern without a letter or digit is found under the mark alone.
     parts = F.concat(F.regexp_extract_all(run, F.lit(_INNER), F.lit(0)), F.array(F.lit("")))
-    inner = F.when(whole, F.transform(parts, lambda p: F.concat(F.lit("w"), p))).otherwise(none)
+    inner = F.when(whole, F.transform(parts, lambda p: _key("w", p))).otherwise(none)
     first = F.regexp_extract(run, WORD, 0)
     ends = F.transform(
         F.sequence(F.lit(1), F.least(F.length(first), F.lit(GRAM))),
-        lambda n: F.concat(F.lit("e"), F.right(first, n)),
+        lambda n: _key("e", F.right(first, n)),
     )
     return F.array_distinct(F.when(size == 1, F.concat(grams, inner)).otherwise(ends))
 
@@ -85,9 +90,9 @@ def find_patterns(
         pattern_id, "pattern", "whole_word", F.size(F.split("pattern", SPACES)).alias("_size")
     ).withColumn(
         "_key",
-        F.when(F.col("_size") > 1, F.concat(F.lit("e"), F.right(first, F.lit(GRAM))))
-        .when(F.col("whole_word"), F.concat(F.lit("w"), F.regexp_extract("pattern", _INNER, 0)))
-        .otherwise(F.concat(F.lit("g"), F.substring("pattern", 1, GRAM))),
+        F.when(F.col("_size") > 1, _key("e", F.right(first, F.lit(GRAM))))
+        .when(F.col("whole_word"), _key("w", F.regexp_extract("pattern", _INNER, 0)))
+        .otherwise(_key("g", F.substring("pattern", 1, GRAM))),
     )
     # What the dictionary asks for, as subqueries of the one plan.
     alone = (F.col("_size") == 1) & ~F.col("whole_word")
