@@ -13,14 +13,14 @@ kept; columns named host, path, rule or verdict are replaced.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 import uuid
 from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaflow.llm.common import lower_ascii
+from glossaflow.session import shared_folder
 
 HOST, PATH = r"(?s)://([^/?#]*)", r"(?s)://[^/?#]*([^?#]*)"
 _PARTS = ("keys", "starts", "strings", "shapes", "verdicts")
@@ -99,12 +100,17 @@ def match(index: dict[str, np.ndarray], hosts: list[str], paths: list[str]) -> n
 
 
 def publish(frame: DataFrame, rules: Iterable[tuple[str, str, str]]) -> str:
-    """Hand the index to all executors as files; returns its name."""
-    name, folder = f"urls-{uuid.uuid4().hex}", os.path.realpath(tempfile.mkdtemp(prefix="spark-"))
+    """Hand the index to all executors as files, by way of the shared folder; returns its name."""
+    spark, name = frame.sparkSession, f"urls-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "urls")
+    files, base = pafs.FileSystem.from_uri(root)
+    files.create_dir(base, recursive=True)
     for part, values in index_arrays(rules).items():
-        path = f"{folder}/{name}-{part}.npy"
-        np.save(path, values)
-        frame.sparkSession.sparkContext.addFile(path)
+        content = io.BytesIO()
+        np.save(content, values)
+        with files.open_output_stream(f"{base}/{name}-{part}.npy") as out:
+            out.write(content.getvalue())
+        spark.sparkContext.addFile(f"{root}/{name}-{part}.npy")
     return name
 
 
