@@ -6,8 +6,9 @@ hashed and looked up; each hit is then compared with the words of the window the
 collision is no hit.  Words inside a true hit are marked.
 
 The set is broadcast, at most ``MOST_BROADCAST`` entries at a time: it is counted first, and a larger
-set is looked up in several passes over the documents, each with its part of the hashes.  A
-document's windows never leave its row; only hits do.
+set is looked up in several passes over the documents, each with its part of the hashes; then the
+documents must be a plan with the same partitions each time, such as a scan.  A document's windows
+never leave its row; only hits do.
 
 Defined results: null and wordless texts have no words and no hits; null items have no windows.
 Items without a number mark words but are not counted or listed.  Equal items each count.  Rows of
