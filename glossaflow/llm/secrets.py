@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -121,8 +122,8 @@ def scan_text(text: bytes | None) -> list[tuple[int, int, int]]:
     if b"AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m.group()) >= 20]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = [(a, b) for a, _, b in spans]
-    spans += [(a, 3, b) for a, b in _literals(text) if not _inside(a, b, base)]
+    taken = _merged([(a, b) for a, _, b in spans])
+    spans += [(a, 3, b) for a, b in _literals(text) if not _touches(a, b, taken)]
     if not spans:
         return []
     if not text.isascii():
@@ -132,8 +133,21 @@ def scan_text(text: bytes | None) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def _inside(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
-    return any(s < b and a < e for s, e in spans)
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint spans in order that cover the same places."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _touches(a: int, b: int, disjoint: list[tuple[int, int]]) -> bool:
+    """Whether a span shares a place with one of the disjoint spans."""
+    k = bisect_left(disjoint, (b, 0))
+    return k > 0 and disjoint[k - 1][1] > a
 
 
 _FOUND = T.StructType(

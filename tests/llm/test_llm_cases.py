@@ -264,6 +264,17 @@ def test_secret_lexing():
     assert secrets.scan_text(None) == secrets.scan_text(b"") == []
 
 
+def test_many_secrets_take_linear_time():
+    line = "password = 'Zk39vLq8TtPw2'\ncfg.db_pwd = 'Zk39vLq8TtPw2'\n"
+    found = secrets.scan_text((line * 20_000).encode())
+    assert [sum(s[1] == k for s in found) for k in (0, 3)] == [20_000, 20_000]
+    merged = secrets._merged([(5, 9), (0, 3), (8, 12), (20, 21)])
+    assert merged == [(0, 3), (5, 12), (20, 21)]
+    for a in range(25):
+        for b in range(a + 1, 26):
+            assert secrets._touches(a, b, merged) == any(s < b and a < e for s, e in merged)
+
+
 def test_secret_cases(docs, nothing):
     found = docs.select("doc_id", secrets.scan(F.col("text")).alias("s")).collect()
     assert len(found) == docs.count()
