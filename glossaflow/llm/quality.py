@@ -4,7 +4,13 @@ Every text is reduced to a few counts.  They are transformed into four nearly sy
 length of words, share of symbols, share of repeated lines, share of repeated three-word windows.
 For each group the minimum covariance determinant estimate is found by concentration steps: from
 the coordinate-wise medians on, keep the three quarters of the rows with the smallest Mahalanobis
-distance, take their mean and covariance, repeat.  Rows beyond a chi-square quantile go.
+distance, take their mean and covariance, repeat until nothing changes.  Rows beyond a chi-square
+quantile go.
+
+Three quarters hold only if no more than a quarter of a group is bad.  A second estimate keeps just
+(n + p + 1) / 2 rows of each group, with only the needed fraction of the last class of distance, so
+copies of one text do not come in as a whole.  Where it puts more than a quarter of a group beyond
+the quantile, the group is judged by it.
 
 A concentration step is one aggregation.  Rows are added up by (group, class of distance), so the
 rows to keep are a cumulative sum over a few hundred classes and no group is sorted or gathered.
@@ -42,6 +48,9 @@ PRIOR_WORDS, PRIOR_CHARS = 50, 5
 #: agree in a measure do not reject the slightest difference.
 LEAST_SPREAD = (0.12, 0.35, 0.45, 0.35)
 KEPT_SHARE = 0.75
+#: Steps end when the sums do not change any more, or come back to earlier ones; at most so many.
+MOST_STEPS = 60
+#: Steps of the plain version that tests compare with.
 STEPS = 5
 #: Rows of the pooled estimate that every group is given.
 POOLED_ROWS = 20
@@ -165,8 +174,16 @@ def _estimate(n: float, sums, pooled, factor: float) -> list[float]:
     return [*centre, *(precision[i, j] for i, j in _PAIRS)]
 
 
-def _kept_sums(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Sums over the rows with the smallest distances ``d`` of each group, three quarters of it."""
+def _wanted(n: Column, half: bool) -> Column:
+    """Rows that an estimate keeps of a group of ``n``."""
+    return F.least(n, F.floor((n + P + 1) / 2)) if half else F.ceil(KEPT_SHARE * n)
+
+
+def _kept_sums(rows: DataFrame, by: list[str], half: bool = False) -> DataFrame:
+    """Sums over the rows with the smallest distances ``d`` of each group, three quarters of it.
+
+    The last class of distance counts as a whole; with ``half``, by the fraction that is needed.
+    """
     level = F.floor(16 * F.log2(F.col("d") + 2.0**-10)).cast("int")
     x = [F.col(f"x{i}") for i in range(P)]
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(P)]
@@ -178,7 +195,10 @@ def _kept_sums(rows: DataFrame, by: list[str]) -> DataFrame:
         "*",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
         F.sum("n").over(whole).alias("all"),
-    ).where(F.col("before") < F.ceil(KEPT_SHARE * F.col("all")))
+    ).where(F.col("before") < _wanted(F.col("all"), half))
+    if half:
+        part = F.least(F.lit(1.0), (_wanted(F.col("all"), half) - F.col("before")) / F.col("n"))
+        kept = kept.select(*by, *[(part * F.col(c)).alias(c) for c in ("n", *_SUMS)])
     return kept.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in _SUMS])
 
 
@@ -194,13 +214,14 @@ def _medians(rows: DataFrame, by: list[str]) -> DataFrame:
     return half.groupBy(*by).pivot("k", list(range(P))).agg(F.min("x"))
 
 
-def fit(rows: DataFrame, by: list[str], steps: int = STEPS) -> DataFrame:
+def fit(rows: DataFrame, by: list[str], steps: int = MOST_STEPS, half: bool = False) -> DataFrame:
     """Minimum covariance determinant estimates: by, estimate (centre and precision).
 
     ``rows`` has the columns ``by`` and the measures x0 to x3.
     """
     # The covariance of the inner rows is too small for all rows by this factor.
-    factor = KEPT_SHARE / _chi_square(chi_square_quantile(KEPT_SHARE))[1]
+    share = 0.5 if half else KEPT_SHARE
+    factor = share / _chi_square(chi_square_quantile(share))[1]
     start = [1 / (s * SCALE) ** 2 for s in LEAST_SPREAD]
     zero = [F.lit(start[i] if i == j else 0.0) for i, j in _PAIRS]
     estimates = cut(
@@ -210,13 +231,19 @@ def fit(rows: DataFrame, by: list[str], steps: int = STEPS) -> DataFrame:
         "medians",
     )
     keys = ", ".join(f"{d[0]} {d[1]}" for d in rows.select(*by).dtypes)
+    seen = set()
     for _ in range(steps):
         near = with_distance(rows, estimates, by).where("d IS NOT NULL")
-        sums = cut(_kept_sums(near, by), "sums")
-        total = sums.agg(F.sum("n"), *[F.sum(s) for s in _SUMS]).first()
+        sums = cut(_kept_sums(near, by, half), "sums")
+        # The hashes tell whether any group has changed; the totals are summed in any order.
+        state = F.sum(F.xxhash64(*by, *[F.round(c, 3) for c in ("n", *_SUMS)]).cast("decimal(38,0)"))
+        total = sums.agg(F.sum("n"), *[F.sum(s) for s in _SUMS], state).first()
+        if total[-1] in seen:
+            break
+        seen.add(total[-1])
         pooled = None
         if total[0]:
-            n, all_sums = float(total[0]), total[1:]
+            n, all_sums = float(total[0]), total[1:-1]
             centre, spread = np.array(all_sums[:P], float) / n, np.zeros((P, P))
             for k, (i, j) in enumerate(_PAIRS):
                 spread[i, j] = spread[j, i] = all_sums[P + k] / n - centre[i] * centre[j]
@@ -251,10 +278,26 @@ def with_measures(rows: DataFrame, counts: str) -> DataFrame:
     return rows.select("*", *[m.alias(f"x{i}") for i, m in enumerate(measures(F.col(counts)))])
 
 
+def fit_adapted(rows: DataFrame, by: list[str], quantile: float = QUANTILE) -> DataFrame:
+    """The estimate of three quarters, or that of half the rows where over a quarter lies beyond it."""
+    most, half = fit(rows, by), fit(rows, by, half=True)
+    far = F.count_if(F.col("d") > chi_square_quantile(quantile))
+    n = F.count("*")
+    bad = with_distance(rows, half, by).groupBy(*by).agg((far > n - _wanted(n, False)).alias("_bad"))
+    named = half.select(*[F.col(c).alias(f"_h{c}") for c in by], F.col("estimate").alias("_half"))
+    marks = bad.where("_bad").select(*[F.col(c).alias(f"_b{c}") for c in by], "_bad")
+    same = lambda k: [F.col(c).eqNullSafe(F.col(f"_{k}{c}")) for c in by]
+    both = most.join(named, same("h"), "left").join(marks, same("b"), "left")
+    return cut(
+        both.select(*by, F.when(F.col("_bad"), F.col("_half")).otherwise(F.col("estimate")).alias("estimate")),
+        "adapted",
+    )
+
+
 def fitted(counted: DataFrame, by: list[str], counts: str) -> DataFrame:
     """Estimates of all rows that pass the base rules.  ``counted`` should be a written table."""
     passed = with_measures(counted.where(~base_failed(F.col(counts))), counts)
-    return fit(passed.select(*by, *[f"x{i}" for i in range(P)]), by)
+    return fit_adapted(passed.select(*by, *[f"x{i}" for i in range(P)]), by)
 
 
 def judged(

@@ -113,6 +113,26 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert kept == set(range(150)) | {999}
 
 
+@pytest.mark.parametrize("varied", [False, True])
+def test_quality_rejects_a_third_that_is_bad(spark, varied):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    text = lambda end, n: " ".join(word() + end for _ in range(n))
+    good = [text("", rng.integers(60, 300)) for _ in range(200)]
+    one = text("***", 120)
+    bad = [text("*" * rng.integers(2, 5), rng.integers(60, 300)) if varied else one for _ in range(100)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(good + bad)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality.filter_documents(frame).collect()}
+    assert kept == set(range(200))
+
+
+def test_half_takes_a_fraction_of_the_last_class(spark):
+    frame = spark.createDataFrame([("g", 4.0, 1.0, 0.0, 0.0, 5.0)] * 100, "g string, x0 double, x1 double, x2 double, x3 double, d double")
+    row = quality._kept_sums(frame, ["g"], half=True).first()
+    assert (row["n"], row["s0"], row["s01"]) == pytest.approx((52, 208, 208))
+
+
 def test_chi_square_quantile():
     assert quality.chi_square_quantile(0.95) == pytest.approx(9.487729, abs=1e-5)
 
