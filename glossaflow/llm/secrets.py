@@ -1,8 +1,8 @@
 """Secret scans by assignment-aware lexing.
 
-Three patterns find the plain cases.  Beyond them, lines with an assignment are read as source or
-configuration text: each gives pairs of a name and what it is given, a quoted string, several of
-them added, a bare value, or another name.  Another name stands for the literals it was given
+Three patterns find the plain cases.  Beyond them, assignments are read as source or configuration
+text: each gives pairs of a name and what it is given, a quoted string of one or several lines, several
+of them added, a bare value, or another name.  Another name stands for the literals it was given
 earlier in the text.  Literals are scored by how sensitive the name sounds and how much they look
 like a secret; those above the threshold become spans of kind ``literal``.
 
@@ -31,18 +31,20 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
 
-# Names, and what they are given.  A name may be quoted, or the key in brackets of something else.
-_NAME = rb"""(?<![A-Za-z0-9_.$-])(?:"([A-Za-z0-9_.$ -]{1,80})"|'([A-Za-z0-9_.$ -]{1,80})'|([A-Za-z_$][A-Za-z0-9_.$-]{0,79}))"""
-_QUOTED = rb""""(?:[^"\\\n]|\\.){0,4000}"|'(?:[^'\\\n]|\\.){0,4000}'"""
-_PAIR = re.compile(
-    _NAME
-    + rb"[ \t]{0,8}\]?[ \t]{0,8}(?::=|=>|=|:)[ \t]{0,8}(?:[fbru]{0,2}("
-    + rb"(?:" + _QUOTED + rb")(?:[ \t]{0,8}\+[ \t]{0,8}(?:" + _QUOTED + rb")){0,16})"
-    + rb"|([A-Za-z_$][A-Za-z0-9_.$]{0,79})(?![A-Za-z0-9_.$/+=-])|([^\s\"'<>{}\[\](),;]{1,4000}))"
-)
-_ELEMENT = re.compile(rb"<([A-Za-z_][A-Za-z0-9_.-]{0,79})>([^<>\n]{1,4000})</")
-_LOGIN = re.compile(rb"://[^\s:/@]{1,200}:([^\s:/@]{1,400})@")
-_PIECE = re.compile(_QUOTED)
+# Names, and what they are given.  A name may be quoted, or the key in brackets of something else, and
+# may have a type.  Nothing is bounded: repetitions are possessive, so that no place is tried twice.
+_OPEN = re.compile(
+    rb"""(?<![A-Za-z0-9_.$-])(?:"([A-Za-z0-9_.$ -]++)"|'([A-Za-z0-9_.$ -]++)'|([A-Za-z_$][A-Za-z0-9_.$-]*+))"""
+    rb"[ \t]*+\]?+[ \t]*+"
+    rb"(?::[ \t]*+([A-Za-z_$][A-Za-z0-9_.$]*+)(?:\[[^\[\]\n=:]*+\])?+\??+[ \t]*+=(?![=>])|:=|=>|=|:)[ \t]*+"
+)
+_QUOTED = re.compile(rb""""(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'""")
+_PREFIX = re.compile(rb"""[fbru]{0,2}(?=["'`])""")
+_PLUS = re.compile(rb"""\s*+\+\s*+[fbru]{0,2}(?=["'`])""")
+_OTHER = re.compile(rb"[A-Za-z_$][A-Za-z0-9_.$]*+(?![A-Za-z0-9_.$/+=-])")
+_BARE = re.compile(rb"[^\s\"'<>{}\[\](),;]++")
+_ELEMENT = re.compile(rb"<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<>]++)</")
+_LOGIN = re.compile(rb"://[^\s:/@]++:([^\s:/@]++)@")
 
 #: How sensitive a name sounds: the first that it holds, written without separators.
 NAMES = (
@@ -63,9 +65,9 @@ def name_score(name: bytes) -> float:
     return score - 2 * any(word in plain for word in ABOUT) if score else 0
 
 
-def literal_score(value: bytes) -> float:
-    """0 to about 5: long, mixed, evenly spread characters without blanks."""
-    if len(value) < 8 or b" " in value or b"${" in value or value[:1] in b"<{%$":
+def literal_score(value: bytes, blanks: bool = False) -> float:
+    """0 to about 5: long, mixed, evenly spread characters, without blanks unless they may be there."""
+    if len(value) < 8 or (b" " in value and not blanks) or b"${" in value or value[:1] in b"<{%$":
         return 0
     low = value.lower().decode("utf-8", "ignore")
     if any(f in low for f in FILLERS):
@@ -75,39 +77,80 @@ def literal_score(value: bytes) -> float:
     return min(spread, 4) * 0.6 + 0.6 * (classes - 1) + (0.5 if len(value) >= 16 else 0)
 
 
-def _pairs(line: bytes, base: int):
-    """(name, literals, other name) of a line; literals are spans of bytes in the text."""
-    for m in _PAIR.finditer(line):
-        name = m.group(1) or m.group(2) or m.group(3)
-        if m.group(4) is not None:
-            start = base + m.start(4)
-            pieces = [(start + p.start() + 1, start + p.end() - 1) for p in _PIECE.finditer(m.group(4))]
-            yield name, pieces, None
-        elif m.group(5) is not None:
-            yield name, [(base + m.start(5), base + m.end(5))], m.group(5)
-        else:
-            yield name, [(base + m.start(6), base + m.end(6))], None
-    for m in _ELEMENT.finditer(line):
-        yield m.group(1), [(base + m.start(2), base + m.end(2))], None
-    for m in _LOGIN.finditer(line):
-        yield b"password", [(base + m.start(1), base + m.end(1))], None
+def _string(text: bytes, at: int) -> tuple[int, int, int] | None:
+    """Begin and end of what is in the string that starts at ``at``, and the end of the string."""
+    for mark in (b'"""', b"'''", b"`"):
+        if text.startswith(mark, at):
+            end = text.find(mark, at + len(mark))
+            return (at + len(mark), end, end + len(mark)) if end >= 0 else None
+    m = _QUOTED.match(text, at)
+    return (at + 1, m.end() - 1, m.end()) if m else None
+
+
+def _strings(text: bytes, at: int) -> tuple[list[tuple[int, int]], int]:
+    """All strings of a sum that starts at ``at``, and where it ends."""
+    pieces, end, m = [], at, _PREFIX.match(text, at)
+    while m and (found := _string(text, m.end())):
+        pieces.append(found[:2])
+        end = found[2]
+        m = _PLUS.match(text, end)
+    return pieces, end
+
+
+def _pairs(text: bytes):
+    """(place, names, literals, other name, whether quoted); literals are spans of bytes in the text.
+
+    What may be a name of its own within a bare value is looked at again.
+    """
+    at = bare_end = line = 0
+    while line < len(text):
+        stop = text.find(b"\n", line)
+        stop = len(text) if stop < 0 else stop
+        at = max(at, line)
+        if text.find(b"=", at, stop) >= 0 or text.find(b":", at, stop) >= 0:
+            while at < stop and (m := _OPEN.search(text, at, stop)):
+                names = [m.group(1) or m.group(2) or m.group(3)]
+                if m.group(4) and name_score(m.group(4)) > 0:  # word: name = value
+                    names.append(m.group(4))
+                pieces, at = _strings(text, m.end())
+                if pieces:
+                    yield m.start(), names, pieces, None, True
+                elif other := _OTHER.match(text, m.end()):
+                    yield m.start(), names, [other.span()], other.group(), False
+                elif m.end() < bare_end:
+                    yield m.start(), names, [(m.end(), bare_end)], None, False
+                elif bare := _BARE.match(text, m.end()):
+                    bare_end = bare.end()
+                    yield m.start(), names, [bare.span()], None, False
+        line = stop + 1
+    if b"</" in text:
+        for m in _ELEMENT.finditer(text):
+            yield m.start(), [m.group(1)], [m.span(2)], None, False
+    if b"://" in text:
+        for m in _LOGIN.finditer(text):
+            yield m.start(), [b"password"], [m.span(1)], None, False
 
 
 def _literals(text: bytes) -> list[tuple[int, int]]:
-    known: dict[bytes, list[tuple[int, int]]] = {}
-    found, base = set(), 0
-    for line in text.split(b"\n"):
-        if b"=" in line or b":" in line or b"</" in line:
-            for name, literals, other in _pairs(line, base):
-                if other is not None:
-                    literals = known.get(other, literals)
-                known[name] = literals
-                sensitive = name_score(name)
-                if sensitive > 0:
-                    whole = b"".join(text[a:b] for a, b in literals)
-                    if sensitive + literal_score(whole) >= THRESHOLD and literal_score(whole) > 0:
-                        found.update(s for s in literals if s[0] < s[1])
-        base += len(line) + 1
+    known: dict[bytes, tuple[list[tuple[int, int]], bool]] = {}
+    found = set()
+    # The end of the last bare value, and the highest score of a name that it was tried for.
+    tried = (-1, 0)
+    for _, names, literals, other, quoted in sorted(_pairs(text), key=lambda p: p[0]):
+        if other is not None:
+            literals, quoted = known.get(other, (literals, quoted))
+        for name in names:
+            known[name] = literals, quoted
+        sensitive = max(map(name_score, names))
+        if sensitive <= 0:
+            continue
+        if not quoted:
+            if tried[0] == literals[-1][1] and sensitive <= tried[1]:
+                continue
+            tried = literals[-1][1], sensitive
+        score = literal_score(b"".join(text[a:b] for a, b in literals))
+        if score > 0 and sensitive + score >= THRESHOLD:
+            found.update(s for s in literals if s[0] < s[1])
     return sorted(found)
 
 

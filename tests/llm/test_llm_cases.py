@@ -295,6 +295,19 @@ def test_many_secrets_take_linear_time():
             assert secrets._touches(a, b, merged) == any(s < b and a < e for s, e in merged)
 
 
+def test_secrets_of_any_length():
+    key = "aB3xK9" * 900
+    assert spans(f"signing_key = {key}.x+/") == [("literal", f"{key}.x+/")]
+    assert spans(f"signing_key = '{key}'") == spans(f"<signingKey>{key}</signingKey>") == [("literal", key)]
+    assert spans(f"x://{'u' * 300}:{key}@h") == [("literal", key)]
+    pieces = [f"aB{i}xK9" for i in range(20)]
+    assert spans("signing_key = " + " + ".join(f"'{x}'" for x in pieces)) == [("literal", x) for x in pieces]
+    assert spans(f"signing_key{' ' * 20}={' ' * 20}'Zk39vLq8TtPw2'") == [("literal", "Zk39vLq8TtPw2")]
+    assert spans(f"{'n' * 100}_signing_key = 'Zk39vLq8TtPw2'") == [("literal", "Zk39vLq8TtPw2")]
+    for hard in ("key=" * 50_000, 'a="' * 50_000 + "'", "a: b[" * 50_000, "<a>" * 50_000, "'" * 100_000, "a" * 200_000):
+        secrets.scan_text(hard.encode())  # ends soon
+
+
 def test_secret_cases(docs, nothing):
     found = docs.select("doc_id", secrets.scan(F.col("text")).alias("s")).collect()
     assert len(found) == docs.count()
