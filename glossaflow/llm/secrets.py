@@ -2,9 +2,10 @@
 
 Three patterns find the plain cases.  Beyond them, assignments are read as source or configuration
 text: each gives pairs of a name and what it is given, a quoted string of one or several lines, several
-of them added, a bare value, or another name.  Another name stands for the literals it was given
+of them added, a bare value, or another name.  Private keys between header and footer need no name.  Another name stands for the literals it was given
 earlier in the text.  Literals are scored by how sensitive the name sounds and how much they look
-like a secret; those above the threshold become spans of kind ``literal``.
+like a secret; those above the threshold become spans of kind ``literal``,
+unless a span of a pattern holds them whole.
 
 Defined results: null and empty texts have no spans.  Whole texts are read, in time that grows with
 their length.  Repeated rows are scanned alike.  An empty table gives an empty table.  Places are
@@ -45,6 +46,7 @@ _OTHER = re.compile(rb"[A-Za-z_$][A-Za-z0-9_.$]*+(?![A-Za-z0-9_.$/+=-])")
 _BARE = re.compile(rb"[^\s\"'<>{}\[\](),;]++")
 _ELEMENT = re.compile(rb"<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<>]++)</")
 _LOGIN = re.compile(rb"://[^\s:/@]++:([^\s:/@]++)@")
+_HEADER = re.compile(rb"-----BEGIN [A-Z0-9 ]*+-----")
 
 #: How sensitive a name sounds: the first that it holds, written without separators.
 NAMES = (
@@ -131,9 +133,21 @@ def _pairs(text: bytes):
             yield m.start(), [b"password"], [m.span(1)], None, False
 
 
+def _key_blocks(text: bytes):
+    """Spans of private keys, from header to footer, or to the end of a text without one."""
+    at = 0
+    while m := _HEADER.search(text, at):
+        at = m.end()
+        if b"PRIVATE KEY" in m.group():
+            foot = text.find(b"-----END ", at)
+            end = text.find(b"-----", foot + 9) if foot >= 0 else -1
+            at = end + 5 if end >= 0 else len(text)
+            yield m.start(), at
+
+
 def _literals(text: bytes) -> list[tuple[int, int]]:
     known: dict[bytes, tuple[list[tuple[int, int]], bool]] = {}
-    found = set()
+    found = set(_key_blocks(text)) if b"-----BEGIN" in text else set()
     # The end of the last bare value, and the highest score of a name that it was tried for.
     tried = (-1, 0)
     for _, names, literals, other, quoted in sorted(_pairs(text), key=lambda p: p[0]):
@@ -148,7 +162,7 @@ def _literals(text: bytes) -> list[tuple[int, int]]:
             if tried[0] == literals[-1][1] and sensitive <= tried[1]:
                 continue
             tried = literals[-1][1], sensitive
-        score = literal_score(b"".join(text[a:b] for a, b in literals))
+        score = literal_score(b"".join(text[a:b] for a, b in literals), quoted and sensitive >= 3)
         if score > 0 and sensitive + score >= THRESHOLD:
             found.update(s for s in literals if s[0] < s[1])
     return sorted(found)
@@ -166,7 +180,7 @@ def scan_text(text: bytes | None) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m.group()) >= 20]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     taken = _merged([(a, b) for a, _, b in spans])
-    spans += [(a, 3, b) for a, b in _literals(text) if not _touches(a, b, taken)]
+    spans += [(a, 3, b) for a, b in _literals(text) if not _inside(a, b, taken)]
     if not spans:
         return []
     if not text.isascii():
@@ -193,6 +207,12 @@ def _touches(a: int, b: int, disjoint: list[tuple[int, int]]) -> bool:
     return k > 0 and disjoint[k - 1][1] > a
 
 
+def _inside(a: int, b: int, disjoint: list[tuple[int, int]]) -> bool:
+    """Whether one of the disjoint spans holds the whole span."""
+    k = bisect_left(disjoint, (a + 1, 0))
+    return k > 0 and disjoint[k - 1][1] >= b
+
+
 _FOUND = T.StructType(
     [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
     + [T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())]

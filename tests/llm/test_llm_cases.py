@@ -308,6 +308,16 @@ def test_secrets_of_any_length():
         secrets.scan_text(hard.encode())  # ends soon
 
 
+def test_secrets_of_further_forms():
+    assert ("literal", "Str0ngPa$$w0rd!xyz") in spans('password = "Str0ngPa$$w0rd!xyz"')
+    block = "-----BEGIN PRIVATE KEY-----\nMIIEvQ9aZ\n-----END PRIVATE KEY-----"
+    assert spans(block) == [("literal", block)]
+    assert spans('"private_key": "correct Horse battery 7 staple"') == [("literal", "correct Horse battery 7 staple")]
+    assert spans('signing_key: str = "Zk39vLq8TtPw2"') == spans('privateKey: string = "Zk39vLq8TtPw2"') == [("literal", "Zk39vLq8TtPw2")]
+    assert spans("env: PRIVATE_KEY=Zk39vLq8TtPw2") == spans("a: b:PRIVATE_KEY=Zk39vLq8TtPw2") == [("literal", "Zk39vLq8TtPw2")]
+    assert spans('signing_key = """Zk39vLq8\nTtPw2Qx"""') == [("literal", "Zk39vLq8\nTtPw2Qx")]
+
+
 def test_secret_cases(docs, nothing):
     found = docs.select("doc_id", secrets.scan(F.col("text")).alias("s")).collect()
     assert len(found) == docs.count()
