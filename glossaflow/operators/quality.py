@@ -253,6 +253,31 @@ def consistency_totals(report: DataFrame, *groups: str) -> DataFrame:
     )
 
 
+def index_runs(chunks: DataFrame, job: str) -> DataFrame:
+    """A row a job and bucket: counts, runs (first, last) of its indexes, and those that are repeated."""
+    status, index = F.col("status"), F.col("chunk_index").cast("long")
+    blank = F.length(strip(F.coalesce("translation", F.lit("")))) == 0
+    each = chunks.groupBy(job, index.alias("_index")).agg(
+        F.count("*").alias("n"),
+        F.count_if(status == "failed").alias("failed"),
+        F.count_if(status == "completed").alias("completed"),
+        F.count_if(blank).alias("blank"),
+    )
+    place = F.col("_index")
+    buckets = each.groupBy(job, F.floor(place / INDEX_BUCKET).alias("_bucket")).agg(
+        *[F.sum(c).alias(c) for c in ("n", "failed", "completed", "blank")],
+        F.count(place).alias("distinct"),
+        F.array_sort(F.collect_list(place)).alias("_seen"),
+        F.array_sort(F.collect_list(F.when(F.col("n") > 1, place))).alias("again"),
+    )
+    other = lambda k: F.coalesce(F.get("_seen", k), F.lit(-(1 << 62)))
+    runs = F.arrays_zip(
+        F.filter("_seen", lambda i, k: other(k - 1) != i - 1).alias("first"),
+        F.filter("_seen", lambda i, k: other(k + 1) != i + 1).alias("last"),
+    )
+    return buckets.withColumn("runs", runs).drop("_seen")
+
+
 def completeness(
     chunks: DataFrame, job: str = "job_id", jobs: DataFrame | None = None, listed: int | None = None
 ) -> DataFrame:
@@ -261,34 +286,26 @@ def completeness(
     ``chunks`` has job, chunk_index, status and translation.  With ``jobs`` (column ``id``) every job
     has a row, and the reason of one without chunks is ``none``.
 
-    Chunks are added up in buckets of a fixed width of indexes, so a job of any length spreads over
-    tasks and no set is larger than a bucket.  A job's buckets, a small row each, are then put
-    together; what is missing are the numbers from zero to the count of rows that no bucket has.
+    Chunks are added up by index, and indexes in buckets of a fixed width, so a job of any length spreads
+    over tasks and no set is larger than a bucket.  A bucket hands on its runs of neighbouring indexes,
+    a single one where none is missing; a job's gaps are what lies between its runs.  So what a job
+    gathers is as large as its missing and repeated indexes, and one run a bucket.
     ``listed`` keeps the first missing and repeated indexes; all are listed otherwise.
     """
-    status, index = F.col("status"), F.col("chunk_index").cast("long")
-    blank = F.length(strip(F.coalesce("translation", F.lit("")))) == 0
-    buckets = chunks.groupBy(job, F.floor(index / INDEX_BUCKET).alias("_bucket")).agg(
-        F.count("*").alias("n"),
-        F.count_if(status == "failed").alias("failed"),
-        F.count_if(status == "completed").alias("completed"),
-        F.count_if(blank).alias("blank"),
-        F.array_sort(F.collect_list(index)).alias("every"),
-    )
-    each = buckets.withColumn("seen", F.array_distinct("every"))
-    repeated = F.array_distinct(
-        F.filter("every", lambda i, k: i == F.get("every", k - 1))
-    )
-    counts = each.withColumn("again", repeated).groupBy(job).agg(
-        F.sum("n").alias("total_chunks"),
-        F.sum("completed").alias("completed_chunks"),
-        F.sum("failed").alias("failed_chunks"),
-        F.sum("blank").alias("empty_translations"),
-        F.sum(F.size("seen")).alias("_distinct"),
-        F.min(F.array_min("seen")).alias("_lowest"),
-        F.max(F.array_max("seen")).alias("_highest"),
-        F.flatten(F.array_agg("seen")).alias("_seen"),
-        F.array_sort(F.flatten(F.array_agg("again"))).alias("duplicate_indexes"),
+    counts = (
+        index_runs(chunks, job)
+        .groupBy(job)
+        .agg(
+            F.sum("n").alias("total_chunks"),
+            F.sum("completed").alias("completed_chunks"),
+            F.sum("failed").alias("failed_chunks"),
+            F.sum("blank").alias("empty_translations"),
+            F.sum("distinct").alias("_distinct"),
+            F.min(F.get("runs", F.lit(0))["first"]).alias("_lowest"),
+            F.max(F.try_element_at("runs", F.lit(-1))["last"]).alias("_highest"),
+            F.array_sort(F.flatten(F.array_agg("runs"))).alias("_runs"),
+            F.array_sort(F.flatten(F.array_agg("again"))).alias("duplicate_indexes"),
+        )
     )
     if jobs is not None:
         counts = jobs.select(F.col("id").alias(job)).distinct().join(counts, job, "left")
@@ -304,9 +321,19 @@ def completeness(
         .when(F.col("empty_translations") > 0, "empty")
     )
     none = F.array().cast("array<bigint>")
-    wanted = F.when(total > 0, F.sequence(F.lit(0).cast("long"), total - 1)).otherwise(none)
-    missing = F.when(F.coalesce(gapless, F.lit(False)), none).otherwise(
-        F.array_except(wanted, F.coalesce("_seen", none))
+    end = F.struct(total.alias("first"), total.alias("last"))
+
+    def gap(run: Column, k: Column) -> Column:
+        """The indexes from zero to the count of rows between a run and the one before it."""
+        low = F.greatest(F.lit(0).cast("long"), F.coalesce(F.get("_runs", k - 1)["last"] + 1, F.lit(0)))
+        high = F.least(run["first"], total) - 1
+        if listed is not None:
+            high = F.least(high, low + listed - 1)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+    runs = F.concat(F.coalesce("_runs", F.array().cast("array<struct<first:bigint,last:bigint>>")), F.array(end))
+    missing = F.when(F.coalesce(gapless, F.lit(False)) | (total == 0), none).otherwise(
+        F.flatten(F.transform(runs, gap))
     )
     first = lambda c: c if listed is None else F.slice(c, 1, listed)
     return counts.select(

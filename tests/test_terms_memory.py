@@ -227,6 +227,17 @@ def test_gaps_over_buckets(spark):
     assert row.missing_indexes == [7, 257]
 
 
+def test_a_job_gathers_runs_not_indexes(spark):
+    chunks = chunk_rows(spark, (0, "completed", "x"), (0, "completed", "x"), (None, "completed", "x"), (-2, "completed", "x"), (2500, "completed", "x"))
+    dense = spark.range(5000).selectExpr("'k' job_id", "cast(id AS int) chunk_index", "'completed' status", "'x' translation").where("chunk_index <> 7")
+    runs = quality.index_runs(chunks.unionByName(dense), "job_id")
+    found = [tuple(r) for row in runs.where("job_id = 'k'").collect() for r in row.runs]
+    assert sorted(found) == [(0, 6), (8, 1023), (1024, 2047), (2048, 3071), (3072, 4095), (4096, 4999)]
+    report = {r.job_id: r for r in quality.completeness(chunks.unionByName(dense)).collect()}
+    assert (report["j"].missing_indexes, report["j"].duplicate_indexes, report["j"].total_chunks) == ([1, 2, 3, 4], [0], 5)
+    assert (report["k"].missing_indexes, report["k"].reason) == ([7], "sequence")
+
+
 def test_jobs_without_chunks(spark, rows):
     jobs = spark.createDataFrame([("j",), ("k",)], "id string")
     found = quality.completeness(chunk_rows(spark, (0, "completed", "a")), jobs=jobs)
