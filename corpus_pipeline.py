@@ -21,7 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that with the smallest number."""
+    """One document of each group of linked fingerprints stays, that with the smallest number.
+
+    Links are those of two bits over three-word shingles; most near copies below a similarity of about
+    0.95 stay (README).
+    """
     prepare(spark)
     return simhash.one_of_each(docs)
 
