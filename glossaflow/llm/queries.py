@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from glossaflow.llm import (
     decontamination,
+    fill_middle,
+    minhash,
     mixing,
     pii,
     preferences,
@@ -16,6 +18,7 @@ from glossaflow.llm import (
     simhash,
     url_filter,
     warc_zip,
+    whitening,
 )
 from glossaflow.llm.common import cut, prepare, table
 
@@ -145,6 +148,29 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(prepare(spark), folder, "documents").select("doc_id", "text")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return fill_middle.transform(docs).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op12_minhash_postings(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(prepare(spark), folder, "documents"))
+
+
+def op13_whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whiten(table(prepare(spark), folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 OP1_SQL = r"""
 WITH t AS (SELECT conv_id AS pair_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
            FROM conversations WHERE conv_id IS NOT NULL),
@@ -209,6 +235,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN marked USING (r) LEFT JOIN named USING (r)"""
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+     r AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                  CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+     c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+     p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+OP12_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x20\x09-\x0D]+') AS w FROM documents),
+     g AS (SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) END AS g FROM w),
+     k AS (SELECT g, row_number() OVER () AS k, len(g) AS n, min(doc_id) AS first FROM g WHERE len(g) > 0 GROUP BY g),
+     s AS (SELECT k, n, hash(x) AS x FROM (SELECT k, n, unnest(g) AS x FROM k)),
+     l AS (SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.x = b.x AND a.k < b.k AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+           GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+     e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+     reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+     c AS (SELECT k.k, least(k.first, (SELECT min(o.first) FROM reach JOIN k o ON o.k = reach.b WHERE reach.a = k.k)) AS c FROM k)
+SELECT doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, CASE WHEN len(g.g) = 0 THEN doc_id ELSE c END AS component_id,
+       doc_id IS NOT DISTINCT FROM (CASE WHEN len(g.g) = 0 THEN doc_id ELSE c END) AS kept
+FROM g LEFT JOIN k ON k.g = g.g LEFT JOIN c USING (k)"""
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -222,6 +279,9 @@ QUERIES = {
         op8_robust_quality,
         op9_broadcast_ngrams,
         op10_source_mixing,
+        op11_fill_in_middle,
+        op12_minhash_postings,
+        op13_whitened_embeddings,
     )
 }
 ORACLES: dict[str, str] = {
@@ -229,4 +289,6 @@ ORACLES: dict[str, str] = {
     "op2_zip_archives": OP2_SQL,
     "op7_sorted_digests": OP7_SQL,
     "op9_broadcast_ngrams": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_minhash_postings": OP12_SQL,
 }
