@@ -3,7 +3,7 @@
 A text is the set of its distinct word shingles.  Its signature has one least hash value for each of
 ``COORDINATES`` hash functions.  Two sets of Jaccard similarity J agree in a coordinate with
 probability J, so a pair at the threshold agrees in fewer than ``MATCHES`` coordinates with
-probability below 2e-8 (of 64 coordinates at 0.8, 51 are expected and 32 are asked for).
+probability below 4e-8 (of 40 coordinates at 0.8, 32 are expected and 17 are asked for).
 
 Each coordinate-value pair is a posting list of the texts that have it.  Values that one text alone
 has make no pair.  What is left of a signature is ordered from rare to common, and a text is posted
@@ -45,7 +45,7 @@ from glossaflow.llm.common import cut
 from glossaflow.llm.simhash import components
 
 SEED, WORDS, PERCENT = 42, 2, 80
-COORDINATES, MATCHES = 64, 32
+COORDINATES, MATCHES = 40, 17
 _BLOCK = 1 << 12
 
 _draw = np.random.default_rng(SEED)
@@ -86,75 +86,111 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 _SKETCH = T.StructType(
     [
+        T.StructField("n", T.LongType()),
         T.StructField("key", T.StringType()),
         T.StructField("signature", T.ArrayType(T.IntegerType())),
-        T.StructField("hashes", T.ArrayType(T.LongType())),
     ]
 )
 
 
 def sketch(text: Column, words: int = WORDS) -> Column:
-    """Of a whole text: a key of its set, its signature and its set."""
+    """Of a whole text: the size of its set, a key of the set, and its signature."""
 
     @F.arrow_udf(_SKETCH)
     def of(texts: pa.Array) -> pa.Array:
-        sets = [shingles(x.as_py(), words) for x in texts]
-        keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-        signs = [signature(s).tolist() if len(s) else None for s in sets]
-        ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-        flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        sizes, keys, signs = [], [], []
+        for x in texts:
+            found = shingles(x.as_py(), words)
+            sizes.append(len(found))
+            keys.append(xxhash.xxh3_128_hexdigest(found.tobytes()) if len(found) else None)
+            signs.append(signature(found) if len(found) else None)
         return pa.StructArray.from_arrays(
-            [pa.array(keys, pa.string()), pa.array(signs, pa.list_(pa.int32())), lists],
-            ["key", "signature", "hashes"],
+            [pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(signs, pa.list_(pa.int32()))],
+            ["n", "key", "signature"],
         )
 
     return of(text.cast("binary"))
 
 
+def whole_set(text: Column, words: int = WORDS) -> Column:
+    """All of a text's shingles, as 64-bit hashes."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(x.as_py(), words).view(np.int64) for x in texts], pa.list_(pa.int64()))
+
+    return of(text.cast("binary"))
+
+
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2")]
+
+
 def posted(classes: DataFrame) -> DataFrame:
-    """Classes that can have a partner: ``row``, ``n``, ``values`` from rare to common, ``weight``.
+    """Classes that can have a partner, with ``values`` from rare to common and their ``weight``.
 
-    ``classes`` has ``row``, ``n`` and ``signature``.  The weight is the number of texts that have
+    The weight is the number of texts that have
     the class's values, each value counted: it is large in the middle of a large group.
     """
-    values = classes.select("row", "n", F.posexplode("signature").alias("k", "v")).select(
-        "row", "n", F.xxhash64("k", "v").alias("value")
+    values = classes.select("row", F.posexplode("signature").alias("k", "v")).select(
+        "row", F.xxhash64("k", "v").alias("value")
     )
     shared = cut(values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"), "values")
     met = values.join(shared, "value")
     held = met.groupBy("row").agg(
-        F.first("n").alias("n"),
-        F.sum("held").alias("weight"),
-        F.sort_array(F.collect_list(F.struct("held", "value"))).alias("values"),
+        F.sum("held").alias("weight"), F.sort_array(F.collect_list(F.struct("held", "value"))).alias("values")
     )
-    return held.where(F.size("values") >= MATCHES).withColumn("values", F.col("values.value"))
+    enough = held.where(F.size("values") >= MATCHES).withColumn("values", F.col("values.value"))
+    return enough.join(classes.drop("signature"), "row")
 
 
 def _alike_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, candidates: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (u, v) that agree in enough coordinates and are similar on full sets.
 
-    Few texts are ``u`` in many pairs (leaders), so their sets are looked up last: Spark broadcasts
-    them where they are small, and else shuffles.
+    Only texts of pairs that pass the count are read again for their sets.  Few texts are ``u`` in
+    many pairs (leaders), so their sets are looked up last: Spark broadcasts what is small, and else
+    shuffles.
     """
-    leaders = cut(held.join(pairs.select(F.col("u").alias("row")).distinct(), "row", "leftsemi"), "leaders")
-    v = held.select(F.col("row").alias("v"), F.col("values").alias("b"), F.col("hashes").alias("y"))
-    u = leaders.select(F.col("row").alias("u"), F.col("values").alias("a"), F.col("hashes").alias("x"))
-    both = pairs.join(v, "v").join(u, "u").where(F.size(F.array_intersect("a", "b")) >= MATCHES)
+    values = candidates.select("row", "values")
+    v = values.select(F.col("row").alias("v"), F.col("values").alias("b"))
+    u = values.select(F.col("row").alias("u"), F.col("values").alias("a"))
+    agree = F.size(F.array_intersect("a", "b")) >= MATCHES
+    counted = cut(pairs.join(v, "v").join(u, "u").where(agree).select("u", "v"), "counted")
+    rows = counted.select(F.col("u").alias("row")).unionByName(counted.select(F.col("v").alias("row"))).distinct()
+    wanted = cut(candidates.join(rows, "row", "leftsemi").select("row", "t1", "t2"), "wanted")
+    sets = cut(
+        texts.select("text", *_text_key(F.col("text")))
+        .join(wanted, ["t1", "t2"])
+        .select("row", "text")
+        .dropDuplicates(["row"])
+        .select("row", whole_set(F.col("text"), words).alias("hashes")),
+        "sets",
+    )
+    leaders = cut(
+        sets.join(counted.select(F.col("u").alias("row")).distinct(), "row", "leftsemi"), "leaders"
+    )
+    v = sets.select(F.col("row").alias("v"), F.col("hashes").alias("y"))
+    u = leaders.select(F.col("row").alias("u"), F.col("hashes").alias("x"))
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("u", "v")
+    return (
+        counted.join(v, "v")
+        .join(u, "u")
+        .where(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent)
+        .select("u", "v")
+    )
 
 
-def links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (u, v) between classes that span all links; ``classes`` has row, n, signature, hashes."""
-    candidates = cut(posted(classes.drop("hashes")), "posted")
-    held = cut(
-        candidates.select("row", "values").join(classes.select("row", "hashes"), "row"), "held"
-    )
+def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Edges (u, v) between classes that span all links.
+
+    ``classes`` has ``row``, ``n``, ``signature`` and the hashes ``t1``, ``t2`` of one text of the
+    class; ``texts`` has ``text``.
+    """
+    candidates = cut(posted(classes), "posted")
     # The first size - MATCHES + 1 values: two texts with MATCHES in common share one of them.
     rarest = F.slice("values", 1, F.size("values") - MATCHES + 1)
     lists = cut(candidates.select("row", "n", "weight", F.explode(rarest).alias("value")), "lists")
@@ -172,7 +208,7 @@ def links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("u", F.col("row").alias("v"))
         .distinct()
     )
-    first = cut(confirmed(cut(led, "led"), held, percent), "links")
+    first = cut(confirmed(cut(led, "led"), candidates, texts, words, percent), "links")
     roots = components(first).withColumnRenamed("node", "row")
     placed = cut(
         lists.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "placed"
@@ -198,7 +234,7 @@ def links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("u", F.col("row").alias("v"))
         .distinct()
     )
-    return first.unionByName(confirmed(cut(left, "left"), held, percent))
+    return first.unionByName(confirmed(cut(left, "left"), candidates, texts, words, percent))
 
 
 def near_duplicates(
@@ -206,19 +242,17 @@ def near_duplicates(
 ) -> DataFrame:
     """A row for each row of ``docs``: its number, ``n_shingles``, ``component_id`` and ``kept``."""
     rows = cut(
-        docs.select(F.col(doc_id).alias("id"), sketch(F.col(text), words).alias("s")).select(
-            F.monotonically_increasing_id().alias("row"),
-            "id",
-            F.size("s.hashes").cast("bigint").alias("n"),
-            "s.*",
+        docs.select(F.col(doc_id).alias("id"), *_text_key(F.col(text)), sketch(F.col(text), words).alias("s")).select(
+            F.monotonically_increasing_id().alias("row"), "id", "t1", "t2", "s.*"
         ),
         "sketches",
     )
     classes = cut(
         rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("first")), "classes"
     )
-    sets = rows.join(classes.select("row"), "row", "leftsemi").select("row", "n", "signature", "hashes")
-    joined = components(links(sets, percent)).withColumnRenamed("node", "row")
+    sets = rows.join(classes.select("row"), "row", "leftsemi").select("row", "n", "t1", "t2", "signature")
+    found = links(sets, docs.select(F.col(text).alias("text")), words, percent)
+    joined = components(found).withColumnRenamed("node", "row")
     # Roots are no nodes of their own.
     nodes = cut(joined.unionByName(joined.select(F.col("root").alias("row"), "root").distinct()), "nodes")
     placed = cut(classes.join(nodes, "row", "left").select("key", "first", "root"), "placed")
