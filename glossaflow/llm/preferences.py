@@ -5,14 +5,19 @@ begin alike, the longest common prefix, are rendered once as the prompt; what fo
 for each side as a completion, with the character spans that count for the loss: the texts of the
 assistant's turns with their end marks.
 
-Conversations come in parts of ``PART`` turn numbers.  Each part is gathered and rendered on its
-own, so that a conversation may be longer than a row; a pair has as many rows as its longer side has
-parts, nearly always one.  Whether the prefix reaches into a part is a join of one row a pair.
+Turns get their places first: both sides are sorted together over all tasks, by conversation and
+turn, so that gaps between turn numbers, equal numbers and null numbers change nothing and no
+conversation is sorted in one task.  Conversations then come in parts of ``PART`` places.  Each part
+is gathered and rendered on its own, both sides in one grouping, so that a conversation may be
+longer than a row; a pair has as many rows as its longer side has parts, nearly always one.  Whether
+the prefix reaches into a part is a join of one row a pair.
 
 Defined results: turns are ordered by number, then role, then text; null numbers come first, null
 roles and texts are empty.  Rows without a conversation are left out, as no pair can name them.
-Repeated turns are turns.  A side that is missing has no turns, so the prompt is empty.  If both
-sides are equal, all is prompt and both completions are empty.  An empty table gives no pairs.
+Repeated turns are turns.  Other columns, whatever their names, are not read.  A text is whole in its
+turn, however long; a part holds ``PART`` turns, so these together must fit a row.  A side that is
+missing has no turns, so the prompt is empty.  If both sides are equal, all is prompt and both
+completions are empty.  An empty table gives no pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossaflow.llm.common import numbered
+
 PART = 256
 START, END = "<|{role}|>\n", "<|end|>\n"
 
@@ -34,46 +41,44 @@ def _joined(turns: Column) -> Column:
 
 def _mask(turns: Column) -> Column:
     """Spans of the assistant's texts and end marks in the rendered turns, as start:end."""
-    head = lambda t: F.length(t["role"]) + 5
-    size = lambda t: F.length(_rendered(t))
-    # A part is short, so places are added up anew for each turn.
-    spans = F.transform(
-        turns,
-        lambda t, i: F.struct(
-            t["role"].alias("role"),
-            (
-                F.aggregate(F.slice(turns, F.lit(1), i), F.lit(0), lambda a, u: a + size(u)) + head(t)
-            ).alias("start"),
-            (F.aggregate(F.slice(turns, F.lit(1), i + 1), F.lit(0), lambda a, u: a + size(u))).alias("end"),
-        ),
-    )
-    kept = F.filter(spans, lambda s: s["role"] == "assistant")
-    return F.array_join(
-        F.transform(kept, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","
-    )
+
+    def step(state: Column, turn: Column) -> Column:
+        start = state["at"] + F.length(turn["role"]) + 5
+        end = state["at"] + F.length(_rendered(turn))
+        span = F.concat_ws(":", start.cast("string"), end.cast("string"))
+        spans = F.when(turn["role"] == "assistant", F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    return F.aggregate(turns, empty, step, lambda state: F.array_join(state["spans"], ","))
 
 
-def _parts(turns: DataFrame, side: str) -> DataFrame:
-    turn = F.struct(
-        F.col("turn"),
+def _placed(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Turns of both sides with their place in the conversation, from 0 without gaps."""
+    columns = [
+        "pair_id",
+        F.col("turn").cast("bigint").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    )
-    part = F.coalesce(F.floor(F.col("turn") / PART), F.lit(-1)).cast("bigint")
-    return (
-        turns.where(F.col("pair_id").isNotNull())
-        .groupBy("pair_id", part.alias("part"))
-        .agg(F.sort_array(F.collect_list(turn)).alias(side))
-    )
+    ]
+    sides = [f.where(F.col("pair_id").isNotNull()).select(F.lit(k).alias("side"), *columns) for k, f in enumerate((chosen, rejected))]
+    order = [F.col(c) for c in ("pair_id", "side", "turn", "role", "text")]
+    turns = numbered(sides[0].unionByName(sides[1]), order, "number")
+    starts = turns.groupBy("pair_id", "side").agg(F.min("number").alias("start"))
+    return turns.join(starts, ["pair_id", "side"]).withColumn("place", F.col("number") - F.col("start"))
 
 
 def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """A row for each pair and part: pair_id, part, n_prompt_turns, prompt, chosen, rejected and
     the masks of the completions.  Both inputs have pair_id, turn, role and text.
     """
-    both = _parts(chosen, "c").join(_parts(rejected, "r"), ["pair_id", "part"], "full")
-    none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
-    both = both.select("pair_id", "part", F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r"))
+    turn = F.struct("place", "role", "text")
+    of = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, turn)))
+    both = (
+        _placed(chosen, rejected)
+        .groupBy("pair_id", F.floor(F.col("place") / PART).cast("bigint").alias("part"))
+        .agg(of(0).alias("c"), of(1).alias("r"))
+    )
     same = lambda i: (F.get("c", i)["role"] == F.get("r", i)["role"]) & (
         F.get("c", i)["text"] == F.get("r", i)["text"]
     )

@@ -420,7 +420,8 @@ def test_preference_cases(spark):
     start, end = map(int, row["chosen_mask"].split(":"))
     assert row["chosen"][start:end] == "good<|end|>\n" and row["rejected"].endswith("<|user|>\n<|end|>\n")
     assert (found[2, 0]["prompt"], found[2, 0]["rejected"]) == ("", "") and "alone" in found[2, 0]["chosen"]
-    assert found[3, 0]["chosen"] == found[3, 0]["rejected"] == "" and found[3, -1]["n_prompt_turns"] == 1
+    # A turn without a number is the first.
+    assert found[3, 0]["chosen"] == found[3, 0]["rejected"] == "" and found[3, 0]["n_prompt_turns"] == 2
     assert all(k[0] is not None for k in found)
     assert pair_rows(spark, [], []) == {}
 
@@ -432,3 +433,50 @@ def test_long_conversations_come_in_parts(spark, monkeypatch):
     found = pair_rows(spark, turns, other)
     assert [found[1, k]["n_prompt_turns"] for k in range(4)] == [2, 1, 0, 0]
     assert "t4" in found[1, 2]["chosen"] and "t3" in found[1, 1]["chosen"] and "else" in found[1, 1]["rejected"]
+
+
+def test_gaps_between_numbers_change_no_prefix(spark):
+    chosen = [(1, i, "user", f"t{i}") for i in range(300)]
+    rejected = [(1, i + (i >= 100), "user", f"t{i}") for i in range(300)]
+    found = pair_rows(spark, chosen, rejected)
+    assert sum(r["n_prompt_turns"] for r in found.values()) == 300
+    assert all(r["chosen"] == r["rejected"] == "" for r in found.values())
+
+
+def test_length_of_parts_changes_no_text(spark, monkeypatch):
+    """Gaps, repeats, nulls, clashing columns: parts of any length hold what a plain version gives."""
+    rng = np.random.default_rng(6)
+    pick = lambda values: values[int(rng.integers(len(values)))]
+    chosen, rejected = [], []
+    for pair in range(12):
+        turns = [(int(rng.integers(0, 40)) if rng.random() < 0.9 else None, pick(["user", "assistant", None]), pick(["a", "bb", "", None])) for _ in range(int(rng.integers(0, 30)))]
+        changed = [t for t in turns if rng.random() < 0.97] + ([(7, "assistant", "new")] if rng.random() < 0.4 else [])
+        chosen += [(pair, *t) for t in turns]
+        rejected += [(pair, *(t if pair % 3 else turns[k])) for k, t in enumerate(changed if pair % 3 else turns)]
+    kind = "pair_id long, turn long, role string, text string, side int, place int, number int, part int"
+    frames = [spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], kind).repartition(4) for rows in (chosen, rejected)]
+    rendered = lambda t: f"<|{t[1]}|>\n{t[2]}<|end|>\n"
+
+    def sides(rows, pair):
+        of = [(-1 if r[1] is None else r[1], r[2] or "", r[3] or "") for r in rows if r[0] == pair]
+        return sorted(of)
+
+    wanted = {}
+    for pair in range(12):
+        c, r = sides(chosen, pair), sides(rejected, pair)
+        n = next((k for k, (a, b) in enumerate(zip(c, r)) if a[1:] != b[1:]), min(len(c), len(r)))
+        if c or r:
+            said = lambda turns: [t[2] + "<|end|>\n" for t in turns if t[1] == "assistant"]
+            wanted[pair] = (n, "".join(map(rendered, c[:n])), "".join(map(rendered, c[n:])), "".join(map(rendered, r[n:])), said(c[n:]), said(r[n:]))
+    for part in (1, 2, 256):
+        monkeypatch.setattr(preferences, "PART", part)
+        found = {}
+        for row in sorted(preferences.format_pairs(*frames).collect(), key=lambda r: (r["pair_id"], r["part"])):
+            spans = [
+                [row[side][slice(*map(int, s.split(":")))] for s in row[f"{side}_mask"].split(",") if s]
+                for side in ("chosen", "rejected")
+            ]
+            new = (row["n_prompt_turns"], row["prompt"], row["chosen"], row["rejected"], *spans)
+            old = found.get(row["pair_id"])
+            found[row["pair_id"]] = tuple(a + b for a, b in zip(old, new)) if old else new
+        assert found == wanted
