@@ -6,7 +6,7 @@ inside the row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaflow.functions.blocks import block_plain_text, make_block, with_seq
@@ -183,6 +183,111 @@ def align_chunks(chunks: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _ranked(rows: DataFrame, keys: tuple[str, ...], order: str, **tests: Column) -> DataFrame:
+    """Rows with the number of rows before them in their chunk that pass each test."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({n: F.coalesce(F.count_if(t).over(before), F.lit(0)) for n, t in tests.items()})
+
+
+def _shared_out(slots: DataFrame, prose: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, rank, slot) of paragraphs that are more than the slots, by position.
+
+    Ends of slots and midpoints of paragraphs, both as shares of the whole, are merged into one order,
+    in which a running count tells how many paragraphs lie before each end.  A slot stops there, or
+    one paragraph after the slot before it if that is further; the largest lead so far is a running
+    maximum.  Merging the slots' starts with the paragraphs' numbers leads back to the paragraphs.
+    """
+    by = Window.partitionBy(*keys)
+    upto = lambda order: by.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("_length").over(by).cast("double")
+    none = F.lit(None).cast("bigint")
+    ends = slots.select(
+        *keys, "slot", none.alias("rank"), F.lit(0).alias("kind"), "n_prose", "n_slots",
+        (F.sum("_length").over(upto(["slot"])) / total).alias("value"),
+    )
+    done = F.sum("_length").over(upto(["rank"]))
+    middles = prose.select(
+        *keys, none.alias("slot"), "rank", F.lit(1).alias("kind"), none.alias("n_prose"), none.alias("n_slots"),
+        (((done - F.col("_length")) + F.col("_length") / F.lit(2.0)) / total).alias("value"),
+    )
+    # An end comes before a midpoint at the same place.
+    own = F.count_if(F.col("kind") == 1).over(upto(["value", "kind", "slot"]))
+    last = F.col("slot") == F.col("n_slots") - 1
+    counted = ends.unionByName(middles).withColumn("own", F.when(last, F.col("n_prose")).otherwise(own)).where("kind = 0")
+    lead = F.max(F.col("own") - F.col("slot")).over(upto(["slot"]))
+    stops = counted.withColumn("stop", F.least("n_prose", F.col("slot") + F.greatest(F.lit(1), lead)))
+    begun = stops.withColumn("begin", F.coalesce(F.lag("stop").over(by.orderBy("slot")), F.lit(0)))
+    starts = begun.where("stop > begin").select(*keys, "slot", none.alias("rank"), F.col("begin").alias("value"), "kind")
+    asked = prose.select(*keys, none.alias("slot"), "rank", F.col("rank").alias("value"), F.lit(1).alias("kind"))
+    holder = F.last("slot", ignorenulls=True).over(upto(["value", "kind"]))
+    return starts.unionByName(asked).withColumn("slot", holder).where("kind = 1").select(*keys, "rank", "slot")
+
+
+def align_rows(blocks: DataFrame, paragraphs: DataFrame, *keys: str) -> DataFrame:
+    """As ``align_chunks``, for chunks of any size: blocks and paragraphs are rows, not arrays.
+
+    ``blocks`` has the keys, ``block_pos`` and a block's fields, ``paragraphs`` the keys, ``pos`` and
+    ``text``.  Every step is a running sum over sorted rows, linear in blocks and paragraphs together.
+    """
+    fields = [c for c in blocks.columns if c not in (*keys, "block_pos")]
+    length = lambda t: F.greatest(F.length(t), F.lit(1)).cast("bigint")
+    table = (F.col("type") == TABLE) & (F.size("rows") > 0)
+    given = blocks.withColumns({"_table": table, "_length": length(block_plain_text(F.struct(*fields)))})
+    said = paragraphs.select(*keys, "pos", "text").withColumns(
+        {"_pipe": F.contains("text", F.lit("|")), "_length": length(F.col("text"))}
+    )
+    sizes = (
+        given.groupBy(*keys)
+        .agg(F.count("*").alias("n_blocks"), F.count_if("_table").alias("_tables"))
+        .join(said.groupBy(*keys).agg(F.count("*").alias("n_said"), F.count_if("_pipe").alias("_pipes")), list(keys), "left")
+        .fillna(0, ["n_said", "_pipes"])
+        .withColumn("one_to_one", F.col("n_said") == F.col("n_blocks"))
+        .withColumn("taken", F.least("_tables", "_pipes"))
+        .withColumn("n_slots", F.col("n_blocks") - F.col("taken"))
+        .withColumn("n_prose", F.col("n_said") - F.col("taken"))
+        .drop("_tables")
+    )
+    given = _ranked(given.join(sizes, list(keys)), keys, "block_pos", number=F.lit(True), _before=F.col("_table"))
+    takes = ~F.col("one_to_one") & F.col("_table") & (F.col("_before") < F.col("taken"))
+    given = _ranked(given.withColumn("_takes", takes), keys, "block_pos", slot=~F.col("_takes"))
+    # Where a block's text comes from: its number, its number among tables, or its slot.
+    given = given.withColumn(
+        "_from", F.when(F.col("one_to_one"), "one").when(F.col("_takes"), "table").otherwise("slot")
+    ).withColumn(
+        "_at", F.when(F.col("one_to_one"), F.col("number")).when(F.col("_takes"), F.col("_before")).otherwise(F.col("slot"))
+    )
+    said = _ranked(said.join(sizes, list(keys)), keys, "pos", number=F.lit(True), _before=F.col("_pipe"))
+    fits = F.col("_pipe") & (F.col("_before") < F.col("taken"))
+    # Prose comes first, then what no table takes.
+    rank = F.when(
+        F.col("_pipe"), F.col("n_said") - F.col("_pipes") + F.col("_before") - F.col("taken")
+    ).otherwise(F.col("number") - F.col("_before"))
+    said = said.withColumn("rank", F.when(~F.col("one_to_one") & ~fits, rank))
+    many = (F.col("n_prose") > F.col("n_slots")) & (F.col("n_slots") > 0) & ~F.col("one_to_one")
+    prose = said.where(F.col("rank").isNotNull() & many)
+    spread = _shared_out(given.where(many & ~F.col("_takes")), prose, keys).withColumnRenamed("slot", "_slot")
+    placed = said.join(spread, [*keys, "rank"], "left").select(
+        *keys,
+        "text",
+        F.coalesce("rank", F.lit(-1)).alias("_order"),
+        F.when(F.col("one_to_one"), "one")
+        .when(F.col("rank").isNull() | (F.col("n_slots") == 0), "table")
+        .otherwise("slot")
+        .alias("_from"),
+        F.when(F.col("one_to_one"), F.col("number"))
+        .when(F.col("rank").isNull(), F.col("_before"))
+        # With tables only, what is left stays with the last of them.
+        .when(F.col("n_slots") == 0, F.col("n_blocks") - 1)
+        .otherwise(F.coalesce("_slot", "rank"))
+        .alias("_at"),
+    )
+    entries = F.sort_array(F.collect_list(F.struct("_order", "text")))
+    texts = placed.groupBy(*keys, "_from", "_at").agg(
+        F.array_join(F.transform(entries, lambda e: e["text"]), "\n\n").alias("translated")
+    )
+    return given.join(texts, [*keys, "_from", "_at"], "left").select(*keys, "block_pos", *fields, "translated")
+
+
 def render_output_blocks(aligned: DataFrame) -> DataFrame:
     """Blocks of the translated document: tables in their source shape, empty blocks left out."""
     table = (F.col("type") == TABLE) & (F.size("rows") > 0)

@@ -90,6 +90,25 @@ def dashboard_counts(
     )
 
 
+def job_totals(jobs: DataFrame, *by: Column | str, nested: bool = False) -> DataFrame:
+    """Counts of jobs by several columns, with all totals, in one aggregate.
+
+    Totals are over every choice of the columns (cube), or with ``nested`` over the leading ones
+    (rollup).  ``level`` tells which: a bit for each column that is added up, the first the highest,
+    so that a total is told from a group of nulls.
+    """
+    status = F.col("status")
+    grouped = jobs.rollup(*by) if nested else jobs.cube(*by)
+    return grouped.agg(
+        F.grouping_id().alias("level"),
+        F.count("*").alias("jobs"),
+        F.count_if(status == "completed").alias("completed_jobs"),
+        F.count_if(status.isin(*ACTIVE_STATUSES)).alias("active_jobs"),
+        F.count_if(status == "failed").alias("failed_jobs"),
+        F.count_if(status == "paused").alias("paused_jobs"),
+    )
+
+
 def recent(rows: DataFrame, time: str, tie: str, k: int = RECENT) -> DataFrame:
     return rows.orderBy(F.col(time).desc(), F.col(tie).desc()).limit(k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions.text import normalize_text, source_hash, strip
 from glossaflow.operators.terms import like_pattern, page_of
+from glossaflow.session import written
 
 # Fixed value: the share in common from which on an entry is similar.
 FUZZY_THRESHOLD = 0.72
@@ -124,7 +125,7 @@ def _rarest(sets: DataFrame, key: str, numbers: DataFrame, threshold: float) ->
     )
 
 
-def tm_fuzzy(
+def tm_overlap(
     texts: DataFrame,
     keys: list[str],
     text: str,
@@ -133,7 +134,7 @@ def tm_fuzzy(
     threshold: float = FUZZY_THRESHOLD,
     matches: int | None = None,
 ) -> DataFrame:
-    """The similar memory entries of each text that has no exact entry, most similar first.
+    """The memory entries with the same wording of each text that has no exact entry, best first.
 
     Similarity is the share of neighbouring word pairs that two texts have in common, twice the
     common ones over all, compared over the whole memory.  An equi-join on each text's rarest pairs
@@ -177,6 +178,13 @@ def tm_fuzzy(
         .select("source_hash", "id", share.alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )
+    return _best(hashed, keys, scored, approved, matches)
+
+
+def _best(
+    hashed: DataFrame, keys: list[str], scored: DataFrame, approved: DataFrame, matches: int | None
+) -> DataFrame:
+    """The scored entries of each text with their rank; ties go to the entry with the larger number."""
     best = Window.partitionBy("source_hash").orderBy(F.col("similarity").desc(), F.col("id").desc())
     scored = scored.withColumn("rank", F.row_number().over(best))
     if matches is not None:
@@ -191,6 +199,110 @@ def tm_fuzzy(
     )
 
 
+def gram_length(threshold: float) -> int:
+    """Characters of a segment so that similar texts have segments in common.
+
+    Each edit changes as many segments as a segment has characters.  Longer segments are rarer, but
+    fewer of them stay whole: here 15 % of the longer text's segments at least.
+    """
+    apart = 1 - threshold
+    return max(1, min(8, int(0.85 / apart))) if apart > 0 else 8
+
+
+def _segments(forms: DataFrame, key: str, length: int) -> DataFrame:
+    """(key, n, segment): the overlapping segments of each form, a repeated one with its number.
+
+    Ends are padded, so that every character lies in as many segments as one has characters.
+    """
+    pad = F.lit("\u0001" * (length - 1))
+    every = F.regexp_extract_all(
+        F.concat(pad, "form", pad), F.lit(f"(?s)(?=(.{{{length}}}))."), F.lit(1)
+    )
+    found = forms.select(key, "n", F.explode(every).alias("segment")).where("segment <> ''")
+    numbered = found.groupBy(key, "n", "segment").count()
+    return numbered.select(
+        key, "n", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("k"), "segment"
+    ).select(key, "n", F.xxhash64("segment", "k").alias("segment"))
+
+
+def _rarest_segments(
+    segments: DataFrame, key: str, numbers: DataFrame, length: int, threshold: float
+) -> DataFrame:
+    """(key, n, segment): of each text the rarest segments, as many as a similar text must touch."""
+    order = Window.partitionBy(key).orderBy(F.coalesce("_count", F.lit(0)), "segment")
+    # A text of n characters has n + length - 1 segments; d edits change length * d of them at most.
+    whole = F.ceil(F.col("n") * (1 - length * (1 - threshold)) + (length - 1) - 1e-9)
+    return (
+        segments.join(numbers, "segment", "left")
+        .withColumn("_place", F.row_number().over(order))
+        .where((F.col("_place") <= F.col("n") + length - whole) & F.col("_count").isNotNull())
+        .select(key, "n", "segment")
+    )
+
+
+def tm_fuzzy(
+    texts: DataFrame,
+    keys: list[str],
+    text: str,
+    tm: DataFrame,
+    language: str = "ar",
+    threshold: float = FUZZY_THRESHOLD,
+    matches: int | None = None,
+) -> DataFrame:
+    """The similar memory entries of each text that has no exact entry, most similar first.
+
+    Similarity is over the characters of the normal forms: one minus the edit distance over the
+    longer length, which is never above the share of matching characters, 2 M / (|a| + |b|).  The
+    whole memory is compared, and no entry that reaches the threshold is lost.
+
+    Texts are cut into overlapping segments of a few characters.  What the threshold allows of edits
+    leaves some of them whole, so two similar texts have a segment in common among the rarest ones
+    of each.  An equi-join on those proposes entries of like length; the edit distance, cut off at
+    what the threshold allows, decides.  Segments of both sides are written once.  Copies of a text
+    are scored once.  Ties go to the entry with the larger number.
+
+    At a threshold of 0.72 segments have three characters, at 0.9 eight: the higher the threshold, the
+    fewer entries are met.  The threshold must be above 0 and is meant to be above one half.
+    """
+    approved = approved_entries(tm, language)
+    hashed = texts.select(*keys, source_hash(F.col(text)).alias("source_hash"))
+    length = gram_length(threshold)
+    asked = written(
+        texts.select(normalize_text(F.col(text)).alias("form"))
+        .select(F.sha2("form", 256).alias("source_hash"), "form", F.length("form").alias("n"))
+        .dropDuplicates(["source_hash"])
+        .join(approved.select("source_hash"), "source_hash", "left_anti"),
+        "asked",
+    )
+    known = written(
+        approved.select("id", normalize_text(F.col("source_text")).alias("form")).withColumn("n", F.length("form")),
+        "known",
+    )
+    mine = written(_segments(asked, "source_hash", length), "asked_segments")
+    theirs = written(_segments(known, "id", length), "known_segments")
+    # Only order depends on the numbers; a segment that no entry has comes first and finds nothing.
+    numbers = written(theirs.groupBy("segment").agg(F.count("*").alias("_count")), "segment_counts")
+    few = _rarest_segments(theirs, "id", numbers, length, threshold).withColumnRenamed("n", "_n")
+    apart = 1 - threshold
+    proposed = (
+        _rarest_segments(mine, "source_hash", numbers, length, threshold)
+        .join(few, "segment")
+        .where(F.least("n", "_n") >= F.greatest("n", "_n") * threshold - 1e-9)
+        .select("source_hash", "id")
+        .distinct()
+    )
+    longer = F.greatest("n", "_n")
+    allowed = F.floor(longer * apart + 1e-9).cast("int")
+    scored = (
+        proposed.join(asked, "source_hash")
+        .join(known.withColumnRenamed("form", "_form").withColumnRenamed("n", "_n"), "id")
+        .withColumn("_edits", F.call_function("levenshtein", F.col("form"), F.col("_form"), allowed))
+        .where("_edits >= 0")
+        .select("source_hash", "id", (1 - F.col("_edits") / longer).alias("similarity"))
+    )
+    return _best(hashed, keys, scored, approved, matches)
+
+
 def lookup(
     texts: DataFrame, keys: list[str], text: str, tm: DataFrame, language: str = "ar", **fuzzy
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import blocks as B
 from glossaflow.functions.tables import CELL_SEPARATOR, number_table_rows
-from glossaflow.functions.text import collapse_space, split_sentences
+from glossaflow.functions.text import collapse_space, split_paragraphs, split_sentences
 from glossaflow.operators import alignment, chunking, jobs, quality
 from glossaflow.plans import views as V
 from glossaflow.plans.structure_queries import chunk_state
@@ -33,6 +33,33 @@ def _dashboard(spark, folder):
     )
 
 
+def _totals(nested):
+    """Jobs by year, and by whether their document's number is even; some have neither."""
+
+    def run(spark, folder):
+        rows = V.jobs(spark, folder).withColumns(
+            {
+                "year": F.when(F.col("id") % 7 != 0, F.year("updated_at").cast("bigint")),
+                "half": F.when(F.col("document_id") % 5 != 0, F.col("document_id") % 2),
+            }
+        )
+        return jobs.job_totals(rows, "year", "half", nested=nested)
+
+    return run
+
+
+def _totals_sql(kind: str) -> str:
+    return with_views(
+        f"""t AS (SELECT *, CASE WHEN id % 7 <> 0 THEN year(updated_at) END AS year,
+                         CASE WHEN document_id % 5 <> 0 THEN document_id % 2 END AS half FROM v_jobs)
+        SELECT year, half, grouping_id(year, half) AS level, count(*) AS jobs,
+               count(*) FILTER (WHERE status = 'completed') AS completed_jobs, count(*) FILTER (WHERE status IN ({_PARKED})) AS active_jobs,
+               count(*) FILTER (WHERE status = 'failed') AS failed_jobs, count(*) FILTER (WHERE status = 'paused') AS paused_jobs
+        FROM t GROUP BY {kind}""",
+        "v_jobs",
+    )
+
+
 def _recent(spark, folder):
     newest = jobs.recent(V.jobs(spark, folder), "updated_at", "id")
     return jobs.jobs_with_documents(newest, V.job_documents(spark, folder)).select(
@@ -140,6 +167,14 @@ def _align(spark, folder):
     )
 
 
+def _align_rows(spark, folder):
+    """The same chunks with their blocks and paragraphs as rows."""
+    chunks = _sentence_chunks(spark, folder)
+    blocks = chunks.select("job_id", F.posexplode("source_blocks").alias("block_pos", "b")).select("job_id", "block_pos", "b.*")
+    said = chunks.select("job_id", F.posexplode(split_paragraphs(F.col("translation"))).alias("pos", "text"))
+    return alignment.align_rows(blocks, said, "job_id").select("job_id", "block_pos", "translated")
+
+
 def _table_chunks(spark, folder) -> DataFrame:
     """A sentence and a table, translated to a sentence, the rows, and a note."""
     intro = B.make_block("paragraph", F.lit("Values follow."))
@@ -238,6 +273,14 @@ def _transition_sql(job_status: str, job_message: str, chunk_status: str, chunk_
     )
 
 
+_ALIGNED_SQL = with_views(
+    f"""{_ALIGN_SQL}
+    SELECT r.doc_id AS job_id, CAST(seq AS INTEGER) AS block_pos, string_agg(s, chr(10) || chr(10) ORDER BY i) AS translated
+    FROM ranges r LEFT JOIN o ON o.doc_id = r.doc_id AND i >= begin AND i < stop GROUP BY r.doc_id, seq""",
+    "v_blocks",
+    recursive=True,
+)
+
 QUERIES = {
     "job_progress": (
         _progress,
@@ -275,6 +318,8 @@ QUERIES = {
             "v_jobs", "v_docs", "v_terms", "v_tm",
         ),
     ),
+    "dashboard_totals": (_totals(False), _totals_sql("GROUPING SETS ((year, half), (year), (half), ())")),
+    "dashboard_totals_nested": (_totals(True), _totals_sql("ROLLUP (year, half)")),
     "recent_jobs": (
         _recent,
         with_views(
@@ -411,16 +456,8 @@ QUERIES = {
             "v_jobs", "v_docs", "v_order_chunks",
         ),
     ),
-    "align_paragraphs": (
-        _align,
-        with_views(
-            f"""{_ALIGN_SQL}
-            SELECT r.doc_id AS job_id, CAST(seq AS INTEGER) AS block_pos, string_agg(s, chr(10) || chr(10) ORDER BY i) AS translated
-            FROM ranges r LEFT JOIN o ON o.doc_id = r.doc_id AND i >= begin AND i < stop GROUP BY r.doc_id, seq""",
-            "v_blocks",
-            recursive=True,
-        ),
-    ),
+    "align_paragraphs": (_align, _ALIGNED_SQL),
+    "align_rows": (_align_rows, _ALIGNED_SQL),
     "render_output_blocks": (
         _render,
         f"""WITH {_NUMBERED_SQL}

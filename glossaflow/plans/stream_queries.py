@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from glossaflow.plans import views as V
 from glossaflow.plans.views import _WS, with_views
 from glossaflow.session import shared_folder
-from glossaflow.sources import files, store, terms_csv
+from glossaflow.operators import memory
+from glossaflow.sources import files, ranked, search, store, terms_csv
+from glossaflow.sources.versions import VersionedTable
+from glossaflow.streaming import keyed as K
 from glossaflow.streaming import status as S
 
 
@@ -102,6 +105,86 @@ def _upsert(spark, folder):
     return _fed(spark, documents, run).select("source_hash", "target_text", "use_count")
 
 
+def _keyed(spark, folder):
+    """Parts are about a week apart, so rows a part late come in time, and those of weeks ago do not."""
+    out = shared_folder(spark, "keyed")
+    latest = _fed(
+        spark,
+        _events(spark, folder, again=True),
+        lambda rows: K.stream_status_with_state(V.as_status(rows), "job_id", "chunk_index", out, delay="12 days"),
+    )
+    return _local(latest, "updated_at")
+
+
+def _once(spark, folder):
+    out = shared_folder(spark, "once")
+    keys = ["job_id", "chunk_index"]
+
+    def run(rows):
+        done = S.with_event_time(V.as_status(rows)).where("status = 'completed'")
+        return K.stream_once_within(done, keys, out, delay="60 days")
+
+    return _fed(spark, _events(spark, folder, again=True), run).select(*keys, "status")
+
+
+def _left(spark, folder):
+    """A last event of an unknown job, long after the others, lets the last period end."""
+    out = shared_folder(spark, "left")
+    totals = V.order_chunks(spark, folder).groupBy("job_id").agg(F.count("*").alias("total_chunks"))
+    totals = totals.withColumn("total_chunks", F.col("total_chunks") * 100)
+    events = _events(spark, folder)
+    beat = events.limit(1).withColumns(
+        {
+            "user_id": F.lit(-1).cast("bigint"),
+            "ts": (F.timestamp_seconds(F.lit(4102444800))).cast("timestamp_ntz"),
+            "_part": F.lit(PARTS - 1),
+        }
+    )
+    run = lambda rows: K.stream_seconds_left(V.as_status(rows), totals, "job_id", out, delay="12 days")
+    return _local(_fed(spark, events.unionByName(beat.select(*events.columns)), run), "period_start")
+
+
+def _versions(spark, folder):
+    """A memory in small groups: made from even documents, changed by all others, read by key."""
+    table = VersionedTable(spark, shared_folder(spark, "versions"), ["source_hash", "target_language"], group_rows=100)
+    pairs = V.memory_pairs(spark, folder)
+    for rest in (0, 1):
+        part = memory.build_tm(pairs.where(F.col("doc_id") % 2 == rest), [F.col("doc_id")])
+        table.upsert(part.drop("first_seen"), memory.upsert_tm, change=rest)
+    table.delete(table.read().where("use_count > 2"))
+    return table.read().select("source_hash", "use_count")
+
+
+def _search(needle: str, limit: int, offset: int):
+    """A search in the stored memory by its posting lists."""
+
+    def run(spark, folder):
+        path = shared_folder(spark, "search")
+        search.write_index(V.memory(spark, folder).select("id", "source_text", "target_text", "use_count"), path, 16, 4)
+        return search.search_stored(spark, path, needle, limit, offset).select("id", "use_count", "total")
+
+    return run
+
+
+def _search_sql(pattern: str, limit: int, offset: int) -> str:
+    hit = f"source_text ILIKE '{pattern}' OR target_text ILIKE '{pattern}'"
+    return with_views(
+        f"""SELECT id, use_count, (SELECT count(*) FROM v_tm WHERE {hit}) AS total
+            FROM v_tm WHERE {hit} ORDER BY id DESC LIMIT {limit} OFFSET {offset}""",
+        "v_tm",
+    )
+
+
+def _page(spark, folder):
+    """A page of jobs in the middle of the table, and one of those of a status."""
+    path, order = shared_folder(spark, "ranked"), [F.col("updated_at").desc(), F.col("id").desc()]
+    ranked.write_ranked(V.jobs(spark, folder).select("id", "status", "updated_at"), path, order)
+    whole = ranked.read_page(spark, path, order, limit=40, offset=700)
+    some = ranked.read_page(spark, path, order, limit=40, offset=100, where=F.col("status") == "completed")
+    pages = [p.select(F.lit(k).alias("page"), "id", "rank", "total") for k, p in enumerate((whole, some))]
+    return pages[0].unionByName(pages[1])
+
+
 def _text_files(spark, folder) -> str:
     path = shared_folder(spark, "texts")
     V.documents(spark, folder).select("text").write.text(path)
@@ -200,6 +283,50 @@ QUERIES = {
         _dedup,
         with_views("SELECT DISTINCT job_id, chunk_index, status FROM v_status WHERE status = 'completed'", "v_status"),
     ),
+    "stream_status_with_state": (
+        _keyed,
+        with_views("SELECT job_id, chunk_index, status, updated_at FROM v_event_chunks", "v_event_chunks"),
+    ),
+    "stream_once_within": (
+        _once,
+        with_views("SELECT DISTINCT job_id, chunk_index, status FROM v_status WHERE status = 'completed'", "v_status"),
+    ),
+    "stream_seconds_left": (
+        _left,
+        with_views(
+            """d AS (SELECT job_id, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS day,
+                             count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed
+                      FROM v_status GROUP BY ALL),
+                p AS (SELECT job_id, time_bucket(INTERVAL '30 days', day, TIMESTAMP '1970-01-01') AS period_start,
+                             CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(failed) AS BIGINT) AS failed,
+                             epoch(max(day) - min(day)) + 86400 AS elapsed FROM d GROUP BY ALL),
+                t AS (SELECT job_id, 100 * count(*) AS total FROM v_order_chunks GROUP BY job_id)
+               SELECT job_id, period_start, completed, failed,
+                      CASE WHEN completed >= 3 THEN round_even((total - completed - failed)
+                                / greatest(completed / greatest(1.0, elapsed)::DOUBLE, 1e-6::DOUBLE), 0) END AS seconds_left
+               FROM p JOIN t USING (job_id)""",
+            "v_status",
+            "v_order_chunks",
+        ),
+    ),
+    "search_stored": (_search("TION", 15, 3), _search_sql("%tion%", 15, 3)),
+    "search_stored_with_wildcards": (_search("der%die_", 50, 0), _search_sql("%der%die_%", 50, 0)),
+    "search_stored_short": (_search("ü", 20, 2), _search_sql("%ü%", 20, 2)),
+    "page_of_ranked": (
+        _page,
+        with_views(
+            """SELECT 0 AS page, id, rank, total FROM (SELECT id, row_number() OVER (ORDER BY updated_at DESC, id DESC) - 1 AS rank,
+                                                            count(*) OVER () AS total FROM v_jobs) WHERE rank >= 700 AND rank < 740
+               UNION ALL
+               SELECT 1, id, rank, total FROM (SELECT id, row_number() OVER (ORDER BY updated_at DESC, id DESC) - 1 AS rank,
+                                                      count(*) OVER () AS total FROM v_jobs WHERE status = 'completed') WHERE rank >= 100 AND rank < 140""",
+            "v_jobs",
+        ),
+    ),
+    "store_versions": (
+        _versions,
+        with_views("SELECT source_hash, use_count FROM v_tm WHERE use_count <= 2", "v_tm"),
+    ),
     "stream_tm_upsert": (
         _upsert,
         with_views("SELECT source_hash, target_text, use_count FROM v_tm", "v_tm"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.functions import blocks as B
 from glossaflow.functions.text import strip
-from glossaflow.operators import chunking, layout, structure
+from glossaflow.operators import chunking, layout, long_documents, structure
 from glossaflow.plans import views as V
 from glossaflow.plans.text_queries import _NUMBERED_SQL, _SENTENCES
 from glossaflow.plans.views import _WS, with_views
@@ -191,6 +191,14 @@ def _chunks(spark, folder):
     )
 
 
+def _chunks_of_rows(spark, folder):
+    """The same chunks, from blocks as rows."""
+    blocks = V.document_blocks(spark, folder).select("doc_id", F.inline("blocks"))
+    return long_documents.chunk_block_rows(blocks, "doc_id", maximum=1000000).select(
+        "doc_id", "chunk_index", "chapter", "section", "source_text", "char_count", "token_estimate"
+    )
+
+
 def _chunks_split(spark, folder):
     """The whole chunker, over-long lines included, at its usual sizes."""
     return chunking.chunk_documents(V.document_blocks(spark, folder), "doc_id").select(
@@ -259,18 +267,18 @@ _SPANS_SQL = """spans AS (
                 WHEN length(line) < 40 THEN 13.0 ELSE 11.04 END AS real_size
     FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, pos))"""
 
+_CHUNKS_SQL = with_views(
+    f"""{chunk_state("v_blocks", "doc_id", 4000)},
+    chunked AS ({_CHUNK_TEXT.format(blocks="v_blocks")})
+    SELECT doc_id, chunk_index, chapter, section, source_text, length(source_text) AS char_count,
+           greatest(1, length(source_text) // 4) AS token_estimate FROM chunked""",
+    "v_blocks",
+    recursive=True,
+)
+
 QUERIES = {
-    "chunk_documents": (
-        _chunks,
-        with_views(
-            f"""{chunk_state("v_blocks", "doc_id", 4000)},
-            chunked AS ({_CHUNK_TEXT.format(blocks="v_blocks")})
-            SELECT doc_id, chunk_index, chapter, section, source_text, length(source_text) AS char_count,
-                   greatest(1, length(source_text) // 4) AS token_estimate FROM chunked""",
-            "v_blocks",
-            recursive=True,
-        ),
-    ),
+    "chunk_documents": (_chunks, _CHUNKS_SQL),
+    "chunk_block_rows": (_chunks_of_rows, _CHUNKS_SQL),
     "chunk_documents_with_long_blocks": (
         _chunks_split,
         with_views(

@@ -157,16 +157,20 @@ def _known_turns(spark, folder):
     )
 
 
-def _fuzzy(spark, folder):
-    """Users' turns with changed ends against the memory of all turns."""
-    texts = V.pairs(spark, folder).select(
+def _changed_turns(spark, folder):
+    """Users' turns with changed ends."""
+    return V.pairs(spark, folder).select(
         "job_id",
         "chunk_index",
         F.concat(F.lit("again: "), "source_text", F.lit(" so it ends.")).alias("text"),
     )
-    return memory.tm_fuzzy(texts, ["job_id", "chunk_index"], "text", _known_turns(spark, folder)).select(
-        "job_id", "chunk_index", "rank", "id", "similarity"
-    )
+
+
+def _similar(operator):
+    """Changed turns against the memory of all turns."""
+    return lambda spark, folder: operator(
+        _changed_turns(spark, folder), ["job_id", "chunk_index"], "text", _known_turns(spark, folder)
+    ).select("job_id", "chunk_index", "rank", "id", "similarity")
 
 
 def _lookup(spark, folder):
@@ -371,22 +375,28 @@ def _completeness_sql(chunks: str, jobs: str = "") -> str:
       FROM c{every})"""
 
 
-def _fuzzy_sql(text: str) -> str:
-    """All texts against all entries of the memory of turns, by the word pairs they share."""
+#: The given texts' letters beyond ASCII, for an edit distance that counts bytes.
+_LETTERS = "ßäçèéêíñóöü"
+
+
+def _fuzzy_sql(text: str, overlap: bool = False) -> str:
+    """All texts against all entries of the memory of turns, by edit distance or by shared word pairs."""
     form = f"lower(regexp_replace(trim({{}}, '{_WS}'), '[{_WS}]+', ' ', 'g'))"
     pairs = """list_distinct(list_transform(range(1, greatest(len({0}), 2)), lambda i: [{0}[i], {0}[i + 1]]))"""
+    ascii_ = f"translate({{}}, '{_LETTERS}', '{''.join(chr(65 + k) for k in range(len(_LETTERS)))}')"
+    shared = "2.0::DOUBLE * len(list_intersect(aw.p, ew.p)) / (len(aw.p) + len(ew.p))"
+    edited = "1 - levenshtein(aw.a, ew.a)::DOUBLE / greatest(length(aw.a), length(ew.a))"
     return f"""
     e AS (SELECT sha256({form.format('source_text')}) AS h, {form.format('source_text')} AS f, job_id * 1000 + chunk_index AS o,
                  trim(translation, '{_WS}') AS t FROM v_pairs
           WHERE trim(source_text, '{_WS}') <> '' AND trim(translation, '{_WS}') <> ''),
-    entries AS (SELECT h, min(o) AS id, arg_min(t, o) AS tgt, string_split(any_value(f), ' ') AS w FROM e GROUP BY h),
-    ew AS (SELECT *, {pairs.format('w')} AS p FROM entries),
+    entries AS (SELECT h, min(o) AS id, arg_min(t, o) AS tgt, arg_min(f, o) AS f, string_split(any_value(f), ' ') AS w FROM e GROUP BY h),
+    ew AS (SELECT *, {pairs.format('w')} AS p, {ascii_.format('f')} AS a FROM entries),
     asked AS (SELECT job_id, chunk_index, {form.format('x')} AS f, sha256({form.format('x')}) AS h
               FROM (SELECT job_id, chunk_index, {text} AS x FROM v_pairs)),
-    aw AS (SELECT job_id, chunk_index, {pairs.format('w')} AS p
+    aw AS (SELECT job_id, chunk_index, {pairs.format('w')} AS p, {ascii_.format('f')} AS a
            FROM (SELECT *, string_split(f, ' ') AS w FROM asked WHERE h NOT IN (SELECT h FROM entries))),
-    scored AS (SELECT job_id, chunk_index, id,
-                      2.0::DOUBLE * len(list_intersect(aw.p, ew.p)) / (len(aw.p) + len(ew.p)) AS similarity FROM aw CROSS JOIN ew),
+    scored AS (SELECT job_id, chunk_index, id, {shared if overlap else edited} AS similarity FROM aw CROSS JOIN ew),
     fuzzy AS (SELECT *, row_number() OVER (PARTITION BY job_id, chunk_index ORDER BY similarity DESC, id DESC) AS rank
               FROM scored WHERE similarity >= 0.72)"""
 
@@ -550,13 +560,21 @@ QUERIES = {
         ),
     ),
     "tm_fuzzy": (
-        _fuzzy,
+        _similar(memory.tm_fuzzy),
         with_views(
             f"""{_fuzzy_sql("'again: ' || source_text || ' so it ends.'")}
             SELECT job_id, chunk_index, rank, id, similarity FROM fuzzy""",
             "v_pairs",
         ),
     ),
+    "tm_overlap": (
+        _similar(memory.tm_overlap),
+        with_views(
+            f"""{_fuzzy_sql("'again: ' || source_text || ' so it ends.'", overlap=True)}
+            SELECT job_id, chunk_index, rank, id, similarity FROM fuzzy""",
+            "v_pairs",
+        ),
+    ),
     "tm_lookup": (
         _lookup,
         with_views(

@@ -6,7 +6,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -44,3 +44,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     run = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     return f"{root.rstrip('/')}/{name}-{run}"
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, however often it is used.
+
+    Its size is known from its files, so Spark's own check decides about broadcasts, and what was
+    computed survives a lost executor.
+    """
+    path = shared_folder(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaflow.functions.names import extension_verdict, file_suffix
+from glossaflow.sources.file_heads import read_heads
 
 # Size limit, and first bytes of known types.
 MAX_FILE_BYTES = 100 * 1024 * 1024
@@ -79,75 +77,32 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-_LISTED = "path string, modificationTime timestamp, length long, folder boolean"
-
-
-def _children(spark: SparkSession, folders: DataFrame) -> DataFrame:
-    """What lies directly in folders (column ``path``), listed by the executors."""
-
-    def listed(batches):
-        for batch in batches:
-            for root in batch["path"]:
-                system, place = pafs.FileSystem.from_uri(root.replace("file:/", "file:///", 1) if root.startswith("file:/") and "://" not in root else root)
-                head = root.removesuffix(place)
-                entries = [
-                    (head + e.path, e.mtime, e.size or 0, e.type == pafs.FileType.Directory)
-                    for e in system.get_file_info(pafs.FileSelector(place))
-                    if not e.base_name.startswith(("_", "."))
-                ]
-                yield pd.DataFrame(entries, columns=["path", "modificationTime", "length", "folder"])
-
-    found = folders.select("path").mapInPandas(listed, _LISTED)
-    # Written as Spark's file sources write paths.
-    return found.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
-
-
-def _empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """Empty files, which Spark's file sources pass over.  Names starting with _ or . are hidden.
-
-    The tree is listed level by level, the folders of a level by as many tasks as there are; only
-    whether a level has folders reaches the driver.
-    """
-    root = path if "://" in path else f"file://{os.path.abspath(path)}"
-    level, empty = spark.createDataFrame([(root,)], "path string"), None
-    while True:
-        found = _children(spark, level).cache()
-        here = found.where("NOT folder AND length = 0").drop("folder")
-        empty = here if empty is None else empty.unionByName(here)
-        level = found.where("folder").select("path").repartition("path")
-        if level.isEmpty():
-            return empty
-
-
-def file_inventory(spark: SparkSession, path: str, include_empty: bool = True) -> DataFrame:
+def file_inventory(
+    spark: SparkSession, path: str, include_empty: bool = True, check_text: bool = False
+) -> DataFrame:
     """Each file with its size, claimed and found type, and whether it is accepted.
 
-    Only files that pass the checks on name and size are opened.  ``include_empty`` lists the folder
-    for empty files too; of a folder known to have none it can be left out.
+    Of a file only the first bytes are read, in the tasks that list the folders.  ``check_text`` also
+    tells whether accepted text files are UTF-8, for which they are read whole.
     """
-    names = _files(spark, path).select("path", "modificationTime", "length")
-    if include_empty:
-        names = names.unionByName(_empty_files(spark, path))
-    names = names.withColumn("name", file_name(F.col("path")))
-    listed = names.withColumns(
+    heads = read_heads(spark, path)
+    if not include_empty:
+        heads = heads.where("length > 0")
+    named = heads.withColumn("name", file_name(F.col("path")))
+    listed = named.withColumns(
         {
             "extension": F.lower(file_suffix(F.col("name"))),
             "name_verdict": extension_verdict(F.col("name")),
         }
     )
-    opened = _files(spark, path).where(
-        (F.col("length") > 0) & (F.col("length") <= MAX_FILE_BYTES)
-    ).where(extension_verdict(file_name(F.col("path"))) == "ok")
-    start = F.substring("content", 1, 4)
+    start = F.substring("head", 1, 4)
     kind = None
     for magic, extension in MAGIC:
         test = start == F.lit(magic.encode("latin-1"))
         kind = F.when(test, extension) if kind is None else kind.when(test, extension)
     # Single-byte code pages decode any bytes, so what has no known start is text if claimed so.
-    claimed = F.lower(file_suffix(file_name(F.col("path"))))
-    sniffed = opened.select(
-        "path", kind.when(claimed == ".txt", ".txt").alias("found"), F.is_valid_utf8("content").alias("utf8")
-    )
+    opened = (F.col("length") > 0) & (F.col("length") <= MAX_FILE_BYTES) & (F.col("name_verdict") == "ok")
+    found = F.when(opened, kind.when(F.col("extension") == ".txt", ".txt"))
     verdict = (
         F.when(F.col("name_verdict") != "ok", F.col("name_verdict"))
         .when(F.col("length") == 0, "empty")
@@ -156,11 +111,13 @@ def file_inventory(spark: SparkSession, path: str, include_empty: bool = True) -
         .when(F.col("found") != F.col("extension"), "content_mismatch")
         .otherwise("ok")
     )
-    return (
-        listed.join(sniffed, "path", "left")
-        .withColumn("verdict", verdict)
-        .drop("name_verdict")
+    checked = listed.withColumn("found", found).withColumn("verdict", verdict).drop("name_verdict", "head")
+    if not check_text:
+        return checked
+    texts = _files(spark, path).where(
+        (F.col("length") > 0) & (F.col("length") <= MAX_FILE_BYTES) & (extension_verdict(file_name(F.col("path"))) == "ok")
     )
+    return checked.join(texts.select("path", F.is_valid_utf8("content").alias("utf8")), "path", "left")
 
 
 def stale_files(spark: SparkSession, path: str, hours: float = 24, now: Column | None = None) -> DataFrame:

@@ -14,9 +14,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glossaflow.operators.memory import build_tm, upsert_tm
+from glossaflow.sources.versions import VersionedTable
 
 
 def read_stream(spark: SparkSession, folder: str, schema, file_filter: str | None = None) -> DataFrame:
@@ -73,68 +73,24 @@ def latest_status(events: DataFrame, job: str, chunk: str) -> DataFrame:
     )
 
 
-BUCKETS = 16
-
-
-def _versions(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """All stored rows with their ``bucket`` and the ``batch`` that wrote them."""
-    stored = T.StructType([*schema.fields]).add("batch", T.LongType()).add("bucket", T.IntegerType())
-    return spark.read.schema(stored).parquet(folder)
-
-
-def _newest_versions(rows: DataFrame) -> DataFrame:
-    """The rows of each bucket's last batch.  Which that is shows from the names of folders."""
-    last = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["bucket", "batch"], "left_semi")
-
-
-def _drop_old(spark: SparkSession, folder: str, number: int) -> None:
-    """Remove versions of buckets that no later reading needs: all but the last before ``number``."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = {}
-    for status in system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/bucket=*")):
-        place = status.getPath()
-        batch = int(place.getParent().getName().removeprefix("batch="))
-        if batch < number:
-            found.setdefault(place.getName(), []).append((batch, place))
-    for versions in found.values():
-        for _, place in sorted(versions, key=lambda v: v[0])[:-1]:
-            system.delete(place, True)
-
-
 def merge_stream(
     rows: DataFrame,
     folder: str,
     keys: list[str],
     prepare: Callable[[DataFrame], DataFrame],
     combine: Callable[[DataFrame, DataFrame], DataFrame],
-    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Run a stream over what is there now into a store of one row a key, and return its rows.
+    """Run a stream over what is there now into a table of one row a key, and return its rows.
 
-    A micro-batch is reduced by ``prepare`` and merged by ``combine`` (old, new) with the buckets of
-    keys that it touches, no others.  It reads the versions of earlier batches and writes its own, so
-    a batch that runs again replaces itself and counts nothing twice.  Versions that are superseded
-    are removed once the batch after has begun.
+    A micro-batch is reduced by ``prepare`` and merged by ``combine`` (old, new) with the groups of
+    files that hold its keys, no others; groups split as the table grows.  The table remembers the
+    number of the last batch, so a batch that runs again counts nothing twice.
     """
-    spark = rows.sparkSession
-    data = f"{folder}/data"
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    table = VersionedTable(rows.sparkSession, f"{folder}/data", keys)
 
     def write(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        new = prepare(batch)
-        old = session.createDataFrame([], new.schema)
-        if number > 0:
-            _drop_old(session, data, number)
-            stored = _versions(session, data, new.schema).where(F.col("batch") < number)
-            touched = new.select(bucket.alias("bucket")).distinct()
-            old = _newest_versions(stored).join(touched, "bucket", "left_semi").select(*new.columns)
-        merged = combine(old, new).select(*new.columns).withColumn("bucket", bucket)
-        merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{data}/batch={number}"
-        )
+        table.upsert(prepare(batch), combine, change=number)
+        table.expire()
 
     query = (
         rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
@@ -143,8 +99,7 @@ def merge_stream(
         .start()
     )
     query.awaitTermination()
-    found = spark.read.parquet(data)
-    return _newest_versions(found).drop("batch", "bucket")
+    return table.read()
 
 
 def stream_latest_status(events: DataFrame, job: str, chunk: str, folder: str) -> DataFrame:

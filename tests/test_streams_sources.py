@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glossaflow.functions.text import source_hash
 from glossaflow.operators import memory
 from glossaflow.session import shared_folder
-from glossaflow.sources import files, store, terms_csv
+from glossaflow.sources import file_heads, files, store, terms_csv
 from glossaflow.streaming import status as S
 
 EVENTS = "job_id string, chunk_index int, status string, ts timestamp, event_id long"
@@ -154,7 +154,7 @@ def test_empty_files_of_deeper_folders(spark, tmp_path):
 
 def test_a_character_on_any_byte_is_valid(spark, tmp_path):
     (tmp_path / "long.txt").write_bytes(b"x" * (64 * 1024 - 1) + "é".encode())
-    assert files.file_inventory(spark, str(tmp_path)).first()["utf8"]
+    assert files.file_inventory(spark, str(tmp_path), check_text=True).first()["utf8"]
 
 
 def test_inventory(spark, folder):
@@ -166,6 +166,22 @@ def test_inventory(spark, folder):
     }
 
 
+def test_heads_read_first_bytes_alone(spark, tmp_path):
+    """Folders of any depth; a large file costs no more than its first bytes."""
+    for name in ("a", "b/c", "b/d/e/f", "_hidden", "b/.dot"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "x y.txt").write_bytes(b"%PDF" + b"0" * 1000)
+    with open(tmp_path / "large.txt", "wb") as large:
+        large.truncate(3 << 30)
+    found = {r["path"]: (r["length"], len(r["head"])) for r in file_heads.read_heads(spark, str(tmp_path)).collect()}
+    assert found == {
+        f"file:{tmp_path}/large.txt": (3 << 30, 64),
+        **{f"file:{tmp_path}/{n}/x y.txt": (1004, 64) for n in ("a", "b/c", "b/d/e/f")},
+    }
+    plan = files.file_inventory(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan and "InMemoryRelation" not in plan
+
+
 def test_stale_files(spark, folder):
     os.utime(f"{folder}/a.pdf", (0, 0))
     assert [r["name"] for r in files.stale_files(spark, folder, 24).collect()] == ["a.pdf"]

@@ -4,10 +4,11 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossaflow.functions import blocks as B
-from glossaflow.operators import chunking, layout, structure
-from glossaflow.schema import BLOCK
+from glossaflow.operators import chunking, layout, long_documents, structure
+from glossaflow.schema import BLOCK, BLOCKS
 
 TEXT = (
     "Chapter 1 Start\n\nFirst one\nstill first.\n\nSecond.\n\n- item one\n* item two\n\n"
@@ -232,3 +233,49 @@ def test_a_long_sentence_starts_its_own_piece(value):
     pieces = value(chunking.split_long_text(F.lit(text), 100))
     assert pieces[0] == "Short one here." and pieces[1].startswith("Word abcd")
     assert " ".join(pieces) == text
+
+
+def test_blocks_as_rows_make_the_same_chunks(spark):
+    """Random headings, tables and long texts: rows streamed by chapter against the fold in a row."""
+    pick = random.Random(21)
+    documents = []
+    for k in range(30):
+        blocks = []
+        for seq in range(pick.randint(0, 60)):
+            kind = pick.choice(["paragraph"] * 6 + ["heading"] * 2 + ["list_item", "table"])
+            text = " ".join(f"Word {pick.randrange(9)}." for _ in range(pick.choice([1, 5, 20, 90])))
+            level = pick.choice([1, 2, 2, 3, 4]) if kind == "heading" else 0
+            table = [[f"c{j}", "value"] for j in range(pick.randint(1, 40))] if kind == "table" else []
+            blocks.append((seq, kind, text, seq // 7, level, "", table, False, False))
+        documents.append((k, blocks))
+    schema = T.StructType([T.StructField("doc_id", T.IntegerType()), T.StructField("blocks", BLOCKS)])
+    given = spark.createDataFrame(documents, schema)
+    rows = given.select("doc_id", F.inline("blocks")).repartition(5)
+    wanted = chunking.chunk_documents(given, "doc_id", target=300, maximum=450)
+    found = long_documents.chunk_block_rows(rows, "doc_id", target=300, maximum=450)
+    assert sorted(found.columns) == sorted(wanted.columns)
+    order = lambda frame: sorted(map(str, frame.select(*wanted.columns).collect()))
+    assert order(found) == order(wanted) and found.count() > 100
+
+
+def test_a_document_of_many_blocks_spans_tasks(spark):
+    block = F.struct(
+        F.col("id").cast("int").alias("seq"),
+        F.when(F.col("id") % 10_000 == 0, "heading").otherwise("paragraph").alias("type"),
+        F.concat(F.lit("block "), F.col("id")).alias("text"),
+        F.lit(0).alias("page"),
+        F.when(F.col("id") % 10_000 == 0, 1).otherwise(0).alias("level"),
+        F.lit("").alias("marker"),
+        F.array().cast("array<array<string>>").alias("rows"),
+        F.lit(False).alias("bold"),
+        F.lit(False).alias("italic"),
+    )
+    rows = spark.range(300_000).select(F.lit(1).alias("doc_id"), block.alias("b")).select("doc_id", "b.*")
+    placed = long_documents.assign_block_rows(rows, "doc_id")
+    by_task = placed.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(by_task) >= 8
+    # Each chunk is a run of blocks, and chunks follow each other.
+    runs = placed.groupBy("chunk_index").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.count("*").alias("n")).orderBy("chunk_index").collect()
+    assert [r["chunk_index"] for r in runs] == list(range(len(runs)))
+    assert all(r["b"] - r["a"] + 1 == r["n"] for r in runs)
+    assert [r["a"] for r in runs[1:]] == [r["b"] + 1 for r in runs[:-1]]

@@ -130,29 +130,87 @@ def word_pairs(form):
     return {tuple(words[i : i + 2]) for i in range(max(1, len(words) - 1))}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, start=1):
+        row, last = [i], row
+        for j, y in enumerate(b, start=1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def closeness(a, b):
+    return 1 - edits(a, b) / max(len(a), len(b), 1)
+
+
+def overlap(a, b):
+    return 2 * len(word_pairs(a) & word_pairs(b)) / (len(word_pairs(a)) + len(word_pairs(b)))
+
+
+def ranked_plainly(known, asked, share, threshold, matches=None):
+    expected = []
+    for k, text in enumerate(asked):
+        form = " ".join(text.split()).lower()
+        if form in {e[1] for e in known}:
+            continue
+        best = sorted(((share(form, e), i) for i, e in known if share(form, e) >= threshold - 1e-9), key=lambda r: (-r[0], -r[1]))
+        expected += [(k, n, i, round(r, 9)) for n, (r, i) in enumerate(best[:matches], start=1)]
+    return sorted(expected, key=str)
+
+
+def found_rows(frame):
+    found = frame.select("k", "rank", "id", "similarity").collect()
+    return sorted(((r.k, r.rank, r.id, round(r.similarity, 9)) for r in found), key=str)
+
+
+@pytest.mark.parametrize("operator, share", [(memory.tm_fuzzy, closeness), (memory.tm_overlap, overlap)])
 @pytest.mark.parametrize("matches", [None, 2])
-def test_fuzzy_is_brute_force_over_the_whole_memory(spark, rows, matches):
+def test_similar_is_brute_force_over_the_whole_memory(spark, operator, share, matches):
     pick = random.Random(3)
     sentence = lambda n: " ".join(pick.choice("abcdefghij") + pick.choice("xyz") for _ in range(n))
     base = [sentence(pick.randint(1, 40)) for _ in range(25)]
     vary = lambda t: " ".join(w if pick.random() > 0.06 else "changed" for w in t.split())
     known, asked = base + [vary(t) for t in base], [vary(t) for t in base] + ["", "short"]
     tm, texts = stored(spark, *known), texts_of(spark, *asked)
-    found = memory.tm_fuzzy(texts, ["k"], "t", tm, matches=matches).select("k", "rank", "id", "similarity")
-
     entries = [(r.id, r.form) for r in tm.select("id", normalize_text(F.col("source_text")).alias("form")).collect()]
-    expected = []
-    for k, text in enumerate(asked):
-        form = " ".join(text.split()).lower()
-        if form in {e[1] for e in entries}:
-            continue
-        share = lambda e: 2 * len(word_pairs(form) & word_pairs(e)) / (len(word_pairs(form)) + len(word_pairs(e)))
-        best = sorted(((share(e), i) for i, e in entries if share(e) >= 0.72), key=lambda r: (-r[0], -r[1]))
-        expected += [(k, n, i, r) for n, (r, i) in enumerate(best[:matches], start=1)]
-    assert rows(found) == sorted(expected, key=str)
+    expected = ranked_plainly(entries, asked, share, 0.72, matches)
+    assert found_rows(operator(texts, ["k"], "t", tm, matches=matches)) == expected
     assert len(expected) > 5
 
 
+@pytest.mark.parametrize("threshold", [0.55, 0.72, 0.9, 1.0])
+def test_edits_of_every_kind_and_length(spark, threshold):
+    """Short and long forms, letters beyond the first plane, repeats, edits dealt out evenly."""
+    pick = random.Random(5)
+    letters = "aaab é𝒳ñ."
+    word = lambda n: "".join(pick.choice(letters) for _ in range(n)).strip() or "x"
+
+    def edited(text, n):
+        text = list(text)
+        for _ in range(n):
+            at = pick.randrange(len(text) + 1)
+            kind = pick.choice("sid")
+            text[at : at + (kind != "i")] = [] if kind == "d" else [pick.choice(letters)]
+        return "".join(text) or "y"
+
+    known = [word(n) for n in (1, 2, 3, 4, 5, 7, 9, 14, 25, 60, 120)] + ["aaaaaaaaaaaa", "".join("abcdefghij"[k % 10] for k in range(50))]
+    asked = [edited(t, max(1, int(len(t) * share))) for t in known for share in (0.05, 0.15, 0.27)]
+    asked += ["".join(c + ("x" if k % 4 == 0 else "") for k, c in enumerate(known[-1])), "a", ""]
+    tm, texts = stored(spark, *known), texts_of(spark, *asked)
+    entries = [(r.id, r.form) for r in tm.select("id", normalize_text(F.col("source_text")).alias("form")).collect()]
+    expected = ranked_plainly(entries, asked, closeness, threshold)
+    assert found_rows(memory.tm_fuzzy(texts, ["k"], "t", tm, threshold=threshold)) == expected
+
+
+def test_one_word_changed_in_a_short_segment(spark):
+    tm = stored(spark, "Press the red button to start.", "restart the server after the upgrade", "Quantum computing basics")
+    texts = texts_of(spark, "Press the green button to start.", "restart the server before the upgrade", "The history of ancient Rome and its emperors.")
+    found = memory.tm_fuzzy(texts, ["k"], "t", tm).select("k", "source").collect()
+    assert sorted(map(tuple, found)) == [
+        (0, "Press the red button to start."), (1, "restart the server after the upgrade"),
+    ]
+
+
 def test_issues_and_report(spark, rows):
     words = dictionary(spark, ("vision", "رؤية", ["بصر"], "General", True), ("unused", "غ", [], "General", True))
     pairs = pairs_of(
