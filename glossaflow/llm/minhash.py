@@ -13,18 +13,24 @@ list for certain (prefix).  Texts with fewer shared values than ``MATCHES`` are
 Lists are merged by leaders, not by all pairs:
 
 1. Each list's leader is the text whose values are the most common.  Every other text of the list is
-   compared with it, once for all lists that have the two.  Links make first components.
-2. A list whose texts are all in one component is skipped.  In the rest, texts outside their leader's
-   component meet the list's texts of other components.
+   compared with it, once for all lists that have the two.  Links make it the leader's core; what is
+   not linked, but near, is its rim.
+2. Within a leader's surroundings, texts of the rim are joined with all others on what differs from
+   the leader.  A text of the rim differs from it too much, so a link needs more than half of the
+   other text's differences, and each text is posted under so many of its rarest differences that
+   one of them must be in common.
+3. Jaccard distance is a metric, so the partners of a text at 0.3 from a leader are within 0.5, all of
+   them near.  These texts are done.  What is further out is left for another round with another
+   leader, and in the end meets each other in pairs, unless it is in one component by then.
 
 A met pair's equal coordinates are counted over the whole signatures (lists beyond the prefix are
-probed, not merged); pairs with ``MATCHES`` or more are confirmed on full sets of 64-bit hashes.
-Within a component no further links are sought, as they change nothing; so copies and near copies of
-one text cost a comparison each, whatever their number.  Between components every link counts and
-none is lost.  Texts with equal sets are one class from the start.
+probed, not merged); pairs with enough of them are confirmed on full sets of 64-bit hashes.  Within
+a core no further links are sought, as they change nothing; so copies and near copies of one text
+cost a comparison each, whatever their number.  Every other link counts and none is lost.  Texts
+with equal sets are one class from the start.
 
-Work that stays: texts that share their common values with a large group and are still not linked
-to its leader are each compared with all of that group.
+Work that stays: texts that share their common values with each other and are linked to none of the
+leaders meet in pairs.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and
 kept.  A text of fewer words than a shingle is one shingle.  A null number counts as none when the
@@ -46,6 +52,10 @@ from glossaflow.llm.simhash import components
 
 SEED, WORDS, PERCENT = 42, 2, 80
 COORDINATES, MATCHES = 40, 17
+#: Equal coordinates with a leader at least; texts at 0.5 have fewer with probability below 4e-5.
+NEAR_MATCHES = 8
+#: Rounds of leaders before what is left meets in pairs.
+ROUNDS = 2
 _BLOCK = 1 << 12
 
 _draw = np.random.default_rng(SEED)
@@ -148,8 +158,11 @@ def _alike_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirmed(pairs: DataFrame, candidates: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) that agree in enough coordinates and are similar on full sets.
+def measured(
+    pairs: DataFrame, candidates: DataFrame, texts: DataFrame, words: int, matches: int, percent: int
+) -> DataFrame:
+    """Of the pairs (u, v) with so many equal coordinates and so similar sets: both sizes and ``apart``,
+    the hashes that are in one set only.
 
     Only texts of pairs that pass the count are read again for their sets.  Few texts are ``u`` in
     many pairs (leaders), so their sets are looked up last: Spark broadcasts what is small, and else
@@ -158,7 +171,7 @@ def confirmed(pairs: DataFrame, candidates: DataFrame, texts: DataFrame, words:
     values = candidates.select("row", "values")
     v = values.select(F.col("row").alias("v"), F.col("values").alias("b"))
     u = values.select(F.col("row").alias("u"), F.col("values").alias("a"))
-    agree = F.size(F.array_intersect("a", "b")) >= MATCHES
+    agree = F.size(F.array_intersect("a", "b")) >= matches
     counted = cut(pairs.join(v, "v").join(u, "u").where(agree).select("u", "v"), "counted")
     rows = counted.select(F.col("u").alias("row")).unionByName(counted.select(F.col("v").alias("row"))).distinct()
     wanted = cut(candidates.join(rows, "row", "leftsemi").select("row", "t1", "t2"), "wanted")
@@ -175,13 +188,47 @@ def confirmed(pairs: DataFrame, candidates: DataFrame, texts: DataFrame, words:
     )
     v = sets.select(F.col("row").alias("v"), F.col("hashes").alias("y"))
     u = leaders.select(F.col("row").alias("u"), F.col("hashes").alias("x"))
-    common = F.size(F.array_intersect("x", "y"))
-    return (
-        counted.join(v, "v")
-        .join(u, "u")
-        .where(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent)
-        .select("u", "v")
+    both = counted.join(v, "v").join(u, "u").withColumn("common", F.size(F.array_intersect("x", "y")))
+    near = both.where(F.col("common") * (100 + percent) >= (F.size("x") + F.size("y")) * percent)
+    apart = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    return near.select("u", "v", F.size("x").alias("n_u"), F.size("y").alias("n_v"), apart.alias("apart"))
+
+
+def _linked(apart: Column, sizes: Column, percent: int) -> Column:
+    """Whether sets with so many hashes apart and such sizes together are similar enough."""
+    return apart * (100 + percent) <= sizes * (100 - percent)
+
+
+def _rim_links(met: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of texts of a leader's rim with what is near it, from their differences from the leader.
+
+    Sets differ from each other exactly where their differences from the leader do.  With d and d'
+    differences, i of them in common, two sets of n and n' hashes are linked if d + d' - 2 i is at
+    most k (n + n'), k = (1 - p) / (1 + p).  In the rim d exceeds k (n + the leader's size), so the
+    other text needs more than (d' - k (n' - the leader's size)) / 2 in common.
+    """
+    linked = _linked(F.size("apart"), F.col("n_u") + F.col("n_v"), percent)
+    rim = cut(met.where(~linked), "rim")
+    around = cut(met.join(rim.select("u").distinct(), "u", "leftsemi"), "around")
+    every = around.select("u", F.explode("apart").alias("x"))
+    held = every.groupBy("u", "x").agg(F.count("*").alias("held"))
+    d = F.size("apart")
+    share = (100 - percent) / (100 + percent)
+    needed = F.floor((d - share * (F.col("n_v") - F.col("n_u"))) / 2 - 1e-9) + 1
+    prefix = d - F.greatest(needed, F.lit(1)) + 1
+    listed = around.select("u", "v", prefix.alias("prefix"), F.explode("apart").alias("x"))
+    ranked = (
+        listed.join(held, ["u", "x"])
+        .groupBy("u", "v", "prefix")
+        .agg(F.sort_array(F.collect_list(F.struct("held", "x"))).alias("xs"))
+        .select("u", "v", F.explode(F.slice("xs.x", F.lit(1), F.col("prefix").cast("int"))).alias("x"))
     )
+    asked = rim.select("u", F.col("v").alias("o"), F.explode("apart").alias("x"))
+    proposed = cut(ranked.join(asked, ["u", "x"]).where("v <> o").select("u", "v", "o").distinct(), "proposed")
+    outer = rim.select("u", F.col("v").alias("o"), F.col("n_v").alias("n_o"), F.col("apart").alias("apart_o"))
+    both = proposed.join(around, ["u", "v"]).join(outer, ["u", "o"])
+    between = F.size("apart") + F.size("apart_o") - 2 * F.size(F.array_intersect("apart", "apart_o"))
+    return both.where(_linked(between, F.col("n_v") + F.col("n_o"), percent)).select(F.col("o").alias("u"), "v")
 
 
 def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -194,47 +241,44 @@ def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
     # The first size - MATCHES + 1 values: two texts with MATCHES in common share one of them.
     rarest = F.slice("values", 1, F.size("values") - MATCHES + 1)
     lists = cut(candidates.select("row", "n", "weight", F.explode(rarest).alias("value")), "lists")
+    edges, near, done = None, max(100 - (100 - percent) * 5 // 2, 0), max(100 - (100 - percent) * 3 // 2, 0)
     best = F.max(F.struct("weight", "row", "n"))
-    leaders = cut(
-        lists.groupBy("value")
-        .agg(best.alias("best"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("value", F.col("best.row").alias("u"), F.col("best.n").alias("m")),
-        "leaders",
-    )
-    led = (
-        lists.join(leaders, "value")
-        .where((F.col("row") != F.col("u")) & _alike_sizes(F.col("n"), F.col("m"), percent))
-        .select("u", F.col("row").alias("v"))
-        .distinct()
-    )
-    first = cut(confirmed(cut(led, "led"), candidates, texts, words, percent), "links")
-    roots = components(first).withColumnRenamed("node", "row")
-    placed = cut(
-        lists.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "placed"
-    )
-    # Lists of one component are skipped.
-    homes = leaders.join(roots.withColumnRenamed("row", "u"), "u", "left").select(
-        "value", F.col("u").alias("leader"), F.coalesce("root", "u").alias("home")
-    )
-    outside = (
-        placed.join(homes, "value")
-        .where((F.col("root") != F.col("home")) & (F.col("row") != F.col("leader")))
-        .select("value", F.col("row").alias("u"), F.col("n").alias("m"), F.col("root").alias("r"), "leader", "home")
-    )
-    # The leader was met already; two texts outside meet once.
-    left = (
-        placed.join(cut(outside, "outside"), "value")
-        .where(
-            (F.col("row") != F.col("leader"))
-            & (F.col("root") != F.col("r"))
-            & ((F.col("root") == F.col("home")) | (F.col("u") < F.col("row")))
-            & _alike_sizes(F.col("n"), F.col("m"), percent)
+    for _ in range(ROUNDS):
+        leaders = cut(
+            lists.groupBy("value")
+            .agg(best.alias("best"), F.count("*").alias("size"))
+            .where("size > 1")
+            .select("value", F.col("best.row").alias("u"), F.col("best.n").alias("m")),
+            "leaders",
         )
+        led = (
+            lists.join(leaders, "value")
+            .where((F.col("row") != F.col("u")) & _alike_sizes(F.col("n"), F.col("m"), near))
+            .select("u", F.col("row").alias("v"))
+            .distinct()
+        )
+        met = cut(measured(cut(led, "led"), candidates, texts, words, NEAR_MATCHES, near), "met")
+        both = F.col("n_u") + F.col("n_v")
+        core = met.where(_linked(F.size("apart"), both, percent)).select("u", "v")
+        found = cut(core.unionByName(_rim_links(met, percent)), "links")
+        edges = found if edges is None else edges.unionByName(found)
+        ready = met.where(_linked(F.size("apart"), both, done)).select("u", F.col("v").alias("row"))
+        left = lists.join(leaders.select("value", "u"), "value").where("row <> u")
+        lists = cut(left.join(ready, ["u", "row"], "leftanti").drop("u"), "lists")
+    roots = components(edges).withColumnRenamed("node", "row")
+    placed = cut(lists.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "placed")
+    # Lists of one component are skipped.
+    mixed = placed.groupBy("value").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("value")
+    placed = cut(placed.join(mixed, "value", "leftsemi"), "mixed")
+    one = placed.select("value", F.col("row").alias("u"), F.col("n").alias("m"), F.col("root").alias("r"))
+    rest = (
+        placed.join(one, "value")
+        .where((F.col("u") < F.col("row")) & (F.col("root") != F.col("r")) & _alike_sizes(F.col("n"), F.col("m"), percent))
         .select("u", F.col("row").alias("v"))
         .distinct()
     )
-    return first.unionByName(confirmed(cut(left, "left"), candidates, texts, words, percent))
+    last = measured(cut(rest, "rest"), candidates, texts, words, MATCHES, percent)
+    return edges.unionByName(last.select("u", "v"))
 
 
 def near_duplicates(

@@ -133,16 +133,33 @@ def test_minhash_long_text(spark, rows):
     assert rows(minhash.near_duplicates(docs)) == [(1, 59_999, 1, True), (2, 60_000, 1, False), (3, len(text[:200_000].split()) - 1, 3, True)]
 
 
+def changed_copies(rng, n, most):
+    """Copies of one text with one to ``most`` words replaced at random places."""
+    words = [f"w{k}" for k in range(200)]
+    copies = []
+    for k in range(n):
+        copy = list(words)
+        for at in rng.choice(200, int(rng.integers(1, most + 1)), replace=False):
+            copy[at] = f"x{rng.integers(0, 400)}"
+        copies.append((k, " ".join(copy)))
+    return copies
+
+
 def test_near_copies_make_few_pairs(spark, monkeypatch):
-    """Of a group of near copies each is compared with the leader, not with all others."""
+    """Of a group of near copies each is compared with the leader, not with all others.
+
+    Some of the copies are too far from the leader, but linked with one of its copies.
+    """
     met = []
-    confirmed = minhash.confirmed
-    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *rest: met.append(pairs.count()) or confirmed(pairs, *rest))
-    words = [f"w{k}" for k in range(300)]
-    given = [(k, " ".join([*words[:k], "changed", *words[k + 1 :]])) for k in range(200)]
+    measured = minhash.measured
+    monkeypatch.setattr(minhash, "measured", lambda pairs, *rest: met.append(pairs.count()) or measured(pairs, *rest))
+    given = changed_copies(np.random.default_rng(3), 300, 16)
+    far = given[7][1].split()
+    given.append((999, " ".join("far" if k in (150, 160, 170) else w for k, w in enumerate(far))))
     found = minhash.near_duplicates(spark.createDataFrame(given, TEXTS)).collect()
-    assert {r["component_id"] for r in found} == {0}
-    assert sum(met) < 3 * len(given)
+    wanted = {r[0]: r[2] for r in components_plainly(given)}
+    assert {r["doc_id"]: r["component_id"] for r in found} == wanted
+    assert sum(met) < 10 * len(given), met
 
 
 # Whitening ------------------------------------------------------------------------------------------
