@@ -5,12 +5,16 @@ addresses, long groups of digits, and groups of hexadecimal digits with colons.
 pass their check stay.  Every other span is scored by boosted trees over features of its format and
 context, and kept if its score passes a calibrated threshold.
 
-The trees are fitted to all candidates: those that overlap a checked base span are examples, all
-others are counter-examples.  Features are small whole numbers, so the candidates are first counted
-by feature vector; the number of such cells is bounded by the product of the features' ranges, and
-only cells reach the driver.  One of two halves, by hash, fits the trees; on the other the threshold
-is the lowest score from which on at least ``PRECISION`` of the candidates are examples.  The trees
-come back as CASE expressions.
+The trees are fitted to all candidates.  Examples are the checked base spans and what overlaps them,
+and, so that the trees can add what no base pattern holds, candidates with a sign of their own:
+spelled-out addresses whose host ends in letters, groups with colons that are a whole or shortened
+IPv6 or a hardware address, and numbers of 7 to 19 digits right after a naming word.  All others are
+counter-examples.  Features are small whole numbers, so the candidates are first counted by feature
+vector; the number of such cells is bounded by the product of the features' ranges, and only cells
+reach the driver.  One of two halves, by hash, fits the trees; on the other each generator gets a
+threshold, the lowest score from which on at least ``PRECISION`` of its candidates are examples.
+The trees come back as CASE expressions.  A candidate is added if it overlaps no checked base span
+and its score reaches its generator's threshold.
 
 Places come from the pieces between matches: the start of a match is the length of all pieces and
 matches before it, a running sum in the row's own small partition.
@@ -39,10 +43,10 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20?[\[({]\x20?at\x20?[\])}]\x20?"
-    r"[A-Za-z0-9-]{1,64}+(?:\x20?(?:\.|[\[({]\x20?dot\x20?[\])}])\x20?[A-Za-z0-9-]{1,64}+){1,8}+",
-    "digits": r"[0-9](?:[\x20().-]{0,3}+[0-9]){6,40}+",
-    "colons": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:{1,2}+){3,7}+[0-9A-Fa-f]{1,4}+",
+    "spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[\[({]\x20?at\x20?[\])}]\x20?"
+    r"[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({]\x20?dot\x20?[\])}])\x20?[A-Za-z0-9-]++)++",
+    "digits": r"[0-9](?:[\x20().-]{0,3}+[0-9]){6,}+",
+    "colons": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]*+(?::[0-9A-Fa-f]*+){2,}+(?![0-9A-Za-z])",
 }
 #: What a text must hold for a pattern to be tried.
 _NEEDS = {"email": "@", "phone": "+", "colons": ":"}
@@ -127,6 +131,25 @@ def checked(kind: Column, value: Column) -> Column:
     )
 
 
+def signed(kind: Column, value: Column, before: Column) -> Column:
+    """Whether a candidate of the other generators shows by itself what it is."""
+    group = "[0-9A-Fa-f]{1,4}"
+    groups = F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+    shortened = F.rlike(value, F.lit(rf"^(?:{group}(?::{group})*+)?::(?:{group}(?::{group})*+)?$"))
+    digits = F.length(value) - F.length(F.regexp_replace(value, "[0-9]", ""))
+    return (
+        F.when(kind == KINDS.index("spelled"), F.rlike(value, F.lit(r"[A-Za-z]{2,}$")))
+        .when(
+            kind == KINDS.index("colons"),
+            F.rlike(value, F.lit(rf"^{group}(?::{group}){{7}}$"))
+            | F.rlike(value, F.lit(r"^[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}$"))
+            | (shortened & (groups >= 2) & (groups <= 7) & F.rlike(value, F.lit("[0-9]")) & (F.length(value) >= 6)),
+        )
+        .when(kind == KINDS.index("digits"), F.rlike(before, F.lit(_WORDS)) & (digits >= 7) & (digits <= 19))
+        .otherwise(False)
+    )
+
+
 def features() -> dict[str, tuple[Column, int]]:
     """Name: (small whole number, how many values it can have)."""
     value, before, after = F.col("value"), F.col("before"), F.col("after")
@@ -139,6 +162,9 @@ def features() -> dict[str, tuple[Column, int]]:
         "signs": (step(count("[^0-9A-Za-z]"), 1, 2, 4, 7, 12), BINS),
         "letters": (step(count("[A-Za-z]"), 1, 9), 3),
         "plus": (flag(F.rlike(before, F.lit(r"\+$")) | F.startswith(value, F.lit("+"))), 2),
+        "groups": (step(count(":"), 2, 3, 5, 7, 8), BINS),
+        "short": (flag(F.contains(value, F.lit("::"))), 2),
+        "ends": (flag(F.rlike(value, F.lit("[A-Za-z]{2,}$"))), 2),
         "named": (flag(F.rlike(before, F.lit(_WORDS))), 2),
         "apart": (flag(F.rlike(before, F.lit(r"(?:^|[\s(\[<\"'])$")) & ~F.rlike(after, F.lit("[A-Za-z0-9]"))), 2),
     }
@@ -223,6 +249,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     proposed = cut(
         proposed.select(
             "_row", "_id", "kind", "start", "end", checked(F.col("kind"), F.col("value")).alias("ok"),
+            signed(F.col("kind"), F.col("value"), F.col("before")).alias("sign"),
             F.pmod(F.xxhash64("value", "before"), F.lit(2)).alias("half"),
             *[c.cast("int").alias(n) if n != "kind" else c.alias("_kind") for n, (c, _) in names.items()],
         ),
@@ -246,8 +273,9 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         ),
         "marked",
     )
+    example = F.col("hit") | F.col("sign")
     cells = marked.groupBy(*columns, "half").agg(
-        F.sum(F.col("hit").cast("int")).alias("yes"), F.sum((~F.col("hit")).cast("int")).alias("no")
+        F.count_if(example).alias("yes"), F.count_if(~example).alias("no")
     )
     rows = cells.collect()
     base = marked.where("ok").select("_row", F.struct("kind", "start", "end").alias("span"))
@@ -259,10 +287,17 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             for part in fits
         ])
         trees = fit_trees(x[0], yes[0], no[0])
-        least = threshold(np.array([sum(_value(t, row) for t in trees) for row in x[1]]), yes[1], no[1])
+        scores = np.array([sum(_value(t, row) for t in trees) for row in x[1]])
         score = sum((_expression(t, [F.col(c) for c in columns]) for t in trees), F.lit(0.0))
-        if np.isfinite(least):
-            kept = marked.where(~F.col("hit") & (score >= least - 1e-9))
+        kinds = x[1][:, columns.index("_kind")]
+        enough = F.lit(False)
+        for kind in np.unique(kinds).tolist():
+            own = kinds == kind
+            least = threshold(scores[own], yes[1][own], no[1][own])
+            if np.isfinite(least):
+                enough = enough | ((F.col("_kind") == kind) & (F.col("_score") >= least - 1e-9))
+        if kinds.size:
+            kept = marked.where(~F.col("hit")).withColumn("_score", score).where(enough)
             added = kept.select(
                 "_row", F.struct(F.lit(KINDS.index("found")).alias("kind"), F.col("start"), F.col("end")).alias("span")
             )

@@ -2,13 +2,18 @@
 
 Three patterns find the plain cases.  Beyond them, assignments are read as source or configuration
 text: each gives pairs of a name and what it is given, a quoted string of one or several lines, several
-of them added, a bare value, or another name.  Private keys between header and footer need no name.  Another name stands for the literals it was given
-earlier in the text.  Literals are scored by how sensitive the name sounds and how much they look
-like a secret; those above the threshold become spans of kind ``literal``,
-unless a span of a pattern holds them whole.
+of them added, an indented block, a bare value, another name, or what an ``or`` falls back to.
+Private keys between header and footer need no name.  Another name stands for the literals it was
+given before, or else is first given later in the text.  Literals are scored by how sensitive the
+name sounds and how much they look like a secret; those above the threshold become spans of kind
+``literal``, unless a span of a pattern holds them whole.
+
+Names are read by their parts, at separators and capitals, and fillers by whole parts of a value, so
+that chance pieces of longer words count for nothing.
 
 Defined results: null and empty texts have no spans.  Whole texts are read, in time that grows with
-their length.  Repeated rows are scanned alike.  An empty table gives an empty table.  Places are
+their length.  Repeated rows are scanned alike.  Other columns, whatever their names, are not read, as
+``scan`` is an expression over one.  An empty table gives an empty table.  Places are
 code points, with the end exclusive.
 """
 
@@ -18,6 +23,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,23 +54,35 @@ _ELEMENT = re.compile(rb"<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<>]++)</")
 _LOGIN = re.compile(rb"://[^\s:/@]++:([^\s:/@]++)@")
 _HEADER = re.compile(rb"-----BEGIN [A-Z0-9 ]*+-----")
 
+# A block under a name, and what an assignment falls back to.
+_BLOCK = re.compile(rb"[|>][+-]?[0-9]?[+-]?[ \t]*+(?:#[^\n]*+)?\r?\n")
+_ELSE = re.compile(rb"""(?:\|\||\?\?|\bor\b)[ \t]*+(?=[fbru]{0,2}["'`])""")
+_BREAK = re.compile(rb"[;,{}]")
+
 #: How sensitive a name sounds: the first that it holds, written without separators.
 NAMES = (
     ("privatekey", 3), ("secretkey", 3), ("accesskey", 3), ("apikey", 3), ("password", 3), ("passwd", 3),
-    ("passphrase", 3), ("secret", 3), ("authtoken", 3), ("token", 2), ("credential", 2), ("pwd", 2),
-    ("signingkey", 3), ("encryptionkey", 3), ("connectionstring", 2), ("authorization", 2), ("bearer", 2),
-    ("dsn", 1), ("auth", 1), ("key", 1),
+    ("passphrase", 3), ("secret", 3), ("authtoken", 3), ("accountkey", 3), ("signingkey", 3), ("encryptionkey", 3),
+    ("masterkey", 3), ("sharedkey", 3), ("credential", 2), ("connectionstring", 2), ("authorization", 2),
 )
-#: Words that say a name is about a secret, not one.
-ABOUT = ("hint", "length", "policy", "url", "file", "path", "field", "label", "name", "type", "count", "expiry", "regex")
-FILLERS = ("changeme", "example", "placeholder", "your", "xxxx", "****", "dummy", "redacted", "none", "null", "todo")
+#: Short ones count as whole parts of a name only.
+PARTS = {"pass": 3, "pw": 2, "pwd": 3, "token": 2, "bearer": 2, "dsn": 1, "auth": 1, "key": 1, "pin": 1}
+#: Parts that say a name is about a secret, not one.
+ABOUT = frozenset(
+    "hint length policy url file path field label name type count expiry regex id ids size index prefix".split()
+)
+FILLERS = frozenset("changeme example placeholder your dummy redacted none null todo sample insert replace".split())
 THRESHOLD = 5.0
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
+@lru_cache(maxsize=1 << 14)
 def name_score(name: bytes) -> float:
-    plain = re.sub(r"[^a-z0-9]", "", name.decode("ascii", "ignore").lower())
+    parts = [p.lower() for p in _PART.findall(name.decode("ascii", "ignore"))]
+    plain = "".join(parts)
     score = next((s for word, s in NAMES if word in plain), 0)
-    return score - 2 * any(word in plain for word in ABOUT) if score else 0
+    score = max([score, *[PARTS.get(p, PARTS.get(p.removesuffix("s"), 0)) for p in parts]])
+    return score - 2 * any(p in ABOUT for p in parts) if score else 0
 
 
 def literal_score(value: bytes, blanks: bool = False) -> float:
@@ -72,7 +90,8 @@ def literal_score(value: bytes, blanks: bool = False) -> float:
     if len(value) < 8 or (b" " in value and not blanks) or b"${" in value or value[:1] in b"<{%$":
         return 0
     low = value.lower().decode("utf-8", "ignore")
-    if any(f in low for f in FILLERS):
+    words = re.findall(r"[a-z]+", low) if len(low) < 64 else re.split(r"[^a-z0-9]+", low)
+    if any(w in FILLERS for w in words) or re.fullmatch(r"(.)\1*+|.*([x*])\2{3}.{0,8}", low):
         return 0
     spread = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     classes = sum(bool(re.search(p, value)) for p in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[^A-Za-z0-9]"))
@@ -99,6 +118,29 @@ def _strings(text: bytes, at: int) -> tuple[list[tuple[int, int]], int]:
     return pieces, end
 
 
+def _block(text: bytes, line: int, at: int) -> list[tuple[int, int]]:
+    """Lines of a block that starts at ``at``, further in than the line that names it."""
+    own, pieces = _indent(text, line), []
+    while at < len(text):
+        stop = text.find(b"\n", at)
+        stop = len(text) if stop < 0 else stop
+        begin = at + _indent(text, at)
+        end = stop - (text[stop - 1 : stop] == b"\r")
+        if begin < end:
+            if begin - at <= own:
+                break
+            pieces.append((begin, end))
+        at = stop + 1
+    return pieces
+
+
+_BLANKS = re.compile(rb"[ \t]*+")
+
+
+def _indent(text: bytes, at: int) -> int:
+    return _BLANKS.match(text, at).end() - at
+
+
 def _pairs(text: bytes):
     """(place, names, literals, other name, whether quoted); literals are spans of bytes in the text.
 
@@ -110,6 +152,9 @@ def _pairs(text: bytes):
         stop = len(text) if stop < 0 else stop
         at = max(at, line)
         if text.find(b"=", at, stop) >= 0 or text.find(b":", at, stop) >= 0:
+            # Where the line falls back to a string, and where what is assigned ends for certain.
+            falls = [m.end() for m in _ELSE.finditer(text, at, stop)]
+            breaks = [m.start() for m in _BREAK.finditer(text, at, stop)] if falls else []
             while at < stop and (m := _OPEN.search(text, at, stop)):
                 names = [m.group(1) or m.group(2) or m.group(3)]
                 if m.group(4) and name_score(m.group(4)) > 0:  # word: name = value
@@ -117,7 +162,16 @@ def _pairs(text: bytes):
                 pieces, at = _strings(text, m.end())
                 if pieces:
                     yield m.start(), names, pieces, None, True
-                elif other := _OTHER.match(text, m.end()):
+                    continue
+                if block := _BLOCK.match(text, m.end()):
+                    if pieces := _block(text, line, block.end()):
+                        yield m.start(), names, pieces, None, True
+                        continue
+                if falls and (k := bisect_left(falls, m.end())) < len(falls):
+                    j = bisect_left(breaks, m.end())
+                    if j == len(breaks) or breaks[j] > falls[k]:
+                        yield m.start(), names, _strings(text, falls[k])[0], None, True
+                if other := _OTHER.match(text, m.end()):
                     yield m.start(), names, [other.span()], other.group(), False
                 elif m.end() < bare_end:
                     yield m.start(), names, [(m.end(), bare_end)], None, False
@@ -145,26 +199,52 @@ def _key_blocks(text: bytes):
             yield m.start(), at
 
 
+class _Value:
+    """Literals with what is known of them, so that another use costs nothing more."""
+
+    __slots__ = ("literals", "quoted", "scores", "found")
+
+    def __init__(self, literals: list[tuple[int, int]], quoted: bool):
+        self.literals, self.quoted, self.scores, self.found = literals, quoted, {}, False
+
+    def score(self, text: bytes, blanks: bool) -> float:
+        if blanks not in self.scores:
+            self.scores[blanks] = literal_score(b"".join(text[a:b] for a, b in self.literals), blanks)
+        return self.scores[blanks]
+
+
 def _literals(text: bytes) -> list[tuple[int, int]]:
-    known: dict[bytes, tuple[list[tuple[int, int]], bool]] = {}
+    pairs = [
+        (names, _Value(literals, quoted), other)
+        for _, names, literals, other, quoted in sorted(_pairs(text), key=lambda p: p[0])
+        if literals
+    ]
+    # What a name is first given, for uses before that.
+    later: dict[bytes, _Value] = {}
+    for names, value, other in pairs:
+        if other is None:
+            for name in names:
+                later.setdefault(name, value)
+    known: dict[bytes, _Value] = {}
     found = set(_key_blocks(text)) if b"-----BEGIN" in text else set()
     # The end of the last bare value, and the highest score of a name that it was tried for.
     tried = (-1, 0)
-    for _, names, literals, other, quoted in sorted(_pairs(text), key=lambda p: p[0]):
+    for names, value, other in pairs:
         if other is not None:
-            literals, quoted = known.get(other, (literals, quoted))
+            value = known.get(other) or later.get(other) or value
         for name in names:
-            known[name] = literals, quoted
+            known[name] = value
         sensitive = max(map(name_score, names))
-        if sensitive <= 0:
+        if sensitive <= 0 or value.found:
             continue
-        if not quoted:
-            if tried[0] == literals[-1][1] and sensitive <= tried[1]:
+        if not value.quoted:
+            if tried[0] == value.literals[-1][1] and sensitive <= tried[1]:
                 continue
-            tried = literals[-1][1], sensitive
-        score = literal_score(b"".join(text[a:b] for a, b in literals), quoted and sensitive >= 3)
+            tried = value.literals[-1][1], sensitive
+        score = value.score(text, value.quoted and sensitive >= 3)
         if score > 0 and sensitive + score >= THRESHOLD:
-            found.update(s for s in literals if s[0] < s[1])
+            value.found = True
+            found.update(s for s in value.literals if s[0] < s[1])
     return sorted(found)
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import time
 import zipfile
 
 import numpy as np
@@ -253,6 +254,38 @@ def test_trees_add_what_looks_alike(spark):
     assert sum(pii.KINDS.index("found") in found[i] for i in range(300, 600)) == 0  # plain numbers are left alone
 
 
+def test_trees_add_what_no_base_pattern_holds(spark):
+    """Spelled-out addresses, IPv6 addresses, whole and shortened, and numbers after a naming word."""
+    rng = np.random.default_rng(12)
+    hexa = lambda n: ":".join(f"{rng.integers(1, 1 << 16):x}" for _ in range(n))
+    number = lambda: f"555 {rng.integers(100, 999)} {rng.integers(1000, 9999)}"
+    planted = []
+    for k in range(60):
+        host = "x" * 70 if k == 7 else f"corp{k}"  # longer than a label may be
+        planted += [
+            ("write to ", f"jane{k} [at] {host} [dot] org", " soon"),
+            ("host ", f"2001:db8:{hexa(6)}", " is up"),
+            ("host ", f"2001:db8::{hexa(2)}", ", as said"),
+            ("call ", number(), " now"),
+        ]
+    others = [f"sum {number()} of" for _ in range(60)] + ["std::vector a::b at 12:30:45, ratio 1:2:3:4", "set (at) the end, 10:20"] * 30
+    texts = ["".join(parts) for parts in planted] + others + [f"mail joe{k}@site.org and +1 555 {k:03} 1234 5" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {}
+    for r in pii.spans(docs).collect():
+        added[r["doc_id"]] = {(s["start"], s["end"]) for s in r["spans"] if s["kind"] == pii.KINDS.index("found")}
+    for k, (before, value, _) in enumerate(planted):
+        assert added[k] == {(len(before), len(before) + len(value))}, texts[k]
+    assert not any(added[k] for k in range(len(planted), len(planted) + len(others)))
+
+
+def test_long_candidates_are_whole(spark):
+    text = f"{'a' * 5000} [at] {'b.' * 3000}org and {'1' * 50_000} and {'ab:' * 9000}cd and {'-' * 100_000}"
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    sizes = {r["end"] - r["start"] for r in pii.candidates(docs, "doc_id", "text").where("kind is not null").collect()}
+    assert {5000 + 6 + 6003, 50_000, 27_002} <= sizes
+
+
 def test_trees_and_threshold():
     x = np.array([[0, 0], [0, 1], [1, 0], [1, 1]])
     yes, no = np.array([0.0, 10, 10, 0]), np.array([10.0, 0, 0, 10])
@@ -318,6 +351,59 @@ def test_secrets_of_further_forms():
     assert spans('signing_key = """Zk39vLq8\nTtPw2Qx"""') == [("literal", "Zk39vLq8\nTtPw2Qx")]
 
 
+def test_secrets_by_parts_of_names():
+    value = "Zk39vLq8TtPw2"
+    for given in (
+        f'"account_signing_key": "{value}"', f'AccountKey: "{value}"', f"DB_PASS={value}", f'pass="{value}"',
+        f"DB_PASS = os.getenv('X') or '{value}'", f'const dbPass = process.env.DB || "{value}";',
+        f"export const signingKey = K;\nconst K = '{value}'", f"db_pwd = first\nfirst = second\nsecond = '{value}'\nfirst = '{value}'",
+    ):
+        assert ("literal", value) in spans(given), given
+    assert spans("passphrase: |\n  correct Horse 7\n\n  battery staple\nother: x") == [
+        ("literal", "correct Horse 7"), ("literal", "battery staple"),
+    ]
+    for harmless in (
+        f"passenger = '{value}'", f"signing_key_id = '{value}'", f"account = '{value}'", f"monkey = '{value}'",
+        "pwd = 'your-own-Secret-9'", "pwd = 'xxxxxxxxxxxx'", f"sum = a || '{value}'",
+    ):
+        assert not any(k == "literal" for k, _ in spans(harmless)), harmless
+    # Fillers are whole parts; a long key may hold one by chance.
+    chance = "Zk39vLnoneq8TtPw2todoQ" * 4
+    assert spans(f"signing_key = '{chance}'") == [("literal", chance)]
+
+
+def test_aliases_take_linear_time():
+    value = "aB3xK9" * 30_000
+    took = []
+    for aliases in (50, 2000):
+        text = f"k0 = '{value}'\n" + "".join(f"signing_key{i + 1} = k{0}\n" for i in range(aliases))
+        began = time.process_time()
+        assert spans(text) == [("literal", value)]
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] + 0.2, took
+
+
+def test_recall_on_planted_secrets():
+    """Settings, code and markup of usual forms around random values; ordinary lines stay clean."""
+    rng = np.random.default_rng(9)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789+/_-"
+    value = lambda: "".join(rng.choice(list(letters), int(rng.integers(12, 40)))) + "aB3"
+    forms = [
+        "{n} = '{v}'", '{n}: "{v}"', '"{n}": "{v}",', "export {n}={v}", "<{n}>{v}</{n}>", "set {n} := {v}", "{n} => '{v}'",
+        'const {n}: string = "{v}";', 'cfg["{n}"] = "{v}"', "{n}: |\n  {v}\nnext: 1", "x = '{v}'\n{n} = x", "{n} = env('A') or '{v}'",
+        "{n} = x\nx = '{v}'",
+    ]
+    names = "db_pass client_secret signingKey ENCRYPTION_KEY accountKey private_key DB_PWD service.passphrase auth_token masterKey".split()
+    hit = total = 0
+    for form in forms:
+        for name in names:
+            planted = value()
+            text = f"some words before\n{form.format(n=name, v=planted)}\nand after it: nothing = here\n"
+            total += 1
+            hit += any(planted in found for _, found in spans(text))
+    assert hit >= 0.9 * total, (hit, total)
+
+
 def test_secret_cases(docs, nothing):
     found = docs.select("doc_id", secrets.scan(F.col("text")).alias("s")).collect()
     assert len(found) == docs.count()
