@@ -1,8 +1,9 @@
 """WARC records in ZIP-packaged archives: written with an index, read back by byte ranges.
 
-An archive is a ZIP file with two stored members: ``archive/data.warc.gz``, where each record is a
-gzip member of its own, and ``indexes/index.cdxj``, a line for each record with its place.  The
-reader finds the end of the central directory (with its ZIP64 form) from the tail of the file,
+An archive is a ZIP file with stored members: below ``archive/`` the data, where each record is a gzip
+member of its own or plain, and below ``indexes/`` the indexes, a line for each record with its place.
+The writer makes one of each.  The reader takes all of them, also packed indexes and lines with a sort
+key and a time before their JSON.  It finds the end of the central directory (with its ZIP64 form) from the tail of the file,
 parses the directory, finds where the stored members begin, reads the index, and then reads ranges
 of records; nothing is extracted, and no file is read as a whole.
 
@@ -20,6 +21,7 @@ table gives no archives and no records.
 
 from __future__ import annotations
 
+import gzip
 import json
 import struct
 import zipfile
@@ -40,6 +42,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST, ROWS = 100, 10_000
 #: Records that one row of the plan for reading stands for, and bytes that one read may span.
 TOGETHER, SPAN = 256, 4 << 20
+#: Packed bytes that one task reads, about.
+TASK_BYTES = 64 << 20
 _STORED = 0
 
 
@@ -181,9 +185,8 @@ def members(file, size: int) -> dict[str, tuple[int, int, int]]:
     return found
 
 
-def stored(file, size: int, name: str) -> tuple[int, int]:
-    """Where the bytes of a stored member begin, and how many there are."""
-    method, header, length = members(file, size)[name]
+def _place(file, name: str, member: tuple[int, int, int]) -> tuple[int, int]:
+    method, header, length = member
     if method != _STORED:
         raise ValueError(f"{name} is compressed and cannot be read by ranges")
     file.seek(header)
@@ -194,6 +197,46 @@ def stored(file, size: int, name: str) -> tuple[int, int]:
     return header + 30 + names + extras, length
 
 
+def stored(file, size: int, name: str) -> tuple[int, int]:
+    """Where the bytes of a stored member begin, and how many there are."""
+    return _place(file, name, members(file, size)[name])
+
+
+def index_entries(lines: Iterator[bytes]) -> Iterator[tuple[str | None, int, int]]:
+    """File name, offset and length of each record; what stands before a line's JSON is passed over."""
+    for line in lines:
+        at = line.find(b"{")
+        if at < 0:  # a header or an empty line
+            continue
+        entry = json.loads(line[at:])
+        if "offset" in entry and "length" in entry:
+            yield entry.get("filename"), int(entry["offset"]), int(entry["length"])
+
+
+def located(file, size: int) -> Iterator[tuple[int, int]]:
+    """Place and length of each record of all data members, in the order of the indexes.
+
+    A line without a file name, or with one that the archive has no member of, belongs to the only
+    data member there is.
+    """
+    found = members(file, size)
+    data = {n.rsplit("/", 1)[1]: _place(file, n, m) for n, m in found.items() if n.startswith("archive/") and n[-1] != "/"}
+    for name, member in found.items():
+        if not name.startswith("indexes/") or not name.removesuffix(".gz").endswith((".cdx", ".cdxj")):
+            continue
+        place, length = _place(file, name, member)
+        file.seek(place)
+        lines = file.read(length)
+        lines = gzip.decompress(lines) if name.endswith(".gz") else lines
+        for member_name, offset, size_ in index_entries(lines.splitlines()):
+            own = data.get((member_name or "").rsplit("/", 1)[-1])
+            if own is None:
+                if len(data) != 1:
+                    raise ValueError(f"{name} has a record of {member_name}, which is not in the archive")
+                (own,) = data.values()
+            yield own[0] + offset, size_
+
+
 def _open(uri: str):
     files, path = pafs.FileSystem.from_uri(uri)
     return files.open_input_file(path)
@@ -203,35 +246,34 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri in batch["archive"].to_pylist():
             with _open(uri) as file:
-                size = file.size()
-                data, _ = stored(file, size, DATA)
-                index, length = stored(file, size, INDEX)
-                file.seek(index)
-                lines = [json.loads(x) for x in file.read(length).splitlines()]
-            for k in range(0, len(lines), TOGETHER):
-                some = lines[k : k + TOGETHER]
+                places = list(located(file, file.size()))
+            for k in range(0, len(places), TOGETHER):
+                some = places[k : k + TOGETHER]
                 yield pa.RecordBatch.from_pydict({
                     "archive": [uri], "block": [k // TOGETHER],
-                    "offsets": [[data + x["offset"] for x in some]], "lengths": [[x["length"] for x in some]],
+                    "offsets": [[p for p, _ in some]], "lengths": [[n for _, n in some]],
                 })
 
 
 def parse(member: bytes) -> dict:
-    """A record from its gzip member: numbers as text, and the payload of a response."""
-    plain = zlib.decompress(member, 31)
+    """A record from its bytes: its number or else its name, and the payload of a response."""
+    plain = zlib.decompress(member, 31) if member[:2] == b"\x1f\x8b" else member
     head, _, rest = plain.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
     body = rest[: int(fields["Content-Length"])]
-    number = lambda name: fields[name][len("<urn:page:") : -1] if name in fields else None
+    number = lambda name: fields[name].strip("<>").removeprefix("urn:page:") if name in fields else None
     response = fields["WARC-Type"] == "response"
+    payload = body.partition(b"\r\n\r\n")[2] if response else None
+    digest = fields.get("WARC-Payload-Digest")
+    declared = fields.get("WARC-Payload-Length", None if payload is None else len(payload))
     return {
         "page_id": number("WARC-Record-ID"),
         "record_type": fields["WARC-Type"],
         "refers_to": number("WARC-Refers-To"),
         "url": fields.get("WARC-Target-URI"),
-        "declared_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"),
-        "declared_bytes": int(fields["WARC-Payload-Length"]),
-        "payload": body.partition(b"\r\n\r\n")[2] if response else None,
+        "declared_digest": None if digest is None else digest.removeprefix("sha256:"),
+        "declared_bytes": None if declared is None else int(declared),
+        "payload": payload,
     }
 
 
@@ -277,8 +319,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """All records of the archives, read through their indexes."""
-    places = archives.select("archive").mapInArrow(
-        _locate, "archive string, block long, offsets array<long>, lengths array<long>"
+    """All records of the archives, read through their indexes.
+
+    The rows to read by are small but stand for many bytes, so the bytes decide about the tasks.
+    """
+    places = cut(
+        archives.select("archive").mapInArrow(
+            _locate, "archive string, block long, offsets array<long>, lengths array<long>"
+        ),
+        "places",
     )
-    return places.repartition("archive", "block").mapInArrow(_read, _RECORD_SQL)
+    held = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda total, n: total + n)
+    total = places.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return places.repartition(tasks, "archive", "block").mapInArrow(_read, _RECORD_SQL)

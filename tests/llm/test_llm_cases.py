@@ -476,6 +476,39 @@ def test_directories_with_and_without_zip64(wide, monkeypatch):
     assert gzip.decompress(plain[place : place + size]).count(b"WARC/1.1") == 5
 
 
+@pytest.mark.parametrize("packed_index", [False, True])
+def test_archives_of_other_writers(spark, tmp_path, packed_index):
+    """Several data members, packed and plain records, sort keys, times and file names in the index."""
+    records = [
+        b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%d>\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody%d\r\n\r\n"
+        % (k, len(b"HTTP/1.1 200 OK\r\n\r\nbody%d" % k), k)
+        for k in range(7)
+    ]
+    lines, members = [b"!meta 0 none", b""], {"one.warc.gz": b"", "two.warc": b""}
+    for k, record in enumerate(records):
+        name = "two.warc" if k % 3 == 0 else "one.warc.gz"
+        data = record if k % 3 == 0 else gzip.compress(record)
+        entry = f'{{"url": "u", "offset": "{len(members[name])}", "length": "{len(data)}", "filename": "{name}"}}'
+        lines.append(f"com,example)/{k} 2020010100000{k} {entry}".encode())
+        members[name] += data
+    index = b"\n".join(lines)
+    path = tmp_path / "a.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as archive:
+        for name, data in members.items():
+            archive.writestr(f"archive/{name}", data)
+        archive.writestr("pages/pages.jsonl", "{}")
+        archive.writestr("indexes/index.cdx.gz" if packed_index else "indexes/index.cdxj", gzip.compress(index) if packed_index else index)
+    found = warc_zip.read(spark.createDataFrame([(f"file://{path}", 1)], "archive string, block int")).collect()
+    assert sorted((r["page_id"], bytes(r["payload"])) for r in found) == [(f"urn:uuid:{k}", b"body%d" % k) for k in range(7)]
+
+
+def test_records_are_read_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc_zip, "TOGETHER", 4)
+    pages = spark.createDataFrame([(k, "u" * 3000, f"page {k} " * 30) for k in range(100)], "page_id long, url string, html string")
+    found = warc_zip.read(warc_zip.write(pages))
+    assert found.count() == 100 and found.groupBy(F.spark_partition_id()).count().count() > 1
+
+
 def test_broken_archives_are_refused():
     with pytest.raises(ValueError):
         warc_zip.members(io.BytesIO(b"no archive"), 10)
