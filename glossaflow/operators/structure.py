@@ -146,25 +146,62 @@ SKIPPED_ELEMENTS = "script|style|noscript|template|head"
 BLOCK_ELEMENTS = (
     "h[1-6]|p|li|ul|ol|div|article|section|header|footer|main|aside|table|tr|td|th|br|hr|title|body|html"
 )
-_ENTITIES = (("&nbsp;", chr(0xA0)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# The code points of the named characters that texts mostly use.
+ENTITIES = {
+    "amp": 38, "lt": 60, "gt": 62, "quot": 34, "apos": 39, "nbsp": 160, "iexcl": 161, "cent": 162, "pound": 163,
+    "yen": 165, "sect": 167, "copy": 169, "laquo": 171, "shy": 173, "reg": 174, "deg": 176, "plusmn": 177,
+    "sup2": 178, "sup3": 179, "acute": 180, "micro": 181, "para": 182, "middot": 183, "raquo": 187, "frac14": 188,
+    "frac12": 189, "frac34": 190, "iquest": 191, "Agrave": 192, "Aacute": 193, "Acirc": 194, "Atilde": 195, "Auml": 196,
+    "Aring": 197, "AElig": 198, "Ccedil": 199, "Egrave": 200, "Eacute": 201, "Ecirc": 202, "Euml": 203, "Iacute": 205,
+    "Ntilde": 209, "Oacute": 211, "Ouml": 214, "times": 215, "Oslash": 216, "Uacute": 218, "Uuml": 220, "szlig": 223,
+    "agrave": 224, "aacute": 225, "acirc": 226, "atilde": 227, "auml": 228, "aring": 229, "aelig": 230, "ccedil": 231,
+    "egrave": 232, "eacute": 233, "ecirc": 234, "euml": 235, "igrave": 236, "iacute": 237, "icirc": 238, "iuml": 239,
+    "ntilde": 241, "ograve": 242, "oacute": 243, "ocirc": 244, "otilde": 245, "ouml": 246, "divide": 247, "oslash": 248,
+    "ugrave": 249, "uacute": 250, "ucirc": 251, "uuml": 252, "yacute": 253, "yuml": 255, "ndash": 8211, "mdash": 8212,
+    "lsquo": 8216, "rsquo": 8217, "sbquo": 8218, "ldquo": 8220, "rdquo": 8221, "bdquo": 8222, "bull": 8226,
+    "hellip": 8230, "euro": 8364, "trade": 8482, "larr": 8592, "rarr": 8594, "minus": 8722, "zwnj": 8204, "zwj": 8205,
+}
+
+
+def decode_entities(text: Column) -> Column:
+    """Text with its character references decoded once: by number, decimal or hexadecimal, and by name.
+
+    The text is cut before each ``&``, so what a reference gives is not read as part of another.
+    Unknown names and impossible numbers stay as they are.
+    """
+    known = F.create_map(*[F.lit(v) for pair in ENTITIES.items() for v in pair])
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^&(#[0-9]{1,8}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+[0-9]{0,2});", 1)
+        point = (
+            F.when(F.startswith(name, F.lit("#x")) | F.startswith(name, F.lit("#X")), F.conv(F.substring(name, 3, 6), 16, 10))
+            .when(F.startswith(name, F.lit("#")), F.substring(name, 2, 8))
+            .otherwise(F.try_element_at(known, name).cast("string"))
+            .cast("bigint")
+        )
+        valid = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        rest = F.substr(piece, F.length(name) + 3)
+        return F.when((name != "") & valid, F.concat(character, rest)).otherwise(piece)
+
+    pieces = F.transform(F.split(text, "(?=&)"), decoded)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def html_to_blocks(html: Column) -> Column:
     """Typed blocks of a page: all text that an element shows, whatever is nested in it.
 
-    Scripts, styles, the head and comments show none.  A block element ends the block before it;
+    Scripts, styles, the head and comments show none, to the end of the page if they are not closed.  A block element ends the block before it;
     other elements only mark up text and leave no trace.  Headings and list items are told by their
     element, all else is a paragraph.  Runs of white space become one space.
     """
-    shown = F.regexp_replace(html, "(?s)<!--.*?-->", "")
-    shown = F.regexp_replace(shown, f"(?is)<({SKIPPED_ELEMENTS})\\b[^>]*>.*?</\\1\\s*>", "")
+    shown = F.regexp_replace(html, "(?s)<!--.*?(?:-->|\\z)", "")
+    shown = F.regexp_replace(shown, f"(?is)<({SKIPPED_ELEMENTS})\\b[^>]*>.*?(?:</\\1\\s*>|\\z)", "")
     # Each start or end of a block element begins a piece.
     pieces = F.split(F.regexp_replace(shown, f"(?i)</?({BLOCK_ELEMENTS})\\b[^>]*>", f"{CUT}$0"), CUT)
 
     def block(piece: Column) -> Column:
-        text = F.regexp_replace(piece, "<[^>]*>", "")
-        for name, character in _ENTITIES:
-            text = F.replace(text, F.lit(name), F.lit(character))
+        text = decode_entities(F.regexp_replace(piece, "<[^>]*>", ""))
         name = F.lower(F.regexp_extract(piece, "^<([A-Za-z0-9]+)", 1))
         level = F.when(F.rlike(name, F.lit("^h[1-6]$")), F.substring(name, 2, 1).cast("int"))
         kind = F.when(level.isNotNull(), HEADING).when(name == "li", LIST_ITEM).otherwise(PARAGRAPH)

@@ -220,13 +220,17 @@ def _prompts(spark, folder):
             "target_language": F.lit("Arabic"),
         }
     )
+    # Every third text begins anew, so that the memory holds it but for a few characters.
+    k = F.col("job_id") + F.col("chunk_index")
+    chunks = chunks.withColumn(
+        "source_text", F.when(k % 3 == 1, F.concat(F.lit("Well, "), "source_text")).otherwise(F.col("source_text"))
+    )
     found = terms.relevant_terms(
         chunks.select(*keys, "source_text"), keys, "source_text", V.terms(spark, folder), ["General"], cap=PROMPT_TERMS
     )
-    remembered = memory.tm_exact(
-        chunks.select(*keys, "source_text"), keys, "source_text",
-        memory.build_tm(V.pairs(spark, folder), [F.col("job_id"), F.col("chunk_index")]).withColumn("approved", F.lit(True)),
-    ).withColumn("rank", F.lit(1))
+    remembered = memory.lookup(
+        chunks.select(*keys, "source_text"), keys, "source_text", _known_turns(spark, folder), matches=3
+    )
     return context.build_prompts(
         chunks, context.terms_section(found, keys), context.memory_section(remembered, keys), keys
     ).select(*keys, "prompt", F.length("system").alias("system_chars"), "prompt_version")
@@ -380,20 +384,26 @@ _LETTERS = "ßäçèéêíñóöü"
 
 
 def _fuzzy_sql(text: str, overlap: bool = False) -> str:
+    """Changed turns against all entries."""
+    return _memory_sql(f"SELECT job_id, chunk_index, {text} AS x FROM v_pairs", overlap)
+
+
+def _memory_sql(asked: str, overlap: bool = False) -> str:
     """All texts against all entries of the memory of turns, by edit distance or by shared word pairs."""
     form = f"lower(regexp_replace(trim({{}}, '{_WS}'), '[{_WS}]+', ' ', 'g'))"
     pairs = """list_distinct(list_transform(range(1, greatest(len({0}), 2)), lambda i: [{0}[i], {0}[i + 1]]))"""
     ascii_ = f"translate({{}}, '{_LETTERS}', '{''.join(chr(65 + k) for k in range(len(_LETTERS)))}')"
     shared = "2.0::DOUBLE * len(list_intersect(aw.p, ew.p)) / (len(aw.p) + len(ew.p))"
-    edited = "1 - levenshtein(aw.a, ew.a)::DOUBLE / greatest(length(aw.a), length(ew.a))"
+    longer = "greatest(length(aw.a), length(ew.a))"
+    edited = f"CASE WHEN least(length(aw.a), length(ew.a)) >= 0.72 * {longer} THEN 1 - levenshtein(aw.a, ew.a)::DOUBLE / {longer} ELSE 0 END"
     return f"""
     e AS (SELECT sha256({form.format('source_text')}) AS h, {form.format('source_text')} AS f, job_id * 1000 + chunk_index AS o,
-                 trim(translation, '{_WS}') AS t FROM v_pairs
+                 trim(translation, '{_WS}') AS t, trim(source_text, '{_WS}') AS s FROM v_pairs
           WHERE trim(source_text, '{_WS}') <> '' AND trim(translation, '{_WS}') <> ''),
-    entries AS (SELECT h, min(o) AS id, arg_min(t, o) AS tgt, arg_min(f, o) AS f, string_split(any_value(f), ' ') AS w FROM e GROUP BY h),
+    entries AS (SELECT h, min(o) AS id, arg_min(t, o) AS tgt, arg_min(s, o) AS src, arg_min(f, o) AS f, string_split(any_value(f), ' ') AS w FROM e GROUP BY h),
     ew AS (SELECT *, {pairs.format('w')} AS p, {ascii_.format('f')} AS a FROM entries),
     asked AS (SELECT job_id, chunk_index, {form.format('x')} AS f, sha256({form.format('x')}) AS h
-              FROM (SELECT job_id, chunk_index, {text} AS x FROM v_pairs)),
+              FROM ({asked})),
     aw AS (SELECT job_id, chunk_index, {pairs.format('w')} AS p, {ascii_.format('f')} AS a
            FROM (SELECT *, string_split(f, ' ') AS w FROM asked WHERE h NOT IN (SELECT h FROM entries))),
     scored AS (SELECT job_id, chunk_index, id, {shared if overlap else edited} AS similarity FROM aw CROSS JOIN ew),
@@ -604,17 +614,18 @@ QUERIES = {
         _prompts,
         with_views(
             f"""{_CONTEXT_SQL},
+            said AS (SELECT * REPLACE (CASE WHEN (job_id + chunk_index) % 3 = 1 THEN 'Well, ' || source_text ELSE source_text END AS source_text) FROM ctx),
             rel AS (SELECT job_id, chunk_index, string_agg('- ' || english || ' = ' || english || ' (also: ' || alternative || ')', chr(10) ORDER BY k) AS terms_text
                     FROM (SELECT job_id, chunk_index, english, alternative,
                                  row_number() OVER (PARTITION BY job_id, chunk_index ORDER BY length(english) DESC, id) AS k
-                          FROM turns JOIN v_terms ON contains(lower(source_text), english) WHERE active AND domain = 'General')
+                          FROM said JOIN v_terms ON contains(lower(source_text), english) WHERE active AND domain = 'General')
                     WHERE k <= 60 GROUP BY job_id, chunk_index),
-            hp AS (SELECT *, sha256(lower(regexp_replace(trim(source_text, '{_WS}'), '[{_WS}]+', ' ', 'g'))) AS h FROM v_pairs
-                   WHERE trim(source_text, '{_WS}') <> '' AND trim(translation, '{_WS}') <> ''),
-            mem AS (SELECT h, trim(arg_min(source_text, (job_id, chunk_index)), '{_WS}') AS src,
-                           trim(arg_min(translation, (job_id, chunk_index)), '{_WS}') AS tgt FROM hp GROUP BY h),
-            m AS (SELECT job_id, chunk_index, '- ' || src || chr(10) || '  -> ' || tgt AS memory_text
-                  FROM turns JOIN mem ON h = sha256(lower(regexp_replace(trim(source_text, '{_WS}'), '[{_WS}]+', ' ', 'g'))))
+            {_memory_sql("SELECT job_id, chunk_index, source_text AS x FROM said")},
+            m AS (SELECT job_id, chunk_index, string_agg('- ' || src || chr(10) || '  -> ' || tgt, chr(10) ORDER BY rank) AS memory_text
+                  FROM (SELECT job_id, chunk_index, 1 AS rank, src, tgt FROM asked JOIN entries USING (h)
+                        UNION ALL
+                        SELECT job_id, chunk_index, rank, src, tgt FROM fuzzy JOIN entries USING (id) WHERE rank <= 3)
+                  GROUP BY job_id, chunk_index)
             SELECT job_id, chunk_index, '1' AS prompt_version,
               360 AS system_chars,
               concat_ws(chr(10) || chr(10),
@@ -625,7 +636,7 @@ QUERIES = {
                 '== YOUR TRANSLATION BEFORE ==' || chr(10) || nullif(previous_translation, ''),
                 '== TEXT AFTER (do not translate) ==' || chr(10) || nullif(next_text, ''),
                 '== TEXT ==' || chr(10) || source_text) AS prompt
-            FROM ctx LEFT JOIN rel USING (job_id, chunk_index) LEFT JOIN m USING (job_id, chunk_index)""",
+            FROM said LEFT JOIN rel USING (job_id, chunk_index) LEFT JOIN m USING (job_id, chunk_index)""",
             "v_pairs",
             "v_terms",
         ),

@@ -216,7 +216,7 @@ def _shown(html: str) -> str:
 
 
 def _unescaped(text: str) -> str:
-    for name, code in (("&nbsp;", 160), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&amp;", 38)):
+    for name, code in (("&nbsp;", 160), ("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&#39;", 39), ("&copy;", 169), ("&middot;", 183), ("&amp;", 38)):
         text = f"replace({text}, '{name.replace(chr(39), chr(39) * 2)}', chr({code}))"
     return text
 

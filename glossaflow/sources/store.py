@@ -79,8 +79,18 @@ def held_back(rendered: DataFrame, complete: DataFrame, key: str = "job_id") ->
 
 
 def write_assembled(
-    rendered: DataFrame, path: str, key: str = "job_id", complete: DataFrame | None = None
+    rendered: DataFrame,
+    path: str,
+    key: str = "job_id",
+    complete: DataFrame | None = None,
+    incomplete_too: bool = False,
 ) -> None:
-    """Write output blocks in order; with ``complete``, of jobs without a reason against it only."""
-    ready = rendered if complete is None else held_back(rendered, complete, key)
+    """Write output blocks in order, of jobs without a reason against it in the completeness report.
+
+    Jobs are held back unless ``incomplete_too`` says that what is there is wanted; without a report
+    nothing can be told to be complete, so it must be given.
+    """
+    if complete is None and not incomplete_too:
+        raise ValueError("give the completeness report, or ask for incomplete jobs too")
+    ready = rendered if incomplete_too else held_back(rendered, complete, key)
     assembled_blocks(ready, key).write.parquet(path)

@@ -246,5 +246,7 @@ def test_assembled_order(spark):
     )
     assert dict(store.assembled_texts(rendered, "job_id").collect()) == {"d": "two a\n\ntwo b\n\nten", "c": "c"}
     path = shared_folder(spark, "assembled")
-    store.write_assembled(rendered, path)
+    with pytest.raises(ValueError, match="completeness"):
+        store.write_assembled(rendered, path)
+    store.write_assembled(rendered, path, incomplete_too=True)
     assert spark.read.parquet(path).count() == 4

@@ -113,6 +113,24 @@ def test_html_blocks(value):
     ]
 
 
+@pytest.mark.parametrize(
+    "given, wanted",
+    [
+        ("a &mdash; b &#8212; c &#x2014; d", "a — b — c — d"), ("caf&eacute; &amp;lt; &lt;x&gt;", "café &lt; <x>"),
+        ("&unknown; & &; &#0; &#xD800; &#99999999; AT&T", "&unknown; & &; &#0; &#xD800; &#99999999; AT&T"),
+        ("&#128512;&#39;&frac12;", "😀'½"), ("none", "none"),
+    ],
+)
+def test_character_references(value, given, wanted):
+    assert value(structure.decode_entities(F.lit(given))) == wanted
+
+
+def test_unclosed_scripts_and_comments_show_nothing(value):
+    for tail in ("<script>var x = '<p>no</p>';", "<style>p {}", "<!-- never closed <p>no</p>"):
+        found = value(structure.html_to_blocks(F.lit(f"<p>yes</p>{tail}")))
+        assert [b.text for b in found] == ["yes"], tail
+
+
 def test_summary_with_pages(spark):
     documents = documents_of(spark, [block(0, "paragraph", "text")])
     pages = spark.createDataFrame([("d", p, "", True) for p in (1, 2)], "doc_id string, page int, text string, has_image boolean")
