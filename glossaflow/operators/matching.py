@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.functions.text import SPACES, WORD
+from glossaflow.session import written
 
 GRAM = 4
 _INNER = r"(?U)\w+"
@@ -86,14 +87,15 @@ def find_patterns(
     ``whole_word``, which asks for word boundaries on both sides.
     """
     first = F.regexp_extract("pattern", WORD, 0)
-    indexed = patterns.select(
+    # Patterns are used several times and are few; written, they are made once.
+    indexed = written(patterns.select(
         pattern_id, "pattern", "whole_word", F.size(F.split("pattern", SPACES)).alias("_size")
     ).withColumn(
         "_key",
         F.when(F.col("_size") > 1, _key("e", F.right(first, F.lit(GRAM))))
         .when(F.col("whole_word"), _key("w", F.regexp_extract("pattern", _INNER, 0)))
         .otherwise(_key("g", F.substring("pattern", 1, GRAM))),
-    )
+    ), "patterns")
     # What the dictionary asks for, as subqueries of the one plan.
     alone = (F.col("_size") == 1) & ~F.col("whole_word")
     sizes = indexed.agg(F.collect_set("_size")).scalar()
