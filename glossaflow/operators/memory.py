@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossaflow.functions.text import normalize_text, source_hash, strip
+from glossaflow.operators import edits
 from glossaflow.operators.terms import like_pattern, page_of
 from glossaflow.session import written
 
 # Fixed value: the share in common from which on an entry is similar.
 FUZZY_THRESHOLD = 0.72
+# Segments of so many characters are rare enough to propose entries by.
+RARE_LENGTH = 5
+# Texts whose lengths are compared in one block: lengths at most so far apart, so many texts or characters.
+LENGTH_STEP, BLOCK_TEXTS, BLOCK_CHARACTERS = 1.05, 256, 65536
 
 
 def build_tm(pairs: DataFrame, order: list[Column], language: Column | str = "ar") -> DataFrame:
@@ -240,6 +247,82 @@ def _rarest_segments(
     )
 
 
+def _by_segments(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(source_hash, id): pairs that have one of their rarest segments in common, none lost that is similar."""
+    length = gram_length(threshold)
+    mine = written(_segments(asked, "source_hash", length), "asked_segments")
+    theirs = written(_segments(known, "id", length), "known_segments")
+    # Only order depends on the numbers; a segment that no entry has comes first and finds nothing.
+    numbers = written(theirs.groupBy("segment").agg(F.count("*").alias("_count")), "segment_counts")
+    few = _rarest_segments(theirs, "id", numbers, length, threshold).withColumnRenamed("n", "_n")
+    return (
+        _rarest_segments(mine, "source_hash", numbers, length, threshold)
+        .join(few, "segment")
+        .where(F.least("n", "_n") >= F.greatest("n", "_n") * threshold - 1e-9)
+        .select("source_hash", "id")
+        .distinct()
+    )
+
+
+def _binned(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The forms with their bin of length, and each bin's lengths and number of blocks."""
+    binned = forms.where("n > 0").withColumn("bin", F.floor(F.log("n") / F.log(F.lit(LENGTH_STEP))).cast("int"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n") / BLOCK_CHARACTERS)).cast("int")
+    return binned, binned.groupBy("bin").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), blocks.alias("blocks"))
+
+
+def _by_blocks(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(source_hash, id, _edits): all pairs of like length, compared block by block.
+
+    Both sides are dealt into small blocks of like length, and each pair of blocks is a group of its
+    own.  Edits are -1 for long texts that may be similar and are still to be compared.
+    """
+    session = asked.sparkSession
+    mine, my_bins = _binned(asked)
+    theirs, their_bins = _binned(known)
+    a, k = my_bins.alias("a"), their_bins.alias("k")
+    partners = written(
+        a.join(
+            k,
+            (F.col("a.hi") >= F.col("k.lo") * threshold - 1e-9) & (F.col("k.hi") >= F.col("a.lo") * threshold - 1e-9),
+        ).select(
+            F.col("a.bin").alias("asked_bin"), F.col("a.blocks").alias("asked_blocks"),
+            F.col("k.bin").alias("known_bin"), F.col("k.blocks").alias("known_blocks"),
+        ),
+        "partners",
+    )
+    group = ["asked_bin", "asked_block", "known_bin", "known_block"]
+    # So many tasks at least, as the work in a group is far larger than its bytes.
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+
+    def dealt(rows: DataFrame, key: str, side: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(key), F.col(f"{side}_blocks")).cast("int")
+        return (
+            rows.withColumnRenamed("bin", f"{side}_bin")
+            .join(F.broadcast(partners), f"{side}_bin")
+            .withColumn(f"{side}_block", own)
+            .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+            .select(*group, key, "form")
+            .repartition(tasks, *group)
+        )
+
+    def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"source_hash": [], "id": [], "_edits": []})
+        i, j, found = edits.close_pairs(list(left["form"]), list(right["form"]), threshold)
+        return pd.DataFrame(
+            {"source_hash": left["source_hash"].to_numpy()[i], "id": right["id"].to_numpy()[j], "_edits": found}
+        )
+
+    schema = T.StructType([asked.schema["source_hash"], known.schema["id"], T.StructField("_edits", T.LongType())])
+    return (
+        dealt(mine, "source_hash", "asked", "known")
+        .groupBy(*group)
+        .cogroup(dealt(theirs, "id", "known", "asked").groupBy(*group))
+        .applyInPandas(compared, schema)
+    )
+
+
 def tm_fuzzy(
     texts: DataFrame,
     keys: list[str],
@@ -255,18 +338,16 @@ def tm_fuzzy(
     longer length, which is never above the share of matching characters, 2 M / (|a| + |b|).  The
     whole memory is compared, and no entry that reaches the threshold is lost.
 
-    Texts are cut into overlapping segments of a few characters.  What the threshold allows of edits
-    leaves some of them whole, so two similar texts have a segment in common among the rarest ones
-    of each.  An equi-join on those proposes entries of like length; the edit distance, cut off at
-    what the threshold allows, decides.  Segments of both sides are written once.  Copies of a text
-    are scored once.  Ties go to the entry with the larger number.
-
-    At a threshold of 0.72 segments have three characters, at 0.9 eight: the higher the threshold, the
-    fewer entries are met.  The threshold must be above 0 and is meant to be above one half.
+    What the threshold allows of edits leaves some segments of a few characters whole.  Where these are
+    long enough to be rare, at thresholds of about 0.83 and more, an equi-join on the rarest segments
+    proposes entries of like length and the built-in edit distance decides.  Below, nearly all texts of
+    like length share a segment, so blocks of like length are compared pair by pair: counts of
+    character pairs tell most apart, bit vectors compare the others; the built-in edit distance is
+    left with long texts.  Copies of a text are scored once.  Ties go to the entry with the larger
+    number.  The threshold must be above 0.
     """
     approved = approved_entries(tm, language)
     hashed = texts.select(*keys, source_hash(F.col(text)).alias("source_hash"))
-    length = gram_length(threshold)
     asked = written(
         texts.select(normalize_text(F.col(text)).alias("form"))
         .select(F.sha2("form", 256).alias("source_hash"), "form", F.length("form").alias("n"))
@@ -278,25 +359,23 @@ def tm_fuzzy(
         approved.select("id", normalize_text(F.col("source_text")).alias("form")).withColumn("n", F.length("form")),
         "known",
     )
-    mine = written(_segments(asked, "source_hash", length), "asked_segments")
-    theirs = written(_segments(known, "id", length), "known_segments")
-    # Only order depends on the numbers; a segment that no entry has comes first and finds nothing.
-    numbers = written(theirs.groupBy("segment").agg(F.count("*").alias("_count")), "segment_counts")
-    few = _rarest_segments(theirs, "id", numbers, length, threshold).withColumnRenamed("n", "_n")
-    apart = 1 - threshold
-    proposed = (
-        _rarest_segments(mine, "source_hash", numbers, length, threshold)
-        .join(few, "segment")
-        .where(F.least("n", "_n") >= F.greatest("n", "_n") * threshold - 1e-9)
-        .select("source_hash", "id")
-        .distinct()
-    )
+    if gram_length(threshold) >= RARE_LENGTH:
+        proposed = _by_segments(asked, known, threshold).withColumn("_edits", F.lit(edits.UNDECIDED))
+    else:
+        proposed = written(_by_blocks(asked, known, threshold), "compared")
     longer = F.greatest("n", "_n")
-    allowed = F.floor(longer * apart + 1e-9).cast("int")
+    allowed = F.floor(longer * (1 - threshold) + 1e-9).cast("int")
+    open_ = F.col("_edits") == edits.UNDECIDED
+    # The lengths decide a similarity; only undecided pairs need the texts.
     scored = (
-        proposed.join(asked, "source_hash")
+        proposed.join(asked.withColumnRenamed("form", "_asked"), "source_hash")
         .join(known.withColumnRenamed("form", "_form").withColumnRenamed("n", "_n"), "id")
-        .withColumn("_edits", F.call_function("levenshtein", F.col("form"), F.col("_form"), allowed))
+        .withColumn(
+            "_edits",
+            F.when(open_, F.call_function("levenshtein", F.col("_asked"), F.col("_form"), allowed)).otherwise(
+                F.col("_edits")
+            ),
+        )
         .where("_edits >= 0")
         .select("source_hash", "id", (1 - F.col("_edits") / longer).alias("similarity"))
     )
