@@ -186,8 +186,12 @@ def _page(spark, folder):
 
 
 def _text_files(spark, folder) -> str:
+    """All texts as lines of files within the size limit, however the table is dealt, and none without a line."""
     path = shared_folder(spark, "texts")
-    V.documents(spark, folder).select("text").write.text(path)
+    texts = V.documents(spark, folder).select("text")
+    most = texts.agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("most")).first()["most"]
+    lines = max(1, files.MAX_FILE_BYTES // (most + 1))
+    texts.hint("rebalance").write.option("maxRecordsPerFile", lines).text(path)
     return path
 
 

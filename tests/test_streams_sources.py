@@ -6,6 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from compare import connect, difference, rows_of_sql
 from glossaflow.functions.text import source_hash
 from glossaflow.operators import memory
 from glossaflow.session import shared_folder
@@ -249,3 +251,13 @@ def test_assembled_order(spark):
         store.write_assembled(rendered, path)
     store.write_assembled(rendered, path, incomplete_too=True)
     assert spark.read.parquet(path).count() == 4
+
+
+@pytest.mark.parametrize("name", ["file_inventory", "read_text_documents"])
+def test_files_of_texts_keep_the_size_limit(spark, monkeypatch, name):
+    """Whatever the table's partitions, its texts lie in files below the limit; all in one are above it."""
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(files, "MAX_FILE_BYTES", 200_000)
+    frame = entry.queries()[name](spark, folder)
+    found = [tuple(r) for r in frame.collect()]
+    assert difference(frame.columns, found, *rows_of_sql(connect(folder), entry.oracle_sql()[name])) is None
