@@ -447,7 +447,10 @@ QUERIES = {
                       SELECT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) < 4),
             d AS (SELECT doc_id, lower(text) AS t FROM documents),
             w AS (SELECT doc_id, list_distinct(string_split_regex(t, '[^\\p{{L}}\\p{{N}}_]+')) AS words, t FROM d)
-            SELECT doc_id, id FROM w JOIN b ON CASE WHEN length(id) < 4 THEN list_contains(words, id) ELSE contains(t, id) END""",
+            SELECT doc_id, id FROM w JOIN b ON CASE WHEN length(id) >= 4 THEN contains(t, id)
+                 WHEN NOT contains(id, ' ') THEN list_contains(words, id)
+                 WHEN contains(t, id) THEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])' || id || '($|[^\\p{{L}}\\p{{N}}_])')
+                 ELSE false END""",
     ),
     "relevant_terms": (
         _relevant,

@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from compare import difference, rows_of_sql
 from glossaflow.functions.text import normalize_text
 from glossaflow.operators import memory, quality, terms
 from glossaflow.operators.matching import find_patterns
@@ -310,3 +313,18 @@ def test_checks_look_at_active_terms_of_the_job(spark, rows):
     issues = quality.check_terms(pairs, ["chunk_index"], words, domains="domains")
     assert rows(issues.select("english", "issue")) == [("vision", "preferred_missing")]
     assert quality.check_terms(pairs, ["chunk_index"], words).count() == 2
+
+
+def test_short_phrases_match_whole_words_as_in_sql(spark, tmp_path):
+    """A phrase of two letters is as short as a word of three, and is found between word ends only."""
+    texts = ["la a a.", "a ab", "ba a", "A A", "a a a", "é a aé", "(a a)", "none"]
+    for name, key, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", ["a a", "ab. la la"])):
+        spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    connection = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    query = "match_phrases_and_short_words"
+    frame = entry.queries()[query](spark, str(tmp_path))
+    found = [tuple(r) for r in frame.collect()]
+    assert sorted(d for d, t in found if t == "a a") == [0, 3, 4, 6]
+    assert difference(frame.columns, found, *rows_of_sql(connection, entry.oracle_sql()[query])) is None
