@@ -87,8 +87,8 @@ def term_usage(
 
     (keys, id, variant, found): variant is ``preferred``, ``alternative`` or ``other``, found the
     wording.  ``domains`` names an array column of the pairs with the dictionaries of their job; only
-    terms of those count.  Sources and translations are searched at once, over one vocabulary, and
-    only the small sets of matches are joined.
+    terms of those count.  Sources are searched for terms, translations for the distinct
+    wordings, and only the small sets of matches are joined.
     """
     active = dictionary(terms)
     wording = active.select(
@@ -101,45 +101,40 @@ def term_usage(
         ).alias("place", "found"),
     ).where(F.length(strip(F.col("found"))) > 0)
     pattern = lambda id_, place: F.struct(id_.alias("id"), place.cast("int").alias("place"))
-    # Place -1 stands for the term itself, which is looked for in the source.
-    patterns = active.where(term_key() != "").select(
-        pattern(F.col("id"), F.lit(-1)).alias("wording_id"),
-        term_key().alias("pattern"),
-        (F.length(term_key()) < WHOLE_WORD_BELOW).alias("whole_word"),
-    )
-    # An alternative is compared with its outer white space; the pattern search is on its core.
-    patterns = patterns.unionByName(
-        wording.select(
-            pattern(F.col("id"), F.col("place")).alias("wording_id"),
-            strip(collapse_space(F.col("found"))).alias("pattern"),
-            F.lit(False).alias("whole_word"),
-        )
-    )
-    side = lambda source, text: F.struct(F.lit(source).alias("source"), text.alias("text"))
-    sides = pairs.select(
-        *keys,
-        F.explode(
-            F.array(
-                side(True, F.lower("source_text")),
-                side(False, collapse_space(F.coalesce("translation", F.lit("")))),
-            )
-        ).alias("_side"),
-    ).select(*keys, F.col("_side.source").alias("_source"), F.col("_side.text").alias("_text"))
-    place = F.col("wording_id.place")
-    found = find_patterns(sides, [*keys, "_source"], F.col("_text"), patterns, "wording_id").where(
-        F.col("_source") == (place < 0)
+    # An alternative is compared with its outer white space; the pattern search is on its core.  Many
+    # terms share a wording, so it is looked for once and leads back to its terms where they are used.
+    wording = wording.withColumn("pattern", strip(collapse_space(F.col("found"))))
+    texts = lambda text: pairs.select(*keys, text.alias("_text"))
+    in_source = find_patterns(
+        texts(F.lower("source_text")),
+        keys,
+        F.col("_text"),
+        active.where(term_key() != "").select(
+            "id", term_key().alias("pattern"), (F.length(term_key()) < WHOLE_WORD_BELOW).alias("whole_word")
+        ),
+        "id",
     )
     if domains is not None:
         wanted = pairs.select(*keys, F.col(domains).alias("_domains"))
-        found = (
-            found.join(active.select(F.col("id").alias("_id"), "domain"), F.col("wording_id.id") == F.col("_id"))
+        in_source = (
+            in_source.join(active.select("id", "domain"), "id")
             .join(wanted, keys)
             .where(F.array_contains("_domains", F.col("domain")))
+            .select(*keys, "id")
         )
+    in_translation = find_patterns(
+        texts(collapse_space(F.coalesce("translation", F.lit("")))),
+        keys,
+        F.col("_text"),
+        wording.select("pattern", F.lit(False).alias("whole_word"), F.col("pattern").alias("_wording")).distinct(),
+        "_wording",
+    ).withColumn("_there", F.lit(True))
+    looked_for = wording.select("id", "place", F.col("pattern").alias("_wording"))
     used = (
-        found.groupBy(*keys, F.col("wording_id.id").alias("id"))
-        .agg(F.bool_or("_source").alias("_used"), F.min(F.when(place >= 0, place)).alias("place"))
-        .where("_used")
+        in_source.join(looked_for, "id", "left")
+        .join(in_translation, [*keys, "_wording"], "left")
+        .groupBy(*keys, "id")
+        .agg(F.min(F.when(F.col("_there"), F.col("place"))).alias("place"))
     )
     variant = (
         F.when(F.col("place") == 0, "preferred")

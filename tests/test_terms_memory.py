@@ -328,3 +328,26 @@ def test_short_phrases_match_whole_words_as_in_sql(spark, tmp_path):
     found = [tuple(r) for r in frame.collect()]
     assert sorted(d for d, t in found if t == "a a") == [0, 3, 4, 6]
     assert difference(frame.columns, found, *rows_of_sql(connection, entry.oracle_sql()[query])) is None
+
+
+def test_a_wording_of_many_terms_is_looked_for_once(spark, monkeypatch, rows):
+    """Terms that share an alternative: their translations hold it once, however many the terms are."""
+    found = {}
+
+    def recorded(texts, keys, text, patterns, pattern_id):
+        hits = find_patterns(texts, keys, text, patterns, pattern_id)
+        found[pattern_id] = hits.count()
+        return hits
+
+    monkeypatch.setattr(quality, "find_patterns", recorded)
+    terms_ = dictionary(spark, *[(f"there{c}", f"there{c}", ["ther", " "], "General", True) for c in "abcd"], ("blank", " ", [], "General", True))
+    pairs = spark.createDataFrame(
+        [(1, "therea thereb therec", "other thereb"), (2, "thered blank", "none")], "k int, source_text string, translation string"
+    )
+    usage = quality.term_usage(pairs, ["k"], terms_)
+    assert rows(usage.select("k", "id", "variant", "found")) == [
+        (1, 1, "alternative", "ther"), (1, 2, "preferred", "thereb"), (1, 3, "alternative", "ther"),
+        (2, 4, "other", None), (2, 5, "other", None),
+    ]
+    # "ther" and "thereb" in the first translation, not one row a term.
+    assert sum(found.values()) == 5 + 2
