@@ -1,6 +1,6 @@
 """Substring search in a stored memory by posting lists of trigrams.
 
-For each sequence of three characters of an entry, in lower case, a row names the entry.  Rows lie
+For each sequence of three characters of an entry, in lower case, a row names the entry and its fields.  Rows lie
 in buckets by sequence, sorted, so a search reads the buckets of its needle's sequences and there
 the row groups that hold them.  Entries that have all sequences are then read from their own
 buckets and compared in full.  A needle without three characters in a row scans the entries.
@@ -31,12 +31,25 @@ def _grams(text: Column) -> Column:
 def write_index(
     tm: DataFrame, path: str, postings: int = POSTING_BUCKETS, entries: int = ENTRY_BUCKETS
 ) -> None:
-    """Store a memory with its posting lists; each field has lists of its own."""
+    """Store a memory with its posting lists; a row tells which fields hold the sequence, as bits."""
     tm.withColumn("entry_bucket", _bucket(F.col("id"), entries)).hint("rebalance", "entry_bucket").write.partitionBy(
         "entry_bucket"
     ).parquet(f"{path}/entries")
-    fields = F.array(*[F.struct(F.lit(k).alias("field"), _grams(F.col(c)).alias("grams")) for k, c in enumerate(SEARCHED)])
-    each = tm.select("id", F.explode(fields).alias("f")).select("id", "f.field", F.explode("f.grams").alias("gram"))
+    # What was stored is read again, so that the memory is not made a second time.
+    stored = tm.sparkSession.read.schema(tm.schema).parquet(f"{path}/entries").select("id", *SEARCHED)
+    one, two = [_grams(F.coalesce(c, F.lit(""))) for c in SEARCHED]
+    # A translation often repeats its source: a sequence of both fields is one row.
+    held = F.array(
+        *[
+            F.struct(F.lit(fields).alias("fields"), grams.alias("grams"))
+            for fields, grams in ((1, F.array_except("one", "two")), (2, F.array_except("two", "one")), (3, F.array_intersect("one", "two")))
+        ]
+    )
+    each = (
+        stored.select("id", one.alias("one"), two.alias("two"))
+        .select("id", F.explode(held).alias("f"))
+        .select("id", "f.fields", F.explode("f.grams").alias("gram"))
+    )
     listed = each.withColumn("posting_bucket", _bucket(F.col("gram"), postings)).hint("rebalance", "posting_bucket")
     listed.sortWithinPartitions("posting_bucket", "gram").write.partitionBy("posting_bucket").parquet(f"{path}/postings")
     spark = tm.sparkSession
@@ -59,8 +72,9 @@ def candidates(spark: SparkSession, path: str, search: str) -> DataFrame | None:
     listed = spark.read.parquet(f"{path}/postings").where(
         F.col("posting_bucket").isin(sorted({b for _, b in grams})) & F.col("gram").isin(*[g for g, _ in grams])
     )
-    held = listed.groupBy("id", "field").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
-    return held.select("id", _bucket(F.col("id"), sizes["entries"]).alias("entry_bucket")).distinct()
+    in_field = [F.count_if(F.col("fields").bitwiseAND(1 << k) != 0) == len(grams) for k in range(len(SEARCHED))]
+    held = listed.groupBy("id").agg((in_field[0] | in_field[1]).alias("whole")).where("whole")
+    return held.select("id", _bucket(F.col("id"), sizes["entries"]).alias("entry_bucket"))
 
 
 def search_stored(spark: SparkSession, path: str, search: str = "", limit: int = 100, offset: int = 0) -> DataFrame:

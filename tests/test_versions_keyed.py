@@ -219,3 +219,17 @@ def test_seconds_left_over_batches(spark, rows):
     # Four of each in four days, 92 left.
     assert rows(found.where("job_id = 'j'").select("completed", "failed", "seconds_left")) == [(4, 4, 92 * 86400.0)]
     assert found.where("job_id = 'k'").first()["seconds_left"] is None
+
+
+def test_a_sequence_of_both_fields_is_one_posting(spark, rows):
+    """Fields are told apart by bits: a needle spread over both fields is not a match of either."""
+    path = shared_folder(spark, "search")
+    tm = spark.createDataFrame(
+        [(1, "abcd", "xx abcd"), (2, "abc", "bcd"), (3, None, "ABCD")], "id long, source_text string, target_text string"
+    )
+    search.write_index(tm, path, 4, 2)
+    postings = spark.read.parquet(f"{path}/postings")
+    assert rows(postings.where("gram = 'bcd'").select("id", "fields")) == [(1, 3), (2, 2), (3, 2)]
+    assert rows(search.candidates(spark, path, "abcd").select("id")) == [(1,), (3,)]
+    assert rows(search.search_stored(spark, path, "abcd").select("id", "total")) == [(1, 2), (3, 2)]
+    assert rows(search.search_stored(spark, path, "bc").select("id")) == [(1,), (2,), (3,)]
