@@ -6,11 +6,8 @@ of it when the watermark says that nothing more can come.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from glossaflow.operators.jobs import eta_seconds
 from glossaflow.sources.versions import VersionedTable
@@ -26,86 +23,51 @@ def use_rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-class NewestStatus(StatefulProcessor):
-    """The status that counts of one chunk: completed is final, otherwise the newest event.
+def status_changes(events: DataFrame, job: str, chunk: str, delay: str, keep_hours: float) -> DataFrame:
+    """A stream of the status that counts of each chunk; ``events`` has status, ts and event_id.
 
-    Emits a row where the status or its time changes.  The state goes when ``keep`` has passed since
-    the chunk's last event; rows older than the watermark do not bring it back.
+    An aggregate by the chunk and by spans of the time at which an event's state may go, ``keep_hours``
+    after it, so a chunk has a row of state for each span it has events in, and state goes when the
+    watermark has passed its span.  A row comes out where a batch touches it.  Rows that are later than
+    the watermark by ``keep_hours`` and the rest of their span are dropped.
     """
-
-    def __init__(self, keys: list[str], keep_ms: int):
-        self.keys, self.keep_ms = keys, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._held = handle.getValueState(
-            "newest", "status string, final boolean, micros long, event_id long, updated long, until long"
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        held = tuple(self._held.get()) if self._held.exists() else None
-        best, updated = (held[1:4], held[4]) if held else (None, None)
-        status = held[0] if held else None
-        for row in rows:
-            if held is None and row["micros"] < mark * 1000:
-                continue
-            rank = (row["status"] == "completed", row["micros"], row["event_id"])
-            if best is None or rank > tuple(best):
-                best, status = rank, row["status"]
-            updated = row["micros"] if updated is None else max(updated, row["micros"])
-        if best is None or (held and tuple(best) == tuple(held[1:4]) and updated == held[4]):
-            return
-        until = updated // 1000 + self.keep_ms
-        if held and held[5] != until:
-            self._handle.deleteTimer(held[5])
-        if not held or held[5] != until:
-            self._handle.registerTimer(until)
-        self._held.update((status, *best, updated, until))
-        yield Row(**dict(zip(self.keys, key)), status=status, final=best[0], micros=best[1], event_id=best[2], updated=updated)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self._held.exists() and self._held.get()[5] <= expiredTimerInfo.getExpiryTimeInMs():
-            self._held.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def status_changes(events: DataFrame, job: str, chunk: str, delay: str, keep_hours: float) -> DataFrame:
-    """A stream of the changes of each chunk's status; ``events`` has status, ts and event_id."""
     use_rocks(events.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    rows = events.withWatermark("ts", delay).select(
-        job, chunk, "status", F.col("event_id").cast("long").alias("event_id"), "ts", F.unix_micros("ts").alias("micros")
-    )
-    schema = f"{job} {kinds[job]}, {chunk} {kinds[chunk]}, status string, final boolean, micros long, event_id long, updated long"
-    return rows.groupBy(job, chunk).transformWithState(
-        NewestStatus([job, chunk], int(keep_hours * 3_600_000)), schema, "Update", "EventTime"
-    )
+    keep = int(keep_hours * 3_600_000)
+    rows = events.select(
+        job, chunk, "status",
+        F.col("status").eqNullSafe("completed").alias("final"),
+        F.unix_micros("ts").alias("micros"),
+        F.col("event_id").cast("long").alias("event_id"),
+        F.timestamp_micros(F.unix_micros("ts") + F.lit(keep * 1000)).alias("until"),
+    )
+    # The watermark is that of ``ts`` by ``delay``.
+    late = rows.withWatermark("until", f"{delay} {keep} milliseconds")
+    spans = late.groupBy(job, chunk, F.window("until", f"{keep} milliseconds"))
+    return _newest(spans, "micros").select(job, chunk, "k.*", "updated")
+
+
+def _newest(groups: GroupedData, time: str) -> DataFrame:
+    """Completed is final, otherwise the newest event counts."""
+    kept = F.max_by(F.struct("status", "final", "micros", "event_id"), F.struct("final", "micros", "event_id"))
+    return groups.agg(kept.alias("k"), F.max(time).alias("updated"))
 
 
 def stream_status_with_state(
     events: DataFrame, job: str, chunk: str, folder: str, delay: str = "1 day", keep_hours: float = 24 * 14
 ) -> DataFrame:
-    """Status of each chunk from a stream; only changes are merged into the table of all chunks.
+    """Status of each chunk from a stream; what a batch changes is merged into the table of all chunks.
 
     A chunk whose state has gone is still in the table, and completed stays final there.
     """
     table = VersionedTable(events.sparkSession, f"{folder}/table", [job, chunk])
-    rank = F.struct("final", "micros", "event_id")
 
     def newer(old: DataFrame, new: DataFrame) -> DataFrame:
-        kept = F.max_by(F.struct("status", "final", "micros", "event_id"), rank)
-        both = old.unionByName(new).groupBy(job, chunk)
-        return both.agg(kept.alias("k"), F.max("updated").alias("updated")).select(job, chunk, "k.*", "updated")
+        return _newest(old.unionByName(new).groupBy(job, chunk), "updated").select(job, chunk, "k.*", "updated")
 
     def merge(batch: DataFrame, number: int) -> None:
-        changes = newer(batch.limit(0), batch)
-        if not changes.isEmpty():
-            table.upsert(changes, newer, change=number)
-            table.expire()
+        # The batch is used once: each use would run the state's step again.
+        table.upsert(batch, newer, change=number)
+        table.expire()
 
     query = (
         status_changes(events, job, chunk, delay, keep_hours)

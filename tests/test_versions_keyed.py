@@ -233,3 +233,19 @@ def test_a_sequence_of_both_fields_is_one_posting(spark, rows):
     assert rows(search.candidates(spark, path, "abcd").select("id")) == [(1,), (3,)]
     assert rows(search.search_stored(spark, path, "abcd").select("id", "total")) == [(1, 2), (3, 2)]
     assert rows(search.search_stored(spark, path, "bc").select("id")) == [(1,), (2,), (3,)]
+
+
+def test_status_by_state_runs_no_python_a_chunk(spark, rows):
+    """State is held by Spark's own aggregate, and a row in time for its span counts without older state."""
+    source, out = shared_folder(spark, "in"), shared_folder(spark, "out")
+    put(spark, source, [("j", k, "pending", at(100), k) for k in range(4)], EVENTS)
+    put(spark, source, [("j", 7, "completed", at(95), 9), ("j", 1, "completed", at(95), 10), ("j", 2, None, at(101), 11)], EVENTS)
+    found = K.stream_status_with_state(
+        stream(spark, source, EVENTS), "job_id", "chunk_index", out, delay="1 hour", keep_hours=10
+    )
+    assert rows(found.select("chunk_index", "status", "updated_at")) == [
+        (0, "pending", at(100)), (1, "completed", at(100)), (2, None, at(101)), (3, "pending", at(100)), (7, "completed", at(95))
+    ]
+    changes = K.status_changes(stream(spark, source, EVENTS), "job_id", "chunk_index", "1 hour", 10)
+    plan = changes._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "Aggregate" in plan, plan
