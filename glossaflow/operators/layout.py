@@ -44,8 +44,13 @@ def body_sizes(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def classify_layout_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Text spans (key, page, block, line, span, size, text) to headings, list items, paragraphs."""
-    lines = spans.groupBy(key, "page", "block", "line").agg(
+    """Text spans (key, page, block, line, span, size, text) to headings, list items, paragraphs.
+
+    Texts are dealt once, by page: lines, blocks and places on a page need no further exchange, and
+    what is known of a document comes with its pages.
+    """
+    by_page = spans.select(key, "page", "block", "line", "span", "size", "text").repartition(key, "page")
+    lines = by_page.groupBy(key, "page", "block", "line").agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]
@@ -85,16 +90,14 @@ def classify_layout_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     # ordered over a whole document is one small row a page.
     kept = found.withColumn("text", strip(F.col("_text"))).where("text <> ''")
     earlier = Window.partitionBy(key).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        kept.groupBy(key, "page")
-        .agg(F.count("*").alias("n"))
-        .select(key, "page", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
+    shown = spans.where(strip(F.col("text")) != "").groupBy(key, "page").agg(F.count_distinct("block").alias("n"))
+    pages = shown.select(key, "page", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset")).join(
+        body_sizes(spans, key), key, "left"
     )
     place = F.row_number().over(Window.partitionBy(key, "page").orderBy("block"))
     return (
         kept.withColumn("_place", place)
-        .join(offsets, [key, "page"])
-        .join(body_sizes(spans, key), key, "left")
+        .join(pages, [key, "page"])
         .select(
             key,
             "page",
