@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from glossaflow.functions.text import estimate_tokens, strip
 from glossaflow.operators.chunking import _FIELDS, MAX_CHARS, TARGET_CHARS, expand_oversized
 from glossaflow.schema import HEADING
+from glossaflow.session import written
 
 
 def packed_blocks(blocks: DataFrame, *keys: str, target: int = TARGET_CHARS, maximum: int = MAX_CHARS) -> DataFrame:
@@ -79,20 +80,22 @@ def assign_block_rows(
 
     ``blocks`` has the keys and a block's fields, a row a block, in order of ``seq``.
     """
-    items = packed_blocks(blocks, *keys, target=target, maximum=maximum)
+    items = written(packed_blocks(blocks, *keys, target=target, maximum=maximum), "packed")
     heading = F.col("type") == HEADING
     narrow = items.select(
         *keys, "_seq", "_piece", heading.alias("heading"), "level", "decide", "grow", "joined",
         F.when(heading, strip(F.col("text"))).alias("title"),
     )
-    placed = _streamed(_numbered_chapters(narrow, keys), keys, target)
+    # Used for the chapters' sizes and for the blocks' numbers; written, it is made once.
+    placed = written(_streamed(_numbered_chapters(narrow, keys), keys, target), "placed")
     sizes = placed.groupBy(*keys, "_chapter").agg((F.max("_chunk") + 1).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_chapter").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_chapter", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     numbered = placed.join(starts, [*keys, "_chapter"]).select(
         *keys, "_seq", "_piece", (F.col("_start") + F.col("_chunk")).cast("int").alias("chunk_index"), "chapter", "section"
     )
-    return items.join(numbered, [*keys, "_seq", "_piece"]).drop("decide", "grow", "joined")
+    # Both sides grow with the documents, so a long one is spread over tasks by its blocks.
+    return items.join(numbered.hint("merge"), [*keys, "_seq", "_piece"]).drop("decide", "grow", "joined")
 
 
 def chunk_block_rows(

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from glossaflow.functions import blocks as B
 from glossaflow.operators import chunking, layout, long_documents, structure
 from glossaflow.schema import BLOCK, BLOCKS
+from glossaflow.session import shared_folder
 
 TEXT = (
     "Chapter 1 Start\n\nFirst one\nstill first.\n\nSecond.\n\n- item one\n* item two\n\n"
@@ -303,3 +304,40 @@ def test_a_document_of_many_blocks_spans_tasks(spark):
     assert [r["chunk_index"] for r in runs] == list(range(len(runs)))
     assert all(r["b"] - r["a"] + 1 == r["n"] for r in runs)
     assert [r["a"] for r in runs[1:]] == [r["b"] + 1 for r in runs[:-1]]
+
+
+def _given(spark, frame):
+    """The frame as a table of its own, and the folder it lies in."""
+    path = shared_folder(spark, "given")
+    frame.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def test_rows_of_blocks_are_packed_once(spark):
+    fields = [F.col("id").cast("int").alias("seq"), F.lit("paragraph").alias("type"), F.lit("text").alias("text"), F.lit(0).alias("page")]
+    fields += [F.lit(0).alias("level"), F.lit("").alias("marker"), F.array().cast("array<array<string>>").alias("rows")]
+    fields += [F.lit(False).alias("bold"), F.lit(False).alias("italic")]
+    blocks, path = _given(spark, spark.range(20).select(F.lit(1).alias("doc_id"), *fields))
+    found = long_documents.chunk_block_rows(blocks, "doc_id")
+    assert found.select("source_text").first()[0] == "\n\n".join(["text"] * 20)
+    # What is used several times is read from what was written once.
+    assert found.inputFiles() and not [f for f in found.inputFiles() if path in f]
+    assert "MapInPandas" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_layout_moves_texts_once(spark, rows):
+    """A block of blank spans alone counts nowhere; texts are exchanged by page and not again."""
+    spans = [("d", p, b, l, s, 11.0, " " if b == 1 else f"{p}{b}{l}{s}") for p in (1, 2, 3) for b in range(3) for l in (0, 1) for s in (0, 1)]
+    given, _ = _given(
+        spark,
+        spark.createDataFrame(spans, "doc_id string, page int, block int, line int, span int, size double, text string"),
+    )
+    found = layout.classify_layout_spans(given)
+    assert rows(found.select("seq", "page", "text")) == [
+        (2 * (p - 1) + k, p, f"{p}{b}00{p}{b}01\n{p}{b}10{p}{b}11") for p in (1, 2, 3) for k, b in enumerate((0, 2))
+    ]
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = found._jdf.queryExecution().explainString(mode)
+    exchanges = [part.split("\n\n")[0] for part in plan.split("\n(") if " Exchange\n" in part]
+    moved = [e for e in exchanges if "text#" in e or "_text#" in e]
+    assert exchanges and len(moved) == 1, moved
