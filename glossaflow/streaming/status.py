@@ -195,8 +195,38 @@ def stream_dedup_results(results: DataFrame, keys: list[str], folder: str) -> Da
 
 
 def stream_tm_upsert(pairs: DataFrame, order: list[str], folder: str, language: str = "ar") -> DataFrame:
-    """Memory kept from a stream of pairs: a micro-batch is merged into the store by its hashes."""
-    keys = ["source_hash", "target_language"]
-    return merge_stream(
-        pairs, folder, keys, lambda batch: build_tm(batch, [F.col(c) for c in order], language), upsert_tm
-    ).drop("first_seen")
+    """Memory kept from a stream of pairs: texts are written once, counts are merged by their hashes.
+
+    An entry's texts never change, so they stay in the folder of the batch that brought them; what a
+    batch rewrites is narrow.  A batch whose number the counts hold already does nothing.
+    """
+    spark, keys = pairs.sparkSession, ["source_hash", "target_language"]
+    counts = VersionedTable(spark, f"{folder}/data", keys)
+    texts = ["source_text", "target_text"]
+
+    def write(batch: DataFrame, number: int) -> None:
+        version = counts.current()
+        if number <= version.change:
+            return
+        entries = build_tm(batch, [F.col(c) for c in order], language)
+        if version.schema is None:
+            fresh = entries.withColumn("known", F.lit(False))
+        else:
+            # The entries lie by their hashes already: what is shuffled for this is the known hashes.
+            known = counts.read().select(*keys, F.lit(True).alias("known"))
+            fresh = entries.join(known, keys, "left").withColumn("known", F.col("known").isNotNull())
+        path = f"{folder}/texts/batch={number}"
+        kept = {c: F.when(~F.col("known"), F.col(c)) for c in texts}
+        fresh.withColumns(kept).write.mode("overwrite").parquet(path)
+        counts.upsert(spark.read.schema(fresh.schema).parquet(path).drop("known", *texts), upsert_tm, change=number)
+        counts.expire()
+
+    query = (
+        pairs.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+    query.awaitTermination()
+    said = spark.read.parquet(f"{folder}/texts").where(~F.col("known")).select(*keys, *texts)
+    return counts.read().select(*keys, "use_count").join(said, keys).select(*keys, *texts, "use_count")

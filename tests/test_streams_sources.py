@@ -100,6 +100,19 @@ def test_memory_stream_is_the_batch_result(spark, rows):
     assert rows(found.select(*columns)) == rows(whole.select(*columns))
 
 
+def test_memory_stream_writes_texts_once(spark, rows):
+    """Merging a batch rewrites counts alone; texts stay where their batch put them, hits bring none."""
+    schema = "n long, source_text string, translation string"
+    source, out = shared_folder(spark, "in"), shared_folder(spark, "out")
+    put(spark, source, [(1, "a", "x"), (2, "b", "y")], schema)
+    put(spark, source, [(3, "A", "z"), (4, "c", "w")], schema)
+    found = S.stream_tm_upsert(stream(spark, source, schema), ["n"], out)
+    assert rows(found.select("source_text", "target_text", "use_count")) == [("a", "x", 1), ("b", "y", 0), ("c", "w", 0)]
+    held = VersionedTable(spark, f"{out}/data", ["source_hash", "target_language"]).read()
+    assert "source_text" not in held.columns and "target_text" not in held.columns
+    assert rows(spark.read.parquet(f"{out}/texts/batch=1").select("source_text")) == [("c",), (None,)]
+
+
 def test_error_windows(spark, rows):
     schema = "ts timestamp, error_type string, severity string"
     source, out = shared_folder(spark, "in"), shared_folder(spark, "out")
