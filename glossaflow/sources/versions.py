@@ -5,6 +5,11 @@ only the groups that hold keys of the change, in new files; the others stay as t
 that would grow beyond ``group_rows`` is split by further bits when it is rewritten, so groups stay
 of one size as the table grows.
 
+Groups of more than ``FOLDER_BITS`` bits share a folder with those of the same leading bits, and rows
+say which group they are of.  So a table of many small groups is written, listed and read as a few
+hundred folders.  Rows of a group that has been rewritten stay beside those of the others in its old
+folder, are passed over by readers, and go with the folder.
+
 A version is a manifest, a small file that names the groups' files.  It is written last, and ends in
 a line that says how many groups it names; readers take the newest manifest that is whole.  So a
 change that fails half-way leaves the version before it as it was, and a reader never sees half of
@@ -29,8 +34,11 @@ from pyspark.sql import types as T
 from glossaflow.session import written
 
 GROUP_ROWS = 1 << 20
+# A change writes its groups into one folder for each of so many leading bits, so folders stay few.
+FOLDER_BITS = 8
 _PLACE = "_depth int, _prefix bigint"
-_FOLDERS = f"_write string, {_PLACE}"
+_FOLDERS = f"{_PLACE}, _write string, _part string"
+_ADDED = ("_depth", "_prefix", "_write", "_part")
 
 
 class Conflict(RuntimeError):
@@ -135,24 +143,30 @@ class VersionedTable:
 
     def _rows(self, version: Version, groups: list[Group]) -> DataFrame:
         """Rows of some groups, with the group's place."""
-        paths = [f"{self.path}/files/{g.path}" for g in groups if g.path]
+        alive = [g for g in groups if g.path]
+        paths = sorted({f"{self.path}/files/{g.path}" for g in alive})
         schema = T.StructType([*version.schema.fields, *T._parse_datatype_string(_FOLDERS).fields])
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/files").parquet(*paths)
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/files").parquet(*paths)
+        if all(g.depth <= FOLDER_BITS for g in alive):
+            return rows
+        # The list of groups is the manifest's, so it is in the driver's memory anyway.
+        places = [(g.depth, g.prefix, g.path.split("/")[0].removeprefix("_write=")) for g in alive]
+        return rows.join(F.broadcast(self.spark.createDataFrame(places, f"{_PLACE}, _write string")), ["_depth", "_prefix", "_write"], "leftsemi")
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of the newest version, or of the one with this number."""
         found = self.current() if version is None else self._load(version)
         if found is None or found.schema is None:
             raise ValueError(f"{self.path} has no such version")
-        return self._rows(found, list(found.groups)).drop("_write", "_depth", "_prefix")
+        return self._rows(found, list(found.groups)).drop(*_ADDED)
 
     def read_keys(self, wanted: DataFrame) -> DataFrame:
         """The rows of the wanted keys, read from their groups alone."""
         version = self.current()
         touched = self._touched(version, wanted.select(*self.keys).distinct())
-        rows = self._rows(version, list(touched)).drop("_write", "_depth", "_prefix")
+        rows = self._rows(version, list(touched)).drop(*_ADDED)
         return rows.join(wanted.select(*self.keys).distinct(), self.keys, "leftsemi")
 
     def _placed(self, rows: DataFrame, groups: list[tuple]) -> DataFrame:
@@ -166,7 +180,7 @@ class VersionedTable:
         every = F.array(*[F.struct(F.lit(d).alias("d"), _prefix(value, F.lit(d)).alias("p")) for d in depths])
         tried = rows.withColumn("_hash", value).withColumn("_at", F.explode(every))
         found = tried.select("*", F.col("_at.d").alias("_depth"), F.col("_at.p").alias("_prefix")).drop("_at")
-        return found.join(known, ["_depth", "_prefix"])
+        return found.join(F.broadcast(known), ["_depth", "_prefix"])
 
     def _touched(self, version: Version, rows: DataFrame) -> dict[Group, int]:
         """Groups that hold keys of the rows, and how many rows each."""
@@ -195,7 +209,7 @@ class VersionedTable:
         if version.schema is None:
             version = Version(version.number, version.change, new.schema, version.groups)
         touched = self._touched(version, new)
-        old = self._rows(version, list(touched)).drop("_write", "_depth", "_prefix")
+        old = self._rows(version, list(touched)).drop(*_ADDED)
         merged = combine(old, new).select(*version.schema.names)
         further = {
             g: g.depth + max(0, math.ceil(math.log2(max(1, g.rows + more) / self.group_rows))) for g, more in touched.items()
@@ -206,10 +220,13 @@ class VersionedTable:
             final = placed.select(
                 *version.schema.names, F.col("_to").alias("_depth"), _prefix(F.col("_hash"), F.col("_to")).alias("_prefix")
             )
-            # One task a group, unless Spark splits a large one.
-            final.hint("rebalance", "_depth", "_prefix").write.partitionBy("_depth", "_prefix").parquet(
-                f"{self.path}/files/{name}"
-            )
+            # One task a folder, unless Spark splits a large one.
+            bits = F.least("_depth", F.lit(FOLDER_BITS))
+            lead = F.call_function("shiftrightunsigned", "_prefix", F.col("_depth") - bits)
+            parted = final.withColumn("_part", F.concat(F.lit("d"), bits.cast("string"), F.lit("p"), lead.cast("string")))
+            parted.hint("rebalance", "_part").sortWithinPartitions("_part", "_depth", "_prefix").write.partitionBy(
+                "_part"
+            ).parquet(f"{self.path}/files/{name}")
         groups = [g for g in version.groups if g not in touched] + self._made(name, version, further)
         number = max([version.number, *self._numbers()]) + 1
         made = Version(number, version.change if change is None else change, version.schema, tuple(groups))
@@ -228,7 +245,8 @@ class VersionedTable:
             for k in range(1 << (depth - group.depth)):
                 prefix = (group.prefix << (depth - group.depth)) + k
                 n = rows.get((depth, prefix), 0)
-                made.append(Group(depth, prefix, n, f"{name}/_depth={depth}/_prefix={prefix}" if n else None))
+                bits = min(depth, FOLDER_BITS)
+                made.append(Group(depth, prefix, n, f"{name}/_part=d{bits}p{prefix >> (depth - bits)}" if n else None))
         return made
 
     def delete(self, gone: DataFrame, change: int | None = None) -> Version:

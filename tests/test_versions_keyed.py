@@ -82,6 +82,23 @@ def test_a_failed_change_leaves_the_version_before(spark, monkeypatch):
     assert held(table) == {1: "z", 2: "b"}
 
 
+def test_many_groups_share_few_folders(spark):
+    """Groups of many bits lie in folders of their leading bits; rewritten ones are passed over."""
+    table = table_of(spark, group_rows=2)
+    table.upsert(frame(spark, [(k, "old") for k in range(3000)]))
+    first = table.current()
+    folders = {g.path for g in first.groups if g.path}
+    assert len(first.groups) > 1500 and len(folders) <= 256, (len(first.groups), len(folders))
+    table.upsert(frame(spark, [(k, "new") for k in range(0, 3000, 100)]))
+    wanted = {k: "old" if k % 100 else "new" for k in range(3000)}
+    assert held(table) == wanted and held(table, first.number) == dict.fromkeys(range(3000), "old")
+    assert [tuple(r) for r in table.read_keys(frame(spark, [(100, ""), (5000, "")])).collect()] == [(100, "new")]
+    table.delete(frame(spark, [(k, "") for k in range(0, 3000, 2)]))
+    table.expire(keep=1)
+    assert held(table) == {k: v for k, v in wanted.items() if k % 2}
+    assert sum(g.rows for g in table.current().groups) == 1500
+
+
 def test_two_writers_cannot_make_one_version(spark):
     table = table_of(spark)
     first = table.upsert(frame(spark, [(1, "a")]))
