@@ -15,7 +15,9 @@ Lists are merged by leaders, not by all pairs:
 1. Each list's leader is the text whose values are the most common.  Every other text of the list is
    compared with it, once for all lists that have the two.  Links make first components.
 2. A list whose texts are all in one component is skipped.  In the rest, texts outside their leader's
-   component meet the list's texts of other components.
+   component meet texts of other components: in lists of up to ``SHORT`` texts all of the list's, in
+   longer ones by their full sets, as two linked sets have one of their rarest members in common, and
+   the place of the first bounds how many they share.
 
 A met pair's equal coordinates are counted over the whole signatures (lists beyond the prefix are
 probed, not merged); pairs with ``MATCHES`` or more are confirmed on full sets of 64-bit hashes.
@@ -23,8 +25,7 @@ Within a component no further links are sought, as they change nothing; so copie
 one text cost a comparison each, whatever their number.  Between components every link counts and
 none is lost.  Texts with equal sets are one class from the start.
 
-Work that stays: texts that share their common values with a large group and are still not linked
-to its leader are each compared with all of that group.
+Work that stays: texts of long lists that share their rarest members as well are compared in pairs.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and
 kept.  A text of fewer words than a shingle is one shingle.  A null number counts as none when the
@@ -46,6 +47,8 @@ from glossaflow.llm.simhash import components
 
 SEED, WORDS, PERCENT = 42, 2, 80
 COORDINATES, MATCHES = 40, 17
+#: In lists up to this length, those that are left meet in pairs.
+SHORT = 16
 _BLOCK = 1 << 12
 
 _draw = np.random.default_rng(SEED)
@@ -148,6 +151,69 @@ def _alike_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def whole_sets(rows: DataFrame, candidates: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The whole sets of these rows; only their texts are read again."""
+    wanted = cut(candidates.join(rows, "row", "leftsemi").select("row", "t1", "t2"), "wanted")
+    return cut(
+        texts.select("text", *_text_key(F.col("text")))
+        .join(wanted, ["t1", "t2"])
+        .select("row", "text")
+        .dropDuplicates(["row"])
+        .select("row", whole_set(F.col("text"), words).alias("hashes")),
+        "sets",
+    )
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest members of each set (``row``, ``n``, ``member``, ``place``) that others have too.
+
+    Sets are ordered from rare to common.  A set of n shares ``percent`` of n with whatever it is
+    linked to, so the two have a member in common among the first n - share + 1 of each.  Members
+    that one set alone has count as the first and are left out.  ``place`` is the number of members
+    before this one.
+    """
+    members = sets.select("row", F.explode("hashes").alias("member"))
+    shared = members.groupBy("member").agg(F.count("*").alias("held")).where("held > 1")
+    ordered = (
+        members.join(shared, "member")
+        .groupBy("row")
+        .agg(F.sort_array(F.collect_list(F.struct("held", "member"))).alias("members"))
+        .join(sets.select("row", F.size("hashes").alias("n")), "row")
+        .withColumn("own", F.col("n") - F.size("members"))
+    )
+    length = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - F.col("own")
+    return ordered.where(length > 0).select(
+        "row", "n", "own", F.posexplode(F.slice("members.member", F.lit(1), length)).alias("at", "member")
+    ).select("row", "n", (F.col("own") + F.col("at")).alias("place"), "member")
+
+
+def met(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different ``root`` that may be similar; u is ``outer``, and of two such the lesser.
+
+    At the first member that two sets share, what is left of the shorter end bounds what they share.
+    """
+    v = prefixes.select(F.col("row").alias("v"), "n", "root", "outer", "place", "member")
+    u = prefixes.where("outer").select(
+        F.col("row").alias("u"),
+        F.col("n").alias("m"),
+        F.col("root").alias("r"),
+        F.col("place").alias("at"),
+        "member",
+    )
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
+    return (
+        v.join(u, "member")
+        .where(
+            (F.col("root") != F.col("r"))
+            & (F.col("outer").isNull() | (F.col("u") < F.col("v")))
+            & _alike_sizes(F.col("n"), F.col("m"), percent)
+            & (most * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+        )
+        .select("u", "v")
+        .distinct()
+    )
+
+
 def confirmed(pairs: DataFrame, candidates: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (u, v) that agree in enough coordinates and are similar on full sets.
 
@@ -161,15 +227,7 @@ def confirmed(pairs: DataFrame, candidates: DataFrame, texts: DataFrame, words:
     agree = F.size(F.array_intersect("a", "b")) >= MATCHES
     counted = cut(pairs.join(v, "v").join(u, "u").where(agree).select("u", "v"), "counted")
     rows = counted.select(F.col("u").alias("row")).unionByName(counted.select(F.col("v").alias("row"))).distinct()
-    wanted = cut(candidates.join(rows, "row", "leftsemi").select("row", "t1", "t2"), "wanted")
-    sets = cut(
-        texts.select("text", *_text_key(F.col("text")))
-        .join(wanted, ["t1", "t2"])
-        .select("row", "text")
-        .dropDuplicates(["row"])
-        .select("row", whole_set(F.col("text"), words).alias("hashes")),
-        "sets",
-    )
+    sets = whole_sets(rows, candidates, texts, words)
     leaders = cut(
         sets.join(counted.select(F.col("u").alias("row")).distinct(), "row", "leftsemi"), "leaders"
     )
@@ -199,7 +257,7 @@ def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
         lists.groupBy("value")
         .agg(best.alias("best"), F.count("*").alias("size"))
         .where("size > 1")
-        .select("value", F.col("best.row").alias("u"), F.col("best.n").alias("m")),
+        .select("value", "size", F.col("best.row").alias("u"), F.col("best.n").alias("m")),
         "leaders",
     )
     led = (
@@ -215,16 +273,19 @@ def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
     )
     # Lists of one component are skipped.
     homes = leaders.join(roots.withColumnRenamed("row", "u"), "u", "left").select(
-        "value", F.col("u").alias("leader"), F.coalesce("root", "u").alias("home")
+        "value", "size", F.col("u").alias("leader"), F.coalesce("root", "u").alias("home")
     )
     outside = (
         placed.join(homes, "value")
         .where((F.col("root") != F.col("home")) & (F.col("row") != F.col("leader")))
-        .select("value", F.col("row").alias("u"), F.col("n").alias("m"), F.col("root").alias("r"), "leader", "home")
+        .select(
+            "value", "size", F.col("row").alias("u"), F.col("n").alias("m"), F.col("root").alias("r"), "leader", "home"
+        )
     )
+    outside = cut(outside, "outside")
     # The leader was met already; two texts outside meet once.
-    left = (
-        placed.join(cut(outside, "outside"), "value")
+    short = (
+        placed.join(outside.where(F.col("size") <= SHORT), "value")
         .where(
             (F.col("row") != F.col("leader"))
             & (F.col("root") != F.col("r"))
@@ -234,6 +295,18 @@ def links(classes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int
         .select("u", F.col("row").alias("v"))
         .distinct()
     )
+    # In long lists the sets decide who meets.
+    long = outside.where(F.col("size") > SHORT)
+    outer = long.select(F.col("u").alias("row")).distinct().withColumn("outer", F.lit(True))
+    parties = cut(
+        placed.join(long.select("value").distinct(), "value", "leftsemi")
+        .select("row", "root")
+        .distinct()
+        .join(outer, "row", "left"),
+        "parties",
+    )
+    sets = whole_sets(parties.select("row"), candidates, texts, words)
+    left = short.unionByName(met(cut(prefixes(sets, percent).join(parties, "row"), "prefixes"), percent)).distinct()
     return first.unionByName(confirmed(cut(left, "left"), candidates, texts, words, percent))
 
 

@@ -148,6 +148,24 @@ def test_near_copies_make_few_pairs(spark, monkeypatch):
 # Whitening ------------------------------------------------------------------------------------------
 
 
+def test_texts_half_like_a_group_make_few_pairs(spark, rows, monkeypatch):
+    """Texts that share values with a long list and are linked with none of it meet few of it."""
+    met = []
+    confirmed = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *rest: met.append(pairs.count()) or confirmed(pairs, *rest))
+    base = [f"w{k}" for k in range(60)]
+    near = [(i, " ".join(base[:i] + [f"n{i}"] + base[i + 1 :])) for i in range(60)]
+    half = [
+        (100 + i, " ".join(f"h{i}x{k}" if (k * 7 + i) % 60 < 9 else w for k, w in enumerate(base))) for i in range(60)
+    ]
+    # Two that are linked with each other alone.
+    linked = (200, half[0][1] + " more")
+    given = [*near, *half, linked]
+    found = rows(minhash.near_duplicates(spark.createDataFrame(given, TEXTS)))
+    assert found == components_plainly(given)
+    assert sum(met) < 16 * len(given)
+
+
 def whitened_plainly(vectors, components=32):
     x = np.floor(np.array(vectors, np.float64) * 64).astype(np.int64) + 1_000_000
     n, sums = len(x), x.sum(axis=0)
