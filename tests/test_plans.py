@@ -57,6 +57,13 @@ def test_term_matching_moves_the_vocabulary_and_hashes(spark, request, broadcast
     assert not any("text" in k for k in keys)
 
 
+def test_words_inside_words_are_found_in_one_scan_and_only_matches_move(spark):
+    words = V.terms(spark, FOLDER)
+    found = plan(terms.match_terms(documents(spark), ["doc_id"], "text", words))
+    assert len(re.findall(r"FileScan parquet \[doc_id", found)) == 1
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#", found) == ["doc_id"]
+
+
 def test_fuzzy_lookup_is_native_and_joined_by_equality(spark, no_broadcast):
     tm = documents(spark).select(
         F.col("doc_id").alias("id"), source_hash(F.col("text")).alias("source_hash"), F.col("text").alias("source_text"),

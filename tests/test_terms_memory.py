@@ -1,6 +1,7 @@
 """Dictionaries, translation memory and quality checks."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from compare import difference, rows_of_sql
 from glossaflow.functions.text import normalize_text
-from glossaflow.operators import memory, quality, terms
+from glossaflow.operators import matching, memory, quality, terms
 from glossaflow.operators.matching import find_patterns
 
 TERMS = "id long, english string, preferred string, alternatives array<string>, domain string, priority string, active boolean"
@@ -44,6 +45,21 @@ def test_pattern_search_is_the_nested_loop(spark, rows):
     assert rows(found) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_patterns_inside_words_by_either_way(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(matching, "BROADCAST", most, raising=False)
+    pick = random.Random(2)
+    word = lambda least: "".join(pick.choice("abé") for _ in range(pick.randint(least, 9)))
+    found = [(word(1), pick.random() < 0.3) for _ in range(150)] + [(f"{word(1)} {word(1)}", False) for _ in range(20)]
+    texts = [pick.choice([" ", "\n", "\u2003"]).join(word(1) for _ in range(60)) for _ in range(20)] + ["", None]
+    patterns = spark.createDataFrame(
+        [(i % 100, p, w) for i, (p, w) in enumerate(found)], "pid int, pattern string, whole_word boolean"
+    )
+    holds = lambda t, p, w: re.search(rf"\b{p}\b", t) if w else p in t
+    expected = {(k, i % 100) for k, t in enumerate(texts) if t for i, (p, w) in enumerate(found) if holds(t, p, w)}
+    assert rows(find_patterns(texts_of(spark, *texts), ["k"], F.col("t"), patterns, "pid")) == sorted(expected, key=str)
+
+
 def test_empty_dictionary(spark, rows):
     none = dictionary(spark, ("x", "y", [], "General", True)).where("id > 5")
     assert rows(terms.match_terms(texts_of(spark, "some text"), ["k"], "t", none)) == []
