@@ -35,10 +35,13 @@ copies like any other.  Long texts are hashed in blocks.  An empty table gives a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,19 +154,53 @@ def _alike_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def whole_sets(rows: DataFrame, candidates: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The whole sets of these rows; only their texts are read again."""
-    wanted = cut(candidates.join(rows, "row", "leftsemi").select("row", "t1", "t2"), "wanted")
-    return cut(
+#: Spark's own Bloom filter for a shuffled join with a table of any size, of 4 MB at most.
+_BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10GB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "33554432",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "33554432",
+}
+
+
+@contextmanager
+def _filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Shuffled joins drop rows without a partner before they move, if the other side is filtered."""
+    before = {k: spark.conf.get(k, None) for k in _BLOOM}
+    try:
+        for k, v in _BLOOM.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """The text of each wanted row (``row``, ``t1``, ``t2``).  Of the other texts few are shuffled.
+
+    The condition holds for all rows; Spark makes a Bloom filter of a side only if it is filtered.
+    Rows and text keys go together, so copies of a text are dropped where the join has brought them.
+    """
+    return (
         texts.select("text", *_text_key(F.col("text")))
-        .join(wanted, ["t1", "t2"])
+        .join(wanted.where("row >= 0"), ["t1", "t2"])
+        .dropDuplicates(["row", "t1", "t2"])
         .select("row", "text")
-        .dropDuplicates(["row"])
-        .select("row", whole_set(F.col("text"), words).alias("hashes")),
-        "sets",
     )
 
 
+def whole_sets(rows: DataFrame, candidates: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The whole sets of these rows; only their texts are read again."""
+    wanted = cut(candidates.join(rows, "row", "leftsemi").select("row", "t1", "t2"), "wanted")
+    with _filtered_joins(texts.sparkSession):
+        return cut(
+            texts_of(wanted, texts).select("row", whole_set(F.col("text"), words).alias("hashes")), "sets"
+        )
+
+
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """The rarest members of each set (``row``, ``n``, ``member``, ``place``) that others have too.
 

@@ -145,6 +145,36 @@ def test_near_copies_make_few_pairs(spark, monkeypatch):
     assert sum(met) < 3 * len(given)
 
 
+def test_texts_without_candidates_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Of many texts few are read for their sets; the join drops the others before it moves texts."""
+    moved = []
+    cut = minhash.cut
+
+    def watched(frame, name):
+        if name == "sets":
+            moved.append(frame._jdf.queryExecution().executedPlan().toString())
+        return cut(frame, name)
+
+    monkeypatch.setattr(minhash, "cut", watched)
+    pick = np.random.default_rng(3)
+    given = [(i, pick.bytes(2_000).hex()) for i in range(600)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    keyed = docs.select(F.col("doc_id").alias("row"), *minhash._text_key(F.col("text")))
+    few = keyed.where("row % 50 = 0").select("row")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = minhash.whole_sets(few, keyed, docs, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(x["row"] for x in sets) == list(range(0, 600, 50))
+    assert all([h % (1 << 64) for h in x["hashes"]] == minhash.shingles(given[x["row"]][1].encode(), 2).tolist() for x in sets)
+    assert len(moved) == 1 and "might_contain" in moved[0]
+    # Texts are shuffled once, by their keys.
+    assert moved[0].count("Exchange hashpartitioning(t1") == moved[0].count("Exchange hashpartitioning") == 2
+
+
 # Whitening ------------------------------------------------------------------------------------------
 
 
