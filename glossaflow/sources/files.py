@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaflow.functions.names import extension_verdict, file_suffix
-from glossaflow.sources.file_heads import read_heads
+from glossaflow.sources.file_heads import read_heads, with_encoding
 
 # Size limit, and first bytes of known types.
 MAX_FILE_BYTES = 100 * 1024 * 1024
@@ -80,10 +80,11 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
 def file_inventory(
     spark: SparkSession, path: str, include_empty: bool = True, check_text: bool = False
 ) -> DataFrame:
-    """Each file with its size, claimed and found type, and whether it is accepted.
+    """Each file with its size, claimed and found type, encoding, and whether it is accepted.
 
-    Of a file only the first bytes are read, in the tasks that list the folders.  ``check_text`` also
-    tells whether accepted text files are UTF-8, for which they are read whole.
+    The first bytes tell the known types.  A file claimed to be text is read whole and is text if it can be
+    decoded, from its first byte to its last, by one of the encodings that ``read_text_documents`` tries.
+    ``check_text`` also tells whether that is UTF-8.
     """
     heads = read_heads(spark, path)
     if not include_empty:
@@ -100,9 +101,11 @@ def file_inventory(
     for magic, extension in MAGIC:
         test = start == F.lit(magic.encode("latin-1"))
         kind = F.when(test, extension) if kind is None else kind.when(test, extension)
-    # Single-byte code pages decode any bytes, so what has no known start is text if claimed so.
     opened = (F.col("length") > 0) & (F.col("length") <= MAX_FILE_BYTES) & (F.col("name_verdict") == "ok")
-    found = F.when(opened, kind.when(F.col("extension") == ".txt", ".txt"))
+    started = listed.withColumn("found", F.when(opened, kind)).drop("head")
+    is_text = opened & F.col("found").isNull() & (F.col("extension") == ".txt")
+    read = with_encoding(started, path, is_text, ("utf-8", *FALLBACK_CODE_PAGES))
+    found = F.coalesce("found", F.when(F.col("encoding").isNotNull(), ".txt"))
     verdict = (
         F.when(F.col("name_verdict") != "ok", F.col("name_verdict"))
         .when(F.col("length") == 0, "empty")
@@ -111,13 +114,8 @@ def file_inventory(
         .when(F.col("found") != F.col("extension"), "content_mismatch")
         .otherwise("ok")
     )
-    checked = listed.withColumn("found", found).withColumn("verdict", verdict).drop("name_verdict", "head")
-    if not check_text:
-        return checked
-    texts = _files(spark, path).where(
-        (F.col("length") > 0) & (F.col("length") <= MAX_FILE_BYTES) & (extension_verdict(file_name(F.col("path"))) == "ok")
-    )
-    return checked.join(texts.select("path", F.is_valid_utf8("content").alias("utf8")), "path", "left")
+    checked = read.withColumn("found", found).withColumn("verdict", verdict).drop("name_verdict")
+    return checked.withColumn("utf8", F.col("encoding") == "utf-8") if check_text else checked
 
 
 def stale_files(spark: SparkSession, path: str, hours: float = 24, now: Column | None = None) -> DataFrame:

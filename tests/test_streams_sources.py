@@ -180,6 +180,22 @@ def test_inventory(spark, folder):
     }
 
 
+def test_inventory_reads_texts_to_their_end(spark, tmp_path, monkeypatch):
+    """The last byte counts, far behind the first bytes and at the seam of two blocks."""
+    start = b"x" * ((1 << 20) - 1)
+    (tmp_path / "utf 8+.txt").write_bytes(start + "é".encode())
+    (tmp_path / "other.txt").write_bytes(start + b"\xe9")
+    (tmp_path / "cut.txt").write_bytes(start + "é".encode()[:1])
+    (tmp_path / "a.pdf").write_bytes(b"%PDF" + b"\xe9")
+    found = {r["name"]: (r.encoding, r.verdict) for r in files.file_inventory(spark, str(tmp_path)).collect()}
+    assert found == {
+        "utf 8+.txt": ("utf-8", "ok"), "other.txt": ("cp1256", "ok"), "cut.txt": ("cp1256", "ok"), "a.pdf": (None, "ok"),
+    }
+    monkeypatch.setattr(files, "FALLBACK_CODE_PAGES", ())
+    found = {r["name"]: r.verdict for r in files.file_inventory(spark, str(tmp_path)).collect()}
+    assert found == {"utf 8+.txt": "ok", "other.txt": "unknown_content", "cut.txt": "unknown_content", "a.pdf": "ok"}
+
+
 def test_heads_read_first_bytes_alone(spark, tmp_path):
     """Folders of any depth; a large file costs no more than its first bytes."""
     for name in ("a", "b/c", "b/d/e/f", "_hidden", "b/.dot"):
