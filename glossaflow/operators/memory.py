@@ -17,7 +17,7 @@ FUZZY_THRESHOLD = 0.72
 # Segments of so many characters are rare enough to propose entries by.
 RARE_LENGTH = 5
 # Texts whose lengths are compared in one block: lengths at most so far apart, so many texts or characters.
-LENGTH_STEP, BLOCK_TEXTS, BLOCK_CHARACTERS = 1.05, 256, 65536
+LENGTH_STEP, BLOCK_TEXTS, BLOCK_CHARACTERS = 1.05, 1024, 262144
 
 
 def build_tm(pairs: DataFrame, order: list[Column], language: Column | str = "ar") -> DataFrame:
@@ -265,10 +265,25 @@ def _by_segments(asked: DataFrame, known: DataFrame, threshold: float) -> DataFr
 
 
 def _binned(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The forms with their bin of length, and each bin's lengths and number of blocks."""
-    binned = forms.where("n > 0").withColumn("bin", F.floor(F.log("n") / F.log(F.lit(LENGTH_STEP))).cast("int"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n") / BLOCK_CHARACTERS)).cast("int")
-    return binned, binned.groupBy("bin").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), blocks.alias("blocks"))
+    """The forms with their bin of length, and each bin's lengths and number of blocks.
+
+    A bin has lengths of one step, fewer where these have texts for more than one block, so that texts of a block
+    are as near in length as their number allows.  Only a length with texts for several blocks is dealt by hash.
+    """
+    share = F.greatest(F.col("count") / BLOCK_TEXTS, F.col("count") * F.col("n") / BLOCK_CHARACTERS)
+    earlier = Window.partitionBy("_step").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = ["_step", "_part"]
+    lengths = (
+        forms.where("n > 0").groupBy("n").count()
+        .withColumn("_step", F.floor(F.log("n") / F.log(F.lit(LENGTH_STEP))).cast("int"))
+        .withColumn("_share", share)
+        .withColumn("_part", F.floor(F.sum("_share").over(earlier) - F.col("_share") / 2))
+        .withColumn("bin", F.min("n").over(Window.partitionBy(*own)))
+    )
+    lengths = written(lengths.select("n", "bin", "_share"), "lengths")
+    blocks = F.greatest(F.round(F.sum("_share")), F.lit(1)).cast("int")
+    bins = lengths.groupBy("bin").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), blocks.alias("blocks"))
+    return forms.join(F.broadcast(lengths.select("n", "bin")), "n"), bins
 
 
 def _by_blocks(asked: DataFrame, known: DataFrame, threshold: float) -> DataFrame:

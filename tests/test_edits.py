@@ -69,3 +69,25 @@ def test_blocks_of_one_length_lose_no_pair(spark, monkeypatch):
     texts = spark.createDataFrame([(16, left[-1])], "k long, text string")
     similar = memory.tm_fuzzy(texts, ["k"], "text", tm).collect()
     assert sorted((x["id"], x["rank"]) for x in similar) == [(32, 1), (33, 2)]
+
+
+def test_pairs_that_are_put_off_are_compared_too(monkeypatch):
+    """Small batches whose last pairs are put off, several words a pair, lengths of all kinds on both sides."""
+    for name, value in (("SIDE_BY_SIDE", 32), ("RUN", 4), ("FEW", 3), ("REPEATS", 2)):
+        monkeypatch.setattr(edits, name, value)
+    r = random.Random(11)
+    left = ["".join(r.choice("abc dé") for _ in range(r.choice((3, 40, 70, 180, 260)))) for _ in range(24)]
+    right = [changed(t, s, r) for t in left for s in (0.0, 0.1, 0.25)]
+    for a, b in ((left, right), (right, left)):
+        i, j, d = edits.close_pairs(a, b, 0.72)
+        assert dict(zip(zip(i.tolist(), j.tolist()), d.tolist())) == wanted(a, b, 0.72) and len(i) == len(set(zip(i.tolist(), j.tolist())))
+
+
+def test_bins_hold_no_more_lengths_than_they_must(spark, monkeypatch):
+    """Where there are many texts, those of a block differ by few characters, so that few diagonals are compared."""
+    monkeypatch.setattr(memory, "BLOCK_TEXTS", 10)
+    rows = [(k, "x" * n, n) for k, n in enumerate([200 + n for n in range(10) for _ in range(10)] + [300] * 35 + [39, 40])]
+    forms, bins = memory._binned(spark.createDataFrame(rows, "id long, form string, n int"))
+    found = sorted((b["lo"], b["hi"], b["blocks"]) for b in bins.collect())
+    assert found == [(39, 40, 1), *[(n, n, 1) for n in range(200, 210)], (300, 300, 4)]
+    assert forms.groupBy("bin").count().count() == len(found) and forms.count() == len(rows)
