@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,23 @@ def test_bins_hold_no_more_lengths_than_they_must(spark, monkeypatch):
     found = sorted((b["lo"], b["hi"], b["blocks"]) for b in bins.collect())
     assert found == [(39, 40, 1), *[(n, n, 1) for n in range(200, 210)], (300, 300, 4)]
     assert forms.groupBy("bin").count().count() == len(found) and forms.count() == len(rows)
+
+
+def test_unlike_texts_end_before_their_last_character(monkeypatch):
+    """Texts of one length and alphabet that are not alike: one word a pair, and fewer steps than they have characters."""
+    taken = []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def take(self, *args, **kind):
+            taken.append(1)
+            return np.take(*args, **kind)
+
+    monkeypatch.setattr(edits, "np", Counted())
+    r = random.Random(2)
+    left, right = (["".join(r.choice("abcde ") for _ in range(220)) for _ in range(40)] for _ in range(2))
+    assert len(edits.close_pairs(left, right, 0.72)[0]) == 0
+    # Two a step: a letter of the text, and where the pattern has it.
+    assert 0 < len(taken) < 2 * 220
